@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import ngram_jaccard
+from . import decontamination, line_dedup, ngram_jaccard, sentencepiece_codec, toxicity
 
-QUERIES = {"op1_ngram_jaccard_join": ngram_jaccard.op1_ngram_jaccard_join}
-ORACLES = dict(ngram_jaccard.ORACLE)
+MODULES = (ngram_jaccard, sentencepiece_codec, line_dedup, decontamination, toxicity)
+
+QUERIES = {name: value for module in MODULES for name, value in vars(module).items() if name.startswith("op") and name[2].isdigit()}
+ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE", {}).items()}
