@@ -90,6 +90,25 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
+def slices(batch: pa.RecordBatch, column: int = 1, most: int = 4 << 20, rows: int = 4000):
+    """Consecutive slices of a batch with about ``most`` bytes of text each; a longer text is a slice of its own."""
+    _, off = text_buffers(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(off, off[at] + most, "right")) - 1
+        to = min(max(to, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+SMALL = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast a table that is already written, if it has few rows; else leave the join to Spark."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def word_hashes(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the ASCII-lower-cased words of every text: (hash, byte start, byte end, first word of each text)."""
     is_sep = sep[buf]

@@ -16,12 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, table
+from .common import ascii_lower, materialize, small, table
 
 #: runs of digits, a-z and characters beyond ASCII are words
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEEDS = 3
-SMALL = 500_000
 
 
 def words(text: Column) -> Column:
@@ -34,11 +33,6 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a table that was written and counted, if it has few rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def _join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     """Join on (doc_id, h); a null id equals a null id."""
     b = b.withColumnsRenamed({"doc_id": "_id", "h": "_h"})
@@ -53,7 +47,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(term, freq)``: occurrences in ``docs`` of every term of ``terms(term)``; 0 where there are none."""
     seen = _rows(docs, id_col, text_col).select(F.explode(words(F.col("text"))).alias("term"))
-    seen = seen.join(_small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("freq"))
+    seen = seen.join(small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("freq"))
     return terms.join(seen, "term", "left").select("term", F.coalesce("freq", F.lit(0)).alias("freq"))
 
 
@@ -64,7 +58,7 @@ def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
     """
     lists = _rows(docs, id_col, text_col).select("doc_id", "h", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit("")))).alias("pos", "term"))
     wanted = materialize(terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct(), "terms")
-    return materialize(lists.join(_small(wanted), "term", "left_semi").select("doc_id", "h", "term", F.col("pos").cast("long").alias("pos")), "postings")
+    return materialize(lists.join(small(wanted), "term", "left_semi").select("doc_id", "h", "term", F.col("pos").cast("long").alias("pos")), "postings")
 
 
 def phrase_windows(items: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -91,11 +85,11 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id",
     seeds = materialize(seeds.where("x.freq > 0").select("window", "k", F.col("x.term").alias("term"), F.col("x.o").alias("o")), "seeds")
     index = positional_index(docs, seeds.select("term").distinct(), id_col, text_col)
     lengths = index.where("term = ''").groupBy("doc_id", "h").agg(F.max("pos").alias("n_words"))
-    shifted = index.where("term <> ''").join(_small(seeds), "term").select("doc_id", "h", "window", "k", (F.col("pos") - F.col("o")).alias("start"), "o").where("start >= 0")
+    shifted = index.where("term <> ''").join(small(seeds), "term").select("doc_id", "h", "window", "k", (F.col("pos") - F.col("o")).alias("start"), "o").where("start >= 0")
     met = shifted.groupBy("doc_id", "h", "window", "start").agg(F.countDistinct("o").alias("c"), F.max("k").alias("k")).where("c = k").select("doc_id", "h", "window", "start")
-    held = materialize(met.join(_small(windows), "window"), "held")
+    held = materialize(met.join(small(windows), "window"), "held")
     asked = materialize(held.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "window", "terms")).alias("asked")), "asked")
-    kept = _join(_rows(docs, id_col, text_col), _small(asked.select("doc_id", "h")), "left_semi").dropDuplicates(["doc_id", "h"])
+    kept = _join(_rows(docs, id_col, text_col), small(asked.select("doc_id", "h")), "left_semi").dropDuplicates(["doc_id", "h"])
     right = _let(words(F.col("text")), lambda w: F.filter("asked", lambda x: F.slice(w, (x["start"] + 1).cast("int"), F.size(x["terms"])) == x["terms"]))
     found = _join(kept, asked).select("doc_id", "h", F.explode(right).alias("x"))
     return found.select("doc_id", "h", F.col("x.start").alias("start"), F.size("x.terms").alias("size"), F.col("x.window").alias("window")), lengths
@@ -110,8 +104,8 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, span: int, id_col: st
     ranked = spread.join(freq, "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("freq", "term"))).alias("r"))
     ranked = materialize(ranked, "ranked")
     index = positional_index(docs, spread.select("term").distinct(), id_col, text_col).where("term <> ''")
-    anchor = index.join(_small(ranked.select("query_id", F.col("r")[0]["term"].alias("term"), (F.size("r") - 1).alias("others"))), "term").select("doc_id", "h", "query_id", "others", F.col("pos").alias("at"))
-    rest = index.join(_small(materialize(ranked.select("query_id", F.explode(F.slice("r", 2, 1_000_000)).alias("x")).select("query_id", F.col("x.term").alias("term")), "rest")), "term")
+    anchor = index.join(small(ranked.select("query_id", F.col("r")[0]["term"].alias("term"), (F.size("r") - 1).alias("others"))), "term").select("doc_id", "h", "query_id", "others", F.col("pos").alias("at"))
+    rest = index.join(small(materialize(ranked.select("query_id", F.explode(F.slice("r", 2, 1_000_000)).alias("x")).select("query_id", F.col("x.term").alias("term")), "rest")), "term")
     # positions are dealt into cells of the span's width, so that the join stays an equality
     cell = lambda c: F.floor(F.col(c) / max(span, 1))
     wide = anchor.where("others > 0").withColumn("cell", F.explode(F.array(cell("at") - 1, cell("at"), cell("at") + 1)))
@@ -129,7 +123,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     """
     windows = materialize(phrase_windows(benchmark, width), "windows")
     matches, lengths = phrase_matches(docs, windows, id_col, text_col)
-    named = materialize(matches.join(_small(windows.select("window", "items")), "window"), "matches")
+    named = materialize(matches.join(small(windows.select("window", "items")), "window"), "matches")
     spots = named.select("doc_id", "h", F.explode(F.expr("sequence(start, start + size - 1)")).alias("p")).groupBy("doc_id", "h").agg(F.countDistinct("p").alias("n_hit"))
     items = named.select("doc_id", "h", F.explode("items").alias("item")).groupBy("doc_id", "h").agg(F.array_sort(F.transform(F.collect_set("item"), lambda x: x.cast("string"))).alias("item_ids"))
     out = _join(lengths, _join(spots, items), "left").select("doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))

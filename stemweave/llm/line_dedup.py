@@ -11,9 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-
-SMALL = 500_000
+from .common import materialize, small, table
 
 
 def _text(text_col: str) -> Column:
@@ -36,8 +34,7 @@ def boilerplate_lines(lines: DataFrame, min_sites: int, lg_k: int = 10, band: fl
     spread = materialize(spread.where(F.col("sites") >= min_sites * (1 - band)), "spread")
     sure = spread.where(F.col("sites") >= min_sites * (1 + band)).select("line")
     near = spread.where(F.col("sites") < min_sites * (1 + band)).select("line")
-    near = F.broadcast(near) if near.count() <= SMALL else near
-    exact = lines.join(near, "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    exact = lines.join(small(near), "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
     return sure.unionByName(exact.select("line"))
 
 
@@ -50,10 +47,10 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     lines = _lines(docs, id_col, text_col, site_col, min_chars)
     bad = materialize(boilerplate_lines(lines, min_sites), "boilerplate")
-    hit = materialize(lines.join(F.broadcast(bad) if bad.count() <= SMALL else bad, "line", "left_semi").select("doc_id", "h", "pos", "line"), "hits")
+    hit = materialize(lines.join(small(bad), "line", "left_semi").select("doc_id", "h", "pos", "line"), "hits")
     first = hit.groupBy("line").agg(F.min(F.struct("doc_id", "h", "pos")).alias("f"))
     first = materialize(first.select("line", F.col("f.doc_id").alias("i0"), F.col("f.h").alias("h0"), F.col("f.pos").alias("p0")), "first")
-    rest = hit.join(F.broadcast(first) if first.count() <= SMALL else first, "line").where(~(F.col("doc_id").eqNullSafe(F.col("i0")) & (F.col("h") == F.col("h0")) & (F.col("pos") == F.col("p0"))))
+    rest = hit.join(small(first), "line").where(~(F.col("doc_id").eqNullSafe(F.col("i0")) & (F.col("h") == F.col("h0")) & (F.col("pos") == F.col("p0"))))
     cut = rest.groupBy("doc_id", "h").agg(F.collect_set("pos").alias("_cut")).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
     rows = docs.withColumn("h", F.xxhash64(_text(text_col)))
     rows = rows.join(cut, rows[id_col].eqNullSafe(F.col("_id")) & (rows["h"] == F.col("_h")), "left")

@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import list_array, materialize, mix, shingle_sets, table
+from .common import list_array, materialize, mix, shingle_sets, slices, small, table
 from .components import connected_components
 
 BLOCK = 512
+LIST_ROWS = 20_000
 DOCS_PER_BUCKET = 4000
 
 
@@ -52,7 +53,7 @@ def _screen_rows(width: int, percent: int, buckets: int):
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, most=8 << 20)):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             sets = shingle_sets(batch.column(1), width)
             n = np.array([len(s) for s in sets], np.int64)
@@ -104,7 +105,7 @@ def _count_shared(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _set_rows(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = shingle_sets(batch.column(1), width)
             other = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).min().view(np.int64)) if len(s) else 0 for s in sets]
             both = [mix(s * np.uint64(2) + np.uint64(1)).sum(dtype=np.uint64).tobytes() + mix(s ^ np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64).tobytes() + len(s).to_bytes(4, "big") for s in sets]
@@ -136,23 +137,28 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(percent: int):
-    """One (token, block pair): star pairs of different components whose sizes and positions leave room for a link."""
+    """Some (token, block pair) lists: star pairs of different components whose sizes and positions leave room for a link."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "rep"])
-        n, pos, star, comp = (pdf[c].to_numpy() for c in ("n", "pos", "star", "comp"))
-        i_side, same = pdf["side"].to_numpy(), bool(pdf["same"].iat[0])
-        hi = np.searchsorted(n, n * 100 // percent, "right")  # block skip: larger sets end here
+        pdf = pdf.sort_values(["token", "b1", "b2", "lo", "star"])
+        token, b1, b2, lo, hi, rest, star, comp, side = (pdf[c].to_numpy() for c in ("token", "b1", "b2", "lo", "hi", "rest", "star", "comp", "side"))
+        new = np.r_[True, (token[1:] != token[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])]
+        cut = np.r_[np.flatnonzero(new), len(token)]
         found = []
-        for i in range(len(n)):
-            j = slice(i + 1, hi[i])
-            need = -(-percent * (n[i] + n[j]) // (100 + percent))
-            ok = (comp[j] != comp[i]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
-            if not same:
-                ok &= i_side[j] != i_side[i]
-            if ok.any():
-                other = np.unique(star[j][ok])
-                found.append(np.stack((np.minimum(other, star[i]), np.maximum(other, star[i])), 1))
+        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            for i in range(x, y - 1):
+                # block skip: the list is in order of size, and larger sets than this end here
+                end = x + int(np.searchsorted(lo[x:y], hi[i] * 100 // percent, "right"))
+                j = slice(i + 1, end)
+                need = -(-percent * (lo[i] + lo[j]) // (100 + percent))
+                ok = (comp[j] != comp[i]) & (np.minimum(rest[i], rest[j]) >= need)
+                if b1[i] != b2[i]:
+                    ok &= side[j] != side[i]
+                if ok.any():
+                    other = star[j][ok]
+                    found.append(np.stack((np.minimum(other, star[i]), np.maximum(other, star[i])), 1))
+            if len(found) > 2000:
+                found = [np.unique(np.concatenate(found), axis=0)]
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -170,13 +176,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = pairs.where(F.col("doc_id").isNotNull())
-    buckets = max(16, -(-known.count() // DOCS_PER_BUCKET))
+    buckets = max(64, -(-known.count() // DOCS_PER_BUCKET))
     packed = known.mapInArrow(_screen_rows(width, percent, buckets), "bucket int, tok binary, doc binary, need binary, cnt binary, size binary")
     counted = packed.groupBy("bucket").applyInPandas(_count_shared, "doc_id long, shared long, need long, size long")
     screen = materialize(counted.groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"), F.max("size").alias("n")), "screen")
 
     kept = screen.where("shared >= need and n > 0").select("doc_id")
-    texts = materialize(known.join(kept, "doc_id").mapInArrow(_set_rows(width), "doc_id long, n long, set_key binary, low1 long, low2 long, tokens array<long>").where("n > 0"), "sets")
+    texts = materialize(known.join(small(kept), "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc_id long, n long, set_key binary, low1 long, low2 long, tokens array<long>").where("n > 0"), "sets")
     # equal sets are one node, that of the smallest id
     keys = texts.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     member = materialize(texts.select("doc_id", "set_key").join(keys, "set_key").select("doc_id", "rep").distinct(), "member")
@@ -206,14 +212,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     room = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1 - alone
     posted = listed.where(room > 0).select("rep", "n", alone.alias("first"), F.posexplode(F.slice("e", 1, room.cast("int"))).alias("i", "x"))
     posted = posted.select("rep", "n", F.col("x.token").alias("token"), (F.col("first") + F.col("i")).alias("pos"))
-    posted = materialize(posted.join(state.select("rep", "star", "comp"), "rep"), "posted")
-    # lists whose sets are all in one component already are skipped
-    mixed = posted.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    left = posted.join(mixed, "token").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    blocked = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "rep", "n", "pos", "star", "comp", "token", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), F.col("mine").alias("side"), F.expr("mine = other").alias("same")
-    )
-    across = blocked.groupBy("token", "b1", "b2").applyInPandas(_across(percent), "a long, b long").distinct()
+    posted = posted.join(state.select("rep", "star", "comp"), "rep")
+    # the sets of a star are one entry of a list; lists whose sets are all in one component already are skipped
+    lists = materialize(posted.groupBy("token", "star", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest")), "lists")
+    mixed = lists.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).where("c1 < c2")
+    mixed = materialize(mixed.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed")
+    left = lists.join(small(mixed), "token").withColumn("side", F.pmod(F.xxhash64("star"), F.col("blocks")).cast("int"))
+    blocked = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"b1": F.least("side", "other"), "b2": F.greatest("side", "other")})
+    dealt = blocked.withColumn("deal", F.pmod(F.xxhash64("token", "b1", "b2"), F.lit(max(64, lists.count() // LIST_ROWS))).cast("int"))
+    across = dealt.select("deal", "token", "b1", "b2", "lo", "hi", "rest", "star", "comp", "side").groupBy("deal").applyInPandas(_across(percent), "a long, b long").distinct()
     centres = materialize(_verified(across, sets), "centres")
     # centres that are too far apart for a link of their own but whose members may link
     radius = state.groupBy("star").agg(F.max("d").alias("r"))

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, table
+from .common import list_array, slices, table
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 MEMO = 400_000
-CHUNK_ROWS = 1000
+CHUNK_ROWS = 500
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
 
@@ -189,8 +189,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         c = codec(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_ROWS):
-                part = batch.slice(at, CHUNK_ROWS)
+            for part in slices(batch, most=2 << 20):
                 ids = [c.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), list_array(ids, np.int32)], ["doc_id", "text", "ids"])
 

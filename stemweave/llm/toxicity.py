@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, table, text_buffers, word_hashes
+from .common import list_array, slices, table, text_buffers, word_hashes
 
 #: terms within a row stand for groups of one kind and are swapped for one another
 IDENTITY_TERMS = (
@@ -35,7 +35,6 @@ IDENTITY_TERMS = (
 
 _SEP = np.ones(256, bool)
 _SEP[48:58] = _SEP[65:91] = _SEP[97:123] = _SEP[128:] = False
-CHUNK_ROWS = 2000
 
 
 def _hash_words(terms) -> np.ndarray:
@@ -98,8 +97,7 @@ def _sample_features(terms):
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_ROWS):
-                part = batch.slice(at, CHUNK_ROWS)
+            for part in slices(batch):
                 row, feat, _ = _feature_rows(part.column(1))
                 rows = _distinct(row, feat, part.num_rows)
                 other = [_swapped(r, r, feats, mate) for r in rows]
@@ -172,8 +170,7 @@ def _score_rows(model: dict):
     def run(batches):
         names, w, b = model["features"], model["w"], model["b"]
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_ROWS):
-                part = batch.slice(at, CHUNK_ROWS)
+            for part in slices(batch, batch.num_columns - 1):
                 total = np.full(part.num_rows, b)
                 if len(names):
                     row, feat, _ = _feature_rows(part.column(part.num_columns - 1))
