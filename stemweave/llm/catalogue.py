@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, ngram_jaccard, sentencepiece_codec, toxicity
+from . import chat_format, decontamination, line_dedup, ngram_jaccard, order_minhash, quality, sentencepiece_codec, token_counts, toxicity, warc
 
-MODULES = (ngram_jaccard, sentencepiece_codec, line_dedup, decontamination, toxicity)
+MODULES = (ngram_jaccard, sentencepiece_codec, warc, line_dedup, order_minhash, decontamination, quality, token_counts, toxicity, chat_format)
 
 QUERIES = {name: value for module in MODULES for name, value in vars(module).items() if name.startswith("op") and name[2].isdigit()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE", {}).items()}
