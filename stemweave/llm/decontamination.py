@@ -20,7 +20,7 @@ from .common import ascii_lower, materialize, small, table
 
 #: runs of digits, a-z and characters beyond ASCII are words
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SEEDS = 3
+SEEDS = 2
 
 
 def words(text: Column) -> Column:
@@ -68,7 +68,7 @@ def phrase_windows(items: DataFrame, width: int, id_col: str = "item_id", text_c
     starts = F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))
     each = w.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.expr(f"slice(w, s, {width})").alias("terms"))
     grouped = each.groupBy("terms").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    return grouped.select(F.sha2(F.array_join("terms", " "), 256).alias("window"), "terms", "items")
+    return grouped.select(F.xxhash64("terms").alias("window"), "terms", "items")
 
 
 def phrase_matches(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -81,12 +81,14 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id",
     spread = windows.select("window", F.posexplode("terms").alias("o", "term"))
     freq = materialize(term_counts(docs, materialize(spread.select("term").distinct(), "terms"), id_col, text_col), "freq")
     ranked = spread.join(freq, "term").groupBy("window").agg(F.sort_array(F.collect_list(F.struct("freq", "term", "o"))).alias("r"))
-    seeds = ranked.select("window", F.explode(F.slice("r", 1, SEEDS)).alias("x"), F.least(F.size("r"), F.lit(SEEDS)).alias("k"))
-    seeds = materialize(seeds.where("x.freq > 0").select("window", "k", F.col("x.term").alias("term"), F.col("x.o").alias("o")), "seeds")
+    ranked = ranked.where("r[0].freq > 0")
+    seeds = ranked.select("window", F.posexplode(F.slice("r", 1, SEEDS)).alias("i", "x"), F.least(F.size("r"), F.lit(SEEDS)).alias("k"))
+    seeds = seeds.select("window", F.col("x.term").alias("term"), F.col("x.o").alias("o"), F.expr("shiftleft(1, i)").alias("bit"), F.expr("shiftleft(1, k) - 1").alias("all"))
+    seeds = materialize(seeds, "seeds")
     index = positional_index(docs, seeds.select("term").distinct(), id_col, text_col)
     lengths = index.where("term = ''").groupBy("doc_id", "h").agg(F.max("pos").alias("n_words"))
-    shifted = index.where("term <> ''").join(small(seeds), "term").select("doc_id", "h", "window", "k", (F.col("pos") - F.col("o")).alias("start"), "o").where("start >= 0")
-    met = shifted.groupBy("doc_id", "h", "window", "start").agg(F.countDistinct("o").alias("c"), F.max("k").alias("k")).where("c = k").select("doc_id", "h", "window", "start")
+    shifted = index.where("term <> ''").join(small(seeds), "term").select("doc_id", "h", "window", (F.col("pos") - F.col("o")).alias("start"), "bit", "all").where("start >= 0")
+    met = shifted.groupBy("doc_id", "h", "window", "start").agg(F.bit_or("bit").alias("got"), F.max("all").alias("all")).where("got = `all`").select("doc_id", "h", "window", "start")
     held = materialize(met.join(small(windows), "window"), "held")
     asked = materialize(held.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "window", "terms")).alias("asked")), "asked")
     kept = _join(_rows(docs, id_col, text_col), small(asked.select("doc_id", "h")), "left_semi").dropDuplicates(["doc_id", "h"])
