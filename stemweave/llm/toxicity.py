@@ -129,9 +129,10 @@ def fit(labelled: DataFrame, label_col: str = "label", text_col: str = "text", t
     def indexed(values, sizes):
         at = np.minimum(np.searchsorted(names, values), max(len(names) - 1, 0))
         ok = names[at] == values if len(names) else np.zeros(len(values), bool)
-        return np.repeat(np.arange(len(sizes)), sizes)[ok], at[ok]
+        return np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[ok], at[ok].astype(np.int32)
 
     rx, fx = indexed(x, nx)
+    del x
     has = np.flatnonzero(nz)
     rz, fz = indexed(z, nz)
     mine = np.isin(rx, has)
@@ -202,7 +203,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, sample_row
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text")
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> DataFrame:
     """``(doc_id, h, held_out, score, predicted)`` for every row of ``docs``; see :func:`fit` and :func:`score`.
 
     The labels join by id; repeated rows are scored each; a null id is held out of nothing.
@@ -212,7 +213,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_00
     return score(docs, model).select("doc_id", "h", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> DataFrame:
     """The rows of ``docs`` that the classifier does not call toxic."""
     bad = toxicity_scores(docs, labels, sample_rows).where("predicted = 1").select(F.col("doc_id").alias("_bad"), F.col("h").alias("_h")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
