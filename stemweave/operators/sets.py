@@ -30,8 +30,9 @@ def keep_existing(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataF
 def merge_fields(rows: DataFrame, key: str, order: str, arrays: list[str], scalars: list[str]) -> DataFrame:
     """One row per key: array fields united in first-seen order, scalar fields the first that is not null."""
     listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *arrays, *scalars))).alias("_r"))
-    united = [F.array_distinct(F.flatten(F.transform("_r", lambda x, c=c: F.coalesce(x[c], F.array())))).alias(c) for c in arrays]
-    firsts = [F.get(F.filter(F.transform("_r", lambda x, c=c: x[c]), lambda v: v.isNotNull()), F.lit(0)).alias(c) for c in scalars]
+    field = lambda c: F.col("_r").getField(c)  # noqa: E731  an array of the rows' values
+    united = [F.array_distinct(F.flatten(F.array_compact(field(c)))).alias(c) for c in arrays]
+    firsts = [F.get(F.array_compact(field(c)), F.lit(0)).alias(c) for c in scalars]
     return listed.select(key, *united, *firsts)
 
 

@@ -29,11 +29,11 @@ def _(t):
 
 
 @query("j01_star_join", """
-SELECT r_name, n_name, c_mktsegment, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total
+SELECT r_name, n_name, c_mktsegment, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
 def _(t):
     j = J.star_join(t("orders"), (t("customer"), "o_custkey", "c_custkey"), (t("nation"), "c_nationkey", "n_nationkey"), (t("region"), "n_regionkey", "r_regionkey"))
-    return j.groupBy("r_name", "n_name", "c_mktsegment").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    return j.groupBy("r_name", "n_name", "c_mktsegment").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 @query("j02_left_join_gaps", """
@@ -197,11 +197,11 @@ def _(t):
 
 
 @query("a06_sum_min_rollup", """
-SELECT n_regionkey AS root, count(*) AS n, min(o_orderdate) AS first_seen, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total
+SELECT n_regionkey AS root, count(*) AS n, min(o_orderdate) AS first_seen, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""")
 def _(t):
     j = J.star_join(t("orders"), (t("customer"), "o_custkey", "c_custkey"), (t("nation"), "c_nationkey", "n_nationkey"))
-    return j.groupBy(F.col("n_regionkey").alias("root")).agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first_seen"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    return j.groupBy(F.col("n_regionkey").alias("root")).agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first_seen"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 @query("a07_distinct_child_rollup", "SELECT DISTINCT n_regionkey AS root, c_mktsegment AS tag FROM customer JOIN nation ON n_nationkey = c_nationkey")
@@ -387,7 +387,7 @@ def _(t):
 
 
 @query("a29_scorecard", """
-SELECT source, count(*) AS docs, count(DISTINCT text) AS texts, sum(n_chars) AS chars, count(quality) AS labelled, count(*) FILTER (quality = 1) AS good, count(*) FILTER (n_chars < 200) AS short FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+SELECT source, count(*) AS docs, count(DISTINCT text) AS texts, CAST(sum(n_chars) AS BIGINT) AS chars, count(quality) AS labelled, count(*) FILTER (quality = 1) AS good, count(*) FILTER (n_chars < 200) AS short FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
 def _(t):
     j = t("documents").join(t("labels"), "doc_id", "left")
     return j.groupBy("source").agg(F.count("*").alias("docs"), F.count_distinct("text").alias("texts"), F.sum("n_chars").alias("chars"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("n_chars") < 200).alias("short"))
