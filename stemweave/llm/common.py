@@ -61,7 +61,7 @@ _LOWERED[65:91] = _BYTES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
-_SEGMENT = 1 << 22
+_SEGMENT = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -90,7 +90,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: int = 1, most: int = 4 << 20, rows: int = 4000):
+def slices(batch: pa.RecordBatch, column: int = 1, most: int = 2 << 20, rows: int = 4000):
     """Consecutive slices of a batch with about ``most`` bytes of text each; a longer text is a slice of its own."""
     _, off = text_buffers(batch.column(column))
     at = 0

@@ -53,7 +53,7 @@ def _screen_rows(width: int, percent: int, buckets: int):
     """
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, most=8 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, most=4 << 20)):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             sets = shingle_sets(batch.column(1), width)
             n = np.array([len(s) for s in sets], np.int64)

@@ -62,7 +62,7 @@ def fit_evidence(labelled: DataFrame, steps: int = 400, l2: float = 1e-3) -> dic
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1, 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(shape_features(part.column(1))), pa.list_(pa.float64()))], ["y", "x"])
 
     rows = labelled.select(F.col("label").cast("int").alias("y"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("y is not null")
@@ -92,7 +92,7 @@ def evidence(docs: DataFrame, model: dict, keep: list[str], text_col: str = "tex
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, batch.num_columns - 1):
+            for part in slices(batch, batch.num_columns - 1, 1 << 20):
                 x = np.clip((shape_features(part.column(part.num_columns - 1)) - model["mean"]) / model["scale"], -8, 8)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.clip(x @ model["w"] + model["b"], -30, 30))], [*part.schema.names[:-1], "evidence"])
 

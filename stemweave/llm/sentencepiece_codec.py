@@ -12,6 +12,7 @@ its spaces; chunks that were met before are looked up (a bounded table in each w
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import ahocorasick
@@ -24,8 +25,8 @@ from .common import list_array, slices, table
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO = 400_000
-CHUNK_ROWS = 500
+MEMO = 200_000
+DECODE_ROWS = 500
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
 
@@ -205,8 +206,8 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         c = codec(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_ROWS):
-                part = batch.slice(at, CHUNK_ROWS)
+            for at in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(at, DECODE_ROWS)
                 lists = part.column(at_col)
                 sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 out = [x.decode("utf-8", "replace") for x in c.decode_many(lists.flatten().to_numpy(), sizes)]
@@ -218,13 +219,29 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
 
 
 def pieces_of(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """``(doc_id, n_pieces, ids, decoded_sha256, round_trip)`` for every row: encoded, then decoded from the ids.
+    """``(doc_id, n_pieces, ids, decoded_sha256, round_trip)`` for every row: encoded, then decoded from the ids, in one pass.
 
     ``round_trip`` tells whether the decoded text is the text; it is false only where the text holds the space mark itself.
     """
     model = model or default_model()
-    both = decode(encode(docs, model), model)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+    def run(batches):
+        c = codec(model)
+        for batch in batches:
+            for part in slices(batch, most=1 << 20):
+                texts = part.column(1).to_pylist()
+                ids = [c.encode(t) for t in texts]
+                sizes = np.array([len(x) for x in ids], np.int64)
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                out = c.decode_many(flat, sizes)
+                same = [x == t.encode("utf-8", "surrogatepass") for x, t in zip(out, texts)]
+                cols = [part.column(0), pa.array(sizes), list_array(ids, np.int32), pa.array([hashlib.sha256(x).hexdigest() for x in out]), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_pieces", "ids", "decoded_sha256", "round_trip"])
+            pa.default_memory_pool().release_unused()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean")
 
 
 def op2_sentencepiece(spark, sf_dir):

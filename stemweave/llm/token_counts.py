@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import slices, table
 
 CHUNK = 16_384
-ARCS = 500_000
+ARCS = 300_000
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SPACES = regex.compile(r"\s+")
 
