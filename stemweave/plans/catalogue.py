@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import hierarchy, language, relational  # noqa: F401
+from . import hierarchy, language, pages, relational  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
