@@ -13,7 +13,7 @@ def numbered_lines(spark: SparkSession, path, exclude: list[str] = (), pattern:
     A file is one record here, so that numbers need no shuffle over the whole table: a log file is an append-only
     ledger of one source.  Files named in ``exclude`` are left out.
     """
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    whole = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
     if exclude:
         whole = whole.where(~F.col("file").isin(list(exclude)))
     lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("i", "value"))
