@@ -278,3 +278,58 @@ def spelling_vector(c: Column) -> dict[str, Column]:
     out["ends_stop"] = F.when(s.rlike("[pbtdkgcq]$"), 1.0).otherwise(0.0)
     out["cluster_density"] = (F.length(s) - F.length(F.regexp_replace(s, "[^aeiouy]{2,}", ""))) / n
     return out
+
+
+def whole_name_parses(names: DataFrame, name: str, dictionary: list[str], glue: tuple[str, ...] = ()) -> DataFrame:
+    """``(name, parse, unaccounted, morphemes)``: names split at blanks, each distinct word parsed once, the best parses
+    joined in order of the words."""
+    words = names.select(F.col(name).alias("name")).where("name <> ''").distinct().select("name", F.posexplode(F.split(F.lower("name"), " +")).alias("i", "word")).where("word <> ''")
+    best = words.join(segment(words, "word", dictionary, glue), "word")
+    g = best.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("i", "parse"))).alias("p"), F.sum("unaccounted").alias("unaccounted"), F.sum("morphemes").alias("morphemes"))
+    return g.select("name", F.array_join(F.transform("p", lambda x: x["parse"]), " / ").alias("parse"), "unaccounted", "morphemes")
+
+
+def canonical_parse(candidates: DataFrame, place: str, signature: str, scholar: str, unaccounted: str, morphemes: str) -> DataFrame:
+    """Per place the canonical candidate and the rule that picked it: a scholar's match (several are a disagreement), the only
+    candidate that accounts for every character, else the fewest morphemes (ties in order of the signature)."""
+    full = F.col(unaccounted) == 0
+    g = candidates.groupBy(place).agg(
+        F.count_if(scholar).alias("ns"), F.count_if(full).alias("nf"), F.min(F.when(F.col(scholar), F.col(signature))).alias("s"),
+        F.min(F.when(full, F.col(signature))).alias("f"), F.min(F.when(full, F.struct(F.col(morphemes).alias("m"), F.col(signature).alias("g")))).alias("b"),
+    )
+    rule = F.when(F.col("ns") > 1, "scholar-disagreement").when(F.col("ns") == 1, "scholar").when(F.col("nf") == 1, "unique").when(F.col("nf") > 1, "fewest").otherwise("none")
+    pick = F.when(F.col("ns") >= 1, F.col("s")).when(F.col("nf") == 1, F.col("f")).when(F.col("nf") > 1, F.col("b.g"))
+    return g.select(place, pick.alias("canonical"), rule.alias("rule"))
+
+
+def page_of(quotes: DataFrame, headers: DataFrame, doc: str, offset: str, at: str, page: str) -> DataFrame:
+    """``quotes`` with the page of the last header at or before each offset (null where there is none)."""
+    from .joins import asof_join
+
+    return asof_join(quotes, headers, doc, offset, at, {page: page})
+
+
+def header_offsets(docs: DataFrame, ident: str, text: str, patterns: list[str]) -> DataFrame:
+    """``(doc, at, page)``: page headers by the pattern that finds most in each document (the first one on a tie); the first
+    group of a pattern is the page number."""
+    found = None
+    for i, p in enumerate(patterns):
+        pieces = F.split(F.col(text), p)
+        x = docs.select(F.col(ident).alias("doc"), F.lit(i).alias("p"), pieces.alias("s"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("g"))
+        found = x if found is None else found.unionByName(x)
+    best = found.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc(F.size("m")), "p"))).where("k = 1")
+    ends = F.transform(F.sequence(F.lit(1), F.size("m")), lambda i: F.aggregate(F.slice("s", F.lit(1), i), F.lit(0), lambda a, v: a + F.length(v)) + F.aggregate(F.slice("m", F.lit(1), i - 1), F.lit(0), lambda a, v: a + F.length(v)))
+    return best.where("size(m) > 0").select("doc", F.explode(F.arrays_zip(ends.alias("at"), F.col("g").alias("page"))).alias("x")).select("doc", "x.at", F.col("x.page").cast("int").alias("page"))
+
+
+def occurrences_by_position(words: DataFrame, word: str, forms: DataFrame, form: str, least: int = 2) -> DataFrame:
+    """``(form, position, n)``: overlapping occurrences of each form in words as bare, pre, post or inner.  Words are cut into
+    their substrings once and joined on equality."""
+    w = words.select(F.col(word).alias("w")).where(F.length("w") >= least)
+    f = forms.select(F.col(form).alias("form")).where(F.length("form") >= least).distinct()
+    lens = f.select(F.length("form").alias("k")).distinct()
+    lens = F.broadcast(lens) if lens.count() <= 1000 else lens
+    cut = w.join(lens, F.length("w") >= F.col("k")).select("w", "k", F.explode(F.sequence(F.lit(1), F.length("w") - F.col("k") + 1)).alias("i"))
+    cut = cut.select("w", "k", "i", F.expr("substring(w, i, k)").alias("form"))
+    pos = F.when(F.col("k") == F.length("w"), "bare").when(F.col("i") == 1, "pre").when(F.col("i") + F.col("k") - 1 == F.length("w"), "post").otherwise("inner")
+    return cut.join(f, "form", "left_semi").groupBy("form", pos.alias("position")).agg(F.count("*").alias("n"))

@@ -257,11 +257,11 @@ def _(t):
 
 
 @query("w10_repeat_resolution", """
-WITH s AS (SELECT p_brand AS key, min(p_type) AS synonym FROM part GROUP BY 1), x AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, p_brand, row_number() OVER (PARTITION BY l_orderkey, p_brand ORDER BY l_linenumber * 1000000 + l_partkey) > 1 AS again FROM lineitem JOIN part ON p_partkey = l_partkey)
+WITH s AS (SELECT p_brand AS key, min(p_type) AS synonym FROM part GROUP BY 1), x AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, p_brand, row_number() OVER (PARTITION BY l_orderkey, p_brand ORDER BY l_linenumber * 1000000 + l_partkey, l_suppkey) > 1 AS again FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN again THEN synonym ELSE p_brand END AS final FROM x JOIN s ON s.key = p_brand""")
 def _(t):
     syn = t("part").groupBy(F.col("p_brand").alias("key")).agg(F.min("p_type").alias("synonym"))
-    x = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "p_brand", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("slot"))
+    x = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "p_brand", F.struct((F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("a"), "l_suppkey").alias("slot"))
     return W.resolve_repeats(x, "l_orderkey", "slot", "p_brand", syn).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "final")
 
 

@@ -161,8 +161,9 @@ def _(t):
 
 @query("j18_mention_resolution", """
 WITH e AS (SELECT p_name AS form, p_brand AS region, p_partkey AS id FROM part), m AS (SELECT l_orderkey, l_linenumber, l_suppkey, p_name AS form, CASE WHEN l_suppkey % 2 = 0 THEN 'near ' || p_brand ELSE 'far' END AS hint FROM lineitem JOIN part ON p_partkey = l_partkey),
-c AS (SELECT form, count(*) AS n, min(id) AS only FROM e GROUP BY 1), f AS (SELECT form, region, count(*) AS n, min(id) AS only FROM e GROUP BY 1, 2)
-SELECT l_orderkey, l_linenumber, l_suppkey, form, hint, CASE WHEN c.n = 1 THEN c.only WHEN f.n = 1 THEN f.only END AS resolved FROM m JOIN c USING (form) LEFT JOIN f ON f.form = m.form AND contains(lower(hint), lower(f.region))""")
+c AS (SELECT form, count(*) AS n, min(id) AS only FROM e GROUP BY 1), h AS (SELECT DISTINCT form, hint FROM m),
+f AS (SELECT h.form, h.hint, count(*) AS n, min(id) AS only FROM h JOIN e ON e.form = h.form AND contains(lower(hint), lower(region)) GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, l_suppkey, m.form, m.hint, CASE WHEN c.n = 1 THEN c.only WHEN f.n = 1 THEN f.only END AS resolved FROM m JOIN c USING (form) LEFT JOIN f ON f.form = m.form AND f.hint = m.hint""")
 def _(t):
     e = t("part").selectExpr("p_name as form", "p_brand as region", "p_partkey as id")
     m = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "l_linenumber", "l_suppkey", F.col("p_name").alias("form"), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("near "), "p_brand")).otherwise("far").alias("hint"))
