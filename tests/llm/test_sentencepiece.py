@@ -72,6 +72,12 @@ def test_round_trip_and_edges(spark):
     assert S.pieces_of(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_encode_and_decode_frames(spark):
+    df = spark.createDataFrame([(1, "hello  wörld"), (2, None)], "doc_id long, text string")
+    out = {r.doc_id: r for r in S.decode(S.encode(df, S.default_model()), S.default_model()).collect()}
+    assert out[1].decoded == "hello  wörld" and out[2].decoded == "" and out[2].ids == []
+
+
 def test_decode_bytes(codec):
     ids = codec.encode("é漢")
     assert codec.decode_many(ids, np.array([len(ids)])) == ["é漢".encode()]
