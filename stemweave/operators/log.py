@@ -12,23 +12,22 @@ def fold_log(log: DataFrame, keys: list[str], order: str, op: str, fields: str)
     """``(keys, live, state, errors)``: the state of each key after its events in order.
 
     ``fields`` is a ``map<string,string>``.  ``set`` overwrites, ``add`` is an error on a live key, ``patch``
-    merges fields and is an error on a missing key, ``remove`` is idempotent.  The events of one
-    key are one history, and they are all that is gathered.
+    merges fields and is an error on a missing key, ``remove`` is idempotent.  Errors change nothing.
+
+    No history is gathered: whether a key is live before an event follows from the last event that was no patch, the
+    state is the latest value of each field since the last event that began it, and both are a window and sums.
     """
-    event = F.struct(F.col(order).alias("o"), F.col(op).alias("op"), F.col(fields).alias("f"))
-    by_order = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)  # noqa: E731  maps have no order
-    listed = log.groupBy(*keys).agg(F.array_sort(F.collect_list(event), by_order).alias("_e"))
-    empty = F.create_map().cast("map<string,string>")
-    start = F.struct(F.lit(False).alias("live"), empty.alias("state"), F.lit(0).alias("errors"))
-    merged = lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
-
-    def step(acc, e):
-        bad = ((e["op"] == "add") & acc["live"]) | ((e["op"] == "patch") & ~acc["live"])
-        live = F.when(e["op"] == "remove", False).when(bad, acc["live"]).otherwise(True)
-        state = F.when(e["op"] == "remove", empty).when(bad, acc["state"]).when(e["op"] == "patch", merged(acc["state"], F.coalesce(e["f"], empty))).otherwise(F.coalesce(e["f"], empty))
-        return F.struct(live.alias("live"), state.alias("state"), (acc["errors"] + bad.cast("int")).alias("errors"))
-
-    return listed.select(*keys, F.aggregate("_e", start, step).alias("x")).select(*keys, "x.live", "x.state", "x.errors")
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col(op) != "patch", F.col(op)), ignorenulls=True).over(before)
+    marked = log.select(*keys, F.col(order).alias("_o"), F.col(op).alias("_op"), F.col(fields).alias("_f"), F.coalesce(last.isin("set", "add"), F.lit(False)).alias("_live"))
+    bad = (F.col("_live") & (F.col("_op") == "add")) | (~F.col("_live") & (F.col("_op") == "patch"))
+    begins = F.col("_op").isin("set", "remove") | (~F.col("_live") & (F.col("_op") == "add"))
+    heads = marked.groupBy(*keys).agg(F.max(F.when(begins, F.struct("_o", "_op"))).alias("_b"), F.count_if(bad).cast("int").alias("errors"))
+    since = marked.where(~bad & (F.col("_op") != "remove")).join(heads.select(*keys, F.col("_b._o").alias("_from")), keys).where("_o >= _from")
+    latest = since.select(*keys, "_o", F.explode("_f").alias("_k", "_v")).groupBy(*keys, "_k").agg(F.max_by("_v", "_o").alias("_v"))
+    state = latest.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("state"))
+    live = F.coalesce(F.col("_b._op") != "remove", F.lit(False))
+    return heads.join(state, keys, "left").select(*keys, live.alias("live"), F.coalesce("state", F.create_map().cast("map<string,string>")).alias("state"), "errors")
 
 
 def last_write_wins(log: DataFrame, keys: list[str], order: list, reverted: Column) -> DataFrame:
