@@ -14,6 +14,7 @@ special tokens; special strings inside a text are one token each, the library's
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 
@@ -56,28 +57,53 @@ class CountTransducer:
         self.arcs: dict[str, int] = {}
         self.words: dict[str, int] = {}
 
+    def _merge(self, parts: list[str]) -> list[str]:
+        """The merges of a word: always the pair of lowest rank, the leftmost of equal ones."""
+        get, none = self.rank.get, 1 << 60
+        if len(parts) > 100:
+            return self._merge_long(parts)
+        ranks = [get(p, none) for p in zip(parts, parts[1:])]
+        while ranks:
+            low = min(ranks)
+            if low == none:
+                break
+            i = ranks.index(low)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), none)
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), none)
+        return parts
+
+    def _merge_long(self, parts: list[str | None]) -> list[str]:
+        """The same with a heap, in n log n."""
+        get, n = self.rank.get, len(parts)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(r, i, p) for i, p in enumerate(zip(parts, parts[1:])) if (r := get(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, pair = heapq.heappop(heap)
+            j = after[i] if parts[i] is not None else -1
+            if j < 0 or (parts[i], parts[j]) != pair:
+                continue  # one of the two was merged away
+            parts[i], parts[j] = pair[0] + pair[1], None
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+            for x, y in ((before[i], i), (i, k)):
+                if x >= 0 and y >= 0 and (r := get((parts[x], parts[y]))) is not None:
+                    heapq.heappush(heap, (r, x, (parts[x], parts[y])))
+        return [p for p in parts if p is not None]
+
     def _word(self, word: str) -> int:
         got = self.words.get(word)
         if got is None:
-            parts = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
+            letters = self.letters
+            parts = [letters[b] for b in word.encode("utf-8", "surrogatepass")]
             parts[-1] += self.end
-            rank, none = self.rank, 1 << 60
-            while len(parts) > 1:
-                ranks = [rank.get(p, none) for p in zip(parts, parts[1:])]
-                low = min(ranks)
-                if low == none:
-                    break
-                a, b = parts[(i := ranks.index(low))], parts[i + 1]
-                out, i = [], 0
-                while i < len(parts):  # all places of the pair, left to right
-                    if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                        out.append(a + b)
-                        i += 2
-                    else:
-                        out.append(parts[i])
-                        i += 1
-                parts = out
-            got = sum(p in self.vocab for p in parts)  # a symbol that the vocabulary lacks is dropped
+            vocab = self.vocab
+            got = sum([p in vocab for p in self._merge(parts)])  # a symbol that the vocabulary lacks is dropped
             if len(word) <= 64:
                 if len(self.words) >= ARCS:
                     self.words.clear()
@@ -88,15 +114,21 @@ class CountTransducer:
         """Tokens emitted between two boundaries; ``path`` holds no white space."""
         got = self.arcs.get(path)
         if got is None:
-            got, at = 0, 0
-            plain = []
-            for m in self.special.finditer(path) if self.special else ():
-                plain.append(path[at : m.start()])
-                got, at = got + 1, m.end()
-            plain.append(path[at:])
+            got, plain = 0, (path,)
+            if self.special is not None and (hits := list(self.special.finditer(path))):
+                got, at, plain = len(hits), 0, []
+                for m in hits:
+                    plain.append(path[at : m.start()])
+                    at = m.end()
+                plain.append(path[at:])
             for part in plain:
-                if part:
+                if part.isascii():
+                    text = part.lower()
+                else:
                     text = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                if text.isalpha() and text.isascii():
+                    got += self._word(text)
+                else:
                     got += sum(map(self._word, _WORD.findall(text)))
             if len(path) <= 64:
                 if len(self.arcs) >= ARCS:

@@ -6,7 +6,7 @@ from stemweave.llm import token_counts as T
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("word_bpe_49k.json")
-TEXTS = ["", "a", "<|endoftext|>", "x<|endoftext|>y <|startoftext|>", "don't 'sun !!'s x's", "a\x1cb", "a\x85b", "ΑΣ ΟΣ", "İstanbul", "é é", "漢字かな 12½", "😀😀", " x　y", "a" * 5000, "word " * 9000, "<|endoftext|><|endoftext"]
+TEXTS = ["", "a", "<|endoftext|>", "x<|endoftext|>y <|startoftext|>", "don't 'sun !!'s x's", "a\x1cb", "a\x85b", "ΑΣ ΟΣ", "İstanbul", "é é", "漢字かな 12½", "😀😀", " x　y", "a" * 5000, "abcdé" * 1500, "théatre" * 40, "word " * 9000, "<|endoftext|><|endoftext"]
 
 
 def fuzz(n):
