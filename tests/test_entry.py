@@ -18,7 +18,7 @@ def test_entry_imports_without_the_training_operators():
         "class Block(importlib.abc.MetaPathFinder):\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name.startswith('stemweave.llm') or name == 'corpus_pipeline':\n"
-        "            raise ModuleNotFoundError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Block())\n"
         "import __spark_entry__ as e\n"
         "assert 'pipeline' not in e.queries() and 'j01_star_join' in e.queries() and e.oracle_sql()\n"
