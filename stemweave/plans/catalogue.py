@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import domain, hierarchy, language, pages, relational  # noqa: F401
+from . import domain, extended, hierarchy, language, pages, relational  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
