@@ -133,10 +133,10 @@ def _(t):
 
 
 @query("g10_sense_groups", """
-WITH RECURSIVE m AS (SELECT DISTINCT p_brand AS fam, p_name AS member, unnest(string_split(p_name, ' ')) AS tok FROM part WHERE p_size <= 3), e AS (SELECT DISTINCT x.fam, x.member AS a, y.member AS b FROM m x JOIN m y ON x.fam = y.fam AND x.tok = y.tok),
+WITH RECURSIVE m AS (SELECT DISTINCT p_brand AS fam, p_name AS member, unnest(string_split(p_name, ' ')) AS tok FROM part), e AS (SELECT DISTINCT x.fam, x.member AS a, y.member AS b FROM m x JOIN m y ON x.fam = y.fam AND x.tok = y.tok),
 r AS (SELECT DISTINCT fam, member AS a, member AS root FROM m UNION SELECT e.fam, e.b, r.root FROM r JOIN e ON e.fam = r.fam AND e.a = r.a) SELECT fam, a AS member, min(root) AS sense FROM r GROUP BY 1, 2""")
 def _(t):
-    m = t("part").where("p_size <= 3").select("p_brand", "p_name", F.explode(F.split("p_name", " ")).alias("tok")).distinct()
+    m = t("part").select("p_brand", "p_name", F.explode(F.split("p_name", " ")).alias("tok")).distinct()
     # members that share a token meet at the token's first member, so no pairs are made
     node = F.struct("p_brand", "p_name")
     hub = m.withColumn("first", F.min("p_name").over(Window.partitionBy("p_brand", "tok")))

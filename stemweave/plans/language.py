@@ -73,10 +73,10 @@ def _(t):
 
 
 @query("t12_fuzzy_pairs", """
-WITH v AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents WHERE lang = 'en') WHERE length(w) >= 9), c AS (SELECT DISTINCT w AS f FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE length(w) >= 9)
+WITH v AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents) WHERE length(w) >= 9), c AS (SELECT DISTINCT w AS f FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE length(w) >= 9)
 SELECT w AS word, f AS form FROM v JOIN c ON levenshtein(w, f) = 1 WHERE w NOT IN (SELECT f FROM c)""")
 def _(t):
-    v = t("documents").where("lang = 'en'").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
+    v = t("documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
     c = t("benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("f"))
     return T.fuzzy_pairs(v, "w", c, "f", 9)
 
@@ -120,10 +120,10 @@ def _(t):
 
 
 @query("t21_lemma_candidates", """
-WITH w AS (SELECT row_number() OVER (ORDER BY lang, w) AS id, lang, w FROM (SELECT DISTINCT lang, w FROM (SELECT lang, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents) WHERE length(w) BETWEEN 4 AND 7)), r AS (SELECT * FROM (VALUES (0, 'ing', ''), (1, 'ed', ''), (2, 'er', 'e')) AS v(i, a, b))
+WITH w AS (SELECT row_number() OVER (ORDER BY lang, w) AS id, lang, w FROM (SELECT DISTINCT lang, w FROM (SELECT lang, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents) WHERE length(w) >= 4)), r AS (SELECT * FROM (VALUES (0, 'ing', ''), (1, 'ed', ''), (2, 'er', 'e')) AS v(i, a, b))
 SELECT w.lang, w.w, l.w AS lemma, CAST(r.i AS INTEGER) AS rule FROM w JOIN r ON w.w LIKE '%' || r.a AND length(w.w) > length(r.a) JOIN w l ON l.lang = w.lang AND l.w = left(w.w, length(w.w) - length(r.a)) || r.b WHERE l.id <> w.id QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY r.i) = 1""")
 def _(t):
-    w = t("documents").select("lang", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) between 4 and 7").distinct().withColumn("id", F.concat_ws(":", "lang", "w"))
+    w = t("documents").select("lang", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) >= 4").distinct().withColumn("id", F.concat_ws(":", "lang", "w"))
     hit = T.lemma_candidates(w, "id", "lang", "w", [("ing", ""), ("ed", ""), ("er", "e")])
     return hit.select(F.split_part("id", F.lit(":"), F.lit(1)).alias("lang"), F.split_part("id", F.lit(":"), F.lit(2)).alias("w"), F.split_part("lemma_id", F.lit(":"), F.lit(2)).alias("lemma"), "rule")
 

@@ -62,6 +62,26 @@ def test_graph_edges(spark):
     assert graph.break_cycles([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")]) == ([("a", "b"), ("b", "c"), ("d", "a")], [("c", "a")])
 
 
+def test_components_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(200 + i, 201 + i) for i in range(30)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    want = {n: find(n) for e in edges if e[0] != e[1] for n in e}
+    got = {r.node: r.component for r in graph.min_label_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == want
+
+
 def test_log_fold_rules(spark):
     rows = [("a", 1, "add", {"x": "1"}), ("a", 2, "add", {"x": "2"}), ("a", 3, "patch", {"y": "3"}), ("b", 1, "patch", {"x": "1"}), ("c", 1, "remove", None), ("c", 2, "set", {"x": "9"}), ("c", 3, "remove", None), ("c", 4, "add", {"z": "1"})]
     got = {r.k: (r.live, r.state, r.errors) for r in log.fold_log(spark.createDataFrame(rows, "k string, i int, op string, f map<string,string>"), ["k"], "i", "op", "f").collect()}
