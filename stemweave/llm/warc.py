@@ -137,10 +137,13 @@ def read_archive(content: bytes):
 # ------------------------------------------------------------------------------- DataFrames
 
 
-def train_dictionary(pages: DataFrame, sample_rows: int = 256, sample_bytes: int = 16_384, size: int = 32_768, payload_col: str = "html") -> bytes:
-    """A dictionary from at most ``sample_rows`` payload heads, chosen by hash; empty where there is too little to learn from."""
-    heads = pages.where(F.length(payload_col) >= 64).select(F.substring(payload_col, 1, sample_bytes).alias("p"))
-    got = [r.p.encode() for r in heads.orderBy(F.xxhash64("p"), "p").limit(sample_rows).collect()]
+def train_dictionary(pages: DataFrame, sample_rows: int = 256, sample_bytes: int = 16_384, size: int = 32_768, id_col: str = "page_id", payload_col: str = "html") -> bytes:
+    """A dictionary from at most ``sample_rows`` payload heads, chosen by the hash of their ids; empty where there is too little
+    to learn from.  The ids are chosen first, so that only the chosen heads travel."""
+    rows = pages.where(F.length(payload_col) >= 64)
+    ids = rows.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)  # the bound of the broadcast
+    heads = rows.join(F.broadcast(ids), id_col, "left_semi").select(F.substring(payload_col, 1, sample_bytes).alias("p"))
+    got = sorted(r.p.encode() for r in heads.limit(sample_rows).collect())
     try:
         return zstandard.train_dictionary(size, got).as_bytes() if len(got) >= 16 else b""
     except zstandard.ZstdError:
