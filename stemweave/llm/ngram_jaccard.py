@@ -16,7 +16,10 @@ A first pass (the screen) drops every document that cannot have a partner: of tw
 first entries in hash order share a known minimum number, so a document with fewer entries that
 occur twice anywhere is done.  Frequencies are then counted for the rest.
 
-No threshold, cap or sample drops a link.  Hashes have 64 bits.
+``jaccard_components`` needs the links between components alone and leaves the other pairs of one
+component uncompared.  ``jaccard_join`` and ``jaccard_links`` find every link: the same index without
+regard to components names the pairs of stars whose members may link, and their sets are compared in
+blocks.  There no threshold, cap or sample drops a link.  Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from .components import connected_components
 BLOCK = 512
 LIST_ROWS = 20_000
 DOCS_PER_BUCKET = 4000
+BLOCK_TOKENS = 400_000
 
 
 def _least_overlap(n, percent: int):
@@ -165,15 +169,8 @@ def _across(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per distinct document id.
-
-    Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their distinct shingles of
-    ``width`` words (A-Z lower-cased, words between ASCII white space).  A text with fewer words
-    is one shingle; a null, empty or blank text has none and links with nothing.  Rows that repeat
-    an id count as further texts of that document; rows without an id keep a null component.
-    Any further columns are ignored.  An empty table gives an empty result.
-    """
+def _gathered(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The texts, the screen, the members ``(doc_id, rep)`` of each set, the sets ``(rep, n, tokens)`` and the stars ``(rep, star, d)``."""
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = pairs.where(F.col("doc_id").isNotNull())
     buckets = max(64, -(-known.count() // DOCS_PER_BUCKET))
@@ -198,12 +195,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = _verified(tried[0].unionByName(tried[1]).distinct(), sets).where(f"j >= {percent / 100}")
     best = near.groupBy("b").agg(F.max(F.struct("j", (-F.col("a")).alias("a"))).alias("x")).select(F.col("b").alias("rep"), (-F.col("x.a")).alias("star"), (1 - F.col("x.j")).alias("d"))
     best = materialize(best, "stars")
-    comp = connected_components(best.select(F.col("star").alias("a"), F.col("rep").alias("b")))
-    state = materialize(
-        sets.select("rep", "n").join(best, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("rep", "n", F.coalesce("star", "rep").alias("star"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "rep").alias("comp")), "state"
-    )
+    return pairs, screen, member, sets, best
+
 
+def _star_pairs(sets: DataFrame, state: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: the stars of different ``comp`` of ``state(rep, n, star, d, comp)`` of which some members may link."""
     # the index: entries in two sets at least, by (frequency, hash); the first ones of each set are posted
     each = sets.select("rep", "n", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -220,7 +216,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = lists.join(small(mixed), "token").withColumn("side", F.pmod(F.xxhash64("star"), F.col("blocks")).cast("int"))
     blocked = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"b1": F.least("side", "other"), "b2": F.greatest("side", "other")})
     dealt = blocked.withColumn("deal", F.pmod(F.xxhash64("token", "b1", "b2"), F.lit(max(64, lists.count() // LIST_ROWS))).cast("int"))
-    across = dealt.select("deal", "token", "b1", "b2", "lo", "hi", "rest", "star", "comp", "side").groupBy("deal").applyInPandas(_across(percent), "a long, b long").distinct()
+    return dealt.select("deal", "token", "b1", "b2", "lo", "hi", "rest", "star", "comp", "side").groupBy("deal").applyInPandas(_across(percent), "a long, b long").distinct()
+
+
+def _closed(pairs: DataFrame, screen: DataFrame, member: DataFrame, links: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of the rows with an id."""
+    twice = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
+    final = connected_components(links.unionByName(twice))
+    of = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    return screen.join(of, "doc_id", "left").select("doc_id", F.greatest("n", F.lit(0)).alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _without_id(pairs: DataFrame, width: int) -> DataFrame:
+    lost = pairs.where(F.col("doc_id").isNull()).mapInArrow(_set_rows(width), "doc_id long, n long, set_key binary, low1 long, low2 long, tokens array<long>")
+    return lost.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)``, one row per distinct document id.
+
+    Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their distinct shingles of
+    ``width`` words (A-Z lower-cased, words between ASCII white space).  A text with fewer words
+    is one shingle; a null, empty or blank text has none and links with nothing.  Rows that repeat
+    an id count as further texts of that document; rows without an id keep a null component.
+    Any further columns are ignored.  An empty table gives an empty result.
+    """
+    pairs, screen, member, sets, best = _gathered(docs, id_col, text_col, width, percent)
+    comp = connected_components(best.select(F.col("star").alias("a"), F.col("rep").alias("b")))
+    state = materialize(
+        sets.select("rep", "n").join(best, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("rep", "n", F.coalesce("star", "rep").alias("star"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "rep").alias("comp")), "state"
+    )
+
+    across = _star_pairs(sets, state, percent)
     centres = materialize(_verified(across, sets), "centres")
     # centres that are too far apart for a link of their own but whose members may link
     radius = state.groupBy("star").agg(F.max("d").alias("r"))
@@ -235,12 +263,121 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = sided.where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and not (x = a and y = b)").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     links = best.select(F.col("star").alias("a"), F.col("rep").alias("b"))
     links = links.unionByName(centres.where(f"j >= {percent / 100}").select("a", "b")).unionByName(_verified(members, sets).where(f"j >= {percent / 100}").select("a", "b"))
-    twice = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    final = connected_components(links.unionByName(twice))
-    of = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    out = screen.join(of, "doc_id", "left").select("doc_id", F.greatest("n", F.lit(0)).alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    lost = pairs.where(F.col("doc_id").isNull()).mapInArrow(_set_rows(width), "doc_id long, n long, set_key binary, low1 long, low2 long, tokens array<long>")
-    return out.unionByName(lost.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    return _closed(pairs, screen, member, links).unionByName(_without_id(pairs, width))
+
+
+def _linked(percent: int):
+    """Some jobs, each a block of sets of one star against a block of another (or against itself): every pair is compared exactly.
+
+    Rows ``kind, x, y, n``: 0 for the weight ``n`` of the sets that set x links with in this job, 1 for
+    one link between two stars, 2 for each link of a set that asks for pairs.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["a", "b", "i", "j", "side", "rep"])
+        job = pdf[["a", "b", "i", "j"]].to_numpy()
+        rep, weight, asks, side, tokens = (pdf[c].to_numpy() for c in ("rep", "weight", "asks", "side", "tokens"))
+        cut = np.r_[np.flatnonzero(np.r_[True, (job[1:] != job[:-1]).any(axis=1)]), len(job)]
+        out = []
+        for u, v in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            r, w, q = rep[u:v], weight[u:v], asks[u:v]
+            size = np.array([len(t) for t in tokens[u:v]], np.int64)
+            off = np.r_[0, np.cumsum(size)]
+            ids = np.unique(np.concatenate(tokens[u:v]), return_inverse=True)[1].ravel()
+            # a block against itself has one side only
+            to = int((side[u:v] == 0).sum())
+            own = to == v - u and job[u, 0] == job[u, 1] and job[u, 2] == job[u, 3]
+            y = 0 if own else to
+            if y == v - u:
+                continue
+            count, there, first = np.zeros(v - u, np.int64), np.zeros(int(ids.max()) + 1, bool), True
+            for x in range(to):
+                mine = ids[off[x] : off[x + 1]]
+                there[mine] = True
+                both = np.add.reduceat(there[ids[off[y] :]], off[y:-1] - off[y], dtype=np.int64)
+                there[mine] = False
+                ok = 100 * both >= percent * (size[x] + size[y:] - both)
+                if own:
+                    ok[x] = False
+                hit = y + np.flatnonzero(ok)
+                if not len(hit):
+                    continue
+                count[x] += w[hit].sum()
+                if not own:
+                    count[hit] += w[x]
+                    if first and job[u, 0] != job[u, 1]:
+                        out.append(np.array([[1, r[x], r[hit[0]], 0]], np.int64))
+                        first = False
+                told = hit[(q[hit] | q[x]) & ((hit > x) if own else True)]
+                if len(told):
+                    out.append(np.stack((np.full(len(told), 2), np.full(len(told), r[x]), r[told], np.zeros(len(told), np.int64)), 1))
+            some = np.flatnonzero(count)
+            out.append(np.stack((np.zeros(len(some), np.int64), r[some], np.zeros(len(some), np.int64), count[some]), 1))
+        rows = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+        return pd.DataFrame({"kind": rows[:, 0], "x": rows[:, 1], "y": rows[:, 2], "n": rows[:, 3]})
+
+    return run
+
+
+def _all_links(sets: DataFrame, best: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``_linked`` over all pairs of sets; ``weights(rep, weight, asks)``."""
+    gap, eps = 1 - percent / 100, 1e-9
+    state = materialize(sets.select("rep", "n").join(best, "rep", "left").select("rep", "n", F.coalesce("star", "rep").alias("star"), F.coalesce("d", F.lit(0.0)).alias("d")).withColumn("comp", F.col("star")), "state")
+    across = _verified(_star_pairs(sets, state, percent), sets).select("a", "b", (1 - F.col("j")).alias("apart"))
+    stars = materialize(state.groupBy("star").agg(F.max("d").alias("r"), F.count("*").alias("m"), F.sum("n").alias("all"), F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks")), "star_sizes")
+    side = lambda c: stars.select(F.col("star").alias(c), F.col("r").alias(f"r{c}"), F.col("blocks").alias(f"n{c}"), (F.col("all") / F.col("blocks")).alias(f"t{c}"))
+    met = across.join(side("a"), "a").join(side("b"), "b").where(f"apart <= {gap + eps} + ra + rb")
+    alone = side("a").join(stars.where("m > 1").select(F.col("star").alias("a")), "a", "left_semi").selectExpr("a", "a as b", "0.0D as apart", "ra", "na", "ta", "ra as rb", "na as nb", "ta as tb")
+    both = met.select("a", "b", "apart", "ra", "na", "ta", "rb", "nb", "tb").unionByName(alone)
+    jobs = both.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("a <> b or i <= j")
+    jobs = materialize(jobs, "jobs")
+    deals = max(64, int((jobs.agg(F.sum(F.col("ta") + F.col("tb"))).first()[0] or 0) // (8 * BLOCK_TOKENS)))
+    jobs = jobs.withColumn("deal", F.pmod(F.xxhash64("a", "b", "i", "j"), F.lit(deals)).cast("int"))
+    placed = state.select("rep", "star", "d").join(stars.select("star", "blocks"), "star").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
+    sides = jobs.select("deal", "a", "b", "i", "j", F.lit(0).alias("side"), F.col("a").alias("star"), F.col("i").alias("block"), (F.col("apart") - F.col("rb")).alias("least"))
+    sides = sides.unionByName(jobs.where("a <> b or i <> j").select("deal", "a", "b", "i", "j", F.lit(1).alias("side"), F.col("b").alias("star"), F.col("j").alias("block"), (F.col("apart") - F.col("ra")).alias("least")))
+    # a member that is too far from the other star by the triangle inequality meets none of its members
+    rows = sides.join(placed, ["star", "block"]).where(f"least - d <= {gap + eps}").join(weights, "rep").join(sets.select("rep", "tokens"), "rep")
+    found = rows.select("deal", "a", "b", "i", "j", "side", "rep", "weight", "asks", "tokens").groupBy("deal").applyInPandas(_linked(percent), "kind long, x long, y long, n long")
+    return materialize(found, "links")
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)`` with ``a < b``, every link between two different sets, each named by its smallest document id, and the
+    membership ``(doc_id, rep)`` of the documents that may have links.  Documents of one set are linked with each other."""
+    _, _, member, sets, best = _gathered(docs, id_col, text_col, width, percent)
+    found = _all_links(sets, best, sets.select("rep", F.lit(1).cast("long").alias("weight"), F.lit(True).alias("asks")), percent)
+    return found.where("kind = 2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), member
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, n_links)``: as ``jaccard_components``, and with how many other documents each one links.
+
+    Links are counted between sets and weighted with the copies of each set, so a group of m different near copies costs m^2 / 2
+    comparisons inside blocks and no row for a pair.  Only the sets of documents with several texts give pairs, since
+    a document that is met twice counts once.  Rows without an id have a null number.
+    """
+    pairs, screen, member, sets, best = _gathered(docs, id_col, text_col, width, percent)
+    several = materialize(member.join(member.groupBy("doc_id").count().where("count > 1").select("doc_id"), "doc_id", "left_semi"), "several")
+    single = member.join(small(several.select("doc_id").distinct()), "doc_id", "left_anti")
+    weights = sets.select("rep").join(single.groupBy("rep").agg(F.count("*").alias("weight")), "rep", "left").join(several.select("rep").distinct().withColumn("asks", F.lit(True)), "rep", "left")
+    weights = materialize(weights.select("rep", F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("asks", F.lit(False)).alias("asks")), "weights")
+    found = _all_links(sets, best, weights, percent)
+    counted = found.where("kind = 0").groupBy(F.col("x").alias("rep")).agg(F.sum("n").alias("n"))
+    told = found.where("kind = 2")
+    told = told.select(F.col("x").alias("rep"), F.col("y").alias("to")).unionByName(told.select(F.col("y").alias("rep"), F.col("x").alias("to")))
+    told = told.unionByName(several.select("rep", F.col("rep").alias("to")).distinct())
+    hosts = several.select(F.col("rep").alias("to"), F.col("doc_id").alias("host"))
+    # a document of one text: the weights of its set and of those linked with it, and each host of several texts once
+    extra = told.join(hosts, "to").groupBy("rep").agg(F.count_distinct("host").alias("hosts"))
+    ones = single.join(weights.select("rep", "weight"), "rep").join(counted, "rep", "left").join(extra, "rep", "left")
+    ones = ones.select("doc_id", (F.col("weight") + F.coalesce("n", F.lit(0)) + F.coalesce("hosts", F.lit(0)) - 1).alias("n_links"))
+    reach = several.join(told, "rep").select("doc_id", "to").distinct()
+    more = reach.join(weights.select(F.col("rep").alias("to"), "weight"), "to").groupBy("doc_id").agg(F.sum("weight").alias("weight"))
+    more = more.join(reach.join(hosts, "to").groupBy("doc_id").agg(F.count_distinct("host").alias("hosts")), "doc_id").select("doc_id", (F.col("weight") + F.col("hosts") - 1).alias("n_links"))
+    links = best.select(F.col("star").alias("a"), F.col("rep").alias("b")).unionByName(found.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    out = _closed(pairs, screen, member, links).join(ones.unionByName(more), "doc_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return out.unionByName(_without_id(pairs, width).withColumn("n_links", F.lit(None).cast("long")))
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -253,6 +390,10 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_jaccard_links(spark, sf_dir):
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 ORACLE = {
     "op1_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (
@@ -265,5 +406,17 @@ o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.
 e AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY 1, 2""",
+    "op1_ngram_jaccard_links": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 5 THEN [array_to_string(a, ' ')]
+    ELSE list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id, (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS n_links
 FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY 1, 2"""
 }

@@ -99,3 +99,46 @@ def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100)], "a long, b long")
     got = {r.node: r.component for r in connected_components(e).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def brute_links(rows, width=5, percent=80):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.setdefault(i, []).append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set()))
+    link = lambda x, y: x and y and 100 * len(x & y) >= percent * len(x | y)
+    return {(a, b) for a in sets for b in sets if a != b and any(link(x, y) for x in sets[a] for y in sets[b])}
+
+
+def test_number_of_links_by_brute_force(spark, monkeypatch):
+    from stemweave.llm import ngram_jaccard as J
+
+    for seed, tokens in ((1, 400_000), (2, 400)):  # the second splits the stars into many blocks
+        monkeypatch.setattr(J, "BLOCK_TOKENS", tokens)
+        rows = corpus(seed, 10)
+        rows += [(1000 + i, t) for i, t in rows[:20]]  # exact copies
+        rows += [(2000 + i % 5, t) for i, t in enumerate(t for _, t in rows[::4])]  # ids with several texts
+        want = {i: 0 for i, _ in rows}
+        for a, _ in brute_links(rows):
+            want[a] += 1
+        df = spark.createDataFrame([*rows, (None, "a b")], "doc_id long, text string")
+        got = J.jaccard_join(df).collect()
+        assert {r.doc_id: r.n_links for r in got if r.doc_id is not None} == want and sum(want.values()) > 100
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == sorted(tuple(r) for r in J.jaccard_components(df).where("doc_id is not null").collect())
+
+
+def test_links_between_all_members_of_a_group(spark):
+    from stemweave.llm.ngram_jaccard import jaccard_links
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(60)]
+    rows = []
+    for i in range(80):
+        t = list(base)
+        t[rng.randrange(60)] = word()
+        rows.append((i, " ".join(t)))
+    links, member = jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {tuple(r) for r in links.collect()}
+    assert got == {(a, b) for a, b in brute_links(rows) if a < b} and len(got) > 300
+    assert {r.doc_id for r in member.collect()} == set(range(80))
