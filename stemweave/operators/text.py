@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fold_surface
+from .graph import stored
 
 
 # ------------------------------------------------------------------------------ segmentation
@@ -172,6 +173,33 @@ def refill_quote(quote: Column, body: Column, tail: int = 80, window: int = 200)
     return F.when(at > 0, F.concat(quote, F.substring(body, at + F.length(end), F.lit(window))))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast a table that is already written, if it has few rows; else leave the join to Spark."""
+    return F.broadcast(df) if df.count() <= 500_000 else df
+
+
+def containing(docs: DataFrame, ident: str, text: str, quotes: DataFrame, quote_id: str, quote: str) -> DataFrame:
+    """``(quote_id, ident)``: every text that contains a quote, each pair once.
+
+    The inner words of a quote are whole words of any text that contains it.  Its rarest one finds the texts, and
+    containment is tested exactly; a quote without an inner word is tested against every text.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    q = quotes.select(F.col(quote_id).alias("_q"), F.col(quote).alias("_quote")).where("_quote is not null").distinct()
+    d = docs.select(F.col(ident).alias("_d"), F.col(text).alias("_text")).where("_text is not null")
+    inner = q.withColumn("_w", F.explode_outer(F.expr("slice(split(_quote, '\\\\s+'), 2, greatest(size(split(_quote, '\\\\s+')) - 2, 0))")))
+    asked = _small(stored(inner.where("_w is not null").select("_w").distinct()))
+    often = d.select(F.explode(F.array_distinct(words("_text"))).alias("_w")).join(asked, "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_n"))
+    # a word that no text has is the rarest of all: its quote is in no text
+    ranked = inner.where("_w is not null").join(often, "_w", "left").groupBy("_q", "_quote").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_w").alias("w"))).alias("_x"))
+    anchors = _small(stored(ranked.select("_q", "_quote", F.col("_x.w").alias("_w"))))
+    at = d.select("_d", F.explode(F.array_distinct(words("_text"))).alias("_w")).join(anchors.select("_q", "_w"), "_w").select("_d", "_q").distinct()
+    found = d.join(_small(stored(at)), "_d").join(anchors.select("_q", "_quote"), "_q").where(F.contains("_text", "_quote")).select("_q", "_d")
+    short = inner.where("_w is null").select("_q", "_quote").distinct()
+    found = found.unionByName(d.join(short, F.contains("_text", "_quote")).select("_q", "_d"))
+    return found.distinct().select(F.col("_q").alias(quote_id), F.col("_d").alias(ident))
+
+
 def pack_paragraphs(text: Column, target: int = 20_000) -> Column:
     """Chunks of whole paragraphs of about ``target`` characters; an oversize paragraph is a chunk of its own."""
     paragraphs = F.filter(F.split(text, r"\n[ \t]*\n"), lambda p: F.trim(p) != "")

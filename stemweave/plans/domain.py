@@ -193,6 +193,17 @@ def _(t):
     return t("documents").withColumn("k", F.col("doc_id") % 40).join(b, "k").select("doc_id", "item_id", F.contains(flat("text"), F.col("quote")).alias("grounded"))
 
 
+@query("t29_mention_search", """
+WITH d AS (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM documents), b AS (SELECT item_id, regexp_replace(text, '\\s+', ' ', 'g') AS q FROM benchmark)
+SELECT DISTINCT b.item_id, d.doc_id FROM b LEFT JOIN d ON contains(d.t, b.q)""")
+def _(t):
+    """Each quote against all documents; a quote that is in none has a null document."""
+    flat = lambda c: F.regexp_replace(c, r"\s+", " ")
+    b = t("benchmark").select("item_id", flat("text").alias("quote"))
+    found = T.containing(t("documents").select("doc_id", flat("text").alias("flat")), "doc_id", "flat", b, "item_id", "quote")
+    return b.select("item_id").distinct().join(found, "item_id", "left")
+
+
 @query("f02_null_safe_change", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN o_orderstatus END IS DISTINCT FROM CASE WHEN o_custkey % 3 > 0 THEN o_orderstatus END AS changed FROM orders")
 def _(t):
     a, b = F.when(F.col("o_totalprice") > 100000, F.col("o_orderstatus")), F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderstatus"))

@@ -199,3 +199,13 @@ def test_streaming_counts_match_batch(spark, tmp_path):
     q.stop()
     want = {tuple(r) for r in logs.windowed_counts(rows, "ts", ["k"], "10 minutes").collect()}
     assert {tuple(r) for r in spark.table("w").collect()} == want
+
+
+def test_containing_meets_every_text(spark):
+    from stemweave.operators import text as T
+
+    docs = spark.createDataFrame([(1, "one two three four"), (42, "x one two three fourteen"), (43, "bone two\nthree four"), (4, "two"), (5, None), (6, "of the one two three")], "d long, t string")
+    quotes = spark.createDataFrame([(1, "one two three four"), (2, "one two three"), (3, "two"), (4, "one unseen word"), (5, "one two\nthree"), (6, None)], "q long, quote string")
+    want = {(q.q, d.d) for q in quotes.collect() for d in docs.collect() if q.quote and d.t and q.quote in d.t}
+    got = [tuple(r) for r in T.containing(docs, "d", "t", quotes, "q", "quote").collect()]
+    assert set(got) == want and len(got) == len(want) and {(1, 42), (5, 43), (3, 4)} <= want
