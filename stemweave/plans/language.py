@@ -102,6 +102,16 @@ def _(t):
     return d.where(first).select("doc_id", T.refill_quote(F.col("q"), F.col("text"), 80, 200).alias("refilled"))
 
 
+@query("t17_refill_passages", """
+WITH b AS (SELECT item_id, left(text, 100) AS q, right(left(text, 100), 80) AS e FROM benchmark)
+SELECT b.item_id, d.doc_id, q || substr(d.text, instr(d.text, e) + length(e), 200) AS refilled FROM b LEFT JOIN documents d ON contains(d.text, e)""")
+def _(t):
+    """The first 100 characters of each passage, refilled from every document whose body has their tail; null where none has."""
+    q = t("benchmark").select("item_id", F.left("text", F.lit(100)).alias("q")).withColumn("e", F.right("q", F.lit(80)))
+    found = T.containing(t("documents"), "doc_id", "text", q, "item_id", "e").join(t("documents").select("doc_id", "text"), "doc_id")
+    return q.join(found, "item_id", "left").select("item_id", "doc_id", T.refill_quote(F.col("q"), F.col("text"), 80, 200).alias("refilled"))
+
+
 @query("c18_paragraph_chunks")
 def _(t):
     lines = F.regexp_replace("text", "\n", "\n\n")
