@@ -1,7 +1,8 @@
 """Document fingerprints by Order MinHash, in DataFrame functions alone.
 
-A text falls into pieces (runs of up to 12 characters without white space).  Its k-mers are ``k``
-consecutive pieces, numbered by occurrence, so that a repeated k-mer counts again.  One hash deals
+A text falls into pieces: runs of up to 12 characters without white space, and the single characters of
+longer runs, so that an edit inside a long run changes the pieces beside it alone.  Its k-mers are ``k``
+consecutive pieces, at stride one, numbered by occurrence, so that a repeated k-mer counts again.  One hash deals
 them into bins; in each bin the ``l`` smallest are selected, put back into their order in the text,
 and hashed as a tuple.  Two texts share a bin's tuple only where they have the same k-mers in the
 same order, which is what makes the fingerprint sensitive to edit distance and not only to overlap.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 POSITION_BITS = 24
-BIN_BITS = 5
+BIN_BITS = 7
 _LOW = (1 << POSITION_BITS) - 1
 QUANTILES = 256
 ROWS_PER_BUCKET = 5000
@@ -47,7 +48,7 @@ def _earlier(a: Column, i: Column, x: Column) -> Column:
 
 def signature(text: Column, k: int = 3, l: int = 2) -> Column:  # noqa: E741
     """An array of ``bin << 32 | 32-bit tuple hash``, one entry for each bin that has a k-mer; empty for a blank text."""
-    pieces = F.regexp_extract_all(text, F.lit(r"(\S{1,12})"), F.lit(1))
+    pieces = F.regexp_extract_all(text, F.lit(r"((?<!\S)\S{1,12}(?!\S)|\S)"), F.lit(1))
 
     def numbered(w):
         kmer = lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)])

@@ -79,3 +79,11 @@ def test_likeness_follows_edits(spark):
     df = spark.createDataFrame([(versions[0], v) for v in [*versions, rotated]], "a string, b string")
     got = [r[0] for r in df.select(O.likeness(O.signature(F.col("a")), O.signature(F.col("b")))).collect()]
     assert got[0] == 1 and got[0] > got[1] > got[2] >= got[3] and got[4] < 0.9
+
+
+def test_one_character_put_into_a_long_run(spark):
+    rng = random.Random(4)
+    run = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000))
+    df = spark.createDataFrame([(run, "一" + run), (run, run[:1500] + "一" + run[1500:])], "a string, b string")
+    got = [r[0] for r in df.select(O.likeness(O.signature(F.col("a")), O.signature(F.col("b")))).collect()]
+    assert min(got) > 0.9
