@@ -31,3 +31,16 @@ def test_sparse_sites_shrink(spark):
     rate = {r.host: r.host_rate for r in hosts.collect()}
     assert rate["bad"] < rate["one"] < base < rate["good"] and abs(rate["one"] - base) < abs(rate["bad"] - base)
     assert {(r.host, r.path) for r in paths.collect()} == {(h, p) for h, p, _ in rows}
+
+
+def test_path_below_a_real_host(spark):
+    from pyspark.sql import functions as F
+
+    from stemweave.llm.quality import quality_scores
+
+    paths = ["good", "bad"]
+    docs = spark.createDataFrame([(i, "one two three", f"https://{'ab'[i % 4 // 2]}.org/{paths[i % 2]}/{i}") for i in range(200)], "doc_id long, text string, url string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(200)], "doc_id long, quality int")
+    got = quality_scores(docs, labels, F.split_part("url", F.lit("/"), F.lit(3)), F.split_part("url", F.lit("/"), F.lit(4))).collect()
+    assert len(got) == 200
+    assert min(r.path_rate for r in got if r.doc_id % 2 == 0) > 0.8 and max(r.path_rate for r in got if r.doc_id % 2) < 0.2
