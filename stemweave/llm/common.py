@@ -5,23 +5,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  Only a local session may do without it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stemweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -38,6 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, or with underscores behind it where a column of that name is there (names are compared without case)."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def ascii_lower(c):
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)
@@ -101,12 +113,41 @@ def slices(batch: pa.RecordBatch, column: int = 1, most: int = 2 << 20, rows: in
         at = to
 
 
-SMALL = 500_000
+SMALL_ROWS = 500_000
+SMALL_BYTES = 64 << 20
+HOT_KEYS = 10_000
+
+
+def _width(df: DataFrame):
+    """Bytes of a row: 8 for a fixed value, the length of a string, and both for the entries of an array."""
+
+    def of(c, kind):
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        if isinstance(kind, ArrayType):
+            inner = F.octet_length(F.array_join(c, "")) if isinstance(kind.elementType, StringType) else F.lit(0)
+            return F.greatest(F.size(c), F.lit(0)) * 8 + F.coalesce(inner, F.lit(0))
+        return F.lit(8)
+
+    return sum((of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0)).cast("long")
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast a table that is already written, if it has few rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+    """Broadcast a table that is already written, if its counted rows and bytes are few; else leave the join to Spark."""
+    n, size = df.agg(F.count("*"), F.sum(_width(df))).first()
+    return F.broadcast(df) if n <= SMALL_ROWS and (size or 0) <= SMALL_BYTES else df
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """The written ``rows`` left-joined to the written ``groups(key, size, ...)``, one row a key, where a key may hold any share of
+    the rows; keys are not null.
+
+    A key with more than ``total / HOT_KEYS`` of the ``total`` rows is hot; there are fewer than ``HOT_KEYS`` of them, so they are
+    broadcast.  The others meet by a shuffle, in which no key has more than that share.  ``size`` is not returned.
+    """
+    hot = F.col(size) * HOT_KEYS > total
+    first, other = F.broadcast(groups.where(hot).drop(size)), groups.where(~hot).drop(size)
+    return rows.join(first, key).unionByName(rows.join(first.select(key), key, "left_anti").join(other, key, "left"))
 
 
 def word_hashes(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

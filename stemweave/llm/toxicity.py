@@ -6,6 +6,9 @@ terms are swapped for others of their kind, and the squared change of the score
 that a neutral mention of a group carries no weight of its own.  An L1 term keeps common words
 at exactly zero, so the length of a text does not move its score.
 
+The terms are those of English, German, French and Spanish.  Where no labelled text names a group there is
+nothing to swap, and a term that the classifier never saw has no weight to begin with.
+
 The classifier is fitted on the driver, from the feature hashes of a bounded sample of labelled
 rows (``sample_rows``); scoring runs over all rows and whole texts.
 """
@@ -17,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, slices, table, text_buffers, word_hashes
+from .common import free, list_array, slices, table, text_buffers, word_hashes
 
-#: terms within a row stand for groups of one kind and are swapped for one another
+#: terms within a row stand for groups of one kind, in one language, and are swapped for one another
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -31,6 +34,35 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "citizens", "foreigners"),
     ("disabled", "deaf", "blind", "autistic"),
     ("old", "young", "elderly"),
+    # German
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("weiblich", "männlich"),
+    ("weibliche", "männliche"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("christlich", "muslimisch", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch"),
+    ("schwarze", "weiße", "asiatische", "afrikanische", "europäische"),
+    ("schwule", "lesbische", "bisexuelle", "queere"),
+    ("einwanderer", "flüchtlinge", "bürger", "ausländer"),
+    ("behinderte", "gehörlose", "blinde", "autistische"),
+    # French
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("gays", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("immigrés", "réfugiés", "citoyens", "étrangers"),
+    ("handicapés", "sourds", "aveugles", "autistes"),
+    # Spanish
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("lesbianas", "bisexuales", "heterosexuales"),
+    ("inmigrantes", "refugiados", "ciudadanos", "extranjeros"),
+    ("discapacitados", "sordos", "ciegos", "autistas"),
 )
 
 _SEP = np.ones(256, bool)
@@ -106,24 +138,40 @@ def _sample_features(terms):
     return run
 
 
-def fit(labelled: DataFrame, label_col: str = "label", text_col: str = "text", terms=IDENTITY_TERMS, min_df: int = 3, max_features: int = 1 << 18, counterfactual: float = 1.0, l1: float = 2e-4, steps: int = 80) -> dict:
+def objective(w: np.ndarray, b: float, y: np.ndarray, plain, changed, counterfactual: float) -> tuple[float, np.ndarray, float]:
+    """The smooth part of what :func:`fit` minimises, and its gradient in ``w`` and ``b``.
+
+    ``plain`` is (row, feature) of the texts, ``changed`` is (row, feature, +1 or -1) of the features that a text has
+    before (+1) and after (-1) the swap of its identity terms.
+    """
+    (rx, fx), (rd, fd, sd), n = plain, changed, len(y)
+    s = np.clip(np.bincount(rx, w[fx], minlength=n) + b, -30, 30)
+    r = (1 / (1 + np.exp(-s)) - y) / n
+    value, g = float(np.mean(np.logaddexp(0, s) - y * s)), np.bincount(fx, r[rx], minlength=len(w))
+    if len(rd):
+        d = np.bincount(rd, sd * w[fd], minlength=n)
+        value += counterfactual * float(np.mean(d * d))
+        g = g + counterfactual * 2 / n * np.bincount(fd, sd * d[rd], minlength=len(w))
+    return value, g, float(r.sum())
+
+
+def fit(labelled: DataFrame, label_col: str = "label", text_col: str = "text", terms=IDENTITY_TERMS, min_df: int = 3, counterfactual: float = 1.0, l1: float = 2e-4, steps: int = 80) -> dict:
     """Fit on the rows of ``labelled`` (a bounded table: its features come to the driver).
 
     Minimises mean log loss + ``counterfactual`` * mean squared score change under the swap + ``l1`` * |w|.
-    With no rows the model gives 0.5 for everything; with one class it gives that class's smoothed rate.
+    With no rows the model gives 0.5 for everything; with one class it gives that class's smoothed rate.  ``rows`` and
+    ``swapped_rows`` of the result tell how many rows it saw and how many of them name a group.
     """
     rows = labelled.select(F.col(label_col).cast("int").alias("y"), F.col(text_col).cast("string").alias("text")).where("y is not null")
     got = rows.mapInArrow(_sample_features(terms), "y int, x array<long>, swapped array<long>").toArrow()
     y = got.column("y").to_numpy().astype(np.float64)
     if not len(y):
-        return {"features": np.zeros(0, np.uint64), "w": np.zeros(0), "b": 0.0}
+        return {"features": np.zeros(0, np.uint64), "w": np.zeros(0), "b": 0.0, "rows": 0, "swapped_rows": 0}
     flat = lambda c: (c.combine_chunks().flatten().to_numpy().view(np.uint64), np.diff(c.combine_chunks().offsets.to_numpy()))
     x, nx = flat(got.column("x"))
     z, nz = flat(got.column("swapped"))
     names, df = np.unique(x, return_counts=True)
     keep = df >= min(min_df, max(1, len(y) // 10))
-    if keep.sum() > max_features:
-        keep &= df >= np.sort(df)[-max_features]
     names = names[keep]
 
     def indexed(values, sizes):
@@ -138,25 +186,21 @@ def fit(labelled: DataFrame, label_col: str = "label", text_col: str = "text", t
     mine = np.isin(rx, has)
     rd, fd, sd = np.r_[rx[mine], rz], np.r_[fx[mine], fz], np.r_[np.ones(mine.sum()), -np.ones(len(rz))]
     n, m = len(y), len(names)
+    told = {"rows": n, "swapped_rows": len(has)}
     positive = y.mean()
     b0 = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     if not m or positive in (0.0, 1.0):
-        return {"features": names[:0], "w": np.zeros(0), "b": b0}
+        return {"features": names[:0], "w": np.zeros(0), "b": b0} | told
     # a diagonal bound on the curvature scales the steps
     scale = np.bincount(fx, minlength=m) / (4 * n) + counterfactual * 2 * np.bincount(fd, minlength=m) / n + 1e-4
     w, b, v, vb, t = np.zeros(m), b0, np.zeros(m), b0, 1.0
     lazy = 0.15  # rows share features, so the diagonal alone is too long a step
     for _ in range(steps):
-        s = np.bincount(rx, v[fx], minlength=n) + vb
-        r = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / n
-        g = np.bincount(fx, r[rx], minlength=m)
-        if len(rd):
-            d = np.bincount(rd, sd * v[fd], minlength=n)
-            g += counterfactual * 2 / n * np.bincount(fd, sd * d[rd], minlength=m)
+        _, g, gb = objective(v, vb, y, (rx, fx), (rd, fd, sd), counterfactual)
         step = lazy / scale
         new = v - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        nb = vb - 2.0 * r.sum()
+        nb = vb - 2.0 * gb
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         if g @ (new - w) > 0:  # restart the momentum when it points uphill
             t2, v, vb = 1.0, new, nb
@@ -164,7 +208,7 @@ def fit(labelled: DataFrame, label_col: str = "label", text_col: str = "text", t
             v, vb = new + (t - 1) / t2 * (new - w), nb + (t - 1) / t2 * (nb - b)
         w, b, t = new, nb, t2
     live = w != 0
-    return {"features": names[live], "w": w[live], "b": float(b)}
+    return {"features": names[live], "w": w[live], "b": float(b)} | told
 
 
 def _score_rows(model: dict):
@@ -215,9 +259,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_00
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> DataFrame:
     """The rows of ``docs`` that the classifier does not call toxic."""
-    bad = toxicity_scores(docs, labels, sample_rows).where("predicted = 1").select(F.col("doc_id").alias("_bad"), F.col("h").alias("_h")).distinct()
+    i, h = free("_bad", docs.columns), free("_h", docs.columns)
+    bad = toxicity_scores(docs, labels, sample_rows).where("predicted = 1").select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")) & (F.xxhash64(text) == F.col("_h")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h)), "left_anti")
 
 
 def op9_toxicity(spark, sf_dir):

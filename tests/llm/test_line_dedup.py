@@ -26,3 +26,27 @@ def test_sketch_agrees_with_exact_counts(spark):
     for least in (3, 20, 41):
         got = {r.line for r in boilerplate_lines(lines, least).collect()}
         assert got == {f"l{k}" for k in range(least, 60)}
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, f"body {i} is long enough here\n{LINE}", f"s{i % 6}", 1, i, i, i, i, i, i) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, h long, _h long, _id long, _cut long, n_lines long, N_REMOVED long, _bad long")
+    kept = dedup_lines(df)
+    assert kept.columns == df.columns and {tuple(r)[3:] for r in kept.collect()} == {r[3:] for r in rows}
+    whole = remove_boilerplate(df)
+    assert whole.columns == [*df.columns, "n_lines_", "n_removed_"] and whole.where("n_lines_ = 2 and n_removed_ = 1").count() == 11
+
+
+def test_repeated_ids_and_nulls(spark):
+    rows = [(7, f"{LINE}\n{k}", f"s{k % 8}", 1, "") for k in range(8)] + [(7, f"{LINE}\n3", "s3", 1, ""), (None, f"{LINE}\n{LINE}\nx", None, 1, "")]
+    got = sorted((r.text, r.n_removed) for r in remove_boilerplate(docs(spark, rows)).collect())
+    # rows without an id come first in the order, so theirs is the occurrence that stays
+    assert [x for x in got if x[1] == 1 and x[0].endswith("x")] == [(f"{LINE}\nx", 1)]
+    assert sum(n for _, n in got) == 10 and sum(t.count(LINE) for t, _ in got) == 1
+
+
+def test_long_text_of_many_lines(spark):
+    long = "\n".join([LINE] * 20_000 + ["end"])
+    rows = [(i, f"{LINE}\nbody", f"s{i}", 1, "") for i in range(6)] + [(9, long, "s9", 1, "")]
+    got = {r.doc_id: r for r in remove_boilerplate(docs(spark, rows)).collect()}
+    assert got[9].text == "end" and got[9].n_removed == 20_000 and got[9].n_lines == 20_001
