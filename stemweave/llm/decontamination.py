@@ -1,14 +1,16 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index has one posting ``(doc_id, h, term, pos)`` for each occurrence of a term that a query
-asks for (``h`` tells rows that share a document id apart).  It is stored as a table in the
-shared folder.  A phrase is found from its rarest terms: their posting lists, shifted by the
-terms' offsets in the phrase, are intersected by ``(document, start)``, and only what is left is
-held against the text for the remaining words.  DataFrame functions alone are used.
-
-Whole texts are indexed.  A very common term is one key of a counting aggregation (with partial
-sums) and of a broadcast join whose small side is the set of phrases, so no term's postings ever
-meet in one task.
+The index has one posting ``(term, doc_id, h, pos)`` for every word of every text (``h`` tells rows that share a
+document id apart, ``term`` is the word's 64-bit hash).  It is built once, without a shuffle: each task sorts the postings of its
+texts by term and writes them to the shared folder, so every file holds whole runs of one term and its row
+groups tell which terms they hold.  Any number of benchmarks can then be asked.
+
+A phrase is found from its rarest terms: their posting lists, shifted by the terms' offsets in the phrase, are intersected by
+``(document, start)``; the lists of the remaining terms are then intersected with what is left.  No text is read again.
+Proximity intersects the lists of several terms within a span.  DataFrame functions alone are used.
+
+A very common term is one key of a counting aggregation (with partial sums) and of a broadcast join whose small side is the
+set of phrases, so no term's postings ever meet in one task; the later intersection is by document and position.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, small, table
+from .common import ascii_lower, free, materialize, small, table
 
 #: runs of digits, a-z and characters beyond ASCII are words
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,21 +46,27 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(term, freq)``: occurrences in ``docs`` of every term of ``terms(term)``; 0 where there are none."""
-    seen = _rows(docs, id_col, text_col).select(F.explode(words(F.col("text"))).alias("term"))
-    seen = seen.join(small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("freq"))
-    return terms.join(seen, "term", "left").select("term", F.coalesce("freq", F.lit(0)).alias("freq"))
+def _term(word: Column) -> Column:
+    return F.xxhash64(word)
+
 
+#: no word is empty: the hash of '' marks the end of a text, at its word count
+END = "term = xxhash64('')"
 
-def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored postings ``(doc_id, h, term, pos)`` of ``terms(term)``, positions from 0.
 
-    The term ``''`` is in no text; it is posted once for each row, at the row's word count.
+def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stored postings ``(term, doc_id, h, pos)`` of every word, positions from 0, sorted by term within each file.
+
+    A row's end (``END``) is posted once, at its word count, so rows without words are there as well.
     """
-    lists = _rows(docs, id_col, text_col).select("doc_id", "h", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit("")))).alias("pos", "term"))
-    wanted = materialize(terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct(), "terms")
-    return materialize(lists.join(small(wanted), "term", "left_semi").select("doc_id", "h", "term", F.col("pos").cast("long").alias("pos")), "postings")
+    lists = _rows(docs, id_col, text_col).select("doc_id", "h", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit("")))).alias("pos", "word"))
+    return materialize(lists.select(_term(F.col("word")).alias("term"), "doc_id", "h", "pos").sortWithinPartitions("term"), "postings")
+
+
+def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, freq)``: occurrences of every term of ``terms(term)`` in the indexed texts; 0 where there are none."""
+    seen = index.join(small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("freq"))
+    return terms.join(seen, "term", "left").select("term", F.coalesce("freq", F.lit(0)).alias("freq"))
 
 
 def phrase_windows(items: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -71,49 +79,59 @@ def phrase_windows(items: DataFrame, width: int, id_col: str = "item_id", text_c
     return grouped.select(F.xxhash64("terms").alias("window"), "terms", "items")
 
 
-def phrase_matches(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Every exact occurrence of ``windows(window, terms)`` in ``docs``.
-
-    Returns ``(matches(doc_id, h, start, size, window), lengths(doc_id, h, n_words))``; ``lengths`` has one
-    row for each distinct (id, text).
-    """
-    windows = materialize(windows.select("window", "terms"), "windows")
-    spread = windows.select("window", F.posexplode("terms").alias("o", "term"))
-    freq = materialize(term_counts(docs, materialize(spread.select("term").distinct(), "terms"), id_col, text_col), "freq")
-    ranked = spread.join(freq, "term").groupBy("window").agg(F.sort_array(F.collect_list(F.struct("freq", "term", "o"))).alias("r"))
-    ranked = ranked.where("r[0].freq > 0")
-    seeds = ranked.select("window", F.posexplode(F.slice("r", 1, SEEDS)).alias("i", "x"), F.least(F.size("r"), F.lit(SEEDS)).alias("k"))
-    seeds = seeds.select("window", F.col("x.term").alias("term"), F.col("x.o").alias("o"), F.expr("shiftleft(1, i)").alias("bit"), F.expr("shiftleft(1, k) - 1").alias("all"))
-    seeds = materialize(seeds, "seeds")
-    index = positional_index(docs, seeds.select("term").distinct(), id_col, text_col)
-    lengths = index.where("term = ''").groupBy("doc_id", "h").agg(F.max("pos").alias("n_words"))
-    shifted = index.where("term <> ''").join(small(seeds), "term").select("doc_id", "h", "window", (F.col("pos") - F.col("o")).alias("start"), "bit", "all").where("start >= 0")
-    met = shifted.groupBy("doc_id", "h", "window", "start").agg(F.bit_or("bit").alias("got"), F.max("all").alias("all")).where("got = `all`").select("doc_id", "h", "window", "start")
-    held = materialize(met.join(small(windows), "window"), "held")
-    asked = materialize(held.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "window", "terms")).alias("asked")), "asked")
-    kept = _join(_rows(docs, id_col, text_col), small(asked.select("doc_id", "h")), "left_semi").dropDuplicates(["doc_id", "h"])
-    right = _let(words(F.col("text")), lambda w: F.filter("asked", lambda x: F.slice(w, (x["start"] + 1).cast("int"), F.size(x["terms"])) == x["terms"]))
-    found = _join(kept, asked).select("doc_id", "h", F.explode(right).alias("x"))
-    return found.select("doc_id", "h", F.col("x.start").alias("start"), F.size("x.terms").alias("size"), F.col("x.window").alias("window")), lengths
-
-
-def proximity_matches(docs: DataFrame, queries: DataFrame, span: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, query_id, pos)``: occurrences of a query's rarest term with every other term of ``queries(query_id, terms)``
-    at most ``span`` words away, in any order.  Terms are lower-cased words; repeated terms count once; a query
-    without terms matches nothing."""
-    spread = materialize(queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")), "queries")
-    freq = term_counts(docs, materialize(spread.select("term").distinct(), "terms"), id_col, text_col)
-    ranked = spread.join(freq, "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("freq", "term"))).alias("r"))
-    ranked = materialize(ranked, "ranked")
-    index = positional_index(docs, spread.select("term").distinct(), id_col, text_col).where("term <> ''")
-    anchor = index.join(small(ranked.select("query_id", F.col("r")[0]["term"].alias("term"), (F.size("r") - 1).alias("others"))), "term").select("doc_id", "h", "query_id", "others", F.col("pos").alias("at"))
-    rest = index.join(small(materialize(ranked.select("query_id", F.explode(F.slice("r", 2, 1_000_000)).alias("x")).select("query_id", F.col("x.term").alias("term")), "rest")), "term")
+def _ranked(index: DataFrame, spread: DataFrame) -> DataFrame:
+    """``spread(..., word)`` with its ``term`` and how often the index has it."""
+    spread = materialize(spread.withColumn("term", _term(F.col("word"))), "spread")
+    freq = materialize(term_counts(index, materialize(spread.select("term").distinct(), "terms")), "freq")
+    return spread.join(small(freq), "term")
+
+
+def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """``(doc_id, h, start, size, window)``: every exact occurrence of ``windows(window, terms)`` in the indexed texts."""
+    ranked = _ranked(index, windows.select("window", F.posexplode("terms").alias("o", "word")))
+    lists = ranked.groupBy("window").agg(F.sort_array(F.collect_list(F.struct("freq", "word", "o", "term"))).alias("r")).where("r[0].freq > 0")
+    lists = materialize(lists.select("window", F.size("r").alias("size"), F.posexplode("r").alias("i", "x")).select("window", "size", "i", F.col("x.term").alias("term"), F.col("x.o").alias("o")), "lists")
+    seeds = lists.where(F.col("i") < SEEDS).select("window", "size", "term", "o", F.expr("shiftleft(1, i)").alias("bit"), F.least(F.expr("shiftleft(1, size) - 1"), F.lit((1 << SEEDS) - 1)).alias("all"))
+    shifted = index.join(small(materialize(seeds, "seeds")), "term").select("doc_id", "h", "window", "size", (F.col("pos") - F.col("o")).alias("start"), "bit", "all").where("start >= 0")
+    met = shifted.groupBy("doc_id", "h", "window", "start").agg(F.bit_or("bit").alias("got"), F.max("all").alias("all"), F.max("size").alias("size")).where("got = `all`").drop("got", "all")
+    met = materialize(met, "met")
+    rest = materialize(lists.where(F.col("i") >= SEEDS).select("window", "term", "o"), "rest")
+    # the other terms' lists, of the documents that are left alone
+    asked = met.join(small(rest), "window").select("doc_id", "h", "window", "start", "size", (F.col("start") + F.col("o")).alias("pos"), "term")
+    texts = materialize(met.where(F.col("size") > SEEDS).select("doc_id", "h").distinct(), "met_texts")
+    have = _join(index.join(small(materialize(rest.select("term").distinct(), "rest_terms")), "term", "left_semi"), small(texts), "left_semi")
+    have = have.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("pos").alias("_pos"), F.col("term").alias("_term"))
+    both = asked.join(have, asked["doc_id"].eqNullSafe(F.col("_id")) & (asked["h"] == F.col("_h")) & (asked["pos"] == F.col("_pos")) & (asked["term"] == F.col("_term")))
+    full = both.groupBy("doc_id", "h", "window", "start", "size").agg(F.countDistinct("pos").alias("n")).where(F.col("n") == F.col("size") - SEEDS)
+    return full.select(*met.columns).unionByName(met.where(F.col("size") <= SEEDS)).select("doc_id", "h", "start", "size", "window")
+
+
+def proximity_matches(index: DataFrame, queries: DataFrame, span: int) -> DataFrame:
+    """``(doc_id, h, query_id, pos)``: occurrences of a query's rarest term with every other term of ``queries(query_id, terms)``
+    at most ``span`` words away, in any order.  Terms are lower-cased words; repeated terms count once; of equally rare
+    terms the first in order is the anchor; a query without terms matches nothing."""
+    ranked = _ranked(index, queries.select("query_id", F.explode(F.array_distinct("terms")).alias("word"))).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("freq", "word", "term"))).alias("r"))
+    ranked = materialize(ranked.where("r[0].freq > 0"), "ranked")
+    anchors = materialize(ranked.select("query_id", F.col("r")[0]["term"].alias("term"), (F.size("r") - 1).alias("others")), "anchors")
+    anchor = index.join(small(anchors), "term").select("doc_id", "h", "query_id", "others", F.col("pos").alias("at")).distinct()
+    others = materialize(ranked.select("query_id", F.explode(F.expr("slice(r, 2, greatest(size(r) - 1, 1))")).alias("x")).select("query_id", F.col("x.term").alias("term")), "others")
+    # only documents that hold the anchor are asked for the other terms
+    texts = materialize(anchor.where("others > 0").select("doc_id", "h").distinct(), "anchored")
+    rest = _join(index, small(texts), "left_semi").join(small(others), "term").withColumnsRenamed({"doc_id": "_id", "h": "_h"})
     # positions are dealt into cells of the span's width, so that the join stays an equality
     cell = lambda c: F.floor(F.col(c) / max(span, 1))
     wide = anchor.where("others > 0").withColumn("cell", F.explode(F.array(cell("at") - 1, cell("at"), cell("at") + 1)))
-    met = wide.join(rest.withColumn("cell", cell("pos")), ["doc_id", "h", "query_id", "cell"]).where(F.abs(F.col("pos") - F.col("at")) <= span)
+    rest = rest.select("_id", "_h", F.col("query_id").alias("_q"), "term", "pos", cell("pos").alias("_cell"))
+    met = wide.join(rest, wide["doc_id"].eqNullSafe(F.col("_id")) & (wide["h"] == F.col("_h")) & (wide["query_id"] == F.col("_q")) & (wide["cell"] == F.col("_cell"))).where(F.abs(F.col("pos") - F.col("at")) <= span)
     full = met.groupBy("doc_id", "h", "query_id", "at", "others").agg(F.countDistinct("term").alias("c")).where("c = others")
-    return full.select("doc_id", "query_id", F.col("at").alias("pos")).unionByName(anchor.where("others = 0").select("doc_id", "query_id", F.col("at").alias("pos"))).distinct()
+    return full.select("doc_id", "h", "query_id", F.col("at").alias("pos")).unionByName(anchor.where("others = 0").select("doc_id", "h", "query_id", F.col("at").alias("pos")))
+
+
+def rare_terms(index: DataFrame, items: DataFrame, most: int = 3, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``(query_id, terms)``: the ``most`` rarest words of each item that the indexed texts have at all, ties in order of the words."""
+    each = items.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(words(F.col(text_col)))).alias("word"))
+    ranked = _ranked(index, each).where("freq > 0").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("freq", "word"))).alias("r"))
+    return ranked.select("query_id", F.transform(F.slice("r", 1, most), lambda x: x["word"]).alias("terms"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,7 +142,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     count for each of them; an empty benchmark hits nothing.
     """
     windows = materialize(phrase_windows(benchmark, width), "windows")
-    matches, lengths = phrase_matches(docs, windows, id_col, text_col)
+    index = positional_index(docs, id_col, text_col)
+    lengths = index.where(END).groupBy("doc_id", "h").agg(F.max("pos").cast("long").alias("n_words"))
+    matches = phrase_matches(index, windows)
     named = materialize(matches.join(small(windows.select("window", "items")), "window"), "matches")
     spots = named.select("doc_id", "h", F.explode(F.expr("sequence(start, start + size - 1)")).alias("p")).groupBy("doc_id", "h").agg(F.countDistinct("p").alias("n_hit"))
     items = named.select("doc_id", "h", F.explode("items").alias("item")).groupBy("doc_id", "h").agg(F.array_sort(F.transform(F.collect_set("item"), lambda x: x.cast("string"))).alias("item_ids"))
@@ -134,15 +154,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without any benchmark window in their text."""
-    bad = contamination(docs, benchmark, width, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("h").alias("_h"))
+    i, h = free("_bad", docs.columns), free("_h", docs.columns)
+    bad = contamination(docs, benchmark, width, id_col, text_col).where("contaminated").select(F.col("doc_id").alias(i), F.col("h").alias(h))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(text) == F.col("_h")), "left_anti")
+    return docs.join(small(materialize(bad, "contaminated")), F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h)), "left_anti")
 
 
 def op6_benchmark_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
 
 
+def op6_benchmark_proximity(spark, sf_dir):
+    """Documents where the three rarest words of a benchmark item stand within ten words of the rarest one."""
+    index = positional_index(table(spark, sf_dir, "documents"))
+    queries = materialize(rare_terms(index, table(spark, sf_dir, "benchmark")), "rare")
+    found = proximity_matches(index, queries, 10)
+    return found.groupBy("doc_id", F.col("query_id").alias("item_id")).agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first_pos"))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE = {
     "op6_benchmark_decontamination": f"""
@@ -157,5 +186,15 @@ pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(
 ids AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(pos.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items,
   sha256(coalesce(ids.s, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    "op6_benchmark_proximity": f"""
+WITH d AS (SELECT doc_id, unnest(range(0, len(w))) AS pos, unnest(w) AS t FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+f AS (SELECT t, count(*) AS freq FROM d GROUP BY 1),
+b AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS t FROM benchmark),
+q AS (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY freq, t) AS k FROM b JOIN f USING (t) QUALIFY k <= 3),
+n AS (SELECT item_id, count(*) - 1 AS others FROM q GROUP BY 1),
+p AS (SELECT item_id, k, doc_id, pos FROM d JOIN q USING (t)),
+m AS (SELECT x.item_id, x.doc_id, x.pos, count(DISTINCT y.k) AS c
+  FROM p x LEFT JOIN p y ON y.item_id = x.item_id AND y.doc_id = x.doc_id AND y.k > 1 AND abs(y.pos - x.pos) <= 10 WHERE x.k = 1 GROUP BY ALL)
+SELECT doc_id, item_id, count(*) AS n, min(pos) AS first_pos FROM m JOIN n USING (item_id) WHERE c = others GROUP BY 1, 2"""
 }
