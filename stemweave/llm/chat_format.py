@@ -1,14 +1,16 @@
 """Chat formatting with a prefix tree.
 
 Conversations that share their first turns share those turns' tokens.  Conversations are sorted by
-the hashes of their prefixes over the whole table; each task walks its range in that order and packs
+the sequence of the hashes of all their turns, over the whole table, so that those with a common prefix of any length
+stand together; each task walks its range in that order and packs
 neighbours into bounded sequences.  In a pack every distinct prefix is a node whose tokens are
 emitted once, depth first.  A node carries its position id (the tokens in front of it on its own
 path) and its attention intervals: the token ranges of its ancestors, all that its tokens may see
 besides earlier tokens of the node itself.  A leaf names its conversations.
 
 A first turn that a third of all conversations share is no group of its own: it is split over as
-many ranges and packs as its conversations need, and is emitted once in each.
+many ranges and packs as its conversations need, and is emitted once in each.  There are as many ranges as the bytes ask for
+(``RANGE_BYTES`` each), so a small table is one range.
 
 Template: ``<|im_start|>role\\n text <|im_end|>\\n`` (without the blanks).  In roles and texts ``\\`` becomes
 ``\\\\`` and ``<|`` becomes ``<\\|`` (in roles a line break becomes ``\\n``), so a text can never hold a control
@@ -30,7 +32,7 @@ from .common import list_array, materialize, table
 START, END = "<|im_start|>", "<|im_end|>"
 PACK_TOKENS = 32_768
 PACK_CONVERSATIONS = 256
-KEY_LEVELS = 32
+RANGE_BYTES = 4 << 20
 
 PACK = (
     "ids array<int>, position_ids array<int>, loss array<boolean>, "
@@ -79,9 +81,19 @@ class _Tokens:
         self.t.no_truncation()
         self.t.no_padding()
 
+        self.seen: dict[str, np.ndarray] = {}
+
     def encode(self, parts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.t.encode_batch(parts, add_special_tokens=False)]
 
+    def frame(self, part: str) -> np.ndarray:
+        """The tokens of a header or footer; there are few different ones."""
+        if part not in self.seen:
+            if len(self.seen) > 10_000:
+                self.seen.clear()
+            self.seen[part] = self.encode([part])[0]
+        return self.seen[part]
+
     def decode(self, ids) -> str:
         return self.t.decode(ids.tolist(), skip_special_tokens=False)
 
@@ -113,9 +125,9 @@ class _Pack:
             new.append((self.of[key], role, text))
             parent = self.of[key]
         if new:
-            rendered = [p for _, role, text in new for p in render_turn(role, text)]
-            ids = tokens.encode(rendered)
-            for (node, role, _), h, b, f in zip(new, ids[::3], ids[1::3], ids[2::3]):
+            rendered = [render_turn(role, text) for _, role, text in new]
+            for (node, role, _), (head, _, foot), b in zip(new, rendered, tokens.encode([body for _, body, _ in rendered])):
+                h, f = tokens.frame(head), tokens.frame(foot)
                 self.parts += [h, b, f]
                 self.loss += [np.zeros(len(h), bool), np.full(len(b), role == "assistant"), np.zeros(len(f), bool)]
                 size = len(h) + len(b) + len(f)
@@ -148,7 +160,7 @@ class _Pack:
 
 
 def gather(turns: DataFrame) -> DataFrame:
-    """``(conv_id, key, turns)``: one row per conversation id, its turns in order of (turn, role, text).
+    """``(conv_id, key, bytes, turns)``: one row per conversation id, its turns in order of (turn, role, text).
 
     Null roles and texts are empty; rows without a turn number come first; repeated rows are turns of their own;
     rows without an id are one conversation with a null id.
@@ -157,13 +169,14 @@ def gather(turns: DataFrame) -> DataFrame:
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     names = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    step = lambda acc, t: F.concat(acc, F.array(F.substring(F.sha2(F.concat(F.element_at(acc, -1), F.lit("\n"), t["role"], F.lit("\n"), t["text"]), 256), 1, 16)))
-    key = F.array_join(F.aggregate(F.slice("t", 1, KEY_LEVELS), F.array(F.lit("")), step), "")
-    return whole.select("conv_id", key.alias("key"), names.alias("turns"))
+    # turns have keys of equal width, so the order of keys is that of a depth-first walk
+    key = F.array_join(F.transform("t", lambda t: F.lpad(F.hex(F.xxhash64(t["role"], t["text"])), 16, "0")), "")
+    size = F.aggregate("t", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t["role"]) + F.octet_length(t["text"]))
+    return whole.select("conv_id", key.alias("key"), size.alias("bytes"), names.alias("turns"))
 
 
 def build_packs(conversations: DataFrame, tokenizer: str, pack_tokens: int = PACK_TOKENS, pack_conversations: int = PACK_CONVERSATIONS) -> DataFrame:
-    """Packs (see ``PACK``) of ``conversations(conv_id, key, turns)``; a conversation longer than a pack is a pack of its own."""
+    """Packs (see ``PACK``) of the written ``conversations(conv_id, key, bytes, turns)``; a conversation longer than a pack is a pack of its own."""
 
     def run(batches):
         tokens, pack = _tokens(tokenizer), _Pack()
@@ -178,7 +191,7 @@ def build_packs(conversations: DataFrame, tokenizer: str, pack_tokens: int = PAC
         if pack.leaves:
             yield pack.batch()
 
-    n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-(conversations.agg(F.sum("bytes")).first()[0] or 0) // RANGE_BYTES))
     dealt = conversations.repartitionByRange(n, "key", "conv_id").sortWithinPartitions("key", "conv_id")
     return dealt.select("conv_id", "turns").mapInArrow(run, PACK)
 
@@ -205,7 +218,7 @@ def read_packs(packs: DataFrame, tokenizer: str) -> DataFrame:
                         if node not in text_of:
                             x = slice(nodes[node]["start"], nodes[node]["stop"])
                             text_of[node] = tokens.decode(ids[x])
-                            loss_of[node] = unescape(tokens.decode(ids[x][loss[x]]))
+                            loss_of[node] = unescape(tokens.decode(ids[x][loss[x]])) if loss[x].any() else ""
                     last = nodes[path[-1]]
                     seen = np.concatenate([np.arange(s["start"], s["stop"]) for s in last["sees"]] + [np.arange(last["start"], last["stop"])])
                     if not np.array_equal(positions[seen], np.arange(len(seen))):

@@ -52,3 +52,24 @@ def test_escapes():
         assert C.unescape(C.escape(t)) == t and "<|" not in C.escape(t)
     whole = "".join("".join(C.render_turn(r, t)) for r, t in [("a\nb", HARD), ("", "\n")])
     assert C.parse(whole) == [("a\nb", HARD), ("", "\n")]
+
+
+def test_depth_first_beyond_many_shared_turns(spark):
+    # all share 40 turns, two pairs share one more each
+    rows = [(c, k, "user", f"turn {k}" if k < 40 else f"turn {k} of {c // 2}" if k == 40 else f"turn {k} of {c}") for c in range(4) for k in range(42)]
+    (pack,) = C.build_packs(C.gather(turns(spark, rows)), C.default_tokenizer()).collect()
+    assert len(pack.nodes) == 40 + 2 + 4 and len(pack.leaves) == 4
+    path = []
+    for i, n in enumerate(pack.nodes):  # a node hangs from the path of the one before it
+        while path and path[-1] != n.parent:
+            path.pop()
+        assert n.parent == (path[-1] if path else -1)
+        path.append(i)
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in C.read_packs(spark.createDataFrame([pack], C.PACK), C.default_tokenizer()).collect()}
+    assert got == expected(rows)
+
+
+def test_small_tables_are_one_range(spark):
+    rows = [(c, k, "user", f"turn {k}" if k < 32 else f"turn {k} of {c}") for c in range(3) for k in range(34)]
+    packs = C.build_packs(C.gather(turns(spark, rows)), C.default_tokenizer()).collect()
+    assert len(packs) == 1 and len(packs[0].nodes) == 32 + 3 * 2
