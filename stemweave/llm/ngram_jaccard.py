@@ -2,22 +2,24 @@
 
 The join is a prefix-filter join that uses the relations between sets twice:
 
-* *index lists are skipped by position*: each set is ordered by (document frequency, hash); only
-  the first ``n - ceil(t n) + 1`` entries are indexed, entries that occur in one set alone are
-  never posted, and a pair is skipped where its sizes and the positions of the common entry
-  leave too little room for the needed overlap;
+* *blocks of index lists are skipped by position*: each set is ordered by (document frequency, hash); only
+  the first ``n - ceil(t n) + 1`` entries are indexed, and entries that occur in one set alone are
+  never posted.  A list is laid out by size and position in blocks.  A pair of blocks is skipped whole where the smallest sizes
+  and the latest positions in them leave too little room behind the common entry for the needed overlap; only the
+  entries of the other pairs are looked at;
 * *answers come from a similar set's answers*: equal sets are one node; the rest are gathered
   into stars around a set that is already known to be within the threshold.  Distances between
   star centres are computed once, and the triangle inequality of the Jaccard distance tells which
-  members can still link.  Only those are compared.  A family of m near copies so costs about m
-  comparisons and not m squared.
+  members can still link.  Only those are compared, in blocks: the overlaps of the member nearest to the centre with the
+  whole other block are computed, and every other member's overlaps are those, changed by the entries in which
+  it differs.  No pair of members is ever a row.
 
 A first pass (the screen) drops every document that cannot have a partner: of two linked sets the
 first entries in hash order share a known minimum number, so a document with fewer entries that
 occur twice anywhere is done.  Frequencies are then counted for the rest.
 
-``jaccard_components`` needs the links between components alone and leaves the other pairs of one
-component uncompared.  ``jaccard_join`` and ``jaccard_links`` find every link: the same index without
+``jaccard_components`` needs the links between components alone, leaves the other pairs of one
+component uncompared, and stops at the first link between two stars.  ``jaccard_join`` and ``jaccard_links`` find every link: the same index without
 regard to components names the pairs of stars whose members may link, and their sets are compared in
 blocks.  There no threshold, cap or sample drops a link.  Hashes have 64 bits.
 """
@@ -31,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import list_array, materialize, mix, shingle_sets, slices, small, table
+from .common import list_array, materialize, mix, shingle_sets, slices, small, spread_join, table
 from .components import connected_components
 
 BLOCK = 512
 LIST_ROWS = 20_000
 DOCS_PER_BUCKET = 4000
+BUCKET_BYTES = 8 << 20
 BLOCK_TOKENS = 400_000
+POSITION_BLOCK = 64
+PAIRS_PER_SET = 2000
 
 
 def _least_overlap(n, percent: int):
@@ -134,33 +139,55 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) -> (a, b, j): the exact Jaccard similarity; ``pairs`` are distinct."""
-    left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", _jaccard("ta", "tb").alias("j"))
+    """(a, b) -> (a, b, j): the exact Jaccard similarity; ``pairs`` are distinct.
+
+    A set in very many pairs is repeated once for each ``PAIRS_PER_SET`` of them, so that no task meets all.
+    """
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    for key, salt, name in (("a", "sa", "ta"), ("b", "sb", "tb")):
+        often = pairs.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > PAIRS_PER_SET).select(key, F.ceil(F.col("c") / PAIRS_PER_SET).cast("int").alias("parts"))
+        often = small(materialize(often, "often"))
+        parts = F.coalesce("parts", F.lit(1))
+        pairs = pairs.join(often, key, "left").withColumn(salt, F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("parts")
+        side = sets.select(F.col("rep").alias(key), F.col("tokens").alias(name)).join(often, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        pairs = pairs.join(side, [key, salt])
+    return pairs.select("a", "b", _jaccard("ta", "tb").alias("j"))
+
+
+def _blocks_met(lo: np.ndarray, hi: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (p, q), p <= q, of position blocks of one list that may hold a link; ``rest`` is what a set has from the entry on."""
+    heads = np.arange(0, len(lo), POSITION_BLOCK)
+    low, high, room = np.minimum.reduceat(lo, heads), np.maximum.reduceat(hi, heads), np.maximum.reduceat(rest, heads)
+    need = -(-percent * (low[:, None] + low[None, :]) // (100 + percent))
+    fits = (low[None, :] * percent <= high[:, None] * 100) & (low[:, None] * percent <= high[None, :] * 100)
+    return np.argwhere(np.triu(fits & (np.minimum(room[:, None], room[None, :]) >= need)))
 
 
 def _across(percent: int):
     """Some (token, block pair) lists: star pairs of different components whose sizes and positions leave room for a link."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["token", "b1", "b2", "lo", "star"])
+        # within a list: by class of size, then by position, so that the blocks are alike inside
+        pdf = pdf.assign(size=np.floor(np.log(pdf["lo"]) / np.log(100 / percent))).sort_values(["token", "b1", "b2", "size", "rest", "star"], ascending=[True, True, True, True, False, True])
         token, b1, b2, lo, hi, rest, star, comp, side = (pdf[c].to_numpy() for c in ("token", "b1", "b2", "lo", "hi", "rest", "star", "comp", "side"))
         new = np.r_[True, (token[1:] != token[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])]
         cut = np.r_[np.flatnonzero(new), len(token)]
         found = []
         for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            for i in range(x, y - 1):
-                # block skip: the list is in order of size, and larger sets than this end here
-                end = x + int(np.searchsorted(lo[x:y], hi[i] * 100 // percent, "right"))
-                j = slice(i + 1, end)
-                need = -(-percent * (lo[i] + lo[j]) // (100 + percent))
-                ok = (comp[j] != comp[i]) & (np.minimum(rest[i], rest[j]) >= need)
-                if b1[i] != b2[i]:
-                    ok &= side[j] != side[i]
-                if ok.any():
-                    other = star[j][ok]
-                    found.append(np.stack((np.minimum(other, star[i]), np.maximum(other, star[i])), 1))
+            for p, q in _blocks_met(lo[x:y], hi[x:y], rest[x:y], percent).tolist():
+                i = slice(x + p * POSITION_BLOCK, min(x + (p + 1) * POSITION_BLOCK, y))
+                j = slice(x + q * POSITION_BLOCK, min(x + (q + 1) * POSITION_BLOCK, y))
+                need = -(-percent * (lo[i, None] + lo[None, j]) // (100 + percent))
+                ok = (comp[i, None] != comp[None, j]) & (np.minimum(rest[i, None], rest[None, j]) >= need)
+                ok &= (lo[None, j] * percent <= hi[i, None] * 100) & (lo[i, None] * percent <= hi[None, j] * 100)
+                if b1[x] != b2[x]:
+                    ok &= side[i, None] != side[None, j]
+                if p == q:
+                    ok = np.triu(ok, 1)
+                u, v = np.nonzero(ok)
+                if len(u):
+                    u, v = star[i][u], star[j][v]
+                    found.append(np.stack((np.minimum(u, v), np.maximum(u, v)), 1))
             if len(found) > 2000:
                 found = [np.unique(np.concatenate(found), axis=0)]
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
@@ -173,7 +200,8 @@ def _gathered(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     """The texts, the screen, the members ``(doc_id, rep)`` of each set, the sets ``(rep, n, tokens)`` and the stars ``(rep, star, d)``."""
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = pairs.where(F.col("doc_id").isNotNull())
-    buckets = max(64, -(-known.count() // DOCS_PER_BUCKET))
+    size = known.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    buckets = max(64, -(-size.n // DOCS_PER_BUCKET), (size.bytes or 0) // BUCKET_BYTES)
     packed = known.mapInArrow(_screen_rows(width, percent, buckets), "bucket int, tok binary, doc binary, need binary, cnt binary, size binary")
     counted = packed.groupBy("bucket").applyInPandas(_count_shared, "doc_id long, shared long, need long, size long")
     screen = materialize(counted.groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"), F.max("size").alias("n")), "screen")
@@ -181,17 +209,20 @@ def _gathered(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     kept = screen.where("shared >= need and n > 0").select("doc_id")
     texts = materialize(known.join(small(kept), "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc_id long, n long, set_key binary, low1 long, low2 long, tokens array<long>").where("n > 0"), "sets")
     # equal sets are one node, that of the smallest id
-    keys = texts.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    member = materialize(texts.select("doc_id", "set_key").join(keys, "set_key").select("doc_id", "rep").distinct(), "member")
-    sets = materialize(
-        texts.join(keys.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"]).dropDuplicates(["doc_id", "set_key"]).select(F.col("doc_id").alias("rep"), "n", "low1", "low2", "tokens"), "reps"
-    )
+    keys = texts.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    keys = materialize(keys, "keys")
+    total = texts.count()
+    met = spread_join(texts.select("doc_id", "set_key"), keys, "set_key", "copies", total).select("doc_id", "set_key", F.coalesce("rep", "doc_id").alias("rep"))
+    met = materialize(met.distinct(), "member")
+    member = met.select("doc_id", "rep").distinct()
+    first = met.where("doc_id = rep").select("doc_id", "set_key")
+    sets = materialize(texts.join(first, ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"]).select(F.col("doc_id").alias("rep"), "n", "low1", "low2", "tokens"), "reps")
 
     # stars: around the smallest id among the sets with the same smallest entry, in two orders
-    tried = []
+    tried, n_sets = [], sets.count()
     for low in ("low1", "low2"):
-        centre = sets.groupBy(low).agg(F.min("rep").alias("a"))
-        tried.append(sets.join(centre, low).where("rep <> a").select("a", F.col("rep").alias("b")))
+        centre = materialize(sets.groupBy(low).agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1"), "centres")
+        tried.append(spread_join(sets.select("rep", low), centre, low, "c", n_sets).where("rep <> a").select("a", F.col("rep").alias("b")))
     near = _verified(tried[0].unionByName(tried[1]).distinct(), sets).where(f"j >= {percent / 100}")
     best = near.groupBy("b").agg(F.max(F.struct("j", (-F.col("a")).alias("a"))).alias("x")).select(F.col("b").alias("rep"), (-F.col("x.a")).alias("star"), (1 - F.col("x.j")).alias("d"))
     best = materialize(best, "stars")
@@ -251,30 +282,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     across = _star_pairs(sets, state, percent)
     centres = materialize(_verified(across, sets), "centres")
     # centres that are too far apart for a link of their own but whose members may link
-    radius = state.groupBy("star").agg(F.max("d").alias("r"))
-    gap, eps = 1 - percent / 100, 1e-9
-    open_pairs = (
-        centres.where(f"j < {percent / 100}").join(radius.select(F.col("star").alias("a"), F.col("r").alias("ra")), "a").join(radius.select(F.col("star").alias("b"), F.col("r").alias("rb")), "b")
-        .where(f"1 - j <= {gap + eps} + ra + rb").select("a", "b", (1 - F.col("j") - gap - eps).alias("least"), "ra", "rb")
-    )
-    inner = state.select("star", "rep", "d", "n")
-    sided = open_pairs.join(inner.select(F.col("star").alias("a"), F.col("rep").alias("x"), F.col("d").alias("dx"), F.col("n").alias("nx")), "a").where("dx >= least - rb")
-    sided = sided.join(inner.select(F.col("star").alias("b"), F.col("rep").alias("y"), F.col("d").alias("dy"), F.col("n").alias("ny")), "b").where("dx + dy >= least")
-    members = sided.where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and not (x = a and y = b)").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    open_pairs = centres.where(f"j < {percent / 100}").select("a", "b", (1 - F.col("j")).alias("apart"))
+    met = _compared(open_pairs, state, sets, sets.select("rep", F.lit(0).cast("long").alias("weight"), F.lit(False).alias("asks")), percent, True)
     links = best.select(F.col("star").alias("a"), F.col("rep").alias("b"))
-    links = links.unionByName(centres.where(f"j >= {percent / 100}").select("a", "b")).unionByName(_verified(members, sets).where(f"j >= {percent / 100}").select("a", "b"))
+    links = links.unionByName(centres.where(f"j >= {percent / 100}").select("a", "b")).unionByName(met.select(F.col("x").alias("a"), F.col("y").alias("b")))
     return _closed(pairs, screen, member, links).unionByName(_without_id(pairs, width))
 
 
-def _linked(percent: int):
+def _overlaps(ids: np.ndarray, off: np.ndarray, to: int, y: int):
+    """For each set ``x < to`` in turn, its overlap with every set from ``y`` on, derived from the overlaps of set 0.
+
+    ``ids[off[x]:off[x + 1]]`` are the entries of set x, as numbers from 0.  The lists say which of the compared sets hold an entry.
+    """
+    n, width = len(off) - 1 - y, int(ids.max()) + 1
+    held, owner = ids[off[y] :], np.repeat(np.arange(n), np.diff(off[y:]))
+    order = np.argsort(held, kind="stable")
+    owner, lists = owner[order], np.r_[0, np.cumsum(np.bincount(held, minlength=width))]
+
+    def holders(entries):
+        size = lists[entries + 1] - lists[entries]
+        at = np.repeat(lists[entries] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        return np.bincount(owner[at], minlength=n)
+
+    first, in_first, there = ids[: off[1]], np.zeros(width, bool), np.zeros(width, bool)
+    in_first[first] = True
+    base = holders(first)
+    for x in range(to):
+        mine = ids[off[x] : off[x + 1]]
+        there[mine] = True
+        yield base - holders(first[~there[first]]) + holders(mine[~in_first[mine]])
+        there[mine] = False
+
+
+def _linked(percent: int, one: bool):
     """Some jobs, each a block of sets of one star against a block of another (or against itself): every pair is compared exactly.
 
     Rows ``kind, x, y, n``: 0 for the weight ``n`` of the sets that set x links with in this job, 1 for
-    one link between two stars, 2 for each link of a set that asks for pairs.
+    one link between two stars, 2 for each link of a set that asks for pairs.  With ``one``, a job ends at its first link.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b", "i", "j", "side", "rep"])
+        pdf = pdf.sort_values(["a", "b", "i", "j", "side", "d", "rep"])
         job = pdf[["a", "b", "i", "j"]].to_numpy()
         rep, weight, asks, side, tokens = (pdf[c].to_numpy() for c in ("rep", "weight", "asks", "side", "tokens"))
         cut = np.r_[np.flatnonzero(np.r_[True, (job[1:] != job[:-1]).any(axis=1)]), len(job)]
@@ -283,19 +331,15 @@ def _linked(percent: int):
             r, w, q = rep[u:v], weight[u:v], asks[u:v]
             size = np.array([len(t) for t in tokens[u:v]], np.int64)
             off = np.r_[0, np.cumsum(size)]
-            ids = np.unique(np.concatenate(tokens[u:v]), return_inverse=True)[1].ravel()
             # a block against itself has one side only
             to = int((side[u:v] == 0).sum())
             own = to == v - u and job[u, 0] == job[u, 1] and job[u, 2] == job[u, 3]
             y = 0 if own else to
-            if y == v - u:
+            if y == v - u or not to:
                 continue
-            count, there, first = np.zeros(v - u, np.int64), np.zeros(int(ids.max()) + 1, bool), True
-            for x in range(to):
-                mine = ids[off[x] : off[x + 1]]
-                there[mine] = True
-                both = np.add.reduceat(there[ids[off[y] :]], off[y:-1] - off[y], dtype=np.int64)
-                there[mine] = False
+            ids = np.unique(np.concatenate(tokens[u:v]), return_inverse=True)[1].ravel()
+            count, first = np.zeros(v - u, np.int64), True
+            for x, both in enumerate(_overlaps(ids, off, to, y)):
                 ok = 100 * both >= percent * (size[x] + size[y:] - both)
                 if own:
                     ok[x] = False
@@ -308,10 +352,12 @@ def _linked(percent: int):
                     if first and job[u, 0] != job[u, 1]:
                         out.append(np.array([[1, r[x], r[hit[0]], 0]], np.int64))
                         first = False
+                if one:
+                    break
                 told = hit[(q[hit] | q[x]) & ((hit > x) if own else True)]
                 if len(told):
                     out.append(np.stack((np.full(len(told), 2), np.full(len(told), r[x]), r[told], np.zeros(len(told), np.int64)), 1))
-            some = np.flatnonzero(count)
+            some = np.flatnonzero(count) if not one else np.zeros(0, np.int64)
             out.append(np.stack((np.zeros(len(some), np.int64), r[some], np.zeros(len(some), np.int64), count[some]), 1))
         rows = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
         return pd.DataFrame({"kind": rows[:, 0], "x": rows[:, 1], "y": rows[:, 2], "n": rows[:, 3]})
@@ -319,29 +365,37 @@ def _linked(percent: int):
     return run
 
 
-def _all_links(sets: DataFrame, best: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``_linked`` over all pairs of sets; ``weights(rep, weight, asks)``."""
+def _compared(across: DataFrame, state: DataFrame, sets: DataFrame, weights: DataFrame, percent: int, one: bool) -> DataFrame:
+    """The rows of ``_linked`` for the members of the star pairs ``across(a, b, apart)``; without ``one``, also inside each star.
+
+    Stars are cut into blocks of about ``BLOCK_TOKENS`` entries, and pairs of blocks are dealt, so no star is held whole.
+    """
     gap, eps = 1 - percent / 100, 1e-9
-    state = materialize(sets.select("rep", "n").join(best, "rep", "left").select("rep", "n", F.coalesce("star", "rep").alias("star"), F.coalesce("d", F.lit(0.0)).alias("d")).withColumn("comp", F.col("star")), "state")
-    across = _verified(_star_pairs(sets, state, percent), sets).select("a", "b", (1 - F.col("j")).alias("apart"))
     stars = materialize(state.groupBy("star").agg(F.max("d").alias("r"), F.count("*").alias("m"), F.sum("n").alias("all"), F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks")), "star_sizes")
     side = lambda c: stars.select(F.col("star").alias(c), F.col("r").alias(f"r{c}"), F.col("blocks").alias(f"n{c}"), (F.col("all") / F.col("blocks")).alias(f"t{c}"))
-    met = across.join(side("a"), "a").join(side("b"), "b").where(f"apart <= {gap + eps} + ra + rb")
-    alone = side("a").join(stars.where("m > 1").select(F.col("star").alias("a")), "a", "left_semi").selectExpr("a", "a as b", "0.0D as apart", "ra", "na", "ta", "ra as rb", "na as nb", "ta as tb")
-    both = met.select("a", "b", "apart", "ra", "na", "ta", "rb", "nb", "tb").unionByName(alone)
+    both = across.join(side("a"), "a").join(side("b"), "b").where(f"apart <= {gap + eps} + ra + rb").select("a", "b", "apart", "ra", "na", "ta", "rb", "nb", "tb")
+    if not one:
+        both = both.unionByName(side("a").join(stars.where("m > 1").select(F.col("star").alias("a")), "a", "left_semi").selectExpr("a", "a as b", "0.0D as apart", "ra", "na", "ta", "ra as rb", "na as nb", "ta as tb"))
     jobs = both.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("a <> b or i <= j")
     jobs = materialize(jobs, "jobs")
     deals = max(64, int((jobs.agg(F.sum(F.col("ta") + F.col("tb"))).first()[0] or 0) // (8 * BLOCK_TOKENS)))
     jobs = jobs.withColumn("deal", F.pmod(F.xxhash64("a", "b", "i", "j"), F.lit(deals)).cast("int"))
-    placed = state.select("rep", "star", "d").join(stars.select("star", "blocks"), "star").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
+    placed = spread_join(state.select("rep", "star", "d"), stars.select("star", "m", "blocks"), "star", "m", state.count()).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
     sides = jobs.select("deal", "a", "b", "i", "j", F.lit(0).alias("side"), F.col("a").alias("star"), F.col("i").alias("block"), (F.col("apart") - F.col("rb")).alias("least"))
     sides = sides.unionByName(jobs.where("a <> b or i <> j").select("deal", "a", "b", "i", "j", F.lit(1).alias("side"), F.col("b").alias("star"), F.col("j").alias("block"), (F.col("apart") - F.col("ra")).alias("least")))
     # a member that is too far from the other star by the triangle inequality meets none of its members
     rows = sides.join(placed, ["star", "block"]).where(f"least - d <= {gap + eps}").join(weights, "rep").join(sets.select("rep", "tokens"), "rep")
-    found = rows.select("deal", "a", "b", "i", "j", "side", "rep", "weight", "asks", "tokens").groupBy("deal").applyInPandas(_linked(percent), "kind long, x long, y long, n long")
+    found = rows.select("deal", "a", "b", "i", "j", "side", "d", "rep", "weight", "asks", "tokens").groupBy("deal").applyInPandas(_linked(percent, one), "kind long, x long, y long, n long")
     return materialize(found, "links")
 
 
+def _all_links(sets: DataFrame, best: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``_linked`` over all pairs of sets; ``weights(rep, weight, asks)``."""
+    state = materialize(sets.select("rep", "n").join(best, "rep", "left").select("rep", "n", F.coalesce("star", "rep").alias("star"), F.coalesce("d", F.lit(0.0)).alias("d")).withColumn("comp", F.col("star")), "state")
+    across = _verified(_star_pairs(sets, state, percent), sets).select("a", "b", (1 - F.col("j")).alias("apart"))
+    return _compared(across, state, sets, weights, percent, False)
+
+
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """``(a, b)`` with ``a < b``, every link between two different sets, each named by its smallest document id, and the
     membership ``(doc_id, rep)`` of the documents that may have links.  Documents of one set are linked with each other."""

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+
+from stemweave.llm import ngram_jaccard as J
 from stemweave.llm.components import connected_components
 from stemweave.llm.ngram_jaccard import jaccard_components, keep_one_per_component
 
@@ -142,3 +145,50 @@ def test_links_between_all_members_of_a_group(spark):
     got = {tuple(r) for r in links.collect()}
     assert got == {(a, b) for a, b in brute_links(rows) if a < b} and len(got) > 300
     assert {r.doc_id for r in member.collect()} == set(range(80))
+
+
+def test_overlaps_are_derived_from_the_first_set():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(30)]
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    off = np.r_[0, np.cumsum([len(s) for s in sets])]
+    for to, y in ((30, 0), (12, 12), (1, 1)):
+        for x, got in enumerate(J._overlaps(flat, off, to, y)):
+            assert got.tolist() == [len(np.intersect1d(sets[x], s)) for s in sets[y:]]
+
+
+def test_skipped_blocks_hold_no_pair_with_room():
+    rng = np.random.default_rng(2)
+    lo = np.sort(rng.integers(5, 400, 700))
+    hi, rest = lo + rng.integers(0, 9, 700), rng.integers(1, 300, 700)
+    met = {tuple(p) for p in J._blocks_met(lo, hi, rest, 80).tolist()}
+    skipped = 0
+    for p in range(11):
+        for q in range(p, 11):
+            if (p, q) in met:
+                continue
+            skipped += 1
+            i, j = slice(64 * p, 64 * p + 64), slice(64 * q, 64 * q + 64)
+            need = -(-80 * (lo[i, None] + lo[None, j]) // 180)
+            assert not ((np.minimum(rest[i, None], rest[None, j]) >= need) & (lo[None, j] * 80 <= hi[i, None] * 100) & (lo[i, None] * 80 <= hi[None, j] * 100)).any()
+    assert skipped > 10
+
+
+def test_two_families_just_apart(spark, monkeypatch):
+    """Members of two stars whose centres are too far apart: one pair of members links, and no pair of members is a row."""
+    monkeypatch.setattr(J, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(J, "PAIRS_PER_SET", 3)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(25):  # shifted copies: neighbours are alike, the ends are not
+        rows.append((k, " ".join([*base[k:], *[f"n{j}" for j in range(k)]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(df).collect()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    root = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    assert {d: c for d, (_, c) in got.items()} == root and all(got[d][0] == len(s) for d, s in sets.items())
