@@ -5,17 +5,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; only a local session may do without it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = have.get() if have.isDefined() else "file://" + tempfile.mkdtemp(prefix="stemweave-")
+        found = have.get() if have.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="stemweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -27,6 +32,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_with(df: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
+    """``stored(df)`` and aggregates over it, which the write itself gathers."""
+    seen = Observation()
+    out = stored(df.observe(seen, *measures))
+    return out, seen.get
+
+
 def two_step_root(nodes: DataFrame, ident: str, merged: str, lemma: str) -> DataFrame:
     """``(id, root)``: the target is merged-into, else lemma, else the node; the root is the target's lemma, else the target."""
     target = F.coalesce(F.col(merged), F.col(lemma), F.col(ident))
@@ -59,46 +71,67 @@ def min_label_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        big = both.where("y > x").join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
-        down = big.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+        down = both.where("y > x").join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y")
         small = down.groupBy("x").agg(F.min("y").alias("m"))
-        e = stored(down.join(small, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(small.select("x", F.col("m").alias("y"))).where("x <> y").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.hash("x", "y").cast("decimal(38,0)"))).first())
-        if now == was or not now[0]:
+        new = down.join(small, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(small.select("x", F.col("m").alias("y"))).where("x <> y").distinct()
+        e, now = stored_with(new, F.count("*").alias("n"), F.sum(F.hash("x", "y").cast("decimal(38,0)")).alias("h"))
+        if now == was or not now["n"]:
             break
         was = now
     return e.select(F.col("x").alias("node"), F.col("y").alias("component")).unionByName(e.select(F.col("y").alias("node"), F.col("y").alias("component"))).distinct()
 
 
-def smallest_reaching_root(edges: DataFrame, parent: str, child: str, most_rounds: int = 200) -> DataFrame:
+COMPACT = 8
+
+
+class _Growing:
+    """A table that grows by stored parts; every few parts it is written as one."""
+
+    def __init__(self, first: DataFrame, fold=lambda df: df):
+        self.parts, self.fold = [first], fold
+
+    def table(self) -> DataFrame:
+        return self.fold(reduce(DataFrame.unionByName, self.parts))
+
+    def add(self, part: DataFrame):
+        self.parts.append(part)
+        if len(self.parts) > COMPACT:
+            self.parts = [stored(self.table())]
+
+
+def smallest_reaching_root(edges: DataFrame, parent: str, child: str) -> DataFrame:
     """``(node, root)``: over directed edges, the smallest root (a parent that is never a child) that reaches each node.
 
+    Only nodes whose root moved in a round offer it in the next one; rounds go on until none moves.
     Nodes that no root reaches (pure cycles and what hangs from them) keep a null root.
     """
     e = stored(edges.select(F.col(parent).alias("p"), F.col(child).alias("c")).where("p <> c").distinct())
-    nodes = e.select(F.col("p").alias("node")).union(e.select("c")).distinct()
-    roots = nodes.join(e.select(F.col("c").alias("node")), "node", "left_anti")
-    state = stored(nodes.join(roots.withColumn("root", F.col("node")), "node", "left"))
-    for _ in range(most_rounds):
-        offered = e.join(state.where("root is not null").select(F.col("node").alias("p"), "root"), "p").groupBy("c").agg(F.min("root").alias("offer"))
-        new = stored(state.join(offered.withColumnRenamed("c", "node"), "node", "left").select("node", F.least("root", "offer").alias("root"), (~F.least("root", "offer").eqNullSafe(F.col("root"))).alias("moved")))
-        state = new.select("node", "root")
-        if not new.where("moved").limit(1).count():
+    children = e.select(F.col("c").alias("node")).distinct()
+    moved = stored(e.select(F.col("p").alias("node")).distinct().join(children, "node", "left_anti").withColumn("root", F.col("node")))
+    state = _Growing(moved, lambda df: df.groupBy("node").agg(F.min("root").alias("root")))
+    while True:
+        offered = e.join(moved.withColumnRenamed("node", "p"), "p").groupBy(F.col("c").alias("node")).agg(F.min("root").alias("root"))
+        known = state.table().withColumnRenamed("root", "was")
+        moved, seen = stored_with(offered.join(known, "node", "left").where("was is null or root < was").select("node", "root"), F.count("*").alias("n"))
+        if not seen["n"]:
             break
-    return state
+        state.add(moved)
+    found = state.table()
+    return found.unionByName(children.join(found, "node", "left_anti").withColumn("root", F.lit(None).cast(found.schema["root"].dataType)))
 
 
-def ancestors(seeds: DataFrame, edges: DataFrame, seed: str, parent: str, child: str, most_rounds: int = 50) -> DataFrame:
-    """``(seed, node, depth)``: every ancestor of each seed with its least depth (the seed itself at 0)."""
-    found = stored(seeds.select(F.col(seed).alias("seed"), F.col(seed).alias("node"), F.lit(0).alias("depth")).distinct())
-    front = found
-    for depth in range(1, most_rounds + 1):
-        up = front.join(edges.select(F.col(child).alias("node"), F.col(parent).alias("_p")), "node").select("seed", F.col("_p").alias("node")).where("node is not null").distinct()
-        front = stored(up.join(found, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if not front.limit(1).count():
-            break
-        found = stored(found.unionByName(front))
-    return found
+def ancestors(seeds: DataFrame, edges: DataFrame, seed: str, parent: str, child: str) -> DataFrame:
+    """``(seed, node, depth)``: every ancestor of each seed with its least depth (the seed itself at 0), however deep."""
+    up = edges.select(F.col(child).alias("node"), F.col(parent).alias("_p")).where("_p is not null")
+    front = stored(seeds.select(F.col(seed).alias("seed"), F.col(seed).alias("node"), F.lit(0).alias("depth")).distinct())
+    found, depth = _Growing(front), 0
+    while True:
+        depth += 1
+        step = front.join(up, "node").select("seed", F.col("_p").alias("node")).distinct()
+        front, seen = stored_with(step.join(found.table(), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), F.count("*").alias("n"))
+        if not seen["n"]:
+            return found.table()
+        found.add(front)
 
 
 def classify_by_parents(nodes: DataFrame, edges: DataFrame, ident: str, language: str, parent: str, child: str, kind: str, strata: list[tuple[str, list[str], bool]], loans: list[str]) -> DataFrame:
@@ -136,27 +169,36 @@ def project_edges(assertions: DataFrame, keys: list[str], polarity: str, confide
     return g.select(*keys, F.when(F.col("no"), "refuted").when(F.col("yes"), "kept").otherwise("gated").alias("status"))
 
 
-def break_cycles(edges: list[tuple]) -> tuple[list[tuple], list[tuple]]:
-    """Kept and dropped edges of a small curated ledger, in the given order: an edge that closes a cycle is dropped.
+def break_cycles(edges: DataFrame, a: str, b: str, order: str) -> DataFrame:
+    """``(a, b, order, kept)``: edges taken in order, where one that closes a cycle (without regard to direction) is dropped.
 
-    The result depends on the order of the edges, so it is a fold; the ledgers it is meant for are curated by hand.
+    What is kept is the spanning forest of least order, so rounds find it without going through the edges one by one: every
+    component picks its first edge to another one, and all picks are kept.  Edges of equal order follow one another by
+    their ends; of repeated edges the first is kept; a loop never is.
     """
-    root: dict = {}
-
-    def find(x):
-        while root.get(x, x) != x:
-            x = root[x]
-        return x
-
-    kept, dropped = [], []
-    for a, b in edges:
-        x, y = find(a), find(b)
-        if x == y:
-            dropped.append((a, b))
-        else:
-            root[x] = y
-            kept.append((a, b))
-    return kept, dropped
+    w = Window.partitionBy("k", "a", "b").orderBy("a")
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(order).alias("k")).withColumn("r", F.row_number().over(w))
+    e = stored(e.select("a", "b", F.struct("k", "a", "b", "r").alias("w")))
+    label = stored(e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("c", F.col("node")))
+    picks = None
+    while True:
+        left, right = label.select(F.col("node").alias("a"), F.col("c").alias("ca")), label.select(F.col("node").alias("b"), F.col("c").alias("cb"))
+        # an edge inside one component is out for good
+        across, seen = stored_with(e.join(left, "a").join(right, "b").where("ca <> cb").select("a", "b", "w", "ca", "cb"), F.count("*").alias("n"))
+        if not seen["n"]:
+            break
+        e = across.select("a", "b", "w")
+        first = across.select(F.col("ca").alias("c"), "w").union(across.select("cb", "w")).groupBy("c").agg(F.min("w").alias("w")).select("w").distinct()
+        chosen = stored(across.join(first, "w", "left_semi").select("w", "ca", "cb"))
+        joined = min_label_components(chosen, "ca", "cb").withColumnsRenamed({"node": "c", "component": "to"})
+        label = stored(label.join(joined, "c", "left").select("node", F.coalesce("to", "c").alias("c")))
+        picks = chosen.select("w") if picks is None else picks.unionByName(chosen.select("w"))
+    every = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(order).alias("k")).withColumn("r", F.row_number().over(w)).select(F.struct("k", "a", "b", "r").alias("w"))
+    if picks is None:
+        kept = every.withColumn("kept", F.lit(False))
+    else:
+        kept = every.join(picks.withColumn("kept", F.lit(True)), "w", "left")
+    return kept.select(F.col("w.a").alias(a), F.col("w.b").alias(b), F.col("w.k").alias(order), F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def compound_alignments(breakdowns: DataFrame, place: str, source: str, ordinal: str, part: str, least: int) -> DataFrame:

@@ -53,25 +53,41 @@ def novelty_blend(df: DataFrame, group: str, weight: str, novelty: float) -> Dat
     return df.withColumn(weight, (1 - novelty) * F.coalesce(share, F.lit(0.0)) + novelty / F.count("*").over(w))
 
 
+CELLS = 1024
+
+
 def weighted_choice(weights: DataFrame, draws: DataFrame, group: str, key: str, weight: str, u: str) -> DataFrame:
     """For each draw ``u`` in [0, 1) the first key whose cumulative share exceeds it; zero weights are never drawn, and
-    a group without positive weights gives null."""
+    a group without positive weights gives null.
+
+    Shares are intervals of [0, 1), dealt with the draws into cells of equal width, so draws of one group meet its keys in as many tasks.
+    """
+    live = weights.where(F.col(weight) > 0)
     order = Window.partitionBy(group).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    cum = weights.where(F.col(weight) > 0).withColumn("_c", F.sum(weight).over(order))
-    lists = cum.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_c", F.col(key).alias("k")))).alias("_l"))
-    total = F.element_at("_l", -1)["_c"]
-    hit = F.get(F.filter("_l", lambda x: x["_c"] > F.col(u) * total), F.lit(0))["k"]
-    return draws.join(lists, group, "left").withColumn("chosen", hit).drop("_l")
+    total = F.sum(weight).over(Window.partitionBy(group))
+    spans = live.select(F.col(group).alias("_g"), F.col(key).alias("chosen"), F.sum(weight).over(order).alias("_hi"), F.col(weight).alias("_w"), total.alias("_t"))
+    cell = lambda c: F.floor(c / F.col("_t") * CELLS)
+    low = F.lag("_hi", 1, 0).over(Window.partitionBy("_g").orderBy("chosen"))
+    # a cell more on both sides makes up for rounding; the test below is exact
+    spans = spans.withColumn("_lo", low).withColumn("_cell", F.explode(F.sequence(F.greatest(cell(F.col("_lo")) - 1, F.lit(0)), cell(F.col("_hi")) + 1))).drop("_w")
+    dealt = draws.withColumn("_cell", F.floor(F.col(u) * CELLS))
+    at = F.col(u) * F.col("_t")
+    return dealt.join(spans, (dealt[group] == spans["_g"]) & (dealt["_cell"] == spans["_cell"]) & (F.col("_lo") <= at) & (at < F.col("_hi")), "left").drop("_g", "_hi", "_t", "_lo", "_cell")
+
+
+def seeded(seed: int, *cols: Column) -> Column:
+    """A digest of a seed and a row's key, to order rows at random but repeatably."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]))
 
 
 def hashed_uniform(seed: int, *cols: Column) -> Column:
-    """A deterministic draw in [0, 1) from a seed and the row's key."""
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)) / float(1 << 52)
+    """A deterministic draw in [0, 1) from a seed and the row's key: the first 52 bits of a digest."""
+    return F.conv(F.left(seeded(seed, *cols), F.lit(13)), 16, 10).cast("long") / float(1 << 52)
 
 
 def reserve_slot(df: DataFrame, group: str, capable: Column, seed: int, key: str) -> DataFrame:
-    """Marks one capable row of each group, drawn by hash; groups without one are marked nowhere."""
-    rank = F.row_number().over(Window.partitionBy(group, "_ok").orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
+    """Marks one capable row of each group, drawn by digest; groups without one are marked nowhere."""
+    rank = F.row_number().over(Window.partitionBy(group, "_ok").orderBy(seeded(seed, F.col(key)), key))
     return df.withColumn("_ok", F.coalesce(capable, F.lit(False))).withColumn("reserved", F.col("_ok") & (rank == 1)).drop("_ok")
 
 

@@ -28,7 +28,8 @@ def build_trie(surfaces) -> dict:
     return root
 
 
-def _starts(word: str, trie: dict) -> list[list[str]]:
+def trie_starts(word: str, trie: dict) -> list[list[str]]:
+    """The surfaces that begin at each place of a word."""
     out = []
     for i in range(len(word)):
         node, found = trie, []
@@ -42,70 +43,158 @@ def _starts(word: str, trie: dict) -> list[list[str]]:
     return out
 
 
-def segmentations(word: str, trie: dict, most: int = 10_000) -> list[list[str]]:
-    """Every parse of a word into surfaces and skipped characters (runs merged and bracketed); at most ``most`` for each suffix."""
-    word = word.lower()
-    starts, tails = _starts(word, trie), [[] for _ in range(len(word) + 1)]
-    tails[len(word)] = [[]]
-    for i in range(len(word) - 1, -1, -1):
-        out = []
+def segmentations(word: str, starts: list[list[str]]):
+    """Every parse of a word into surfaces and skipped characters (runs merged and bracketed), one after the other."""
+
+    def rest(i, bracketed):
+        if i == len(word):
+            yield []
+            return
         for s in starts[i]:
-            out += [[s, *t] for t in tails[i + len(s)]]
-        for t in tails[i + 1]:
-            out.append([f"({word[i]}{t[0][1:]}", *t[1:]] if t and t[0][0] == "(" else [f"({word[i]})", *t])
-        tails[i] = out[:most]
-    return tails[0]
+            for t in rest(i + len(s), False):
+                yield [s, *t]
+        if not bracketed:
+            for j in range(i + 1, len(word) + 1):
+                for t in rest(j, True):
+                    yield [f"({word[i:j]})", *t]
+
+    return rest(0, False)
+
+
+def count_segmentations(word: str, starts: list[list[str]]) -> int:
+    """How many parses ``segmentations`` gives, without going through them."""
+    ways = [0] * len(word) + [1]
+    for i in range(len(word) - 1, -1, -1):
+        ways[i] = ways[i + 1] + sum(ways[i + len(s)] for s in starts[i])
+    return ways[0]
 
 
-def best_segmentations(word: str, trie: dict, glue: tuple[str, ...] = (), most: int = 256) -> list[list[str]]:
-    """The parses with the fewest unaccounted characters, then the fewest surfaces; ties are kept, at most ``most``.
+class BestParses:
+    """The parses of a word with the fewest unaccounted characters, then the fewest surfaces.
 
-    A glue string between two surfaces is consumed at no cost and written ``+s+``.  The first of the list has
-    the longest first surface.
+    A glue string between two surfaces is consumed at no cost and written ``+s+``.
     """
-    word = word.lower()
-    n, starts = len(word), _starts(word, trie)
-    best: list = [None] * (n + 1)  # (cost, parses) of each suffix
-    best[n] = ((0, 0), [[]])
-    for i in range(n - 1, -1, -1):
-        options = []
-        for s in starts[i]:
+
+    def __init__(self, word: str, starts: list[list[str]], glue: tuple[str, ...] = ()):
+        self.word, self.starts, self.glue = word, starts, tuple(g for g in glue if g)
+        n, never = len(word), (1 << 60, 0)
+        # least cost from each place: of a parse that begins with a surface, and of any; behind a surface, glue may come first
+        self.surface, self.any, self.behind = [never] * (n + 1), [never] * n + [(0, 0)], [never] * n + [(0, 0)]
+        for i in range(n - 1, -1, -1):
+            self.surface[i] = min((self._add((0, 1), self.behind[i + len(s)]) for s in starts[i]), default=never)
+            self.any[i] = min(self.surface[i], self._add((1, 0), self.any[i + 1]))
+            glued = (self.surface[i + len(g)] for g in self.glue if word.startswith(g, i) and i + len(g) < n)
+            self.behind[i] = min([self.any[i], *glued])
+
+    @staticmethod
+    def _add(x, y):
+        return x[0] + y[0], x[1] + y[1]
+
+    @property
+    def cost(self) -> tuple[int, int]:
+        return self.any[0]
+
+    def _steps(self, i: int, left: tuple[int, int], kind: str):
+        """(token, place, cost left, kind of place) of every first token of the parses of cost ``left`` from ``i``."""
+        for s in self.starts[i]:
             j = i + len(s)
-            options.append(((best[j][0][0], best[j][0][1] + 1), [[s, *t] for t in best[j][1]]))
-            for g in glue:
-                k = j + len(g)
-                if g and word.startswith(g, j) and k < n:
-                    after = [t for t in best[k][1] if t and t[0][0] not in "(+"]
-                    if after:
-                        options.append(((best[k][0][0], best[k][0][1] + 1), [[s, f"+{g}+", *t] for t in after]))
-        cost, rest = best[i + 1]
-        options.append(((cost[0] + 1, cost[1]), [[f"({word[i]}{t[0][1:]}", *t[1:]] if t and t[0][0] == "(" else [f"({word[i]})", *t] for t in rest]))
-        low = min(c for c, _ in options)
-        parses = list(itertools.chain.from_iterable(p for c, p in options if c == low))
-        unique = sorted({tuple(p) for p in parses}, key=lambda p: (-len(p[0]) if p and p[0][0] not in "(+" else 1, p))
-        best[i] = (low, [list(p) for p in unique[:most]])
-    return best[0][1]
-
-
-def segment(words: DataFrame, word: str, dictionary: list[str], glue: tuple[str, ...] = (), all_ties: bool = False) -> DataFrame:
-    """``(word, parse, unaccounted, morphemes)``: the best parse of each distinct word, or all tied ones.
-
-    ``dictionary`` is a literal list: it is compiled to a trie once in each worker.  A null or empty word has no parse.
+            if self._add((0, 1), self.behind[j]) == left:
+                yield s, j, self.behind[j], "behind"
+        if kind == "behind":
+            for g in self.glue:
+                j = i + len(g)
+                if self.word.startswith(g, i) and j < len(self.word) and self.surface[j] == left:
+                    yield f"+{g}+", j, left, "surface"
+        if kind in ("any", "behind"):
+            for j in range(i + 1, len(self.word) + 1):  # a bracket ends at a surface or at the end of the word
+                after = self.surface[j] if j < len(self.word) else (0, 0)
+                if self._add((j - i, 0), after) == left:
+                    yield f"({self.word[i:j]})", j, after, "surface"
+
+    def all(self):
+        """All tied parses, one after the other, in the order that ``first`` prefers."""
+
+        def rest(i, left, kind):
+            if i == len(self.word):
+                yield []
+                return
+            steps = sorted(self._steps(i, left, kind), key=(lambda x: (self._rank(x[0]), x[0])) if i == 0 else (lambda x: x[0]))
+            for token, j, after, then in steps:
+                for t in rest(j, after, then):
+                    yield [token, *t]
+
+        return rest(0, self.any[0], "any")
+
+    @staticmethod
+    def _rank(token: str) -> int:
+        return 1 if token[0] in "(+" else -len(token)
+
+    def first(self) -> list[str]:
+        """The tied parse with the longest first surface; of several the first in order of their tokens."""
+        return next(self.all())
+
+
+def best_segmentations(word: str, trie: dict, glue: tuple[str, ...] = ()) -> list[list[str]]:
+    """All tied best parses of one word with a trie, the preferred one first."""
+    word = word.lower()
+    return list(BestParses(word, trie_starts(word, trie), glue).all())
+
+
+def dictionary_matches(words: DataFrame, word: str, dictionary: DataFrame, entry: str) -> DataFrame:
+    """``(word, matches)``: each distinct lower-cased word with the entries that it holds, as ``(at, surface)`` from 0.
+
+    Words are cut into their substrings of the lengths that entries have, and both meet by equality, so the dictionary may be of
+    any size.  Entries are lower-cased and lose their dashes; empty ones match nothing.
+    """
+    w = words.select(F.lower(word).alias("word")).where("word <> ''").distinct()
+    d = dictionary.select(F.replace(F.lower(entry), F.lit("-"), F.lit("")).alias("surface")).where("surface <> ''").distinct()
+    sizes = d.select(F.length("surface").alias("k")).distinct()
+    sizes = F.broadcast(sizes) if sizes.count() <= 1000 else sizes
+    cut = w.join(sizes, F.length("word") >= F.col("k")).select("word", "k", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("k") + 1)).alias("i"))
+    hit = cut.select("word", (F.col("i") - 1).alias("at"), F.expr("substring(word, i, k)").alias("surface")).join(d, "surface")
+    found = hit.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "surface"))).alias("matches"))
+    return w.join(found, "word", "left")
+
+
+def _starts_of(word: str, matches) -> list[list[str]]:
+    out: list[list[str]] = [[] for _ in word]
+    for m in [] if matches is None else matches:
+        out[m["at"]].append(m["surface"])
+    return out
+
+
+BATCH = 10_000
+
+
+def segment(words: DataFrame, word: str, dictionary: DataFrame, entry: str, glue: tuple[str, ...] = (), all_ties: bool = False) -> DataFrame:
+    """``(word, parse, unaccounted, morphemes)``: the best parse of each distinct word, or every tied one.
+
+    A null or empty word has no parse.  Tied parses are made and sent in batches, however many there are.
     """
-    trie_words = sorted({d for d in dictionary if d})
 
     def run(frames):
-        trie = build_trie(trie_words)
         for pdf in frames:
             rows = []
-            for w in pdf["word"]:
-                parses = best_segmentations(w, trie, glue)
-                for p in parses if all_ties else parses[:1]:
-                    rows.append((w, " ".join(p), sum(len(x) - 2 for x in p if x[0] == "("), sum(x[0] not in "(+" for x in p)))
+            for w, matches in zip(pdf["word"], pdf["matches"]):
+                best = BestParses(w, _starts_of(w, matches), glue)
+                for p in best.all() if all_ties else [best.first()]:
+                    rows.append((w, " ".join(p), *best.cost))
+                    if len(rows) == BATCH:
+                        yield pd.DataFrame(rows, columns=["word", "parse", "unaccounted", "morphemes"])
+                        rows = []
             yield pd.DataFrame(rows, columns=["word", "parse", "unaccounted", "morphemes"])
 
-    distinct = words.select(F.col(word).alias("word")).where("word <> ''").distinct()
-    return distinct.mapInPandas(run, "word string, parse string, unaccounted long, morphemes long")
+    return dictionary_matches(words, word, dictionary, entry).mapInPandas(run, "word string, parse string, unaccounted long, morphemes long")
+
+
+def parse_counts(words: DataFrame, word: str, dictionary: DataFrame, entry: str) -> DataFrame:
+    """``(word, parses)``: how many parses each distinct word has, skipped characters included."""
+
+    def run(frames):
+        for pdf in frames:
+            yield pd.DataFrame([(w, count_segmentations(w, _starts_of(w, m))) for w, m in zip(pdf["word"], pdf["matches"])], columns=["word", "parses"])
+
+    return dictionary_matches(words, word, dictionary, entry).mapInPandas(run, "word string, parses long")
 
 
 def split_point_segment(words: DataFrame, word: str, dictionary: DataFrame, entry: str) -> DataFrame:
@@ -201,16 +290,25 @@ def containing(docs: DataFrame, ident: str, text: str, quotes: DataFrame, quote_
 
 
 def pack_paragraphs(text: Column, target: int = 20_000) -> Column:
-    """Chunks of whole paragraphs of about ``target`` characters; an oversize paragraph is a chunk of its own."""
+    """Chunks of whole paragraphs of about ``target`` characters; an oversize paragraph is a chunk of its own.
+
+    One pass over the paragraphs' lengths notes where chunks begin; the texts are joined once.
+    """
     paragraphs = F.filter(F.split(text, r"\n[ \t]*\n"), lambda p: F.trim(p) != "")
-    empty = F.array().cast("array<string>")
+    state = "struct<heads:array<int>,used:int,i:int>"
+
+    def step(acc, n):
+        fits = (F.size(acc["heads"]) > 0) & (acc["used"] + n + 2 <= target)
+        heads = F.when(fits, acc["heads"]).otherwise(F.concat(acc["heads"], F.array(acc["i"])))
+        return F.struct(heads.alias("heads"), F.when(fits, acc["used"] + n + 2).otherwise(n).alias("used"), (acc["i"] + 1).alias("i")).cast(state)
 
-    def step(acc, p):
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.length(last) + F.length(p) + 2 <= target)
-        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws("\n\n", last, p)))).otherwise(F.concat(acc, F.array(p)))
+    def chunks(p):
+        start = F.struct(F.array().cast("array<int>").alias("heads"), F.lit(0).alias("used"), F.lit(0).alias("i")).cast(state)
+        heads = F.aggregate(F.transform(p, lambda x: F.length(x)), start, step)["heads"]
+        joined = lambda h: F.transform(h, lambda a, k: F.array_join(F.slice(p, a + 1, F.coalesce(F.get(h, k + 1), F.size(p)) - a), "\n\n"))
+        return F.get(F.transform(F.array(heads), joined), F.lit(0))
 
-    return F.aggregate(paragraphs, empty, lambda acc, p: F.when(F.size(acc) == 0, F.array(p)).otherwise(step(acc, p)))
+    return F.get(F.transform(F.array(paragraphs), chunks), F.lit(0))
 
 
 # ------------------------------------------------------------------------------ alignment and rules
@@ -239,30 +337,76 @@ def suffix_anchor(names: DataFrame, name: str, suffixes: DataFrame, suffix: str,
     return hit.select("name", F.expr("left(name, length(name) - length(suffix))").alias("stem"), "suffix")
 
 
-def longest_common_run(a: Column, b: Column, most: int = 12) -> Column:
-    """The length of the longest common substring of two short strings, up to ``most``."""
-    grams = lambda s, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(k)))
-    out = F.lit(0)
-    for k in range(1, most + 1):
-        out = F.when((F.length(a) >= k) & (F.length(b) >= k) & F.arrays_overlap(grams(a, k), grams(b, k)), k).otherwise(out)
-    return out
+def longest_common_run(a: Column, b: Column) -> Column:
+    """The length of the longest common substring of two strings; 0 where one is empty.
+
+    A common run of k characters holds common runs of all shorter lengths, so the length is found by bisection.
+    """
+    grams = lambda s, k: F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, k))
+    fits = lambda k: (k <= F.least(F.length(a), F.length(b))) & F.arrays_overlap(grams(a, F.least(k, F.length(a))), grams(b, F.least(k, F.length(b))))
+    steps = F.array(*[F.lit(1 << s) for s in range(20, -1, -1)])
+    return F.when((F.length(a) > 0) & (F.length(b) > 0), F.aggregate(steps, F.lit(0), lambda n, s: F.when(fits(n + s), n + s).otherwise(n))).otherwise(F.lit(0))
+
+
+def residual_span(name: str, anchors: list[list[str]], least: int = 2) -> str | None:
+    """What is left of a name when every anchor, in any order and by any of its spellings, tiles its head or its tail.
+
+    The shortest rest of ``least`` letters or more counts, since a short spelling leaves a letter of its anchor over; None where there is
+    none, or several of that length.
+    """
+
+    def reach(head: bool) -> set[tuple[frozenset, int]]:
+        seen = {(frozenset(), 0)}
+        todo = list(seen)
+        while todo:
+            used, n = todo.pop()
+            for i, forms in enumerate(anchors):
+                for f in forms if i not in used else ():
+                    fits = name.startswith(f, n) if head else name.endswith(f, 0, len(name) - n)
+                    new = (used | {i}, n + len(f))
+                    if f and fits and new not in seen:
+                        seen.add(new)
+                        todo.append(new)
+        return seen
+
+    tails: dict[frozenset, set[int]] = {}
+    for used, n in reach(False):
+        tails.setdefault(used, set()).add(n)
+    every = frozenset(range(len(anchors)))
+    rests = {name[p : len(name) - n] for used, p in reach(True) for n in tails.get(every - used, ()) if len(name) - p - n >= least}
+    rests = {r for r in rests if r.isalpha()}
+    short = [r for r in rests if len(r) == min(map(len, rests))]
+    return short[0] if len(short) == 1 else None
 
 
 def residual_alignment(name: str, parts: list[list[str]], least: int = 2) -> tuple[int, str] | None:
     """The one part (its index, and the span it must have) whose known spellings do not fit, where the others tile the rest
-    of the name as a prefix and a suffix; None unless exactly one choice is valid and its span is new."""
-    found = []
-    for i in range(len(parts)):
-        heads, tails = parts[:i], parts[i + 1 :]
-        for h in itertools.product(*heads):
-            for t in itertools.product(*tails):
-                head, tail = "".join(h), "".join(t)
-                if name.startswith(head) and name.endswith(tail) and len(name) - len(head) - len(tail) >= least:
-                    span = name[len(head) : len(name) - len(tail)]
-                    if span not in parts[i]:
-                        found.append((i, span))
-    choices = {i for i, _ in found}
-    return found[0] if len(parts) > 1 and len(choices) == 1 and len(set(found)) == 1 else None
+    of the name; None unless exactly one part can be it and its span is new."""
+    found = [(i, span) for i in range(len(parts)) if (span := residual_span(name, parts[:i] + parts[i + 1 :], least)) and span not in parts[i]]
+    return found[0] if len(parts) > 1 and len(found) == 1 else None
+
+
+def implied_surfaces(parts: DataFrame, keys: list[str], ordinal: str, part: str, known: DataFrame, form: str, least: int = 2) -> DataFrame:
+    """``(part, span, support)``: spellings that names imply for a part that none of its known ones fits, as often as ``least`` names.
+
+    ``parts`` has a row for each part of a name (the last of ``keys`` is the name), ``known(part, form)`` the spellings.
+    """
+    name = keys[-1]
+    spelled = parts.join(known.select(F.col(part), F.col(form).alias("_f")), part, "left").where(F.col("_f").isNull() | F.contains(name, F.col("_f")))
+    spelled = parts.select(*keys, ordinal, part).distinct().join(spelled.groupBy(*keys, ordinal, part).agg(F.collect_set("_f").alias("forms")), [*keys, ordinal, part], "left")
+    lists = spelled.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(ordinal).alias("i"), F.col(part).alias("p"), F.coalesce("forms", F.array().cast("array<string>")).alias("f")))).alias("x"))
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for n, x in zip(pdf["name"], pdf["x"]):
+                hit = residual_alignment(n, [list(e["f"]) for e in x])
+                if hit:
+                    rows.append((x[hit[0]]["p"], hit[1]))
+            yield pd.DataFrame(rows, columns=["part", "span"])
+
+    kind = parts.schema[part].dataType.simpleString()
+    return lists.select(F.col(name).alias("name"), "x").mapInPandas(run, f"part {kind}, span string").groupBy("part", "span").agg(F.count("*").alias("support")).where(F.col("support") >= least)
 
 
 def sound_changes(form: str, rules: list[tuple[str, str, float]], floor: float = 1e-6) -> list[tuple[str, float]]:
@@ -284,6 +428,25 @@ def sound_changes(form: str, rules: list[tuple[str, str, float]], floor: float =
     return sorted(state.items(), key=lambda x: (-x[1], x[0]))
 
 
+def sound_change_table(forms: DataFrame, form: str, eras: dict[str, list[tuple[str, str, float]]], out: str = "form") -> DataFrame:
+    """``(form, era, candidate, mass)`` of each distinct form under the ordered rules of each era."""
+
+    def run(frames):
+        for pdf in frames:
+            rows = [(f, era, g, m) for f in pdf["form"] for era, rules in eras.items() for g, m in sound_changes(f, rules)]
+            yield pd.DataFrame(rows, columns=["form", "era", "candidate", "mass"])
+
+    distinct = forms.select(F.col(form).alias("form")).where("form is not null").distinct()
+    return distinct.mapInPandas(run, "form string, era string, candidate string, mass double").withColumnRenamed("form", out)
+
+
+def sound_change_origins(attested: DataFrame, spelling: str, forms: DataFrame, form: str, rules: list[tuple[str, str, float]]) -> DataFrame:
+    """``(spelling, origin, mass)``: the rules read backwards over a vocabulary.  A rule that drops or merges letters has no inverse
+    of its own, so every form is changed once and attested spellings meet the changed forms by equality."""
+    changed = sound_change_table(forms, form, {"": rules}, "origin").select("origin", F.col("candidate").alias(spelling), "mass")
+    return attested.select(spelling).distinct().join(changed, spelling).select(spelling, "origin", "mass")
+
+
 def transliterate(text: str, table: dict[str, str]) -> str:
     """Longest-match-first mapping; characters without a mapping stay."""
     keys = sorted(table, key=len, reverse=True)
@@ -308,11 +471,11 @@ def spelling_vector(c: Column) -> dict[str, Column]:
     return out
 
 
-def whole_name_parses(names: DataFrame, name: str, dictionary: list[str], glue: tuple[str, ...] = ()) -> DataFrame:
+def whole_name_parses(names: DataFrame, name: str, dictionary: DataFrame, entry: str, glue: tuple[str, ...] = ()) -> DataFrame:
     """``(name, parse, unaccounted, morphemes)``: names split at blanks, each distinct word parsed once, the best parses
     joined in order of the words."""
     words = names.select(F.col(name).alias("name")).where("name <> ''").distinct().select("name", F.posexplode(F.split(F.lower("name"), " +")).alias("i", "word")).where("word <> ''")
-    best = words.join(segment(words, "word", dictionary, glue), "word")
+    best = words.join(segment(words, "word", dictionary, entry, glue), "word")
     g = best.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("i", "parse"))).alias("p"), F.sum("unaccounted").alias("unaccounted"), F.sum("morphemes").alias("morphemes"))
     return g.select("name", F.array_join(F.transform("p", lambda x: x["parse"]), " / ").alias("parse"), "unaccounted", "morphemes")
 
@@ -339,15 +502,15 @@ def page_of(quotes: DataFrame, headers: DataFrame, doc: str, offset: str, at: st
 
 def header_offsets(docs: DataFrame, ident: str, text: str, patterns: list[str]) -> DataFrame:
     """``(doc, at, page)``: page headers by the pattern that finds most in each document (the first one on a tie); the first
-    group of a pattern is the page number."""
-    found = None
-    for i, p in enumerate(patterns):
-        pieces = F.split(F.col(text), p)
-        x = docs.select(F.col(ident).alias("doc"), F.lit(i).alias("p"), pieces.alias("s"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("g"))
-        found = x if found is None else found.unionByName(x)
-    best = found.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc(F.size("m")), "p"))).where("k = 1")
-    ends = F.transform(F.sequence(F.lit(1), F.size("m")), lambda i: F.aggregate(F.slice("s", F.lit(1), i), F.lit(0), lambda a, v: a + F.length(v)) + F.aggregate(F.slice("m", F.lit(1), i - 1), F.lit(0), lambda a, v: a + F.length(v)))
-    return best.where("size(m) > 0").select("doc", F.explode(F.arrays_zip(ends.alias("at"), F.col("g").alias("page"))).alias("x")).select("doc", "x.at", F.col("x.page").cast("int").alias("page"))
+    group of a pattern is the page number, ``at`` the place where it begins (from 0).  Only the lengths of pieces are shuffled."""
+    counts = F.array(*[F.regexp_count(text, F.lit(p)) for p in patterns])
+    best = docs.select(F.col(ident).alias("doc"), F.col(text).alias("_t"), counts.alias("_c")).withColumn("_p", F.array_position("_c", F.array_max("_c"))).where("array_max(_c) > 0")
+    chosen = lambda body: F.coalesce(*[F.when(F.col("_p") == i, body(p)) for i, p in enumerate(patterns, 1)])
+    pieces = chosen(lambda p: F.transform(F.split("_t", p), lambda x: F.length(x)))
+    heads = chosen(lambda p: F.arrays_zip(F.transform(F.regexp_extract_all("_t", F.lit(p), F.lit(0)), lambda x: F.length(x)).alias("n"), F.regexp_extract_all("_t", F.lit(p), F.lit(1)).alias("page")))
+    rows = best.select("doc", pieces.alias("s"), heads.alias("m")).select("doc", "s", F.posexplode("m").alias("k", "m")).select("doc", "k", F.get("s", F.col("k")).alias("gap"), "m.n", "m.page")
+    order = Window.partitionBy("doc").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("doc", (F.sum(F.col("gap") + F.col("n")).over(order) - F.col("n")).alias("at"), F.col("page").try_cast("int").alias("page"))
 
 
 def occurrences_by_position(words: DataFrame, word: str, forms: DataFrame, form: str, least: int = 2) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import log as L
 from ..operators import ranking as D
 from ..operators import scoring as W
 from ..operators import text as T
-from .language import _dictionary, _glued
+from .language import _ENTRIES, _entries, _glued, _parses
 from .registry import query
 
 
@@ -67,7 +67,7 @@ def _(t):
     return s.where(~F.col("structure").isin("R", "A") & F.forall(F.split("structure", "-"), lambda x: x.isin("N", "R", "A")) & (F.size(F.split("structure", "-")) <= 3))
 
 
-@query("p11_truncation_audit", r"SELECT conv_id, turn, length(text) >= 200 AND NOT regexp_matches(text, '[.!?""'')\]}]$') AS truncated FROM conversations")
+@query("p11_truncation_audit", r"SELECT conv_id, turn, length(text) >= 200 AND NOT regexp_matches(text, '[.!?' || chr(34) || chr(39) || ')\]}]$') AS truncated FROM conversations")
 def _(t):
     return t("conversations").select("conv_id", "turn", ((F.length("text") >= 200) & ~F.col("text").rlike(r"""[.!?"')\]}]$""")).alias("truncated"))
 
@@ -147,10 +147,13 @@ def _(t):
     return all_nodes.join(comp, "node", "left").select(F.col("p_brand").alias("fam"), F.col("p_name").alias("member"), root.alias("sense"))
 
 
-@query("t06_whole_name_parses", "SELECT DISTINCT p_name AS name, replace(lower(p_name), ' ', ' / ') AS parse, 0 AS unaccounted, 2 AS morphemes FROM part")
+@query("t06_whole_name_parses", f"""
+WITH RECURSIVE {_ENTRIES}, {_parses("SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part")},
+best AS (SELECT word, arg_min(parse, (un, m, rank, parse)) AS parse, min({{'un': un, 'm': m}}) AS c FROM parses GROUP BY 1),
+n AS (SELECT DISTINCT p_name AS name, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i, unnest(string_split(lower(p_name), ' ')) AS word FROM part)
+SELECT name, string_agg(parse, ' / ' ORDER BY i) AS parse, CAST(sum(c.un) AS BIGINT) AS unaccounted, CAST(sum(c.m) AS BIGINT) AS morphemes FROM n JOIN best USING (word) GROUP BY 1""")
 def _(t):
-    out = T.whole_name_parses(t("part"), "p_name", _dictionary(t))
-    return out.select("name", "parse", F.col("unaccounted").cast("int").alias("unaccounted"), F.col("morphemes").cast("int").alias("morphemes"))
+    return T.whole_name_parses(t("part"), "p_name", _entries(t), "w")
 
 
 @query("t08_canonical_parse", """
@@ -162,27 +165,27 @@ def _(t):
     return T.canonical_parse(c, "place", "sig", "scholar", "un", "m")
 
 
-@query("t16_page_headers")
+@query("t16_page_headers", r"""
+WITH c AS (SELECT doc_id, text, len(regexp_extract_all(text, '(\d{1,3})[ ,.]')) AS a, len(regexp_extract_all(text, '\n(\d+)')) AS b FROM documents),
+k AS (SELECT doc_id, text, CASE WHEN a >= b THEN '(\d{1,3})[ ,.]' ELSE '\n(\d+)' END AS p FROM c WHERE a + b > 0),
+x AS (SELECT doc_id, regexp_split_to_array(text, p) AS s, regexp_extract_all(text, p) AS m, regexp_extract_all(text, p, 1) AS g FROM k)
+SELECT doc_id AS doc, CAST(list_sum(list_transform(s[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0) AS BIGINT) AS at, CAST(g[i] AS INTEGER) AS page FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM x)""")
 def _(t):
-    return T.header_offsets(t("documents"), "doc_id", "text", [r"(?m)^.*?(\d+)\.?$", r"\b(\d{1,3})\b"])
+    """Numbers at the ends of words or at the heads of lines, by the pattern that occurs more in each document."""
+    return T.header_offsets(t("documents"), "doc_id", "text", [r"(\d{1,3})[ ,.]", r"\n(\d+)"])
 
 
-@query("t23_residual_alignment")
+@query("t23_residual_alignment", """
+WITH w AS (SELECT DISTINCT p_partkey % 7 AS place, string_split(lower(p_name), ' ')[1] AS a, string_split(lower(p_name), ' ')[2] AS b FROM part),
+h AS (SELECT place, b AS word, a || b AS name FROM w)
+SELECT word AS part, word AS span, count(DISTINCT (name, place)) AS support FROM h GROUP BY 1 HAVING count(DISTINCT (name, place)) >= 2""")
 def _(t):
-    spec = "glued string, part int, span string"
-
-    def run(frames):
-        import pandas as pd
-
-        for pdf in frames:
-            rows = []
-            for g, w in zip(pdf["glued"], pdf["w"]):
-                hit = T.residual_alignment(g, [[w[0]], [w[1][:-1]]]) if len(w) == 2 else None
-                if hit:
-                    rows.append((g, hit[0], hit[1]))
-            yield pd.DataFrame(rows, columns=["glued", "part", "span"])
-
-    return _glued(t).select("glued", "w").distinct().mapInPandas(run, spec)
+    """Second words are known without their last letter; what is left of each name beside its first word is the spelling
+    that they must have had, where several places say so."""
+    x = t("part").select((F.col("p_partkey") % 7).alias("place"), F.split(F.lower("p_name"), " ").alias("w")).distinct()
+    parts = x.select("place", F.concat(F.col("w")[0], F.col("w")[1]).alias("name"), F.posexplode("w").alias("i", "part"))
+    known = x.select(F.col("w")[0].alias("part"), F.col("w")[0].alias("form")).union(x.select(F.col("w")[0], F.expr("left(w[0], length(w[0]) - 1)"))).union(x.select(F.col("w")[1], F.expr("left(w[1], length(w[1]) - 1)"))).distinct()
+    return T.implied_surfaces(parts, ["place", "name"], "i", "part", known, "form", 2)
 
 
 @query("t29_mention_validation", """
@@ -239,18 +242,29 @@ def _(t):
     return t("part").select("p_partkey", (F.col("p_size") - 10).alias("score"), "p_type").where("score >= 0 and p_type not like '%BRUSHED%'").drop("p_type")
 
 
-@query("w07_reserved_slot")
+@query("w07_reserved_slot", """
+WITH x AS (SELECT l_orderkey, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS key, l_returnflag = 'R' AS ok FROM lineitem)
+SELECT l_orderkey, key, ok AND row_number() OVER (PARTITION BY l_orderkey, ok ORDER BY md5('11|' || key), key) = 1 AS reserved FROM x""")
 def _(t):
     out = W.reserve_slot(t("lineitem").withColumn("key", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), "l_orderkey", F.col("l_returnflag") == "R", 11, "key")
     return out.select("l_orderkey", "key", "reserved")
 
 
-@query("w15_realism_report")
+@query("w14_seeds", "SELECT o_orderkey, ('0x' || left(md5('3|' || o_orderkey), 13))::BIGINT / 4503599627370496 AS u FROM orders")
+def _(t):
+    """One repeatable draw in [0, 1) per order."""
+    return t("orders").select("o_orderkey", W.hashed_uniform(3, F.col("o_orderkey")).alias("u"))
+
+
+@query("w15_realism_report", """
+WITH p AS (SELECT p_brand AS k, count(*) / sum(count(*)) OVER () AS p FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' GROUP BY 1), q AS (SELECT p_brand AS k, count(*) / sum(count(*)) OVER () AS q FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'N' GROUP BY 1),
+m AS (SELECT 'kl' AS metric, sum(p * ln(p / (coalesce(q, 0) + 1e-9))) AS value, 0.05::DOUBLE AS "limit" FROM p LEFT JOIN q USING (k) UNION ALL SELECT 'tv', sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 0.1::DOUBLE FROM p FULL JOIN q USING (k))
+SELECT metric, round(value, 8) AS value, "limit", value > "limit" AS violated FROM m""")
 def _(t):
     from ..operators.stats import realism_report
 
     b = lambda f: t("lineitem").where(F.col("l_returnflag") == f).join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_brand").alias("k"))
-    return realism_report(b("R"), b("N"), "k", {"kl": 0.05, "tv": 0.1})
+    return realism_report(b("R"), b("N"), "k", {"kl": 0.05, "tv": 0.1}).withColumn("value", F.round("value", 8))
 
 
 @query("l02_compaction", "SELECT user_id, max(event_id) AS event_id, count(*) AS folded FROM events GROUP BY 1")

@@ -10,7 +10,7 @@ from ..operators import joins as J
 from ..operators import ranking as D
 from ..operators import scoring as W
 from ..operators import text as T
-from .language import _dictionary, _glued
+from .language import _ENTRIES, _entries, _glued, _parses
 from .registry import query
 
 
@@ -87,10 +87,13 @@ def _(t):
     return j.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "r"))), lambda x: x["r"]), " ").alias("rendered"))
 
 
-@query("z02_all_readings")
+@query("z02_all_readings", f"""
+WITH RECURSIVE {_ENTRIES}, {_parses("SELECT DISTINCT replace(lower(p_name), ' ', 's') || 's' || lower(split_part(p_name, ' ', 2)) AS word FROM part", "'s'")}, c AS (SELECT word, min({{'un': un, 'm': m}}) AS c FROM parses GROUP BY 1)
+SELECT word, parse, un AS unaccounted, m AS morphemes FROM parses JOIN c USING (word) WHERE un = c.un AND m = c.m""")
 def _(t):
     """Every tied best parse of each glued name, with glue between parts allowed."""
-    return T.segment(_glued(t).select(F.concat("glued", F.lit("s"), "glued").alias("g")), "g", _dictionary(t), ("s",), all_ties=True)
+    name = F.lower("p_name")
+    return T.segment(t("part").select(F.concat(F.replace(name, F.lit(" "), F.lit("s")), F.lit("s"), F.split_part(name, F.lit(" "), F.lit(2))).alias("g")), "g", _entries(t), "w", ("s",), all_ties=True)
 
 
 @query("z04_stage_order", "SELECT o_custkey, string_agg(DISTINCT CAST(year(o_orderdate) AS VARCHAR), '>' ORDER BY CAST(year(o_orderdate) AS VARCHAR)) AS stages FROM orders GROUP BY 1")

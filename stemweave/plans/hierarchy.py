@@ -55,7 +55,11 @@ def _(t):
     return G.classify_by_parents(n, e, "id", "lang", "parent", "child", "kind", [("loan", ["lang1", "lang2", "lang3"], True), ("old", ["lang4", "lang5"], False), ("native", ["lang6", "lang7", "lang1"], False)], ["R"]).where("id >= 0")
 
 
-@query("g06_components")
+@query("g06_components", """
+WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS x, 1000000000 + l_partkey AS y FROM lineitem), b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(node, component) USING KEY (node) AS (SELECT x, min(least(x, y)) FROM b GROUP BY 1 UNION
+  SELECT b.y, min(r.component) FROM r JOIN b ON b.x = r.node JOIN recurring.r AS c ON c.node = b.y WHERE r.component < c.component GROUP BY 1)
+SELECT node, component FROM r""")
 def _(t):
     e = t("lineitem").selectExpr("l_orderkey as a", "1000000000 + l_partkey as b")
     return G.min_label_components(e, "a", "b")

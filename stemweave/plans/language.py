@@ -18,31 +18,45 @@ def _glued(t):
     return t("part").select("p_partkey", F.lower(F.replace("p_name", F.lit(" "), F.lit(""))).alias("glued"), F.split(F.lower("p_name"), " ").alias("w"))
 
 
-def _dictionary(t):
-    """The distinct words of part names; the list is checked to be small before it becomes a literal."""
-    words = [r.w for r in t("part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct().limit(10_001).collect()]
-    if len(words) > 10_000:
-        raise ValueError("the dictionary of part words is larger than a literal may be")
-    return sorted(words)
+_ENTRIES = "d AS (SELECT DISTINCT left(w, 3) AS w FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) UNION SELECT DISTINCT right(w, 2) FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part))"
 
 
-@query("t02_all_segmentations")
-def _(t):
-    words = _dictionary(t)
+def _entries(t):
+    """A dictionary that leaves letters over: the first three and the last two letters of the words of part names."""
+    w = t("part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w"))
+    return w.select(F.left("w", F.lit(3)).alias("w")).union(w.select(F.right("w", F.lit(2)))).distinct()
+
+
+def _parses(words: str, glue: str = "NULL") -> str:
+    """SQL: every parse ``(word, parse, un, m, rank)`` of the words of a query, step by step."""
+    return f"""g AS ({words}), pos AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM g),
+tr AS (SELECT word, i, w AS token, length(w) AS n, 0 AS cu, 1 AS cm, 'behind' AS kind FROM pos JOIN d ON substr(word, i, length(w)) = w
+  UNION ALL SELECT word, i, '+' || {glue} || '+', 1, 0, 0, 'glued' FROM pos WHERE substr(word, i, 1) = {glue}
+  UNION ALL SELECT word, i, '(' || substr(word, i, x) || ')', x, x, 0, 'closed' FROM (SELECT word, i, unnest(range(1, length(word) - i + 2)) AS x FROM pos)),
+p AS (SELECT word, 1::BIGINT AS i, '' AS parse, 0::BIGINT AS un, 0::BIGINT AS m, 0::BIGINT AS rank, 'any' AS kind FROM g
+  UNION ALL SELECT p.word, p.i + n, CASE WHEN parse = '' THEN token ELSE parse || ' ' || token END, un + cu, m + cm, CASE WHEN p.i > 1 THEN rank WHEN tr.kind = 'behind' THEN -n ELSE 1 END, tr.kind
+  FROM p JOIN tr ON tr.word = p.word AND tr.i = p.i WHERE tr.kind = 'behind' OR (tr.kind = 'glued' AND p.kind = 'behind') OR (tr.kind = 'closed' AND p.kind IN ('any', 'behind'))),
+parses AS (SELECT word, parse, un, m, rank FROM p WHERE i = length(word) + 1 AND kind <> 'glued')"""
+
+
+_NAMES = f"SELECT DISTINCT {_GLUED} AS word FROM part"
+_S_NAMES = "SELECT DISTINCT replace(lower(p_name), ' ', 's') AS word FROM part"
+
 
-    def run(frames):
-        import pandas as pd
+@query("t02_all_segmentations", f"WITH RECURSIVE {_ENTRIES}, {_parses(_NAMES)} SELECT word AS glued, count(*) AS parses FROM parses GROUP BY 1")
+def _(t):
+    return T.parse_counts(_glued(t), "glued", _entries(t), "w").withColumnRenamed("word", "glued")
 
-        trie = T.build_trie(words)
-        for pdf in frames:
-            yield pd.DataFrame([(w, len(T.segmentations(w, trie))) for w in pdf["glued"]], columns=["glued", "parses"])
 
-    return _glued(t).select("glued").distinct().mapInPandas(run, "glued string, parses long")
+@query("t03_best_segmentation", f"WITH RECURSIVE {_ENTRIES}, {_parses(_NAMES)} SELECT word, arg_min(parse, (un, m, rank, parse)) AS parse, min((un, m)).un AS unaccounted, min((un, m)).m AS morphemes FROM parses GROUP BY 1".replace("min((un, m)).un", "min({'un': un, 'm': m}).un").replace("min((un, m)).m", "min({'un': un, 'm': m}).m"))
+def _(t):
+    return T.segment(_glued(t), "glued", _entries(t), "w")
 
 
-@query("t03_best_segmentation", f"SELECT DISTINCT {_GLUED} AS word, lower(p_name) AS parse, 0 AS unaccounted, 2 AS morphemes FROM part")
+@query("t05_connective_glue", f"WITH RECURSIVE {_ENTRIES}, {_parses(_S_NAMES, chr(39) + 's' + chr(39))} SELECT word, arg_min(parse, (un, m, rank, parse)) AS parse, min({{'un': un, 'm': m}}).un AS unaccounted, min({{'un': un, 'm': m}}).m AS morphemes FROM parses GROUP BY 1")
 def _(t):
-    return T.segment(_glued(t), "glued", _dictionary(t)).select("word", "parse", F.col("unaccounted").cast("int").alias("unaccounted"), F.col("morphemes").cast("int").alias("morphemes"))
+    """Names whose words are glued by a letter, which costs nothing between two entries."""
+    return T.segment(t("part").select(F.replace(F.lower("p_name"), F.lit(" "), F.lit("s")).alias("g")), "g", _entries(t), "w", ("s",))
 
 
 @query("t03_split_point_segmentation", f"SELECT DISTINCT {_GLUED} AS word, split_part(lower(p_name), ' ', 1) AS head, split_part(lower(p_name), ' ', 2) AS tail FROM part")
@@ -112,7 +126,10 @@ def _(t):
     return q.join(found, "item_id", "left").select("item_id", "doc_id", T.refill_quote(F.col("q"), F.col("text"), 80, 200).alias("refilled"))
 
 
-@query("c18_paragraph_chunks")
+@query("c18_paragraph_chunks", r"""
+WITH RECURSIVE p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, length(p) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents) WHERE trim(p) <> ''),
+r AS (SELECT doc_id, i, 0::BIGINT AS chunk, n AS used FROM p WHERE i = 1 UNION ALL SELECT r.doc_id, p.i, CASE WHEN used + n + 2 <= 1000 THEN chunk ELSE chunk + 1 END, CASE WHEN used + n + 2 <= 1000 THEN used + n + 2 ELSE n END FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1)
+SELECT doc_id, chunk, max(used) AS n_chars FROM r GROUP BY 1, 2""")
 def _(t):
     lines = F.regexp_replace("text", "\n", "\n\n")
     return t("documents").select("doc_id", F.posexplode(T.pack_paragraphs(lines, 1000)).alias("chunk", "text")).select("doc_id", "chunk", F.length("text").alias("n_chars"))
@@ -151,24 +168,38 @@ def _(t):
     return T.suffix_anchor(g, "glued", g.select(F.element_at("w", -1).alias("s")), "s")
 
 
-@query("t25_low_overlap")
+@query("t25_low_overlap", """
+WITH x AS (SELECT DISTINCT p_name, p_brand, regexp_replace(lower(p_name), '[^a-z]+', '', 'g') AS a, regexp_replace(lower(p_brand), '[^a-z]+', '', 'g') AS b FROM lineitem JOIN part ON p_partkey = l_partkey),
+k AS (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM x), r AS (SELECT p_name, p_brand, a, b, i, unnest(range(1, length(a) - i + 2)) AS n FROM k),
+c AS (SELECT p_name, p_brand, max(CASE WHEN contains(b, substr(a, i, n)) THEN n ELSE 0 END) AS common FROM r GROUP BY 1, 2)
+SELECT p_name, p_brand, common FROM c WHERE common < 3""")
 def _(t):
     j = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select("p_name", "p_brand").distinct()
     run = T.longest_common_run(S.fold_surface(F.col("p_name")), S.fold_surface(F.col("p_brand")))
     return j.select("p_name", "p_brand", run.alias("common")).where("common < 3")
 
 
-@query("t26_sound_changes")
-def _(t):
-    rules = [("^sm", "schm", 0.7), ("ing$", "ung", 1.0), ("o", "a", 0.4)]
+_ERAS = """ru AS (SELECT * FROM (VALUES ('early', 1, 'sm', 'schm', 0.7), ('early', 2, 'ng', 'nk', 1.0), ('late', 1, 'o', 'a', 0.4), ('late', 2, 'schm', 'shm', 1.0), ('late', 3, 'r', '', 0.25)) AS v(era, k, a, b, w))"""
+_RULES = {"early": [("sm", "schm", 0.7), ("ng", "nk", 1.0)], "late": [("o", "a", 0.4), ("schm", "shm", 1.0), ("r", "", 0.25)]}
 
-    def run(frames):
-        import pandas as pd
 
-        for pdf in frames:
-            yield pd.DataFrame([(w, f, round(m, 6)) for w in pdf["glued"] for f, m in T.sound_changes(w, rules)], columns=["form", "candidate", "mass"])
+@query("t26_sound_changes", f"""
+WITH RECURSIVE {_ERAS}, s AS (SELECT DISTINCT {_GLUED} AS form, era, {_GLUED} AS candidate, 1.0::DOUBLE AS mass, 0 AS k FROM part, (SELECT DISTINCT era FROM ru)
+  UNION ALL SELECT form, s.era, CASE WHEN z = 0 THEN replace(candidate, a, b) ELSE candidate END, mass * CASE WHEN z = 0 THEN w ELSE 1 - w END, s.k + 1 FROM s JOIN ru ON ru.era = s.era AND ru.k = s.k + 1 JOIN (VALUES (0), (1)) AS q(z) ON z = 0 OR w < 1)
+SELECT form, s.era, candidate, round(sum(mass), 6) AS mass FROM s JOIN (SELECT era, max(k) AS last FROM ru GROUP BY 1) m ON m.era = s.era AND m.last = s.k GROUP BY 1, 2, 3""")
+def _(t):
+    """Candidate spellings of each glued name after the rules of each era."""
+    return T.sound_change_table(_glued(t), "glued", _RULES, "form").withColumn("mass", F.round("mass", 6))
+
 
-    return _glued(t).select("glued").distinct().mapInPandas(run, "form string, candidate string, mass double")
+@query("t26_inverse_sound_changes", f"""
+WITH e AS (SELECT DISTINCT {_GLUED} AS form FROM part), c AS (SELECT form, replace(replace(form, 'ng', 'nk'), 'o', 'a') AS attested FROM e)
+SELECT attested, form AS origin FROM c""")
+def _(t):
+    """The names that each changed spelling may come from: the changes of all names, looked up by what they give."""
+    forms = _glued(t).select("glued").distinct()
+    attested = forms.select(F.replace(F.replace("glued", F.lit("ng"), F.lit("nk")), F.lit("o"), F.lit("a")).alias("attested")).distinct()
+    return T.sound_change_origins(attested, "attested", forms, "glued", [("ng", "nk", 1.0), ("o", "a", 1.0)]).select("attested", "origin")
 
 
 @query("t28_spelling_vector", """

@@ -37,7 +37,8 @@ def _(t):
     return t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
 
 
-@query("c13_entry_split")
+@query("c13_entry_split", r"""
+SELECT doc_id, len(regexp_extract_all(text, '(?m)^[A-Z][A-Z-]+\b[,.]')) + CASE WHEN trim(regexp_replace(text, '(?ms)^[A-Z][A-Z-]+\b[,.].*', '')) <> '' THEN 1 ELSE 0 END AS entries FROM documents""")
 def _(t):
     return t("documents").select("doc_id", F.size(S.split_entries(F.col("text"))).alias("entries"))
 
@@ -48,7 +49,9 @@ def _(t):
     return j.groupBy("o_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("l_partkey")), lambda x: x.cast("string")), ",").alias("refs"))
 
 
-@query("k03_documents")
+@query("k03_documents", """
+SELECT o_custkey, to_json({'orders': list_sort(list(DISTINCT {'o_orderkey': o_orderkey, 'o_orderpriority': o_orderpriority})), 'parts': list_sort(list(DISTINCT {'l_partkey': l_partkey, 'l_returnflag': l_returnflag}))})::VARCHAR AS document
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def _(t):
     j = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     return K.documents(j, "o_custkey", {"orders": ("o_orderkey", ["o_orderpriority"]), "parts": ("l_partkey", ["l_returnflag"])})

@@ -357,8 +357,8 @@ def _(t):
 
 
 @query("a25_conditional_tallies", """
-WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)), t AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1)
-SELECT l.word AS long_form, s.word AS short_form, tl.n AS long_count, ts.n AS short_count FROM w l JOIN w s ON l.word = 's' || s.word JOIN t tl ON tl.word = l.word JOIN t ts ON ts.word = s.word""")
+WITH n AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1), l AS (SELECT word, substr(word, 2) AS s, n FROM n WHERE starts_with(word, 's') AND length(word) > 1)
+SELECT l.word AS long_form, n.word AS short_form, l.n AS long_count, n.n AS short_count FROM l JOIN n ON n.word = l.s""")
 def _(t):
     n = t("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     long = n.where("w like 's%' and length(w) > 1").select(F.col("w").alias("long_form"), F.expr("substring(w, 2)").alias("short_form"), F.col("n").alias("long_count"))

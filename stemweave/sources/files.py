@@ -10,14 +10,18 @@ from pyspark.sql.types import StructType
 def numbered_lines(spark: SparkSession, path, exclude: list[str] = (), pattern: str = "*.jsonl") -> DataFrame:
     """``(file, line_no, value)`` of the lines of text files; blank lines and ``#`` comments keep their number but go.
 
-    A file is one record here, so that numbers need no shuffle over the whole table: a log file is an append-only
-    ledger of one source.  Files named in ``exclude`` are left out.
+    Files are split as any text source is.  Lines of one block of a file follow one another in one task, so their running ids give
+    their places in the block; the numbers of lines of the blocks before are added from a table of one row per block.  No
+    line is shuffled and no file is held whole.  Files named in ``exclude`` are left out.
     """
-    whole = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    lines = spark.read.option("pathGlobFilter", pattern).text(path).select("value", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
     if exclude:
-        whole = whole.where(~F.col("file").isin(list(exclude)))
-    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("i", "value"))
-    return lines.select("file", (F.col("i") + 1).alias("line_no"), "value").where("trim(value) <> '' and not startswith(ltrim(value), '#')")
+        lines = lines.where(~F.col("file").isin(list(exclude)))
+    blocks = lines.groupBy("_path", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("_path", "_start", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = lines.join(blocks, ["_path", "_start"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int").alias("line_no"), "value")
+    return numbered.where("trim(value) <> '' and not startswith(ltrim(value), '#')")
 
 
 def read_jsonl(spark: SparkSession, path, schema: str, **options) -> DataFrame:
@@ -30,60 +34,38 @@ def read_jsonl(spark: SparkSession, path, schema: str, **options) -> DataFrame:
 
 
 def compressed_lines(spark: SparkSession, path) -> DataFrame:
-    """``(file, value)`` of plain, gzip or Zstandard line files, streamed one file at a time inside the tasks."""
+    """``(file, value)`` of plain, gzip or Zstandard line files.
+
+    Plain files are split, gzip files are streamed by the text source, and Zstandard files are opened by name inside the tasks and streamed
+    frame by frame, so memory does not grow with a file.
+    """
     import io
 
     import pyarrow as pa
     import zstandard
+    from pyarrow import fs
 
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = io.BytesIO(content.as_py())
-                if name.endswith(".zst"):
+            for uri in batch.column(0).to_pylist():
+                place, inner = fs.FileSystem.from_uri(uri)
+                with place.open_input_stream(inner, compression=None) as raw:
                     stream = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
-                elif name.endswith(".gz"):
-                    import gzip
-
-                    stream = gzip.GzipFile(fileobj=raw)
-                else:
-                    stream = raw
-                held = []
-                for line in io.TextIOWrapper(stream, "utf-8"):
-                    held.append(line.rstrip("\r\n"))
-                    if len(held) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(held)), pa.array(held)], ["file", "value"])
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(held)), pa.array(held)], ["file", "value"])
-
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, "file string, value string")
-
-
-#: how a template's name maps to the type of the edge it states (fixed values)
-TEMPLATE_EDGES = {"inh": "inheritance", "inherited": "inheritance", "bor": "borrowing", "borrowed": "borrowing", "der": "derivation", "derived": "derivation", "cal": "calque", "calque": "calque", "cog": "cognate", "cognate": "cognate", "affix": "compound", "compound": "compound"}
-
-
-def dictionary_edges(entries: DataFrame) -> DataFrame:
-    """``(child, parent, edge_type)`` from ``entries(word, lang_code, etymology_templates array<struct<name, args map>>)``."""
-    kind = F.create_map(*[F.lit(x) for kv in TEMPLATE_EDGES.items() for x in kv])
-    t = entries.select("word", "lang_code", F.explode("etymology_templates").alias("t"))
-    edge = F.try_element_at(kind, F.col("t.name"))
-    parent = F.concat_ws(":", F.try_element_at("t.args", F.lit("2")), F.try_element_at("t.args", F.lit("3")))
-    return t.where(edge.isNotNull() & F.try_element_at("t.args", F.lit("3")).isNotNull()).select(F.concat_ws(":", "lang_code", "word").alias("child"), parent.alias("parent"), edge.alias("edge_type")).distinct()
-
-
-def descendant_edges(entries: DataFrame, depth: int = 8) -> DataFrame:
-    """``(child, parent)`` of a tree column ``descendants`` given as JSON text: each level is exploded in turn."""
-    node = "array<struct<word:string,lang_code:string,descendants:string>>"
-    level = entries.select(F.concat_ws(":", "lang_code", "word").alias("parent"), F.explode(F.from_json("descendants", node)).alias("d"))
-    out = None
-    for _ in range(depth):
-        named = level.select("parent", F.concat_ws(":", "d.lang_code", "d.word").alias("child"), F.col("d.descendants").alias("rest"))
-        out = named.select("child", "parent") if out is None else out.unionByName(named.select("child", "parent"))
-        level = named.select(F.col("child").alias("parent"), F.explode(F.from_json("rest", node)).alias("d"))
-    return out.distinct()
+                    held = []
+                    for line in io.TextIOWrapper(stream, "utf-8"):
+                        held.append(line.rstrip("\r\n"))
+                        if len(held) == 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array([uri] * len(held)), pa.array(held)], ["path", "value"])
+                            held = []
+                    if held:
+                        yield pa.RecordBatch.from_arrays([pa.array([uri] * len(held)), pa.array(held)], ["path", "value"])
+
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    plain = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").where("not endswith(path, '.zst')")
+    # only names are read here, and each is a task of its own
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.zst").load(path).select("path")
+    files = packed.repartition(max(1, packed.count()), "path").mapInArrow(run, "path string, value string")
+    return plain.unionByName(files).select(name, "value")
 
 
 def map_categories(rows: DataFrame, key: str, categories: str, rules: dict[str, str]) -> DataFrame:
@@ -111,6 +93,37 @@ def csv_events(spark: SparkSession, path, required: list[str], name: str, year:
     return rows.select("ref", "form").dropDuplicates(["ref"]), rows.select("ref", "form", "date_year")
 
 
+def csv_source(spark: SparkSession, path, columns: dict) -> tuple[DataFrame, DataFrame]:
+    """:func:`csv_events` by the column map of a source: ``name``, ``year`` (or None), ``default_year``, ``window``, ``required``."""
+    return csv_events(spark, path, columns["required"], columns["name"], columns.get("year"), columns["default_year"], columns["window"])
+
+
+def parse_name_index(lines: DataFrame, value: str) -> DataFrame:
+    """``(headform, toponym, county)`` of index lines ``Head: Place (County); Place (County).``; other lines are passed over."""
+    head = r"^\s*(\p{Lu}[\w\p{L}'# -]*):\s*(.+?)\.?\s*$"
+    x = lines.where(F.col(value).rlike(head)).select(F.regexp_extract(value, head, 1).alias("headform"), F.explode(F.split(F.regexp_extract(value, head, 2), r"\s*;\s*")).alias("p"))
+    place = r"^(.+?)\s*\(([^()]+)\)$"
+    return x.where(F.col("p").rlike(place)).select("headform", F.regexp_extract("p", place, 1).alias("toponym"), F.regexp_extract("p", place, 2).alias("county"))
+
+
+def import_seeds(have: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``have(id, label, hypernym_id)`` with the groups of ``seeds(label, hypernym)`` that it lacks; ids come from labels, so a
+    repeated import adds nothing, and the label above becomes its id where that group is there."""
+    ident = lambda c: F.concat(F.lit("S"), F.left(F.sha2(F.concat(F.lit("="), c), 256), F.lit(16)))
+    new = seeds.dropDuplicates(["label"]).join(have, "label", "left_anti").select(ident(F.col("label")).alias("id"), "label", F.when(F.col("hypernym").isNotNull(), ident(F.col("hypernym"))).alias("_up"))
+    known = have.select("id").union(new.select("id")).distinct().withColumnRenamed("id", "hypernym_id")
+    added = new.join(known, F.col("_up") == F.col("hypernym_id"), "left").select("id", "label", "hypernym_id")
+    return have.select("id", "label", "hypernym_id").unionByName(added)
+
+
+def bridge_merges(nodes: DataFrame, ident: str, language: str, form: str, table: dict[str, str]) -> DataFrame:
+    """``(id, merged_into)``: nodes whose form a hand table maps to another form that their language has (its lowest id)."""
+    to = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    winners = nodes.groupBy(F.col(language).alias("_l"), F.col(form).alias("_f")).agg(F.min(ident).alias("merged_into"))
+    named = nodes.withColumn("_to", F.try_element_at(to, F.col(form))).where("_to is not null")
+    return named.join(winners, (F.col(language) == F.col("_l")) & (F.col("_to") == F.col("_f"))).where(F.col(ident) != F.col("merged_into")).select(ident, "merged_into")
+
+
 def flatten_gazetteer(rows: DataFrame, column: str) -> DataFrame:
     """``(country, region, name)`` from JSON text ``{country: {region: [names]}}``."""
     x = rows.select(F.explode(F.from_json(column, "map<string,map<string,array<string>>>")).alias("country", "r"))

@@ -56,3 +56,71 @@ def documents(df: DataFrame, key: str, parts: dict[str, tuple[str, list[str]]])
 def csv_report(df: DataFrame, path: str, order: list[str]) -> None:
     """A CSV with a header in a fixed order."""
     df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
+
+
+def _move_only_part(spark, folder: str, target: str) -> None:
+    """The one part file of a written folder becomes the file ``target``."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(folder).getFileSystem(conf)
+    (part,) = [f.getPath() for f in fs.listStatus(at(folder)) if f.getPath().getName().startswith("part-")]
+    fs.mkdirs(at(target).getParent())
+    if fs.exists(at(target)):
+        fs.delete(at(target), False)
+    if not fs.rename(part, at(target)):
+        raise OSError(f"could not put {target} in place")
+    fs.delete(at(folder), True)
+
+
+def named_lines(df: DataFrame, target: str, line: str, order: list[str]) -> None:
+    """A ledger: one text file of a fixed name with the lines of ``df`` in order.  It is one file, so one task writes it."""
+    folder = f"{target}.{uuid.uuid4().hex}.parts"
+    df.orderBy(*order).select(line).coalesce(1).write.text(folder)
+    _move_only_part(df.sparkSession, folder, target)
+
+
+def zstandard_lines(df: DataFrame, path: str, line: str) -> int:
+    """Zstandard line files, one for each partition of ``df``, named by its number so that a repeated task writes the same file; the number of lines."""
+    import pyarrow as pa
+    import zstandard
+    from pyarrow import fs
+    from pyspark import TaskContext
+
+    def run(batches):
+        place, inner = fs.FileSystem.from_uri(path)
+        place.create_dir(inner, recursive=True)
+        n = 0
+        with place.open_output_stream(f"{inner}/part-{TaskContext.get().partitionId():05d}.zst", compression=None) as raw, zstandard.ZstdCompressor().stream_writer(raw) as out:
+            for batch in batches:
+                values = batch.column(0).to_pylist()
+                out.write("".join(f"{v}\n" for v in values).encode())
+                n += len(values)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return df.select(line).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def json_sidecar(df: DataFrame, target: str, key: str) -> None:
+    """A byte-stable sidecar: one JSON line per row, fields in the order of the columns, rows in order of the key."""
+    named_lines(df.select(key, F.to_json(F.struct(*df.columns)).alias("line")), target, "line", [key])
+
+
+def gold_tables(words: DataFrame, structures: DataFrame, path: str, culture: str, weight: str, word: str, structure: str) -> None:
+    """The tables that generation reads, each replaced as a whole: words and structures of each culture with their
+    cumulative weights (in order of the word or structure), and the totals."""
+
+    def cumulated(df, key):
+        order = Window.partitionBy(culture).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+        return df.groupBy(culture, key).agg(F.sum(weight).alias(weight)).withColumn("cumulative", F.sum(weight).over(order))
+
+    replace_atomically(cumulated(words, word), f"{path}/words")
+    replace_atomically(cumulated(structures, structure), f"{path}/structures")
+    totals = words.groupBy(culture).agg(F.count("*").alias("n"), F.sum(weight).alias("total"))
+    replace_atomically(totals, f"{path}/totals")
+
+
+def read_bundle(spark, path: str, culture: str, weight: str, word: str, structure: str) -> DataFrame:
+    """``(culture, bundle)``: the gold tables nested again, one JSON document per culture."""
+    rows = lambda name, key: spark.read.parquet(f"{path}/{name}").groupBy(culture).agg(F.sort_array(F.collect_list(F.struct(key, weight, "cumulative"))).alias(name))
+    totals = spark.read.parquet(f"{path}/totals")
+    return totals.join(rows("words", word), culture, "left").join(rows("structures", structure), culture, "left").select(culture, F.to_json(F.struct("n", "total", "structures", "words")).alias("bundle"))

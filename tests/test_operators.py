@@ -59,7 +59,37 @@ def test_graph_edges(spark):
     assert got == {1: 1, 2: 1, 3: 1, 5: 5, 8: None, 9: None}
     n = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 5), (5, 4), (6, 99)], "id long, to_id long")
     assert {(r.id, r.terminal, r.cyclic) for r in graph.flatten_chains(n, "id", "to_id").collect()} == {(1, 1, False), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True), (6, 99, False)}
-    assert graph.break_cycles([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")]) == ([("a", "b"), ("b", "c"), ("d", "a")], [("c", "a")])
+
+
+def test_break_cycles_against_union_find(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.randrange(15), rng.randrange(15), rng.randrange(20)) for _ in range(60)] + [(3, 3, 0), (1, 2, 5), (1, 2, 5)]
+    root = list(range(15))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    want = []
+    for k, a, b in sorted((k, a, b) for a, b, k in rows):
+        x, y = find(a), find(b)
+        root[x] = y
+        want.append((a, b, k, x != y))
+    got = [tuple(r) for r in graph.break_cycles(spark.createDataFrame(rows, "a long, b long, k long"), "a", "b", "k").collect()]
+    assert sorted(got) == sorted(want)
+    assert graph.break_cycles(spark.createDataFrame([], "a long, b long, k long"), "a", "b", "k").count() == 0
+
+
+def test_depth_has_no_bound(spark):
+    chain = spark.range(1, 71).selectExpr("id as child", "id - 1 as parent")
+    assert graph.ancestors(spark.createDataFrame([(70,)], "s long"), chain, "s", "parent", "child").count() == 71
+    cycle = spark.createDataFrame([(1, 2), (2, 1)], "child long, parent long")
+    assert {(r.node, r.depth) for r in graph.ancestors(spark.createDataFrame([(1,)], "s long"), cycle, "s", "parent", "child").collect()} == {(1, 0), (2, 1)}
+    roots = graph.smallest_reaching_root(spark.range(1, 231).selectExpr("id as c", "id - 1 as p"), "p", "c")
+    assert roots.where("root = 0").count() == 231
 
 
 def test_components_against_brute_force(spark):
@@ -95,7 +125,50 @@ def test_segmentation():
     assert text.best_segmentations("xyz", trie)[0] == ["(x)", "y", "(z)"]
     assert text.best_segmentations("bridgsham", trie, ("s",)) == [["bridg", "+s+", "ham"]]
     assert text.best_segmentations("", trie) == [[]]
-    assert ["bridg", "water"] in text.segmentations("bridgwater", trie) and ["(bridgwater)"] in text.segmentations("bridgwater", trie)
+    starts = text.trie_starts("bridgwater", trie)
+    every = list(text.segmentations("bridgwater", starts))
+    assert ["bridg", "water"] in every and ["(bridgwater)"] in every and len(every) == len({tuple(p) for p in every}) == text.count_segmentations("bridgwater", starts)
+
+
+def test_best_parses_against_all_parses():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        trie = text.build_trie({"".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) for _ in range(4)})
+        word = "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))
+        every = list(text.segmentations(word, text.trie_starts(word, trie)))
+        cost = lambda p: (sum(len(x) - 2 for x in p if x[0] == "("), sum(x[0] != "(" for x in p))
+        low = min(map(cost, every))
+        best = text.best_segmentations(word, trie)
+        assert sorted(best) == sorted(p for p in every if cost(p) == low)
+        assert best[0] == min(best, key=lambda p: (-len(p[0]) if p and p[0][0] != "(" else 1, p))
+
+
+def test_ties_and_words_have_no_bound(spark):
+    words = spark.createDataFrame([("abc" * 12,), ("A-b",), (None,), ("",)], "w string")
+    entries = spark.createDataFrame([("a",), ("bc",), ("ab",), ("c",), ("-",), (None,)], "e string")
+    got = text.segment(words, "w", entries, "e", all_ties=True).groupBy("word").count().collect()
+    starts = text.trie_starts("abc" * 12, text.build_trie(["a", "bc", "ab", "c"]))
+    want = sum(1 for _ in text.BestParses("abc" * 12, starts).all())
+    assert {r.word: r["count"] for r in got} == {"abc" * 12: want, "a-b": 1} and want == 2**12
+    long = spark.createDataFrame([("ab" * 20,)], "w string")
+    count = text.parse_counts(long, "w", spark.createDataFrame([("a",), ("b",)], "e string"), "e").first().parses
+    assert count == 2**40
+
+
+def test_longest_common_run(spark):
+    rows = [("abcdefghijklmnopqrst", "xxbcdefghijklmnopqrsyy", 18), ("abc", "xyz", 0), ("", "a", 0), ("a", "a", 1), (None, "a", 0), ("banana", "ananas", 5)]
+    df = spark.createDataFrame(rows, "a string, b string, n int")
+    assert all(r.n == r.got for r in df.select("n", text.longest_common_run(F.col("a"), F.col("b")).alias("got")).collect())
+
+
+def test_residual_span():
+    assert text.residual_span("nettleton", [["nettle"]]) == "ton"
+    assert text.residual_span("downton", [["dow", "down"]]) == "ton"  # the longer spelling leaves less over
+    assert text.residual_span("tondown", [["down"]]) == "ton"  # in any order
+    assert text.residual_span("abxxab", [["ab"], ["ab"]]) == "xx" and text.residual_span("abc", [["ab"]]) is None
+    assert text.residual_span("abxyab", [["ab"]]) is None  # a head and a tail of one length: two rests
 
 
 def test_residual_and_sound_changes():
@@ -133,7 +206,7 @@ def test_jsonl_numbers_and_errors(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('# head\n{"ref": "x", "n": 1}\n\n{"ref": "y"}\n')
     (tmp_path / "skip.jsonl").write_text("not json\n")
     got = files.read_jsonl(spark, str(tmp_path), "ref string, n int", exclude=["skip.jsonl"]).collect()
-    assert [(r.file, r.line_no, r.ref, r.n) for r in got] == [("a.jsonl", 2, "x", 1), ("a.jsonl", 4, "y", None)]
+    assert sorted((r.file, r.line_no, r.ref, r.n) for r in got) == [("a.jsonl", 2, "x", 1), ("a.jsonl", 4, "y", None)]
     with pytest.raises(Exception, match="skip.jsonl:1"):
         files.read_jsonl(spark, str(tmp_path), "ref string, n int").collect()
 
@@ -157,11 +230,25 @@ def test_csv_events(spark, tmp_path):
         files.csv_events(spark, str(p), ["vill"], "vill", None, 1, (0, 1))
 
 
-def test_dictionary_parsers(spark):
-    t = "array<struct<name:string,args:map<string,string>>>"
-    e = spark.createDataFrame([("town", "en", [("inh", {"1": "en", "2": "ang", "3": "tun"}), ("foo", {"2": "x", "3": "y"})], '[{"word":"toun","lang_code":"sco","descendants":"[{\\"word\\":\\"w\\",\\"lang_code\\":\\"q\\"}]"}]')], f"word string, lang_code string, etymology_templates {t}, descendants string")
-    assert [tuple(r) for r in files.dictionary_edges(e).collect()] == [("en:town", "ang:tun", "inheritance")]
-    assert {tuple(r) for r in files.descendant_edges(e).collect()} == {("sco:toun", "en:town"), ("q:w", "sco:toun")}
+def test_dictionary_shapes(spark, tmp_path):
+    from stemweave.sources import dictionary
+
+    lines = [
+        '{"word":"town","lang_code":"en","senses":[{"glosses":["settlement"]}],"etymology_templates":[{"name":"inh","args":{"1":"en","2":"ang","3":"tun"}},{"name":"foo","args":{"2":"x","3":"y"}},{"name":"cog","args":{"1":"de","2":"Zaun"}},{"name":"bor","args":{"1":"en"}},{"name":"root","args":{"1":"en","2":"ine-pro","3":"*a","4":"","5":"*b","7":"*c"}}],"descendants":[{"word":"toun","lang_code":"sco","raw_tags":["borrowed"],"descendants":[{"word":"w","lang_code":"q","descendants":[]}]}]}',
+        '{"word":"treehouse","lang_code":"en","etymology_templates":[{"name":"compound","args":{"1":"en","2":"tree","3":"house"}},{"name":"clipping","args":{"1":"en","2":"treehousing"}},{"name":"af"}]}',
+        '{"word":"","lang_code":"en"}',
+    ]
+    (tmp_path / "d.jsonl").write_text("\n".join(lines))
+    tables = dictionary.ingest(dictionary.read_entries(spark, str(tmp_path)))
+    assert {tuple(r) for r in tables["edges"].collect()} == {
+        ("en:town", "ang:tun", "inheritance"), ("en:town", "ine-pro:*a", "inheritance"), ("en:town", "ine-pro:*b", "inheritance"), ("en:treehouse", "en:tree", "compound"),
+        ("en:treehouse", "en:house", "compound"), ("en:treehouse", "en:treehousing", "derivation"), ("sco:toun", "en:town", "borrowing"), ("q:w", "sco:toun", "inheritance"),
+    }
+    words = {r.ref: r.gloss for r in tables["words"].collect()}
+    assert words["en:town"] == "settlement" and words["ang:tun"] is None and len(words) == 10
+
+
+def test_derivation_parsers(spark):
     d = spark.createDataFrame([("OE tun - farm; enclosure; ON by - village",), ("stray",)], "d string").select(files.parse_derivation(F.col("d"), ["OE", "ON"]).alias("x")).collect()
     assert [tuple(e) for e in d[0].x] == [("OE", "tun", "farm; enclosure"), ("ON", "by", "village")] and d[1].x == []
     c = spark.createDataFrame([(1, "From Old English tun, from Proto-Germanic *tunaz.")], "k int, t string").select("k", files.etymology_chain(F.col("t"), ["Old English", "Proto-Germanic"]).alias("c"))
