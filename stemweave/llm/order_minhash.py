@@ -16,13 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small, table
 
 POSITION_BITS = 24
 BIN_BITS = 7
 _LOW = (1 << POSITION_BITS) - 1
 QUANTILES = 256
+HOT_IDS = 2048
 ROWS_PER_BUCKET = 5000
+TASK_BYTES = 16 << 20
+MOST_TASKS = 20_000
 
 
 def _let(value: Column, body) -> Column:
@@ -47,12 +50,16 @@ def _earlier(a: Column, i: Column, x: Column) -> Column:
 
 
 def signature(text: Column, k: int = 3, l: int = 2) -> Column:  # noqa: E741
-    """An array of ``bin << 32 | 32-bit tuple hash``, one entry for each bin that has a k-mer; empty for a blank text."""
+    """An array of ``bin << 32 | 32-bit tuple hash``, one entry for each bin that has a k-mer; empty for a blank text.
+
+    Places have ``POSITION_BITS`` bits: behind the first 16 million pieces all have the last place, so there the order within a tuple is
+    that of the hashes.
+    """
     pieces = F.regexp_extract_all(text, F.lit(r"((?<!\S)\S{1,12}(?!\S)|\S)"), F.lit(1))
 
     def numbered(w):
         kmer = lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)])
-        return F.sort_array(F.transform(w, lambda x, i: _hash_part(kmer(x, i)).bitwiseOR(i.cast("long"))))
+        return F.sort_array(F.transform(w, lambda x, i: _hash_part(kmer(x, i)).bitwiseOR(F.least(i.cast("long"), F.lit(_LOW)))))
 
     def again(a):
         def entry(x, i):
@@ -93,27 +100,42 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Rows ``(doc_id, text, b, o)`` dealt into buckets ``b`` of consecutive ids, and ``(b, next_text)``: the text
     that follows each bucket (behind the last one, the first).
 
-    The order is (id, hash of the text); null ids come first.  At most ``QUANTILES`` ids come to the driver.
+    The order is (id, hash of the text); null ids come first.  At most ``QUANTILES`` ids come to the driver, and the ids with more
+    than one in ``HOT_IDS`` of the rows, of which there are fewer than that.  Rows of such an id, and those without one, are dealt
+    into buckets by the hash of their text, which is their order.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    seen = rows.agg(F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES)], 10_000).alias("q"), F.count("*").alias("n"), F.max("doc_id").alias("top")).first()
-    edges = sorted(set(seen.q or [0]))
-    per = min(400, max(1, -(-seen.n // (ROWS_PER_BUCKET * len(edges)))))
-    lows = F.array(*[F.lit(x) for x in edges])
-    highs = F.array(*[F.lit(x) for x in [*edges[1:], max((seen.top or 0) + 1, edges[-1] + 1)]])
+    seen = rows.agg(F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES)], 10_000).alias("q"), F.count("*").alias("n"), F.max("doc_id").alias("top"), F.count_if(F.col("doc_id").isNull()).alias("lost"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    often = rows.where("doc_id is not null").groupBy("doc_id").count().where((F.col("count") > ROWS_PER_BUCKET) & (F.col("count") * HOT_IDS > seen.n)).collect()
+    hot = {r.doc_id: -(-r["count"] // ROWS_PER_BUCKET) for r in often}
+    # a hot id is a bucket range of its own
+    edges = sorted({*(seen.q or [0]), *hot, *(h + 1 for h in hot)})
+    per = max(1, -(-seen.n // (ROWS_PER_BUCKET * len(edges))))
+    parts = [hot.get(e, per) for e in edges]
+    before = [0]
+    for k in parts:
+        before.append(before[-1] + k)
+    literal = lambda values: F.array(*[F.lit(x).cast("long") for x in values])
+    lows, highs = literal(edges), literal([*edges[1:], max((seen.top or 0) + 1, edges[-1] + 1)])
     at = F.greatest(F.size(F.filter(lows, lambda x: x <= F.col("doc_id"))) - 1, F.lit(0))
-    rows = rows.withColumn("at", at)
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("o")).withColumn("at", at)
+    take = lambda values: F.get(literal(values), F.col("at"))
+    by_text = lambda k: F.floor((F.shiftright("o", 32) + F.lit(1 << 31)) * k / F.lit(1 << 32))
     low, high = F.get(lows, F.col("at")), F.get(highs, F.col("at"))
-    inside = F.least(F.greatest(F.floor((F.col("doc_id") - low) * per / (high - low)), F.lit(0)), F.lit(per - 1))
-    rows = rows.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("at") * per + inside).cast("long").alias("b"), F.xxhash64("text").alias("o"))
+    by_id = F.least(F.greatest(F.floor((F.col("doc_id") - low) * take(parts) / (high - low)), F.lit(0)), take(parts) - 1)
+    inside = F.when(take([int(e in hot) for e in edges]) == 1, by_text(take(parts))).otherwise(by_id)
+    lost = max(1, -(-seen.lost // ROWS_PER_BUCKET))
+    rows = rows.select("doc_id", "text", F.when(F.col("doc_id").isNull(), by_text(F.lit(lost)) - lost).otherwise(take(before[:-1]) + inside).cast("long").alias("b"), "o")
+    # as many tasks as the bytes ask for
+    n = min(MOST_TASKS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (seen.bytes or 0) // TASK_BYTES))
     heads = rows.groupBy("b").agg(F.min(F.struct("doc_id", "o")).alias("f")).select("b", F.col("f.doc_id").alias("i"), F.col("f.o").alias("fo"))
     heads = materialize(heads, "heads")
     ring = Window.orderBy("b")  # one row per bucket
     after = heads.select(F.lead("b").over(ring).alias("nb"), F.first("b").over(ring).alias("b0"), "b").select("b", F.coalesce("nb", "b0").alias("nb"))
     h = heads.withColumnRenamed("b", "hb")
-    first = rows.join(F.broadcast(h), (rows["b"] == h["hb"]) & rows["doc_id"].eqNullSafe(h["i"]) & (rows["o"] == h["fo"]), "left_semi").dropDuplicates(["b"]).select(F.col("b").alias("nb"), F.col("text").alias("next_text"))
+    first = rows.join(small(h), (rows["b"] == h["hb"]) & rows["doc_id"].eqNullSafe(h["i"]) & (rows["o"] == h["fo"]), "left_semi").dropDuplicates(["b"]).select(F.col("b").alias("nb"), F.col("text").alias("next_text"))
     following = materialize(after.join(first, "nb").select("b", "next_text"), "following")
-    return rows, following, Window.partitionBy("b").orderBy("doc_id", "o")
+    return rows.repartition(n, "b"), following, Window.partitionBy("b").orderBy("doc_id", "o")
 
 
 def fingerprints(docs: DataFrame, k: int = 3, l: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: E741

@@ -247,20 +247,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, sample_row
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text")
 
 
+def _predicted(docs: DataFrame, model: dict) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return score(docs, model).select("doc_id", "h", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> DataFrame:
     """``(doc_id, h, held_out, score, predicted)`` for every row of ``docs``; see :func:`fit` and :func:`score`.
 
     The labels join by id; repeated rows are scored each; a null id is held out of nothing.
     """
-    model = fit(training_rows(docs, labels, "toxic", sample_rows))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return score(docs, model).select("doc_id", "h", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return _predicted(docs, fit(training_rows(docs, labels, "toxic", sample_rows)))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not call toxic."""
+    """The rows of ``docs`` that the classifier does not call toxic; all of them where there is no label to learn from."""
+    model = fit(training_rows(docs, labels, "toxic", sample_rows))
+    if not model["rows"]:
+        return docs
     i, h = free("_bad", docs.columns), free("_h", docs.columns)
-    bad = toxicity_scores(docs, labels, sample_rows).where("predicted = 1").select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
+    bad = _predicted(docs, model).where("predicted = 1").select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h)), "left_anti")
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small, table
+from .common import materialize, slices, small, spread_join, table
 
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 ARCHIVE_BYTES = 4 << 20
@@ -150,21 +150,23 @@ def train_dictionary(pages: DataFrame, sample_rows: int = 256, sample_bytes: int
         return b""
 
 
-def write_archives(pages: DataFrame, dictionary: bytes = b"", date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, dictionary: bytes = b"", date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date_col: str | None = None) -> DataFrame:
     """``(archive, content)``: every row of ``pages`` as a record in exactly one archive of about ``ARCHIVE_BYTES``.
 
     Of rows with equal payloads of ``LEAST_REVISIT`` bytes or more, the one with the smallest id is the
     response and the others revisit it; a null payload is empty; rows that repeat that smallest id are
-    responses too, and rows without an id revisit but are never revisited.
+    responses too, and rows without an id revisit but are never revisited.  ``date_col`` is a timestamp (taken as UTC in a session
+    of that zone) for the records' WARC-Date; where it is null or not given the date is ``date``.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), (F.coalesce(F.date_format(date_col, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(date)) if date_col else F.lit(date)).alias("date"))
     hashed = materialize(rows.where(F.octet_length("payload") >= LEAST_REVISIT).select("page_id", F.sha2("payload", 256).alias("digest")), "digests")
-    first = materialize(hashed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1 and refers_to is not null").drop("c"), "first")
-    refs = hashed.join(small(first), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
+    first = materialize(hashed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1 and refers_to is not null"), "first")
+    # a payload that very many pages have does not bring them all to one task
+    refs = spread_join(hashed, first, "digest", "c", hashed.count()).where("refers_to is not null").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
     refs = materialize(refs.withColumnsRenamed({"page_id": "_page", "digest": "_digest"}), "refs")
     # ids tell payloads apart where they are unique; the digest settles rows that repeat an id
-    joined = rows.withColumn("digest", F.sha2("payload", 256)).join(small(refs), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "digest", "refers_to", "payload")
+    joined = rows.withColumn("digest", F.sha2("payload", 256)).join(small(refs), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "digest", "refers_to", "date", "payload")
 
     def run(batches):
         writer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True, write_content_size=True)
@@ -174,9 +176,9 @@ def write_archives(pages: DataFrame, dictionary: bytes = b"", date: str = "2024-
             return pa.RecordBatch.from_arrays([pa.array([names.hexdigest()[:32]]), pa.array([b"".join(parts)], pa.binary())], ["archive", "content"])
 
         for batch in batches:
-            for part in slices(batch, 4):
-                for page, url, digest, refers, text in zip(*(c.to_pylist() for c in part.columns)):
-                    record = write_record(page, url, text.encode(), digest, refers, date)
+            for part in slices(batch, 5):
+                for page, url, digest, refers, at, text in zip(*(c.to_pylist() for c in part.columns)):
+                    record = write_record(page, url, text.encode(), digest, refers, at)
                     parts.append(writer.compress(record))
                     names.update(record[:400])
                     raw += len(record)

@@ -87,3 +87,31 @@ def test_one_character_put_into_a_long_run(spark):
     df = spark.createDataFrame([(run, "一" + run), (run, run[:1500] + "一" + run[1500:])], "a string, b string")
     got = [r[0] for r in df.select(O.likeness(O.signature(F.col("a")), O.signature(F.col("b")))).collect()]
     assert min(got) > 0.9
+
+
+def test_hot_ids_and_rows_without_ids_are_split(spark, monkeypatch):
+    monkeypatch.setattr(O, "ROWS_PER_BUCKET", 5)
+    rows = [(7, f"text {k} of seven") for k in range(60)] + [(None, f"text {k} of none") for k in range(40)] + [(k, f"text {k} alone") for k in range(100, 160)] + [(7, "text 3 of seven"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = O.with_next(df)[0]
+    buckets = {(r.doc_id, r.b) for r in dealt.select("doc_id", "b").collect()}
+    assert len([b for i, b in buckets if i == 7]) > 5 and len([b for i, b in buckets if i is None]) > 4
+    # the order of the buckets is that of (id, hash of the text)
+    seen = [(r.doc_id is not None, r.doc_id or 0, r.o) for r in dealt.orderBy("b", F.col("doc_id").asc_nulls_first(), "o").collect()]
+    assert seen == sorted(seen)
+    got = {(r.doc_id, r.n_chars, r.edited_sha256) for r in O.fingerprints(df).collect()}
+    hashes = {r.text: r.o for r in df.select(F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("o", F.xxhash64("text")).collect()}
+    line = sorted(((i is not None, i or 0, hashes[t or ""]), i, t or "") for i, t in rows)
+    want = set()
+    for k, (_, i, t) in enumerate(line):
+        after, n = line[(k + 1) % len(line)][2], len(t) // 2
+        want.add((i, len(t), hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()))
+    assert got == want
+
+
+def test_places_beyond_their_bits_are_one_place(spark, monkeypatch):
+    monkeypatch.setattr(O, "POSITION_BITS", 4)
+    monkeypatch.setattr(O, "_LOW", 15)
+    df = spark.createDataFrame([(" ".join(f"w{k}" for k in range(200)),), (" ".join(f"w{k}" for k in range(200)),)], "t string")
+    a, b = (r.s for r in df.select(O.signature(F.col("t")).alias("s")).collect())
+    assert a == b and len(a) > 50

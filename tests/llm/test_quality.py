@@ -1,3 +1,10 @@
+import math
+import random
+import zlib
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from stemweave.llm import quality as Q
 
 
@@ -44,3 +51,86 @@ def test_path_below_a_real_host(spark):
     got = quality_scores(docs, labels, F.split_part("url", F.lit("/"), F.lit(3)), F.split_part("url", F.lit("/"), F.lit(4))).collect()
     assert len(got) == 200
     assert min(r.path_rate for r in got if r.doc_id % 2 == 0) > 0.8 and max(r.path_rate for r in got if r.doc_id % 2) < 0.2
+
+
+def brute_posteriors(rows):
+    """Posteriors of each host and path, with strengths by the method of moments, in plain Python."""
+    cells = {}
+    for h, p, y in rows:
+        g, n = cells.get((h, p), (0.0, 0))
+        cells[h, p] = (g + y, n + 1)
+    base = (sum(g for g, _ in cells.values()) + 1) / (sum(n for _, n in cells.values()) + 2)
+
+    def strength(groups):  # (good, n, prior)
+        chi = sum(n * (g / n - q) ** 2 for g, n, q in groups)
+        noise = sum(q * (1 - q) for _, _, q in groups)
+        room = sum(q * (1 - q) * (n - 1) for _, n, q in groups)
+        if not room or chi <= noise:
+            return 1000.0
+        return min(max(1 / min(max((chi - noise) / room, 1e-3), 0.5) - 1, 1.0), 1000.0)
+
+    hosts = {}
+    for (h, _), (g, n) in cells.items():
+        a, b = hosts.get(h, (0.0, 0))
+        hosts[h] = (a + g, b + n)
+    k = strength([(g, n, base) for g, n in hosts.values()])
+    rate = {h: (g + k * base) / (n + k) for h, (g, n) in hosts.items()}
+    k = strength([(g, n, rate[h]) for (h, _), (g, n) in cells.items()])
+    return base, rate, {(h, p): (g + k * rate[h]) / (n + k) for (h, p), (g, n) in cells.items()}
+
+
+def test_posteriors_and_scores_against_brute_force(spark):
+    rng = random.Random(7)
+    good = {h: rng.random() for h in "abcdef"}
+    rows = [(h, f"p{rng.randrange(4)}", float(rng.random() < good[h])) for h in good for _ in range(rng.randint(1, 60))] + [(None, "p0", 1.0), ("a", None, 0.0)]
+    base, hosts, paths = brute_posteriors(rows)
+    got_hosts, got_paths, got_base = Q.site_posteriors(spark.createDataFrame(rows, "host string, path string, label double"))
+    assert abs(got_base - base) < 1e-12
+    assert {r.host: round(r.host_rate, 10) for r in got_hosts.collect()} == {h: round(v, 10) for h, v in hosts.items()}
+    assert {(r.host, r.path): round(r.path_rate, 10) for r in got_paths.collect()} == {k: round(v, 10) for k, v in paths.items()}
+    docs, labels = tables(spark)
+    logit = lambda q: math.log(q / (1 - q))
+    out = Q.quality_scores(docs, labels).collect()
+    seen = {r.doc_id: (r.source, r.lang) for r in docs.collect()}
+    known = [(*seen[r.doc_id], float(r.quality)) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    base, hosts, paths = brute_posteriors(known)
+    for r in out:
+        site = seen[r.doc_id]
+        rate = paths.get(site, hosts.get(site[0], base))
+        want = 1 / (1 + math.exp(-(r.evidence + logit(rate) - logit(base))))
+        assert abs(r.score - want) < 1e-9 and r.keep == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_evidence_is_the_models_sum(spark):
+    docs, labels = tables(spark, 120)
+    model = Q.fit_evidence(Q.training_rows(docs, labels, "quality", 1000))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in Q.evidence(docs.dropDuplicates(["doc_id"]), model, ["doc_id"]).collect():
+        x = Q.shape_features(pa.array([texts[r.doc_id]]))[0]
+        z = [min(max((v - m) / s, -8), 8) for v, m, s in zip(x, model["mean"], model["scale"])]
+        assert abs(r.evidence - min(max(sum(a * b for a, b in zip(z, model["w"])) + model["b"], -30), 30)) < 1e-6
+
+
+def test_sites_help_where_texts_say_nothing(spark):
+    """Texts of good and bad documents are alike; hosts differ, and paths within them."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(3000):
+        host, path = f"h{rng.randrange(20)}", f"p{rng.randrange(3)}"
+        rate = 0.9 if (int(host[1:]) + int(path[1:])) % 3 else 0.15
+        rows.append((i, " ".join(rng.choice("one two three four five".split()) for _ in range(12)), host, path))
+        labels.append((i, int(rng.random() < rate)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, host string, path string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = [r for r in Q.quality_scores(docs, marks, F.col("host"), F.col("path")).collect() if r.held_out]
+    truth = dict(labels)
+    right = sum(r.keep == truth[r.doc_id] for r in got) / len(got)
+    alone = sum((r.evidence >= 0) == truth[r.doc_id] for r in got) / len(got)
+    assert right > 0.85 and right > alone + 0.1
+
+
+def test_long_texts_ties_and_clashing_columns(spark):
+    rows = [(i, "fine words " * (40_000 if i == 1 else 3), "s", "en", 1.0, True) for i in range(1, 41)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, evidence double, held_out boolean")
+    marks = spark.createDataFrame([(i, k) for i in range(2, 41) for k in (0, 1)], "doc_id long, quality int")
+    got = Q.quality_scores(docs, marks).collect()
+    assert len(got) == 40 and len({round(r.score, 12) for r in got if r.doc_id > 1}) == 1

@@ -58,3 +58,25 @@ def test_damage_is_found(spark):
     df = spark.createDataFrame([(good + z.compress(ok[:-2]) + good,), (good + broken,), (good[:-3],), (b"",), (None,)], "content binary")
     got = W.read_archives(df, strict=False).collect()
     assert sum(r.error is None for r in got) == 3 and sum(r.error is not None for r in got) == 3
+
+
+def test_dates_of_records(spark):
+    import datetime
+
+    rows = [(1, "u", "a" * 200, datetime.datetime(2021, 3, 4, 5, 6, 7)), (2, "u", "b" * 200, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, seen timestamp")
+    content = W.write_archives(pages.coalesce(1), date_col="seen").first().content
+    heads = sorted(r.split(b"WARC-Date: ")[1][:20] for r in W.read_archive(bytes(content)))
+    assert heads == [b"2021-03-04T05:06:07Z", b"2024-01-01T00:00:00Z"]
+
+
+def test_a_payload_of_very_many_pages(spark, monkeypatch):
+    from stemweave.llm import common
+
+    monkeypatch.setattr(common, "SMALL_ROWS", 1)
+    rows = [(i, "u", BIG if i % 3 else f"{BIG}{i % 9}", None) for i in range(1, 400)]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in W.read_archives(W.write_archives(make(spark, rows))).collect()}
+    first = {}
+    for i, _, h, _ in rows:
+        first.setdefault(h, i)
+    assert got == {i: ("response", None) if first[h] == i else ("revisit", first[h]) for i, _, h, _ in rows}
