@@ -3,6 +3,7 @@ intermediate tables, and vectorised hashing of words inside Arrow batches."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -31,10 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, block: int = 128 << 20) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.  ``block`` bounds the
+    bytes of a row group, which a task holds while it writes."""
     path = f"{shared_dir(df.sparkSession)}/stemweave/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", block).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -113,6 +115,13 @@ def slices(batch: pa.RecordBatch, column: int = 1, most: int = 2 << 20, rows: in
         at = to
 
 
+def release() -> None:
+    """Give memory that this Python worker no longer uses back to the system, since workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 SMALL_ROWS = 500_000
 SMALL_BYTES = 64 << 20
 HOT_KEYS = 10_000

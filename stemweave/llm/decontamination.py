@@ -23,6 +23,7 @@ from .common import ascii_lower, free, materialize, small, table
 #: runs of digits, a-z and characters beyond ASCII are words
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEEDS = 2
+BLOCK = 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -60,7 +61,7 @@ def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A row's end (``END``) is posted once, at its word count, so rows without words are there as well.
     """
     lists = _rows(docs, id_col, text_col).select("doc_id", "h", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit("")))).alias("pos", "word"))
-    return materialize(lists.select(_term(F.col("word")).alias("term"), "doc_id", "h", "pos").sortWithinPartitions("term"), "postings")
+    return materialize(lists.select(_term(F.col("word")).alias("term"), "doc_id", "h", "pos").sortWithinPartitions("term"), "postings", BLOCK)
 
 
 def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import list_array, materialize, mix, shingle_sets, slices, small, spread_join, table
+from .common import list_array, materialize, mix, release, shingle_sets, slices, small, spread_join, table
 from .components import connected_components
 
 BLOCK = 512
@@ -62,7 +62,7 @@ def _screen_rows(width: int, percent: int, buckets: int):
     """
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, most=4 << 20)):
+        for batch in (part for whole in batches for part in slices(whole)):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             sets = shingle_sets(batch.column(1), width)
             n = np.array([len(s) for s in sets], np.int64)
@@ -90,6 +90,7 @@ def _screen_rows(width: int, percent: int, buckets: int):
             rows.append((at, b"", ids.tobytes(), need.astype(np.int32).tobytes(), local.tobytes(), n.tobytes()))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], ["bucket", "tok", "doc", "need", "cnt", "size"])
+        release()
 
     return run
 
@@ -109,6 +110,7 @@ def _count_shared(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, at, n = np.unique(doc[hit], return_index=True, return_counts=True)
         out.append((ids, n.astype(np.int32), need[hit][at], np.full(len(ids), -1, np.int64)))
     cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in zip(*out)] or [np.zeros(0, np.int64)] * 4
+    release()
     return pd.DataFrame({"doc_id": cols[0], "shared": cols[1].astype(np.int64), "need": cols[2].astype(np.int64), "size": cols[3].astype(np.int64)})
 
 
@@ -123,6 +125,7 @@ def _set_rows(width: int):
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(both, pa.binary()), pa.array([int(s[0]) if len(s) else 0 for s in signed], pa.int64()), pa.array(other, pa.int64()), list_array(signed)],
                 ["doc_id", "n", "set_key", "low1", "low2", "tokens"],
             )
+        release()
 
     return run
 
@@ -191,6 +194,7 @@ def _across(percent: int):
             if len(found) > 2000:
                 found = [np.unique(np.concatenate(found), axis=0)]
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        release()
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
@@ -360,6 +364,7 @@ def _linked(percent: int, one: bool):
             some = np.flatnonzero(count) if not one else np.zeros(0, np.int64)
             out.append(np.stack((np.zeros(len(some), np.int64), r[some], np.zeros(len(some), np.int64), count[some]), 1))
         rows = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+        release()
         return pd.DataFrame({"kind": rows[:, 0], "x": rows[:, 1], "y": rows[:, 2], "n": rows[:, 3]})
 
     return run

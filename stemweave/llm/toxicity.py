@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, list_array, slices, table, text_buffers, word_hashes
+from .common import free, list_array, release, slices, table, text_buffers, word_hashes
 
 #: terms within a row stand for groups of one kind, in one language, and are swapped for one another
 IDENTITY_TERMS = (
@@ -134,6 +134,7 @@ def _sample_features(terms):
                 rows = _distinct(row, feat, part.num_rows)
                 other = [_swapped(r, r, feats, mate) for r in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), list_array([r.view(np.int64) for r in rows]), list_array([o.view(np.int64) for o in other])], ["y", "x", "swapped"])
+        release()
 
     return run
 
@@ -224,6 +225,7 @@ def _score_rows(model: dict):
                     pair = np.unique(row[hit].astype(np.int64) * len(names) + i[hit])
                     total += np.bincount(pair // len(names), w[pair % len(names)], minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], [*part.schema.names[:-1], "score"])
+        release()
 
     return run
 
