@@ -1,9 +1,8 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index has one posting ``(term, doc_id, h, pos)`` for every word of every text (``h`` tells rows that share a
-document id apart, ``term`` is the word's 64-bit hash).  It is built once, without a shuffle: each task sorts the postings of its
-texts by term and writes them to the shared folder, so every file holds whole runs of one term and its row
-groups tell which terms they hold.  Any number of benchmarks can then be asked.
+document id apart, ``term`` is the word's 64-bit hash).  It is built once, without a shuffle, and stored in the shared
+folder; it is sharded by document, and every list is read from all shards at once.  Any number of benchmarks can then be asked.
 
 A phrase is found from its rarest terms: their posting lists, shifted by the terms' offsets in the phrase, are intersected by
 ``(document, start)``; the lists of the remaining terms are then intersected with what is left.  No text is read again.
@@ -56,12 +55,12 @@ END = "term = xxhash64('')"
 
 
 def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored postings ``(term, doc_id, h, pos)`` of every word, positions from 0, sorted by term within each file.
+    """Stored postings ``(term, doc_id, h, pos)`` of every word, positions from 0, in order of the texts' words.
 
     A row's end (``END``) is posted once, at its word count, so rows without words are there as well.
     """
     lists = _rows(docs, id_col, text_col).select("doc_id", "h", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit("")))).alias("pos", "word"))
-    return materialize(lists.select(_term(F.col("word")).alias("term"), "doc_id", "h", "pos").sortWithinPartitions("term"), "postings", BLOCK)
+    return materialize(lists.select(_term(F.col("word")).alias("term"), "doc_id", "h", "pos"), "postings", BLOCK)
 
 
 def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
