@@ -79,14 +79,23 @@ def tiered_lookup(tiers: list[DataFrame], key: str, order: list[str]) -> DataFra
 def token_overlap_join(rows: DataFrame, id_col: str, tokens: str, least: float, max_bucket: int | None = None) -> DataFrame:
     """Pairs ``(a, b, overlap)``, a < b, whose token sets overlap by ``least`` of the smaller set, over an inverted index.
 
-    Tokens in more than ``max_bucket`` sets are left out as candidates where that is the caller's rule; they
-    still count in the overlap.
+    The smaller set asks with its rarest tokens alone: of n tokens, one of the first ``n - ceil(least * n) + 1`` is in any partner, so
+    common tokens name candidates only where a set has no other.  Tokens in more than ``max_bucket`` sets are left out
+    as candidates where that is the caller's rule; they still count in the overlap.
     """
     sets = rows.select(F.col(id_col).alias("id"), F.array_distinct(tokens).alias("s")).where("size(s) > 0")
-    posted = sets.select("id", F.explode("s").alias("t"))
+    posted = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
+    often = posted.groupBy("t").agg(F.count("*").alias("df"))
+    posted = posted.join(often, "t")
     if max_bucket is not None:
-        posted = posted.join(posted.groupBy("t").count().where(F.col("count") <= max_bucket).select("t"), "t")
-    pairs = posted.alias("x").join(posted.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        posted = posted.where(F.col("df") <= max_bucket)
+        asks = posted
+    else:
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
+        asks = posted.withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.round(F.col("n") * least, 9)) + 1)
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+    met = asks.alias("x").join(posted.alias("y"), (F.col("x.t") == F.col("y.t")) & smaller)
+    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     overlap = F.size(F.array_intersect("sa", "sb")) / F.least(F.size("sa"), F.size("sb"))
@@ -112,9 +121,15 @@ def capped_product(parts: DataFrame, key: str, part: str, choice: str, order: li
 
 def resolve_mentions(mentions: DataFrame, entities: DataFrame, form: str, hint: str, region: str, entity: str) -> DataFrame:
     """``mentions`` with the id of the entity they name: the only one of that form, else the only one whose
-    region is contained in the hint, else null."""
-    forms = entities.groupBy(form).agg(F.collect_list(F.struct(F.col(entity).alias("e"), F.col(region).alias("r"))).alias("_e"))
-    fits = F.filter("_e", lambda x: F.coalesce(F.contains(F.lower(F.col(hint)), F.lower(x["r"])), F.lit(False)))
-    joined = mentions.join(forms, form, "left").withColumn("_f", fits)
-    chosen = F.when(F.size("_e") == 1, F.col("_e")[0]["e"]).when(F.size("_f") == 1, F.get("_f", F.lit(0))["e"])
-    return joined.withColumn("resolved", chosen).drop("_e", "_f")
+    region is contained in the hint, else null.
+
+    Entities are counted by form and by (form, region) first, and each distinct (form, hint) is looked up once, so neither the
+    entities nor the mentions of a common form meet in full.
+    """
+    cells = entities.groupBy(form, F.lower(region).alias("_r")).agg(F.count("*").alias("_n"), F.min(entity).alias("_e"))
+    alone = cells.groupBy(form).agg(F.sum("_n").alias("_all"), F.min("_e").alias("_only"))
+    asks = mentions.select(form, F.col(hint).alias("_h")).distinct().where("_h is not null")
+    fits = asks.join(cells.where("_r is not null"), form).where(F.contains(F.lower("_h"), F.col("_r"))).groupBy(F.col(form).alias("_form"), "_h").agg(F.sum("_n").alias("_fits"), F.min("_e").alias("_fit"))
+    joined = mentions.join(alone, form, "left").join(fits, (mentions[form] == fits["_form"]) & (mentions[hint] == fits["_h"]), "left")
+    chosen = F.when(F.col("_all") == 1, F.col("_only")).when(F.col("_fits") == 1, F.col("_fit"))
+    return joined.withColumn("resolved", chosen).drop("_all", "_only", "_form", "_h", "_fits", "_fit")

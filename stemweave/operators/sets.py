@@ -28,12 +28,18 @@ def keep_existing(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataF
 
 
 def merge_fields(rows: DataFrame, key: str, order: str, arrays: list[str], scalars: list[str]) -> DataFrame:
-    """One row per key: array fields united in first-seen order, scalar fields the first that is not null."""
-    listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *arrays, *scalars))).alias("_r"))
-    field = lambda c: F.col("_r").getField(c)  # noqa: E731  an array of the rows' values
-    united = [F.array_distinct(F.flatten(F.array_compact(field(c)))).alias(c) for c in arrays]
-    firsts = [F.get(F.array_compact(field(c)), F.lit(0)).alias(c) for c in scalars]
-    return listed.select(key, *united, *firsts)
+    """One row per key: array fields united in first-seen order, scalar fields the first that is not null.
+
+    A key's history is never gathered: scalars are minima, and of an array field only the first place of each distinct element is kept.
+    """
+    out = rows.groupBy(key).agg(F.count("*").alias("_n"), *[F.min(F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(c) for c in scalars])
+    out = out.select(key, *[F.col(c)[c].alias(c) for c in scalars])
+    for c in arrays:
+        each = rows.select(key, order, F.posexplode(c).alias("_i", "_e"))
+        first = each.groupBy(key, "_e").agg(F.min(F.struct(order, "_i")).alias("_at"))
+        lists = first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_e"))), lambda x: x["_e"]).alias(c))
+        out = out.join(lists.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k").withColumn(c, F.coalesce(c, F.array().cast(rows.schema[c].dataType)))
+    return out.select(key, *arrays, *scalars)
 
 
 def vocabulary_scan(df: DataFrame, column: str, canonical: list[str], aliases: dict[str, str]) -> DataFrame:

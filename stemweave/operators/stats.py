@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import stored
+
 EPSILON = 1e-9
 
 
@@ -65,8 +67,13 @@ def eb_smoothing(df: DataFrame, split: str, literal: str, k: float = 5.0) -> Dat
 
 
 def ranked(df: DataFrame, key: str, n: str) -> DataFrame:
-    """Keys with their rank by count, ties in order of the key."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(n), key)))
+    """Keys with their rank by count, ties in order of the key: ranges are numbered apart, and the sizes of those before are added."""
+    spread = stored(df.repartitionByRange(F.desc(n), key).withColumn("_p", F.spark_partition_id()))
+    sizes = spread.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # one row per range
+    offsets = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc(n), key))
+    return spread.withColumn("_i", inside).join(F.broadcast(offsets), "_p").withColumn("rank", (F.col("_i") + F.col("_before")).cast("int")).drop("_p", "_i", "_before")
 
 
 def realism_report(sample: DataFrame, reference: DataFrame, key: str, bands: dict[str, float]) -> DataFrame:

@@ -458,6 +458,45 @@ def transliterate(text: str, table: dict[str, str]) -> str:
     return "".join(out)
 
 
+def mapped(df: DataFrame, column: str, table: dict[str, str], out: str) -> DataFrame:
+    """``df`` with ``out``: the column's text through a table, longest match first; characters without an entry stay, nulls too."""
+    import re
+
+    keys = sorted((k for k in table if k), key=len, reverse=True)
+    pattern = re.compile("|".join(map(re.escape, keys)) or r"(?!)")
+
+    @F.pandas_udf("string")
+    def replaced(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else pattern.sub(lambda m: table[m[0]], x))
+
+    return df.withColumn(out, replaced(F.col(column)))
+
+
+def sound_coverage(df: DataFrame, language: str, ipa: str, bundled: Column) -> DataFrame:
+    """Per language: eligible words and those with a pronunciation, in all and in the bundle, and the rate over all."""
+    return df.groupBy(language).agg(
+        F.count("*").alias("eligible"), F.count(ipa).alias("lexicon"), F.count_if(bundled).alias("bundle_eligible"), F.count_if(bundled & F.col(ipa).isNotNull()).alias("bundle"), (F.count(ipa) / F.count("*")).alias("rate")
+    )
+
+
+def canonical_lookup(asks: DataFrame, name: str, region: str, places: DataFrame, decompositions: DataFrame, heuristic: Column) -> DataFrame:
+    """``asks`` with ``signature`` and ``source``: the canonical decomposition of the place, else the heuristic one (no source).
+
+    With a region the place of that region comes first, then one without a region, never one of another; without, any.
+    Of several the lowest id counts.  ``places(id, name, region)``, canonical ``decompositions(id, place, signature, source)``.
+    """
+    p = places.select(F.col("name").alias("_n"), F.col("region").alias("_r"), F.col("id").alias("_p"))
+    # the lowest id of a name, with each region and over all: few rows for one ask, however many places share a name
+    by_region = p.groupBy("_n", "_r").agg(F.min("_p").alias("_p"))
+    exact = by_region.where("_r is not null").select(F.col("_n"), F.col("_r"), F.col("_p").alias("_exact"))
+    plain = by_region.where("_r is null").select(F.col("_n").alias("_n2"), F.col("_p").alias("_plain"))
+    any_ = p.groupBy(F.col("_n").alias("_n3")).agg(F.min("_p").alias("_any"))
+    j = asks.join(exact, (F.col(name) == F.col("_n")) & (F.col(region) == F.col("_r")), "left").join(plain, F.col(name) == F.col("_n2"), "left").join(any_, F.col(name) == F.col("_n3"), "left")
+    j = j.withColumn("_place", F.when(F.col(region).isNull(), F.col("_any")).otherwise(F.coalesce("_exact", "_plain")))
+    first = decompositions.groupBy(F.col("place").alias("_place")).agg(F.min(F.struct("id", "signature", "source")).alias("_d"))
+    return j.join(first, "_place", "left").select(*asks.columns, F.coalesce("_d.signature", heuristic).alias("signature"), F.col("_d.source").alias("source"))
+
+
 def spelling_vector(c: Column) -> dict[str, Column]:
     """Rates of letter classes and final-letter flags of a spelled form; all 0 for a form without letters."""
     s = fold_surface(c)

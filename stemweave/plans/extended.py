@@ -65,14 +65,6 @@ def _(t):
     return x.join(one, "form", "left_semi").groupBy("form", "mate").agg(F.count("*").alias("hits"))
 
 
-@query("w09_structure_pick")
-def _(t):
-    """A structure per order drawn by weight with a hashed uniform number, then its slots filled in turn from what earlier slots left."""
-    weights = t("part").groupBy(F.lit("all").alias("g"), F.col("p_type").alias("structure")).agg(F.count("*").alias("w"))
-    draws = t("orders").select("o_orderkey", F.lit("all").alias("g"), W.hashed_uniform(3, F.col("o_orderkey")).alias("u"))
-    return W.weighted_choice(weights, draws, "g", "structure", "w", "u").select("o_orderkey", F.col("chosen").alias("structure"))
-
-
 @query("w11_single_slot_regenerate", """
 SELECT l_orderkey, min(p_name) AS replacement FROM (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey) o JOIN part USING (p_brand) WHERE p_name NOT IN (SELECT p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE lineitem.l_orderkey = o.l_orderkey) GROUP BY 1""")
 def _(t):

@@ -346,17 +346,17 @@ def _(t):
 
 
 @query("k10_upsert_fill", """
-WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS v FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey AS k, lower(c_mktsegment) AS v FROM customer WHERE c_custkey % 3 = 0) SELECT k, coalesce(a.v, b.v) AS v FROM a FULL JOIN b USING (k)""")
+WITH a AS (SELECT c_custkey AS k, CASE WHEN c_acctbal >= 2000 THEN c_mktsegment END AS v FROM customer WHERE c_acctbal >= 0), b AS (SELECT c_custkey AS k, lower(c_mktsegment) AS v FROM customer WHERE c_acctbal < 5000) SELECT k, coalesce(a.v, b.v) AS v FROM a FULL JOIN b USING (k)""")
 def _(t):
     c = t("customer")
-    a = c.where("c_custkey % 2 = 0").selectExpr("c_custkey as k", "case when c_custkey % 3 <> 0 then c_mktsegment end as v")
-    return L.upsert_fill(a, c.where("c_custkey % 3 = 0").selectExpr("c_custkey as k", "lower(c_mktsegment) as v"), "k", ["v"])
+    a = c.where("c_acctbal >= 0").selectExpr("c_custkey as k", "case when c_acctbal >= 2000 then c_mktsegment end as v")
+    return L.upsert_fill(a, c.where("c_acctbal < 5000").selectExpr("c_custkey as k", "lower(c_mktsegment) as v"), "k", ["v"])
 
 
-@query("k12_upsert_last", "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+@query("k12_upsert_last", "SELECT c_custkey AS k, CASE WHEN c_acctbal < 5000 THEN lower(c_mktsegment) ELSE c_mktsegment END AS v FROM customer")
 def _(t):
     c = t("customer")
-    return L.upsert_last(c.where("c_custkey % 2 = 0").selectExpr("c_custkey as k", "c_mktsegment as v"), c.where("c_custkey % 3 = 0").selectExpr("c_custkey as k", "lower(c_mktsegment) as v"), "k")
+    return L.upsert_last(c.where("c_acctbal >= 0").selectExpr("c_custkey as k", "c_mktsegment as v"), c.where("c_acctbal < 5000").selectExpr("c_custkey as k", "lower(c_mktsegment) as v"), "k")
 
 
 @query("k15_reparent", "SELECT DISTINCT CASE WHEN l_suppkey % 4 = 3 THEN l_suppkey - 1 ELSE l_suppkey END AS l_suppkey, l_partkey FROM lineitem")

@@ -63,9 +63,9 @@ def _(t):
     return K.trim_subset(t("part").select("p_partkey", "p_brand", "p_type", "p_size"), "p_brand", "p_size", "p_type", 2).select("p_partkey", "p_brand", "p_type")
 
 
-@query("k01_repointed_rows", "SELECT CASE WHEN l_partkey % 5 = 1 THEN l_partkey - 1 ELSE l_partkey END AS l_partkey, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0) GROUP BY 1")
+@query("k01_repointed_rows", "SELECT CASE WHEN l_partkey % 5 = 1 THEN l_partkey - 1 ELSE l_partkey END AS l_partkey, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 45) GROUP BY 1")
 def _(t):
-    merged = t("part").where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 == 1, F.col("p_partkey") - 1).alias("winner"))
+    merged = t("part").where("p_size <= 45").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 == 1, F.col("p_partkey") - 1).alias("winner"))
     return K.repointed(t("lineitem").select("l_partkey"), "l_partkey", merged)[0].groupBy("l_partkey").agg(F.count("*").alias("n"))
 
 

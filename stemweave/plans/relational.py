@@ -10,6 +10,7 @@ from ..operators import joins as J
 from ..operators import ranking as D
 from ..operators import sets as S
 from ..operators import stats as X
+from ..operators import text as T
 from .registry import query
 
 ERAS = [("early", None, 1996), ("middle", 1996, 1999), ("late", 1999, None)]
@@ -24,7 +25,7 @@ SELECT coalesce(n.n_regionkey, -1) AS root, count(DISTINCT o.o_orderpriority) AS
 FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1""")
 def _(t):
     e = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    w = t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    w = t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority").distinct()
     return A.witness_rollup(e, w, F.coalesce("n_regionkey", F.lit(-1)), "c_custkey", "o_orderpriority")
 
 
@@ -99,11 +100,12 @@ def _(t):
 
 
 @query("j10_snapshot_diff", """
-WITH a AS (SELECT user_id, event_type, count(*) AS v FROM events WHERE day(ts) = 1 GROUP BY ALL), b AS (SELECT user_id, event_type, count(*) AS v FROM events WHERE day(ts) = 2 GROUP BY ALL)
+WITH a AS (SELECT user_id, event_type, count(*) AS v FROM events WHERE hour(ts) < 12 GROUP BY ALL), b AS (SELECT user_id, event_type, count(*) AS v FROM events WHERE hour(ts) >= 12 GROUP BY ALL)
 SELECT user_id, event_type, a.v AS value_a, b.v AS value_b, b.v - a.v AS delta FROM a FULL JOIN b USING (user_id, event_type) WHERE a.v IS DISTINCT FROM b.v""")
 def _(t):
-    day = lambda d: t("events").where(F.dayofmonth("ts") == d).groupBy("user_id", "event_type").agg(F.count("*").alias("v"))
-    return J.snapshot_diff(day(1), day(2), ["user_id", "event_type"], "v")
+    """What users did before noon against what they did after it."""
+    half = lambda late: t("events").where((F.hour("ts") >= 12) == late).groupBy("user_id", "event_type").agg(F.count("*").alias("v"))
+    return J.snapshot_diff(half(False), half(True), ["user_id", "event_type"], "v")
 
 
 @query("j11_capped_product", """
@@ -145,9 +147,7 @@ def _(t):
 
 @query("j16_containment_join", "SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
 def _(t):
-    b = t("benchmark").select("item_id", F.col("text").alias("passage"))
-    b = F.broadcast(b) if b.count() <= 10_000 else b
-    return t("documents").join(b, F.contains("text", "passage")).select("doc_id", "item_id")
+    return T.containing(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text").select("doc_id", "item_id")
 
 
 @query("j17_shared_group_pairs", """
