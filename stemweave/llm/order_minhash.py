@@ -24,8 +24,8 @@ _LOW = (1 << POSITION_BITS) - 1
 QUANTILES = 256
 HOT_IDS = 2048
 ROWS_PER_BUCKET = 5000
-TASK_BYTES = 16 << 20
-MOST_TASKS = 20_000
+TASK_BYTES = 4 << 20
+MOST_TASKS = 200_000
 
 
 def _let(value: Column, body) -> Column:
