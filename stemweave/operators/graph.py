@@ -25,9 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place for an intermediate table below the shared folder, in a folder of this application's own."""
+    return f"{shared_dir(spark)}/stemweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; call it when no result that was built on them is needed any more."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stemweave/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/stemweave/round-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "round")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from .registry import query
 
 def _place(df: DataFrame) -> str:
     """A folder of its own that all executors share."""
-    return f"{G.shared_dir(df.sparkSession)}/stemweave/files-{uuid.uuid4().hex}"
+    return G.scratch(df.sparkSession, "files")
 
 
 _LINES = """x AS (SELECT l_returnflag || '.jsonl' AS file, CASE l_linenumber WHEN 6 THEN '' WHEN 7 THEN ' # note' ELSE '{"k":' || l_orderkey || ',"p":' || l_partkey || '}' END AS value,

@@ -296,3 +296,11 @@ def test_containing_meets_every_text(spark):
     want = {(q.q, d.d) for q in quotes.collect() for d in docs.collect() if q.quote and d.t and q.quote in d.t}
     got = [tuple(r) for r in T.containing(docs, "d", "t", quotes, "q", "quote").collect()]
     assert set(got) == want and len(got) == len(want) and {(1, 42), (5, 43), (3, 4)} <= want
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    kept = graph.stored(spark.range(5))
+    assert kept.count() == 5
+    graph.clear(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(graph.shared_dir(spark) + "/stemweave/" + spark.sparkContext.applicationId).count()
