@@ -1,11 +1,8 @@
-"""Helpers shared by the training-data operators: the shared folder, written
-intermediate tables, and vectorised hashing of words inside Arrow batches."""
+"""Helpers shared by the training-data operators: written intermediate tables, joins of checked size, and vectorised hashing of words inside Arrow batches."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -14,28 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
 
+from ..operators.graph import scratch
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.  Only a local session may do without it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="stemweave-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str, block: int = 128 << 20) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.  ``block`` bounds the
     bytes of a row group, which a task holds while it writes."""
-    path = f"{shared_dir(df.sparkSession)}/stemweave/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").option("parquet.block.size", block).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -3,35 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import materialize
-
-
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+from ..operators.graph import min_label_components
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)``: the smallest node that links reach, for every node with a link.
 
-    Loops and repeated edges are harmless; an empty edge table gives an empty result.  Every
-    round is written to the shared folder, and nothing but two sums comes to the driver.
+    Loops and repeated edges are harmless; an empty edge table gives an empty result.  Every round is written to
+    the shared folder, and nothing but two sums comes to the driver.
     """
-    e = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    was = None
-    while True:
-        e = materialize(_small_star(_large_star(e)), "edges")
-        now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first()
-        if now == was or not now[0]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        was = now
+    return min_label_components(edges, "a", "b")
