@@ -44,9 +44,11 @@ def productivity(parts: DataFrame, whole: str, ordinal: str, entity: str, univer
 
     The first part of a whole is ``pre`` (a sole one too), the last ``post``, others ``inner``.
     """
-    w = Window.partitionBy(whole)
-    pos = F.when(F.col(ordinal) == F.min(ordinal).over(w), "pre").when(F.col(ordinal) == F.max(ordinal).over(w), "post").otherwise("inner")
-    used = parts.withColumn("position", pos).groupBy(entity, "position").agg(F.count_distinct(whole).alias("n"))
+    # ends of each whole by aggregation; what is left is one row per (whole, entity, place), so counts need no distinct
+    ends = parts.groupBy(F.col(whole).alias("_w")).agg(F.min(ordinal).alias("_first"), F.max(ordinal).alias("_last"))
+    pos = F.when(F.col(ordinal) == F.col("_first"), "pre").when(F.col(ordinal) == F.col("_last"), "post").otherwise("inner")
+    placed = parts.select(whole, ordinal, entity).join(ends, F.col(whole) == F.col("_w")).select(whole, entity, pos.alias("position")).distinct()
+    used = placed.groupBy(entity, "position").agg(F.count("*").alias("n"))
     grid = universe.select(entity).distinct().withColumn("position", F.explode(F.array(*map(F.lit, ("pre", "post", "inner")))))
     return grid.join(used, [entity, "position"], "left").select(entity, "position", F.coalesce("n", F.lit(0)).alias("productivity"))
 

@@ -288,3 +288,27 @@ def _(t):
     path = _place(lines)
     lines.write.text(path)
     return S.parse_name_index(lines.sparkSession.read.text(path), "value").distinct()
+
+
+@query("c13_sections", """
+SELECT r_name AS section, upper(replace(n_name, '_', '-')) AS head, 'a nation; ' || n_nationkey || ' of all' AS body FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def _(t):
+    """A dictionary text of one section per region, parsed into headwords and bodies; a line that is no entry belongs to the one before it."""
+    j = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    entry = F.concat(F.upper(F.replace("n_name", F.lit("_"), F.lit("-"))), F.lit(", a nation;\n  "), "n_nationkey", F.lit(" of all\n"))
+    text = j.groupBy(F.col("r_name").alias("section")).agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("text"))
+    return S.parse_sections(text, "section", "text")
+
+
+@query("c16_nested_documents", """
+SELECT o_custkey AS owner, o_orderkey AS item, l_returnflag AS trait, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
+def _(t):
+    """Documents of two nested levels, one per customer, flattened to rows."""
+    j = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    items = j.groupBy("o_custkey", "o_orderkey").agg(F.sort_array(F.collect_list("l_returnflag")).alias("traits"))
+    docs = items.groupBy("o_custkey").agg(F.to_json(F.struct(F.col("o_custkey").alias("owner"), F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("item"), "traits"))).alias("items"))).alias("value"))
+    path = _place(docs)
+    docs.select("value").write.text(path)
+    read = docs.sparkSession.read.schema("owner bigint, items array<struct<item:bigint,traits:array<string>>>").json(path)
+    rows = read.select("owner", F.explode("items").alias("i")).select("owner", "i.item", F.explode("i.traits").alias("trait"))
+    return rows.groupBy("owner", "item", "trait").agg(F.count("*").alias("n"))

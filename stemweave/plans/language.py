@@ -43,6 +43,18 @@ _NAMES = f"SELECT DISTINCT {_GLUED} AS word FROM part"
 _S_NAMES = "SELECT DISTINCT replace(lower(p_name), ' ', 's') AS word FROM part"
 
 
+@query("t01_dictionary_matches", f"WITH {_ENTRIES}, g AS ({_NAMES}), p AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM g) SELECT word, i - 1 AS at, w AS surface FROM p JOIN d ON substr(word, i, length(w)) = w")
+def _(t):
+    """Every dictionary entry inside every name, with its place: what a trie walk finds, as one equality join."""
+    x = T.dictionary_matches(_glued(t), "glued", _entries(t), "w")
+    return x.select("word", F.explode("matches").alias("m")).select("word", "m.at", "m.surface")
+
+
+@query("t18_folded_surfaces", "SELECT regexp_replace(lower(p_brand || ' ' || p_name), '[^a-z]+', '', 'g') AS folded, count(*) AS n FROM part GROUP BY 1")
+def _(t):
+    return t("part").groupBy(S.fold_surface(F.concat_ws(" ", "p_brand", "p_name")).alias("folded")).agg(F.count("*").alias("n"))
+
+
 @query("t02_all_segmentations", f"WITH RECURSIVE {_ENTRIES}, {_parses(_NAMES)} SELECT word AS glued, count(*) AS parses FROM parses GROUP BY 1")
 def _(t):
     return T.parse_counts(_glued(t), "glued", _entries(t), "w").withColumnRenamed("word", "glued")

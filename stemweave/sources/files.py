@@ -153,6 +153,14 @@ def split_entries(text: Column, head: str = r"(?m)^(?=[A-Z][A-Z-]+\b[,.])") -> C
     return F.filter(F.split(text, head), lambda e: F.trim(e) != "")
 
 
+def parse_sections(df: DataFrame, ident: str, text: str, head: str = r"^\s*([A-Z][\w-]*)[,.]\s*") -> DataFrame:
+    """``(ident, head, body)``: the entries of a text; runs of blanks and line breaks in a body are one blank.  What stands before the first
+    headword is no entry."""
+    e = df.select(ident, F.explode(split_entries(F.col(text), r"(?m)^(?=[A-Z][A-Z\d-]+[,.])")).alias("e")).where(F.col("e").rlike(head))
+    body = F.trim(F.regexp_replace(F.regexp_replace("e", head, ""), r"\s+", " "))
+    return e.select(ident, F.regexp_extract("e", head, 1).alias("head"), body.alias("body"))
+
+
 def clean_ocr(text: Column) -> Column:
     """Running headers and page numbers dropped, ligatures and hyphenated line ends mended."""
     out = F.regexp_replace(text, r"(?m)^\s*(?:\d+|[A-Z][A-Z .]{3,}\s+\d+|\d+\s+[A-Z][A-Z .]{3,})\s*$\n?", "")
