@@ -377,7 +377,8 @@ def _compared(across: DataFrame, state: DataFrame, sets: DataFrame, weights: Dat
     """
     gap, eps = 1 - percent / 100, 1e-9
     stars = materialize(state.groupBy("star").agg(F.max("d").alias("r"), F.count("*").alias("m"), F.sum("n").alias("all"), F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks")), "star_sizes")
-    side = lambda c: stars.select(F.col("star").alias(c), F.col("r").alias(f"r{c}"), F.col("blocks").alias(f"n{c}"), (F.col("all") / F.col("blocks")).alias(f"t{c}"))
+    few = small(stars)
+    side = lambda c: few.select(F.col("star").alias(c), F.col("r").alias(f"r{c}"), F.col("blocks").alias(f"n{c}"), (F.col("all") / F.col("blocks")).alias(f"t{c}"))
     both = across.join(side("a"), "a").join(side("b"), "b").where(f"apart <= {gap + eps} + ra + rb").select("a", "b", "apart", "ra", "na", "ta", "rb", "nb", "tb")
     if not one:
         both = both.unionByName(side("a").join(stars.where("m > 1").select(F.col("star").alias("a")), "a", "left_semi").selectExpr("a", "a as b", "0.0D as apart", "ra", "na", "ta", "ra as rb", "na as nb", "ta as tb"))
