@@ -140,9 +140,9 @@ def _(t):
 
 
 @query("z13_membership_upsert", """
-WITH m AS (SELECT l_returnflag AS grp, l_partkey AS member, arg_max(l_discount, (l_orderkey, l_linenumber, l_suppkey)) AS fit FROM lineitem GROUP BY 1, 2) SELECT grp, count(*) AS members, round(avg(fit), 8) AS fit FROM m GROUP BY 1""")
+WITH m AS (SELECT l_returnflag AS grp, l_partkey AS member, arg_max(l_discount, (l_orderkey, l_linenumber, l_suppkey, l_discount)) AS fit FROM lineitem GROUP BY 1, 2) SELECT grp, count(*) AS members, round(avg(fit), 8) AS fit FROM m GROUP BY 1""")
 def _(t):
-    rows = t("lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_partkey").alias("member"), F.col("l_discount").alias("fit"), F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("o"))
+    rows = t("lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_partkey").alias("member"), F.col("l_discount").alias("fit"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_discount").alias("o"))
     return Y.upsert_members(rows, "grp", "member", "fit", "o").groupBy("grp").agg(F.count("*").alias("members"), F.round(F.avg("fit"), 8).alias("fit"))
 
 
