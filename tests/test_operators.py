@@ -304,3 +304,19 @@ def test_intermediate_tables_can_be_cleared(spark):
     graph.clear(spark)
     with pytest.raises(Exception):
         spark.read.parquet(graph.shared_dir(spark) + "/stemweave/" + spark.sparkContext.applicationId).count()
+
+
+@pytest.mark.parametrize("hubs", [0, 3, 10_000])
+def test_components_with_and_without_hubs(spark, monkeypatch, hubs):
+    import random
+
+    monkeypatch.setattr(graph, "HUBS", hubs)
+    rng = random.Random(hubs)
+    edges = [(0, k) for k in range(1, 60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(300 + k, 301 + k) for k in range(40)] + [(5, 5)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.component for r in graph.min_label_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: root[x] for x in linked}
