@@ -57,6 +57,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _R)
 _LOWERED = _BYTES.copy()
 _LOWERED[65:91] = _BYTES[97:123]
+EXACT = _BYTES
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -144,8 +145,9 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(first, key).unionByName(rows.join(first.select(key), key, "left_anti").join(other, key, "left"))
 
 
-def word_hashes(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the ASCII-lower-cased words of every text: (hash, byte start, byte end, first word of each text)."""
+def word_hashes(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = _SPACE, letters: np.ndarray = _LOWERED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of every text: (hash, byte start, byte end, first word of each text).  They are ASCII-lower-cased,
+    or with ``letters=EXACT`` as they stand."""
     is_sep = sep[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[off] = True
@@ -162,7 +164,7 @@ def word_hashes(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = _SPACE) -> t
         j = max(i + 1, int(np.searchsorted(end, start[i] + _SEGMENT, "right")))
         a, b = start[i], end[j - 1]
         sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_LOWERED[buf[a:b]] * _power(_R, b - a), out=sums[1:])
+        np.cumsum(letters[buf[a:b]] * _power(_R, b - a), out=sums[1:])
         s, e = start[i:j] - a, end[i:j] - a
         out[i:j] = mix((sums[e] - sums[s]) * _power(_RINV, b - a)[s] + (e - s).astype(np.uint64) * _M2)
         i = j
