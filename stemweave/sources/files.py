@@ -33,6 +33,24 @@ def read_jsonl(spark: SparkSession, path, schema: str, **options) -> DataFrame:
     return checked.select("file", "line_no", "_r.*")
 
 
+def read_events(spark: SparkSession, path, **options) -> DataFrame:
+    """``(file, line_no, type, op, ref, fields, lists)`` of the rows of JSON-line ledgers: ``_type``, ``_op`` and ``ref`` by themselves, of the
+    other entries those that are arrays in ``lists`` (``map<string,array<string>>``), the rest in ``fields`` (``map<string,string>``), in the order of the line.
+
+    A line that is no JSON object, or that lacks ``_type``, fails the read with its file and number.
+    """
+    lines = numbered_lines(spark, path, **options)
+    lines = lines.withColumn("_m", F.from_json("value", "map<string,string>")).withColumn("_ok", F.try_parse_json("value").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{")) & F.try_element_at("_m", F.lit("_type")).isNotNull())
+    where = F.concat(F.lit("bad event at "), "file", F.lit(":"), F.col("line_no").cast("string"))
+    lines = lines.withColumn("line_no", F.when(F.col("_ok"), F.col("line_no")).otherwise(F.raise_error(where).cast("int")))
+    entries = F.filter(F.map_entries("_m"), lambda e: ~e["key"].isin("_type", "_op", "ref"))
+    # an array and a string that looks like one are told apart by the parsed value
+    array = lambda e: F.coalesce(F.startswith(e["value"], F.lit("[")) & F.startswith(F.schema_of_variant(F.try_variant_get(F.parse_json("value"), F.concat(F.lit('$["'), e["key"], F.lit('"]')), "variant")), F.lit("ARRAY")), F.lit(False))
+    lists = F.transform(F.filter(entries, array), lambda e: F.struct(e["key"].alias("key"), F.from_json(e["value"], "array<string>").alias("value")))
+    at = lambda name: F.try_element_at("_m", F.lit(name))
+    return lines.select("file", "line_no", at("_type").alias("type"), at("_op").alias("op"), at("ref").alias("ref"), F.map_from_entries(F.filter(entries, lambda e: ~array(e))).alias("fields"), F.map_from_entries(lists).alias("lists"))
+
+
 def compressed_lines(spark: SparkSession, path) -> DataFrame:
     """``(file, value)`` of plain, gzip or Zstandard line files.
 

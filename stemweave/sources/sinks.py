@@ -79,6 +79,21 @@ def named_lines(df: DataFrame, target: str, line: str, order: list[str]) -> None
     _move_only_part(df.sparkSession, folder, target)
 
 
+def ledgers(df: DataFrame, path: str, file: str, line: str, order: list[str], suffix: str = ".jsonl") -> list[str]:
+    """Many ledgers at once: the lines of each value of ``file`` become one text file of that name in ``path``, each written by its own task.
+    The names of the files, which are few, come to the driver, and each is put in place by a rename."""
+    spark, staged = df.sparkSession, f"{path}/.{uuid.uuid4().hex}"
+    df.select(F.col(file).cast("string").alias("_file"), line, *order).repartition("_file").sortWithinPartitions("_file", *order).select("_file", line).write.partitionBy("_file").text(staged)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(staged).getFileSystem(conf)
+    names = sorted(f.getPath().getName().partition("=")[2] for f in fs.listStatus(at(staged)) if f.isDirectory())
+    for name in names:
+        _move_only_part(spark, f"{staged}/_file={name}", f"{path}/{name}{suffix}")
+    fs.delete(at(staged), True)
+    return names
+
+
 def zstandard_lines(df: DataFrame, path: str, line: str) -> int:
     """Zstandard line files, one for each partition of ``df``, named by its number so that a repeated task writes the same file; the number of lines."""
     import pyarrow as pa
