@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,28 +69,229 @@ def pick_structures(requests: DataFrame, ident: str, gate: str, structures: Data
     return done.unionByName(last.select(ident, gate, F.col("chosen").alias(structure), F.lit(True).alias("permissive")))
 
 
+CELLS = 1024
+
+
+def _located(points: DataFrame, spans: DataFrame, key: str, at: str, total: str) -> DataFrame:
+    """``points`` with the columns of the span ``(key, _lo, _hi, _total, ...)`` that holds ``at``, out of ``total``; nulls where none does.
+
+    Both are dealt into cells of equal width, so the points of one key meet its spans in many tasks; a cell more on both sides makes up for rounding.
+    """
+    cell = lambda c, of: F.floor(c / of * CELLS)
+    dealt = spans.withColumn("_cell", F.explode(F.sequence(F.greatest(cell(F.col("_lo"), F.col("_total")) - 1, F.lit(0)), cell(F.col("_hi"), F.col("_total")) + 1))).withColumnRenamed(key, "_key2")
+    here = points.withColumn("_cell", cell(F.col(at), F.col(total)))
+    fits = (F.col(key) == F.col("_key2")) & (here["_cell"] == dealt["_cell"]) & (F.col("_lo") <= F.col(at)) & (F.col(at) < F.col("_hi"))
+    return here.join(dealt, fits, "left").drop("_cell", "_key2", "_lo", "_hi", "_total")
+
+
+class Pools:
+    """Words of slots laid out for draws, each pool in order of its words: ``plain(_pool, _lo, _hi, _total, _word, _tag)``, the words of one tag ``tagged`` (by ``_lane``, pool and tag)
+    and ``leaning`` (by lane): where a draw lands if the tag's words weigh ``1 + cohesion`` times as much.
+
+    A leaning lane holds the tag's own words and the stretches between them, each with the extra weight that lies before it, so a draw that lands in a stretch is a plain draw moved back
+    by that.  All tables have the size of the pools.
+    """
+
+    def __init__(self, pools: DataFrame, gate: str, slot: str, word: str, tag: str, weight: str, cohesion: float):
+        c = cohesion
+        rows = pools.select(pool_key(F.col(gate), F.col(slot)).alias("_pool"), F.col(word).alias("_word"), F.col(tag).alias("_tag"), F.col(weight).cast("double").alias("_w"))
+        along, whole = Window.partitionBy("_pool").orderBy("_word").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("_pool")
+        plain = rows.withColumn("_hi", F.sum("_w").over(along)).withColumn("_total", F.sum("_w").over(whole)).withColumn("_lo", F.col("_hi") - F.col("_w"))
+        lane, ordered = Window.partitionBy("_pool", "_tag"), Window.partitionBy("_pool", "_tag").orderBy("_word")
+        mine = plain.withColumn("_t", F.sum("_w").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_tt", F.sum("_w").over(lane)).withColumn("_lane", lane_key(F.col("_pool"), F.col("_tag")))
+        self.table = stored(mine)
+        self.plain = self.table.select("_pool", "_lo", "_hi", "_total", "_word", "_tag")
+        self.tagged = self.table.select("_lane", (F.col("_t") - F.col("_w")).alias("_lo"), F.col("_t").alias("_hi"), F.col("_tt").alias("_total"), "_word")
+        self.totals = self.table.select("_pool", F.col("_total").alias("_plain")).distinct()
+        self.lanes = self.table.select("_lane", F.col("_tt").alias("_of_tag")).distinct()
+        up = self.table.withColumn("_end", F.col("_total") + c * F.col("_tt")).withColumn("_a", F.col("_lo") + c * (F.col("_t") - F.col("_w"))).withColumn("_b", F.col("_a") + (1 + c) * F.col("_w"))
+        after = F.coalesce(F.lead("_a").over(ordered), F.col("_end"))
+        steps = [F.struct(F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), F.col("_word").alias("_word"), F.lit(0.0).alias("_shift")), F.struct(F.col("_b").alias("_lo"), F.col("_next").alias("_hi"), F.lit(None).cast("string").alias("_word"), (c * F.col("_t")).alias("_shift"))]
+        spans = up.withColumn("_next", after).select("_lane", F.col("_end").alias("_total"), F.explode(F.array(*steps)).alias("s")).select("_lane", "_total", "s.*")
+        self.leaning = spans.where("_hi > _lo")
+        self.cohesion = c
+
+    def draw(self, asked: DataFrame, i: int, seed: int, ident: str) -> DataFrame:
+        """``asked(_pool, _before, ...)`` with the ``chosen`` word and its ``_got`` tag; null where the pool is empty."""
+        rows = asked.withColumn("_lane", lane_key(F.col("_pool"), F.col("_before"))).join(self.totals, "_pool", "left").join(self.lanes, "_lane", "left")
+        rows = rows.withColumn("_all", F.col("_plain") + self.cohesion * F.coalesce("_of_tag", F.lit(0.0))).withColumn("_x", hashed_uniform(seed, F.col(ident), F.lit(i)) * F.col("_all"))
+        leant = _located(rows, self.leaning, "_lane", "_x", "_all").withColumnRenamed("_word", "_own")
+        leant = stored(leant.withColumn("_x", F.when(F.col("_own").isNull(), F.col("_x") - F.coalesce("_shift", F.lit(0.0)))).drop("_shift", "_of_tag", "_all", "_lane"))
+        found = _located(leant, self.plain, "_pool", "_x", "_plain")
+        return found.withColumn("chosen", F.coalesce("_own", "_word")).withColumn("_got", F.when(F.col("_own").isNotNull(), F.col("_before")).otherwise(F.col("_tag"))).drop("_own", "_word", "_tag", "_x", "_plain", "_pool")
+
+    def draw_tagged(self, asked: DataFrame, u: Column) -> DataFrame:
+        """``asked(_lane, ...)`` with a ``chosen`` word of the lane's tag, by weight."""
+        rows = asked.join(self.lanes, "_lane").withColumn("_x", u * F.col("_of_tag"))
+        return _located(rows, self.tagged, "_lane", "_x", "_of_tag").withColumnRenamed("_word", "chosen").drop("_x", "_of_tag")
+
+
+def pool_key(gate: Column, slot: Column) -> Column:
+    return F.concat_ws("\x1f", gate, slot)
+
+
+def lane_key(pool: Column, tag: Column) -> Column:
+    return F.concat_ws("\x1e", pool, tag)
+
+
 def fill_slots(picks: DataFrame, ident: str, gate: str, slots: str, pools: DataFrame, slot: str, word: str, tag: str, weight: str, seed: int, cohesion: float = 1.0) -> DataFrame:
     """``(ident, parts)``: the words of each request's slots, filled in turn.
 
-    A word that shares the tag of the word before it weighs ``1 + cohesion`` times as much.  A slot without words is left out;
+    A word that shares the tag of the word before it weighs ``1 + cohesion`` times as much (:class:`Pools`; no pool meets all tags).  A slot without words is left out;
     a request of which no slot is filled is dropped.
     """
-    tags = pools.select(F.col(tag).alias("_before")).distinct().unionByName(pools.limit(1).select(F.lit("").alias("_before")))
-    # few tags: each pool once for every tag that can stand before it
-    leaning = pools.join(F.broadcast(tags) if tags.count() <= 10_000 else tags).withColumn("_w", F.col(weight) * F.when(F.col(tag) == F.col("_before"), 1 + cohesion).otherwise(1.0))
-    leaning = stored(leaning.select(F.concat_ws("\x1f", gate, slot, "_before").alias("_key"), word, tag, "_w"))
+    laid = Pools(pools, gate, slot, word, tag, weight, cohesion)
     state = picks.select(ident, gate, slots, F.lit("").alias("_before"), F.array().cast("array<string>").alias("parts"))
     most = picks.agg(F.max(F.size(slots))).first()[0] or 0
-    tag_of = leaning.select(F.col("_key").alias("_k"), F.col(word).alias("chosen"), F.col(tag).alias("_tag"))
     for i in range(most):
         here = F.get(slots, F.lit(i))
-        asked = state.withColumn("_key", F.concat_ws("\x1f", F.col(gate), here, "_before")).withColumn("_u", F.when(here.isNotNull(), hashed_uniform(seed, F.col(ident), F.lit(i))))
-        drawn = weighted_choice(leaning.select("_key", word, "_w"), asked, "_key", word, "_w", "_u")
-        drawn = drawn.join(tag_of, (drawn["_key"] == tag_of["_k"]) & (drawn["chosen"] == tag_of["chosen"]), "left").drop(tag_of["chosen"])
-        state = stored(drawn.select(ident, gate, slots, F.coalesce("_tag", "_before").alias("_before"), F.when(F.col("chosen").isNull(), F.col("parts")).otherwise(F.concat("parts", F.array("chosen"))).alias("parts")))
+        drawn = laid.draw(state.withColumn("_pool", F.when(here.isNotNull(), pool_key(F.col(gate), here))), i, seed, ident)
+        state = stored(drawn.select(ident, gate, slots, F.coalesce("_got", "_before").alias("_before"), F.when(F.col("chosen").isNull(), F.col("parts")).otherwise(F.concat("parts", F.array("chosen"))).alias("parts")))
+    return state.where("size(parts) > 0").select(ident, "parts")
+
+
+def reserve_slots(requests: DataFrame, ident: str, gate: str, slots: str, tag: str, moods: str, pools: DataFrame, slot: str, word_tag: str, seed: int) -> DataFrame:
+    """``requests`` plus ``mood_slot``, ``tag_slot`` (from 0) and ``failed``: the slots that carry a mood's and a demanded tag's word.
+
+    ``moods`` is an array of ``(tag, weight)``, ``tag`` a tag or null.  A slot is capable where its pool has a word with such a tag; one of the capable ones is drawn.  The tag takes
+    another slot than the mood unless the mood's is the only capable one.  A mood without a capable slot goes without (soft); a tag without one fails the request's structure (hard).
+    """
+    have = pools.select(lane_key(pool_key(F.col(gate), F.col(slot)), F.col(word_tag)).alias("_lane")).distinct().withColumn("_has", F.lit(True))
+    each = requests.select(ident, gate, F.col(tag).alias("_tag"), F.col(moods).alias("_moods"), F.posexplode(slots).alias("_i", "_s"))
+    pool = pool_key(F.col(gate), F.col("_s"))
+    asked = each.select(ident, "_i", F.lit("tag").alias("_what"), lane_key(pool, F.col("_tag")).alias("_lane"), F.col("_tag").alias("_t")).where("_t is not null")
+    asked = asked.unionByName(each.select(ident, "_i", F.lit("mood").alias("_what"), pool.alias("_p"), F.explode("_moods").alias("_m")).where("_m.weight > 0").select(ident, "_i", "_what", lane_key(F.col("_p"), F.col("_m.tag")).alias("_lane"), F.col("_m.tag").alias("_t")))
+    can = asked.join(have, "_lane").groupBy(ident).agg(*[F.array_sort(F.collect_set(F.when(F.col("_what") == w, F.col("_i")))).alias(f"_{w}") for w in ("mood", "tag")])
+    rows = requests.join(can, ident, "left")
+    drawn = lambda a, what: F.get(a, F.floor(hashed_uniform(seed, F.col(ident), F.lit(what)) * F.size(a)).cast("int"))
+    rows = rows.withColumn("mood_slot", F.when(F.size("_mood") > 0, drawn(F.col("_mood"), "mood")))
+    other = F.filter("_tag", lambda i: F.col("mood_slot").isNull() | (i != F.col("mood_slot")))
+    rows = rows.withColumn("_free", F.when(F.size(other) > 0, other).otherwise(F.col("_tag")))
+    rows = rows.withColumn("tag_slot", F.when(F.col(tag).isNotNull() & (F.size("_free") > 0), drawn(F.col("_free"), "tag")))
+    return rows.withColumn("failed", F.col(tag).isNotNull() & F.col("tag_slot").isNull()).drop("_mood", "_tag", "_free")
+
+
+def fill_reserved(reserved: DataFrame, ident: str, gate: str, slots: str, tag: str, moods: str, pools: DataFrame, slot: str, word: str, word_tag: str, weight: str, seed: int, cohesion: float = 1.0) -> DataFrame:
+    """``(ident, parts)`` of the requests of :func:`reserve_slots` that haven't failed, filled in turn as by :func:`fill_slots`, except in reserved slots.
+
+    The tag's slot draws from words with the demanded tag alone; they are chosen before cohesion, which weighs them all alike.  In the mood's slot words with a tag of the mood are drawn
+    by weight times the mood's weight for it, words with the tag before them leaning as ever, others not at all.
+    """
+    laid = Pools(pools, gate, slot, word, word_tag, weight, cohesion)
+    keep = [ident, gate, slots, tag, moods, "mood_slot", "tag_slot"]
+    state = reserved.where("not failed").select(*keep, F.lit("").alias("_before"), F.array().cast("array<string>").alias("parts"))
+    most = reserved.agg(F.max(F.size(slots))).first()[0] or 0
+    for i in range(most):
+        here = F.get(slots, F.lit(i))
+        rows = stored(state.withColumn("_pool", F.when(here.isNotNull(), pool_key(F.col(gate), here))))
+        tagged, mooded = F.coalesce(F.col("tag_slot") == i, F.lit(False)), F.coalesce(F.col("mood_slot") == i, F.lit(False))
+        free = laid.draw(rows.where(~tagged & ~mooded), i, seed, ident).select(*keep, "_before", "parts", "chosen", "_got")
+        hard = laid.draw_tagged(rows.where(tagged).withColumn("_lane", lane_key(F.col("_pool"), F.col(tag))), hashed_uniform(seed, F.col(ident), F.lit(i)))
+        hard = hard.select(*keep, "_before", "parts", "chosen", F.col(tag).alias("_got"))
+        # the mood's tags that the pool has, each with the weight of all its words, laid end to end in order
+        soft = rows.where(mooded & ~tagged)
+        parts = soft.select(ident, "_pool", "_before", F.explode(moods).alias("_m")).where("_m.weight > 0").select(ident, "_before", F.col("_m.tag").alias("_t"), F.col("_m.weight").alias("_mw"), lane_key(F.col("_pool"), F.col("_m.tag")).alias("_lane")).join(laid.lanes, "_lane")
+        share = F.col("_mw") * F.col("_of_tag") * F.when(F.col("_t") == F.col("_before"), 1 + cohesion).otherwise(1.0)
+        along = Window.partitionBy(ident).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+        parts = parts.withColumn("_hi", F.sum(share).over(along)).withColumn("_sum", F.sum(share).over(Window.partitionBy(ident)))
+        got = parts.where(F.col("_hi") > hashed_uniform(seed, F.col(ident), F.lit(i)) * F.col("_sum")).groupBy(ident).agg(F.min(F.struct("_t", "_lane")).alias("_m"))
+        soft = laid.draw_tagged(soft.join(got, ident).withColumn("_lane", F.col("_m._lane")), hashed_uniform(seed, F.col(ident), F.lit(i), F.lit("word"))).select(*keep, "_before", "parts", "chosen", F.col("_m._t").alias("_got"))
+        drawn = free.unionByName(hard).unionByName(soft)
+        state = stored(drawn.select(*keep, F.coalesce("_got", "_before").alias("_before"), F.when(F.col("chosen").isNull(), F.col("parts")).otherwise(F.concat("parts", F.array("chosen"))).alias("parts")))
     return state.where("size(parts) > 0").select(ident, "parts")
 
 
+def diversified(names: DataFrame, ident: str, slot: str, usage: str, position: str, senses: DataFrame) -> DataFrame:
+    """``names(ident, slot, usage, position)`` plus ``final``: repeats within a name resolved one after the other, in order of the slots.
+
+    ``senses(usage, rank, language, form, gloss, tag)`` are the readings of a usage; the least rank is its own.  A repeat takes the form of a reading that shares a gloss with its own and is
+    in a language that neither its own readings of that gloss nor the first use brought; of several the least (rank, language).  Else it becomes another usage of the same
+    position and its own language, one that shares its tag if there is one, that the name doesn't have yet; which one, a digest of the whole name says.  Else it stays.
+
+    The pools of other usages are numbered once; a repeat looks up as many neighbours of its digest as its name has slots, which is enough whatever the name has already.
+    """
+    own = senses.groupBy("usage").agg(F.min(F.struct("rank", "language", "gloss", "tag")).alias("o")).select("usage", "o.*")
+    placed = names.select(F.col(usage).alias("usage"), F.col(position).alias("_pos")).distinct().join(own, "usage")
+    lane = lambda pos, lang, t: F.concat_ws("\x1f", pos, lang, t)
+    members = placed.select("usage", F.explode(F.array(lane(F.col("_pos"), F.col("language"), F.lit("")), lane(F.col("_pos"), F.col("language"), F.concat(F.lit("t"), "tag")))).alias("_lane")).where("_lane is not null").distinct()
+    numbered = members.select("_lane", "usage", (F.row_number().over(Window.partitionBy("_lane").orderBy("usage")) - 1).alias("_n"))
+    sizes = numbered.groupBy("_lane").agg(F.count("*").alias("_size"))
+
+    same = senses.alias("s").join(own.alias("o"), "usage").where("s.gloss = o.gloss and s.language <> o.language").groupBy("usage").agg(F.array_sort(F.collect_set(F.struct("s.rank", "s.language", "s.form"))).alias("_syn"))
+    slots = names.select(F.col(ident).alias("_id"), F.col(slot).alias("_slot"), F.col(usage).alias("usage"), F.col(position).alias("_pos"))
+    whole = slots.groupBy("_id").agg(F.count("*").alias("_k"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_slot", "usage"))), lambda x: x["usage"]), "|").alias("_name"))
+    again = slots.withColumn("_r", F.row_number().over(Window.partitionBy("_id", "usage").orderBy("_slot"))).where("_r > 1").join(whole, "_id").join(own, "usage")
+    start = lambda size: F.floor(hashed_uniform(0, F.col("_name"), F.col("_slot")) * size)
+    options = again.select("_id", "_slot", "_k", "_name", F.explode(F.array(F.struct(F.lit(0).alias("o"), lane(F.col("_pos"), F.col("language"), F.concat(F.lit("t"), "tag")).alias("l")), F.struct(F.lit(1).alias("o"), lane(F.col("_pos"), F.col("language"), F.lit("")).alias("l")))).alias("c"))
+    options = options.select("_id", "_slot", "_k", "_name", "c.o", F.col("c.l").alias("_lane")).join(sizes, "_lane")
+    options = options.select("_id", "_slot", "o", "_lane", "_size", start(F.col("_size")).alias("_at"), F.explode(F.sequence(F.lit(0), F.least("_k", F.col("_size") - 1).cast("int"))).alias("_j")).withColumn("_n", (F.col("_at") + F.col("_j")) % F.col("_size")).join(numbered, ["_lane", "_n"])
+    options = options.groupBy("_id", "_slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "_j", "usage"))), lambda x: x["usage"]).alias("_options"))
+    full = slots.join(own.select("usage", "language"), "usage", "left").join(same, "usage", "left").join(options, ["_id", "_slot"], "left")
+    lists = full.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_slot", "usage", "language", F.transform("_syn", lambda x: F.struct(x["language"].alias("language"), x["form"].alias("form"))).alias("syn"), F.col("_options").alias("options")))).alias("p"))
+
+    def run(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"key": pdf["key"], "final": [_resolved(p) for p in pdf["p"]]})
+
+    key = F.to_json(F.struct("_id"))
+    out = lists.select(key.alias("key"), F.transform("p", lambda x: F.struct(x["usage"].alias("usage"), x["language"].alias("language"), x["syn"].alias("syn"), x["options"].alias("options"))).alias("p")).mapInPandas(run, "key string, final array<string>")
+    flat = lists.select(key.alias("key"), "_id", F.transform("p", lambda x: x["_slot"]).alias("_slots")).join(out, "key").select("_id", F.explode(F.arrays_zip("_slots", "final")).alias("z")).select("_id", F.col("z._slots").alias("_slot"), F.col("z.final").alias("final"))
+    return names.join(flat, (F.col(ident) == F.col("_id")) & (F.col(slot) == F.col("_slot"))).drop("_id", "_slot")
+
+
+def _resolved(parts) -> list[str]:
+    """The final usages of one name's slots, in order."""
+    fold = lambda u: u.replace("-", "").lower()
+    seen: dict[str, set[str]] = {}
+    out = []
+    for p in parts:
+        usage, language = p["usage"], p["language"]
+        mine = {language} if language else set()
+        if fold(usage) not in seen:
+            seen[fold(usage)] = mine
+            out.append(usage)
+            continue
+        taken = seen[fold(usage)] | mine
+        synonym = next((s for s in ([] if p["syn"] is None else p["syn"]) if s["language"] not in taken), None)
+        other = next((o for o in ([] if p["options"] is None else p["options"]) if fold(o) not in seen), None)
+        if synonym is not None:
+            seen.setdefault(fold(synonym["form"]), set()).add(synonym["language"])
+            out.append(synonym["form"])
+        elif other is not None:
+            seen[fold(other)] = set(mine)
+            out.append(other)
+        else:
+            out.append(usage)
+    return out
+
+
+def rendered_names(parts: DataFrame, ident: str, slot: str, entity: str, usage: str, variants: DataFrame, inflections: DataFrame, grid: DataFrame, families: list[str], seed: int, variety: float, density: float) -> DataFrame:
+    """``(ident, rendered)``: each name as JSON, its parts in order with usage, rendered form, label and a grid of the forms of its entity by family and stage.
+
+    A part first draws for an inflection, with chance ``density``: one of ``inflections(entity, form, label)``, all alike; else for a variant, with chance ``variety``: one of
+    ``variants(entity, form, weight)`` by weight; else it is rendered as its usage.  An entity without inflections or positive variants has no such draw.  ``grid(entity, family, stage, language, form, source)``
+    gives families in the order of ``families``, then by name, stages by number, forms in order; what is empty is left out.  Draws are digests of name and slot.
+    """
+    e = F.col(entity)
+    u = lambda what: hashed_uniform(seed, F.col(ident), F.col(slot), F.lit(what))
+    base = parts.select(F.col(ident), F.col(slot), e.alias("_e"), F.col(usage).alias("usage"))
+    base = base.withColumn("_ui", u("i1")).withColumn("_uv", u("v1")).withColumn("_inflect", u("i0") < density).withColumn("_vary", u("v0") < variety)
+    forms = inflections.select(F.col("entity").alias("_e"), F.concat_ws("\x1f", "form", "label").alias("_f"), F.lit(1).alias("_w")).distinct()
+    spelt = variants.groupBy(F.col("entity").alias("_e"), F.col("form").alias("_f")).agg(F.sum(F.when(F.col("weight") > 0, F.col("weight"))).alias("_w")).where("_w > 0")
+    drawn = weighted_choice(forms, base, "_e", "_f", "_w", "_ui").withColumnRenamed("chosen", "_inf")
+    drawn = weighted_choice(spelt, stored(drawn), "_e", "_f", "_w", "_uv").withColumnRenamed("chosen", "_var")
+    got = F.when(F.col("_inflect"), F.split("_inf", "\x1f"))
+    shown = drawn.select(ident, slot, "_e", "usage", F.coalesce(F.get(got, F.lit(0)), F.when(F.col("_vary"), F.col("_var")), F.col("usage")).alias("rendered"), F.get(got, F.lit(1)).alias("label"))
+    order = F.array(*map(F.lit, families)) if families else F.array().cast("array<string>")
+    place = F.when(F.array_position(order, F.col("family")) > 0, F.array_position(order, F.col("family"))).otherwise(len(families) + 1)
+    cells = grid.groupBy("entity", "family", "stage", "language").agg(F.array_sort(F.collect_set(F.struct("form", "source"))).alias("forms"))
+    rows = cells.groupBy("entity", "family").agg(F.transform(F.array_sort(F.collect_list(F.struct("stage", "language", "forms"))), lambda x: F.struct(x["language"].alias("language"), x["forms"].alias("forms"))).alias("stages"))
+    table = rows.groupBy(F.col("entity").alias("_e")).agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("k"), "family", "stages"))), lambda x: F.struct(x["family"].alias("family"), x["stages"].alias("stages"))).alias("grid"))
+    every = shown.join(table, "_e", "left").groupBy(ident).agg(F.transform(F.array_sort(F.collect_list(F.struct(slot, "usage", "rendered", "label", "grid"))), lambda x: F.struct(x["usage"].alias("usage"), x["rendered"].alias("rendered"), x["label"].alias("label"), x["grid"].alias("grid"))).alias("parts"))
+    name = F.array_join(F.transform("parts", lambda x: x["rendered"]), "")
+    return every.select(ident, F.to_json(F.struct(name.alias("name"), "parts")).alias("rendered"))
+
+
 def era_map(names: DataFrame, name: str, forms: DataFrame, form_of: str, at: str, form: str, eras: list[tuple[str, int]]) -> DataFrame:
     """``(name, era, rendered, attested)``: each distinct name through the strata, by its last form at or before each era;
     an era before its first form keeps the name as it is."""

@@ -58,22 +58,54 @@ def two_step_root(nodes: DataFrame, ident: str, merged: str, lemma: str) -> Data
     return nodes.select(ident, target.alias("_t")).join(t, "_t", "left").select(ident, F.coalesce("_l", "_t").alias("root"))
 
 
-def flatten_chains(nodes: DataFrame, ident: str, pointer: str, most_rounds: int = 40) -> DataFrame:
-    """``(id, terminal, cyclic)``: pointer doubling to the end of each chain; nodes on or behind a cycle are
-    marked and keep their own id."""
-    state = stored(nodes.select(F.col(ident).alias("id"), F.coalesce(pointer, ident).alias("to")))
-    for _ in range(most_rounds):
-        hop = state.select(F.col("id").alias("to"), F.col("to").alias("further"))
-        new = stored(state.join(hop, "to", "left").select("id", F.coalesce("further", "to").alias("to")))
-        changed = new.join(state.withColumnRenamed("to", "was"), "id").where("to <> was").limit(1).count()
-        state = new
-        if not changed:
-            break
-    ends = nodes.where(F.col(pointer).isNull() | (F.col(pointer) == F.col(ident))).select(F.col(ident).alias("to"), F.lit(True).alias("_end"))
-    # a pointer to a node that is not in the table ends there
-    outside = state.select("to").distinct().join(nodes.select(F.col(ident).alias("to")), "to", "left_anti").withColumn("_end", F.lit(True))
-    done = state.join(ends.unionByName(outside), "to", "left")
-    return done.select(F.col("id").alias(ident), F.when(F.col("_end"), F.col("to")).otherwise(F.col("id")).alias("terminal"), F.col("_end").isNull().alias("cyclic"))
+def _doubled(state: DataFrame, ended: str) -> tuple[DataFrame, DataFrame | None]:
+    """``state(id, to, ended)`` with each pointer as far as it goes, and the rows of those that never end (or None); pointers double each round.
+
+    The nodes of a chain end nearest first, so a round in which no node ends leaves those alone that are on a cycle or behind one.
+    """
+    done, open_ = [state.where(ended)], state.where(~F.col(ended))
+    while True:
+        hop = state.select(F.col("id").alias("to"), F.col("to").alias("_further"), F.col(ended).alias("_end"))
+        moved = open_.drop(ended).join(hop, "to").select("id", F.col("_further").alias("to"), F.col("_end").alias(ended))
+        moved, seen = stored_with(moved, F.count_if(F.col(ended)).alias("new"), F.count("*").alias("n"))
+        if not seen["n"]:
+            return reduce(DataFrame.unionByName, done), None
+        if not seen["new"]:
+            return reduce(DataFrame.unionByName, done), open_
+        done, open_ = [*done, moved.where(ended)], moved.where(~F.col(ended))
+        state = stored(reduce(DataFrame.unionByName, [*done, open_]))
+        done, open_ = [state.where(ended)], state.where(~F.col(ended))
+
+
+def chain_ends(nodes: DataFrame, ident: str, pointer: str) -> DataFrame:
+    """``(id, terminal, entry)``: where the pointers of each node lead.  A chain ends at a node without a pointer, at one that points to itself or at an id that is not in the
+    table, its ``terminal``; one that runs into a cycle has none, but an ``entry``: the first node of the cycle on its way.
+    """
+    here = nodes.select(F.col(ident).alias("id"), F.coalesce(pointer, ident).alias("to"))
+    known = nodes.select(F.col(ident).alias("to"), F.lit(True).alias("_in")).distinct()
+    state = stored(here.join(known, "to", "left").select("id", "to", ((F.col("id") == F.col("to")) | F.col("_in").isNull()).alias("_end")))
+    done, left = _doubled(state, "_end")
+    ends = done.select("id", F.col("to").alias("terminal"), F.lit(None).cast(here.schema["id"].dataType).alias("entry"))
+    if left is None:
+        return ends.withColumnRenamed("id", ident)
+    # as many steps as there are nodes lead from every node onto its cycle, and from the nodes of a cycle to all of them
+    jump = stored(state.join(left.select("id"), "id", "left_semi").select("id", "to"))
+    steps, n = 1, jump.count()
+    first = jump
+    while steps < n:
+        jump = stored(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("_further")), "to").select("id", F.col("_further").alias("to")))
+        steps *= 2
+    cycle = stored(jump.select(F.col("to").alias("id")).distinct().withColumn("_on", F.lit(True)))
+    entered = first.join(cycle, "id", "left").select("id", F.when(F.col("_on"), F.col("id")).otherwise(F.col("to")).alias("to"), F.coalesce("_on", F.lit(False)).alias("_end"))
+    onto = entered.join(cycle.withColumnsRenamed({"id": "to", "_on": "_to_on"}), "to", "left").select("id", "to", (F.col("_end") | F.coalesce("_to_on", F.lit(False))).alias("_end"))
+    found, _ = _doubled(stored(onto), "_end")
+    return ends.unionByName(found.select("id", F.lit(None).cast(here.schema["to"].dataType).alias("terminal"), F.col("to").alias("entry"))).withColumnRenamed("id", ident)
+
+
+def flatten_chains(nodes: DataFrame, ident: str, pointer: str) -> DataFrame:
+    """``(id, terminal, cyclic)``: pointer doubling to the end of each chain; nodes on or behind a cycle are marked and keep their own id."""
+    ends = chain_ends(nodes, ident, pointer)
+    return ends.select(ident, F.coalesce("terminal", ident).alias("terminal"), F.col("entry").isNotNull().alias("cyclic"))
 
 
 HUBS = 10_000

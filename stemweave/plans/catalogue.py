@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import domain, extended, generation, hierarchy, ingest, language, logs, pages, relational, workflows  # noqa: F401
+from . import domain, eras, extended, generation, hierarchy, ingest, language, logs, pages, relational, workflows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
