@@ -6,10 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: letters that decompose into two, and accented Latin letters with their base letter
-LIGATURES = {"æ": "ae", "œ": "oe", "ß": "ss", "þ": "th", "ð": "d", "ø": "o", "ł": "l", "đ": "d"}
-#: accented Latin letters; each folds to the first letter of its decomposition
-ACCENTED = "àáâãäåāăąçćčďéèêëēėęěíìîïīįñńňóòôõöōőřŕśšşťúùûüūůűųýÿžźżŵŷ"
+#: fixed values: Latin letters that no decomposition and no name of a base letter explains
+SPECIAL = {"æ": "ae", "œ": "oe", "ß": "ss", "þ": "th", "ð": "d", "ƿ": "w", "ȝ": "y", "ŋ": "ng", "ı": "i", "ĸ": "k", "ſ": "s"}
+
+
+def latin_letters() -> dict[str, str]:
+    """What each lower-case Latin letter beyond a-z folds to: the letters of its compatibility decomposition without marks, those in ``SPECIAL`` spelt out, and of
+    a letter "with" something (a stroke, a hook) the letter it is named by.  Other letters have no entry."""
+    import sys
+    import unicodedata
+
+    def one(ch: str) -> str:
+        if ch.isascii():
+            return ch.lower() if ch.isalpha() else ""
+        if ch.lower() in SPECIAL:
+            return SPECIAL[ch.lower()]
+        name = unicodedata.name(ch, "").split()
+        return name[3].lower() if name[:3] == ["LATIN", "SMALL", "LETTER"] and len(name) > 4 and name[4] == "WITH" and len(name[3]) == 1 else ""
+
+    out = {}
+    for code in range(128, sys.maxunicode + 1):
+        ch = chr(code)
+        if "LATIN" in unicodedata.name(ch, "") and ch == ch.lower():
+            to = SPECIAL.get(ch) or "".join(one(x) for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+            if to:
+                out[ch] = to
+    return out
 
 
 def ascii_lower(c: Column) -> Column:
@@ -18,16 +40,16 @@ def ascii_lower(c: Column) -> Column:
 
 
 def fold_surface(c: Column) -> Column:
-    """Lower case, ligatures expanded, accents dropped, letters a-z only."""
-    import unicodedata
-
-    out = F.lower(c)
-    for k, v in LIGATURES.items():
-        out = F.replace(out, F.lit(k), F.lit(v))
-    base = {ch: unicodedata.normalize("NFKD", ch)[0] for ch in ACCENTED}
-    marks = {k: v for k, v in base.items() if v.isascii()}
-    out = F.translate(out, "".join(marks), "".join(marks.values()))
-    return F.regexp_replace(out, "[^a-z]+", "")
+    """Lower case, Latin letters of all blocks by their base letters (ligatures spelt out), marks dropped, letters a-z only."""
+    table = latin_letters()
+    single = {k: v for k, v in table.items() if len(v) == 1}
+    low = F.lower(c)
+    out = F.translate(low, "".join(single), "".join(single.values()))
+    for k, v in table.items():
+        if len(v) > 1:
+            out = F.replace(out, F.lit(k), F.lit(v))
+    plain = F.when(low.rlike(r"[^\x00-\x7F]"), out).otherwise(low)
+    return F.regexp_replace(plain, "[^a-z]+", "")
 
 
 def consonant_skeleton(c: Column) -> Column:

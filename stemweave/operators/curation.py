@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import ancestors
+from .graph import ancestors, chain_ends, stored
 
 
 def apply_curation(nodes: DataFrame, ident: str, label: str, children: DataFrame, node: str, value: str, actions: DataFrame) -> dict[str, DataFrame]:
@@ -17,22 +17,29 @@ def apply_curation(nodes: DataFrame, ident: str, label: str, children: DataFrame
 
     ``set`` gives a node the label ``value``; ``drop`` takes off its children of that value; ``add`` gives it such a child (its other
     columns null); ``split`` makes the node ``to``, with its label, and moves the children of that value there; ``fold`` moves all children to ``to``
-    and drops the node.  ``counts(kind, applied, unresolved)`` tells how many actions name a node that is not there.
+    and drops the node.  A fold into a node that is folded itself goes on to where that one ends.  One into a node that isn't there (nor made by a split), into itself, or round in a circle
+    changes nothing.  ``counts(kind, applied, unresolved)`` tells how many actions name a node that is not there, or are such a fold.
     """
     here = nodes.select(F.col(ident).alias("ref"))
     known = actions.join(here, "ref", "left_semi")
     of = lambda kind: known.where(F.col("kind") == kind)
     renamed = nodes.join(of("set").select(F.col("ref").alias(ident), F.col("value").alias("_set")), ident, "left").withColumn(label, F.coalesce("_set", label)).select(*nodes.columns)
     made = renamed.join(of("split").select(F.col("ref").alias(ident), F.col("to").alias("_to")), ident).withColumn(ident, F.col("_to")).select(*nodes.columns)
-    kept = renamed.join(of("fold").select(F.col("ref").alias(ident)), ident, "left_anti").unionByName(made)
+    there = here.union(of("split").select("to")).distinct().select(F.col("ref").alias("_to"))
+    wanted = of("fold").select("ref", F.col("to").alias("_to")).where("ref <> _to").join(there, "_to", "left_semi")
+    ends = chain_ends(wanted.select("ref", "_to").unionByName(wanted.select(F.col("_to").alias("ref")).distinct().join(wanted.select("ref"), "ref", "left_anti").withColumn("_to", F.lit(None).cast(wanted.schema["_to"].dataType))), "ref", "_to")
+    resolved = stored(wanted.select("ref").join(ends, "ref").select("ref", F.coalesce("terminal", "entry").alias("_fold")).where("ref <> _fold"))
+    kept = renamed.join(resolved.select(F.col("ref").alias(ident)), ident, "left_anti").unionByName(made)
     drop = of("drop").select(F.col("ref").alias(node), F.col("value").alias(value))
     rest = children.join(drop, [node, value], "left_anti")
     moves = of("split").select(F.col("ref").alias(node), F.col("value").alias(value), F.col("to").alias("_split"))
-    folds = of("fold").select(F.col("ref").alias(node), F.col("to").alias("_fold"))
+    folds = resolved.select(F.col("ref").alias(node), "_fold")
     moved = rest.join(moves, [node, value], "left").join(folds, node, "left").withColumn(node, F.coalesce("_split", "_fold", node)).select(*children.columns)
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in children.schema if f.name not in (node, value)]
     added = of("add").select(F.col("ref").alias(node), F.col("value").alias(value), *blank)
-    counts = actions.join(here.withColumn("_known", F.lit(True)), "ref", "left").groupBy("kind").agg(F.count("_known").alias("applied"), F.count_if(F.col("_known").isNull()).alias("unresolved"))
+    judged = actions.join(here.withColumn("_known", F.lit(True)), "ref", "left").join(resolved.select("ref", F.lit(True).alias("_goes")), "ref", "left")
+    done = F.coalesce(F.when(F.col("kind") == "fold", F.col("_goes")).otherwise(F.col("_known")), F.lit(False))
+    counts = judged.groupBy("kind").agg(F.count_if(done).alias("applied"), F.count_if(~done).alias("unresolved"))
     return {"nodes": kept, "children": moved.unionByName(added), "counts": counts}
 
 

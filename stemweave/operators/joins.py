@@ -121,15 +121,17 @@ def capped_product(parts: DataFrame, key: str, part: str, choice: str, order: li
 
 def resolve_mentions(mentions: DataFrame, entities: DataFrame, form: str, hint: str, region: str, entity: str) -> DataFrame:
     """``mentions`` with the id of the entity they name: the only one of that form, else the only one whose
-    region is contained in the hint, else null.
+    region stands in the hint as whole words (letters and digits in lower case; what is between them doesn't count), else null.  A region without
+    a letter or digit stands in none.
 
     Entities are counted by form and by (form, region) first, and each distinct (form, hint) is looked up once, so neither the
     entities nor the mentions of a common form meet in full.
     """
-    cells = entities.groupBy(form, F.lower(region).alias("_r")).agg(F.count("*").alias("_n"), F.min(entity).alias("_e"))
+    words = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    cells = entities.groupBy(form, words(region).alias("_r")).agg(F.count("*").alias("_n"), F.min(entity).alias("_e"))
     alone = cells.groupBy(form).agg(F.sum("_n").alias("_all"), F.min("_e").alias("_only"))
     asks = mentions.select(form, F.col(hint).alias("_h")).distinct().where("_h is not null")
-    fits = asks.join(cells.where("_r is not null"), form).where(F.contains(F.lower("_h"), F.col("_r"))).groupBy(F.col(form).alias("_form"), "_h").agg(F.sum("_n").alias("_fits"), F.min("_e").alias("_fit"))
+    fits = asks.join(cells.where("trim(_r) <> ''"), form).where(F.contains(words("_h"), F.col("_r"))).groupBy(F.col(form).alias("_form"), "_h").agg(F.sum("_n").alias("_fits"), F.min("_e").alias("_fit"))
     joined = mentions.join(alone, form, "left").join(fits, (mentions[form] == fits["_form"]) & (mentions[hint] == fits["_h"]), "left")
     chosen = F.when(F.col("_all") == 1, F.col("_only")).when(F.col("_fits") == 1, F.col("_fit"))
     return joined.withColumn("resolved", chosen).drop("_all", "_only", "_form", "_h", "_fits", "_fit")

@@ -238,11 +238,41 @@ def fuzzy_pairs(vocab: DataFrame, word: str, canon: DataFrame, form: str, least:
     neighbour, so the join is an equality."""
     v = vocab.select(F.col(word).alias("word")).where(F.length("word") >= least).distinct()
     c = canon.select(F.col(form).alias("form")).where(F.length("form") >= least).distinct()
+    near = c.select(F.explode(F.sequence(F.length("form") - 1, F.length("form") + 1)).alias("_n")).distinct()
+    v = v.join(F.broadcast(near) if near.count() <= 1000 else near, F.length("word") == F.col("_n"), "left_semi")
     v = v.join(c.withColumnRenamed("form", "word"), "word", "left_anti")
     left, right = v.withColumn("k", F.explode(deletion_neighbours(F.col("word")))), c.withColumn("k", F.explode(deletion_neighbours(F.col("form"))))
     return left.join(right, "k").where(F.levenshtein("word", "form") <= 1).select("word", "form").distinct()
 
 
+def anchored_search(docs: DataFrame, ident: str, text: str, entities: DataFrame, canon: DataFrame, form: str, least: int = 5, window: int = 100, radius: int = 40) -> DataFrame:
+    """``(entity, doc, matched, count, snippet)``: for each of ``entities(entity, form, glosses)`` and document the first word (in order) that is one edit from the form, is no form of
+    ``canon`` itself, and has one of the glosses within ``window`` characters of where it first stands.
+
+    Words are runs of letters in lower case, forms are compared likewise, and both have ``least`` letters or more.  ``count`` is how often the word stands in the document, ``snippet`` the
+    text around its first place, ``radius`` characters each way.  Words keep their places through the lengths of what is between them, so each document's text is met once, by its id, with the words that
+    may match; ids are unique.  A null or empty gloss is none, and an entity without a gloss has no match.
+    """
+    low = F.lower(text)
+    word = r"\p{L}+"
+    pieces = docs.select(F.col(ident).alias("doc"), F.transform(F.split(low, word), lambda x: F.length(x)).alias("_gaps"), F.regexp_extract_all(low, F.lit(f"({word})"), F.lit(1)).alias("_words"))
+    rows = pieces.select("doc", "_gaps", F.posexplode("_words").alias("_k", "word")).select("doc", "_k", "word", F.get("_gaps", F.col("_k")).alias("_gap"))
+    along = Window.partitionBy("doc").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    at = F.sum(F.col("_gap") + F.length("word")).over(along) - F.length("word")
+    seen = stored(rows.select("doc", "word", at.alias("at")).where(F.length("word") >= least).groupBy("doc", "word").agg(F.min("at").alias("at"), F.count("*").alias("count")))
+    pairs = fuzzy_pairs(seen, "word", entities.select(F.lower("form").alias("form")), "form", least)
+    other = canon.select(F.lower(form).alias("word")).distinct()
+    pairs = stored(pairs.join(other, "word", "left_anti"))
+    wanted = entities.select("entity", F.lower("form").alias("form"), F.filter(F.transform("glosses", lambda g: F.lower(g)), lambda g: g != "").alias("glosses")).where("size(glosses) > 0").join(pairs, "form")
+    cut = lambda n: F.expr(f"substring(_t, greatest(at - {n}, 0) + 1, least(at, {n}) + length(word) + {n})")
+    near = seen.join(pairs.select("word").distinct(), "word", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("word", "at", "count")).alias("_h"))
+    texts = docs.select(F.col(ident).alias("doc"), low.alias("_t")).join(near, "doc").select("doc", "_t", F.explode("_h").alias("h")).select("doc", "_t", "h.*")
+    around = texts.select("doc", "word", "count", cut(window).alias("_w"), cut(radius).alias("snippet"))
+    hits = around.join(wanted, "word").where(F.exists("glosses", lambda g: F.contains(F.col("_w"), g)))
+    first = hits.groupBy("entity", "doc").agg(F.min(F.struct("word", "count", "snippet")).alias("m"))
+    return first.select("entity", "doc", F.col("m.word").alias("matched"), "m.count", F.trim("m.snippet").alias("snippet"))
+
+
 def ambiguous_matches(matches: DataFrame, source: str, form: str, entity: str) -> DataFrame:
     """``(source, form)`` groups with several plausible entities."""
     return matches.groupBy(source, form).agg(F.array_sort(F.collect_set(entity)).alias("entities")).where("size(entities) > 1")

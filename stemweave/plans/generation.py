@@ -186,6 +186,30 @@ def _(t):
     return _curation(t)["counts"]
 
 
+_FOLDS = """n AS (SELECT c_custkey AS id FROM customer), a AS (SELECT id, CASE WHEN id % 10 = 6 THEN id - 1 WHEN id % 20 = 5 THEN id + 1000000000 WHEN id % 10 = 5 THEN id - 1 WHEN id % 10 = 7 THEN id + 1 WHEN id % 10 = 8 THEN id - 1 WHEN id % 10 = 9 THEN id - 1 END AS to_ FROM n WHERE id % 10 BETWEEN 5 AND 9),
+g AS (SELECT id, CASE WHEN id % 10 = 6 THEN CASE WHEN id % 20 = 6 THEN id - 1 ELSE id - 2 END WHEN id % 20 = 15 THEN id - 1 WHEN id % 10 = 9 THEN id - 1 WHEN id % 10 = 7 AND id + 1 > (SELECT max(id) FROM n) THEN NULL END AS into_ FROM a)"""
+
+
+def _folded(t):
+    n = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
+    e = t("orders").select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("child"), F.col("o_orderpriority").alias("v"))
+    k, c = F.col("c_custkey") % 10, F.col("c_custkey")
+    to = F.when(k == 6, c - 1).when(c % 20 == 5, c + 1_000_000_000).when(k == 5, c - 1).when(k == 7, c + 1).when(k >= 8, c - 1)
+    a = t("customer").where(k.between(5, 9)).select(c.alias("ref"), F.lit("fold").alias("kind"), F.lit(None).cast("string").alias("value"), to.alias("to"))
+    return U.apply_curation(n, "id", "label", e, "node", "v", a)
+
+
+@query("l06_fold_chains", f"WITH {_FOLDS} SELECT coalesce(into_, o_custkey) AS node, o_orderkey AS child FROM orders LEFT JOIN g ON g.id = o_custkey")
+def _(t):
+    """Folds into nodes that are folded themselves, that aren't there, or in a circle."""
+    return _folded(t)["children"].select("node", "child")
+
+
+@query("l06_fold_counts", f"WITH {_FOLDS} SELECT 'fold' AS kind, count(*) FILTER (into_ IS NOT NULL) AS applied, count(*) FILTER (into_ IS NULL) AS unresolved FROM g")
+def _(t):
+    return _folded(t)["counts"]
+
+
 _CHAIN = """x AS (SELECT c_custkey AS id, c_mktsegment AS lang, 'N-' || c_custkey % 40 AS form FROM customer), f AS (SELECT id, lang, form, min(id) OVER (PARTITION BY lang, regexp_replace(lower(form), '[^a-z0-9]+', '', 'g')) AS winner FROM x),
 r AS (SELECT *, CASE WHEN winner <> id THEN winner END AS merged_into FROM f), c AS (SELECT lang, winner, count(*) AS members FROM r GROUP BY 1, 2)"""
 

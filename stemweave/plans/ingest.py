@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..sources import dictionary as C
 from ..sources import files as S
+from ..sources import sections as D
 from ..sources import sinks as K
+from ..sources.publish import publish, read_published
 from .registry import query
 
 
@@ -17,17 +21,16 @@ def _place(df: DataFrame) -> str:
     return G.scratch(df.sparkSession, "files")
 
 
-_LINES = """x AS (SELECT l_returnflag || '.jsonl' AS file, CASE l_linenumber WHEN 6 THEN '' WHEN 7 THEN ' # note' ELSE '{"k":' || l_orderkey || ',"p":' || l_partkey || '}' END AS value,
-  row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_no, l_orderkey AS k, l_partkey AS p FROM lineitem)"""
+_LINES = """x AS (SELECT l_returnflag || strftime(l_shipdate, '%m') || '.jsonl' AS file, CASE l_linenumber WHEN 6 THEN '' WHEN 7 THEN ' # note' ELSE '{"k":' || l_orderkey || ',"p":' || l_partkey || '}' END AS value,
+  row_number() OVER (PARTITION BY l_returnflag, strftime(l_shipdate, '%m') ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_no, l_orderkey AS k, l_partkey AS p FROM lineitem)"""
 
 
 def _logs(t) -> str:
-    """Three ledgers of JSON lines with blank and comment lines, one for each return flag."""
+    """Ledgers of JSON lines with blank and comment lines, one for each return flag and ship month, each written by a task of its own."""
     body = F.concat(F.lit('{"k":'), "l_orderkey", F.lit(',"p":'), "l_partkey", F.lit("}"))
-    lines = t("lineitem").withColumn("value", F.when(F.col("l_linenumber") == 6, "").when(F.col("l_linenumber") == 7, " # note").otherwise(body))
+    lines = t("lineitem").withColumn("value", F.when(F.col("l_linenumber") == 6, "").when(F.col("l_linenumber") == 7, " # note").otherwise(body)).withColumn("file", F.concat("l_returnflag", F.date_format("l_shipdate", "MM")))
     path = _place(lines)
-    for flag in "ANR":
-        K.named_lines(lines.where(F.col("l_returnflag") == flag), f"{path}/{flag}.jsonl", "value", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    K.ledgers(lines, path, "file", "value", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
     return path
 
 
@@ -36,9 +39,9 @@ def _(t):
     return S.read_jsonl(t("lineitem").sparkSession, _logs(t), "k bigint, p bigint")
 
 
-@query("c02_directory_scan", f"WITH {_LINES} SELECT file, CAST(line_no AS INTEGER) AS line_no, value FROM x WHERE value LIKE '{{%' AND file <> 'R.jsonl'")
+@query("c02_directory_scan", f"WITH {_LINES} SELECT file, CAST(line_no AS INTEGER) AS line_no, value FROM x WHERE value LIKE '{{%' AND file NOT IN ('R01.jsonl', 'A07.jsonl')")
 def _(t):
-    return S.numbered_lines(t("lineitem").sparkSession, _logs(t), exclude=["R.jsonl"])
+    return S.numbered_lines(t("lineitem").sparkSession, _logs(t), exclude=["R01.jsonl", "A07.jsonl"])
 
 
 @query("c03_compressed_scan", """
@@ -196,7 +199,7 @@ def _(t):
 @query("k04_gold_tables", """
 WITH w AS (SELECT p_type AS culture, p_name AS word, sum(p_size) AS weight FROM part GROUP BY 1, 2) SELECT culture, word, weight, sum(weight) OVER (PARTITION BY culture ORDER BY word) AS cumulative FROM w""")
 def _(t):
-    return t("part").sparkSession.read.parquet(f"{_gold(t)}/words")
+    return read_published(t("part").sparkSession, _gold(t), K.GOLD)["words"]
 
 
 def _gold(t) -> str:
@@ -251,8 +254,8 @@ def _(t):
     c = t("customer")
     path = f"{_place(c)}/gold"
     for part in (c.groupBy("c_mktsegment").agg(F.count("*").alias("n")), c.where("c_acctbal > 0").groupBy("c_mktsegment").agg(F.count("*").alias("n"))):
-        K.replace_atomically(part, path)
-    return c.sparkSession.read.parquet(path)
+        publish({"gold": part}, path, "1")
+    return read_published(c.sparkSession, path, "1")["gold"]
 
 
 @query("g07_cycle_breaking", """
@@ -312,3 +315,66 @@ def _(t):
     read = docs.sparkSession.read.schema("owner bigint, items array<struct<item:bigint,traits:array<string>>>").json(path)
     rows = read.select("owner", F.explode("items").alias("i")).select("owner", "i.item", F.explode("i.traits").alias("trait"))
     return rows.groupBy("owner", "item", "trait").agg(F.count("*").alias("n"))
+
+
+@query("c16_section_trees", """
+WITH l AS (SELECT l_orderkey, string_agg(l_returnflag || l_linenumber, chr(10) || chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) AS t FROM lineitem GROUP BY 1),
+o AS (SELECT o_custkey, string_agg(o_orderpriority || chr(10) || chr(10) || t, chr(10) || chr(10) ORDER BY o_orderkey) AS t FROM orders JOIN l ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT c_custkey AS k, c_name || coalesce(chr(10) || chr(10) || t, '') AS text FROM customer LEFT JOIN o ON o_custkey = c_custkey""")
+def _(t):
+    """Trees of customers, their orders and lines, written as JSON and walked whatever their depth."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"))
+    texts = lambda c: F.transform(F.sort_array(c), lambda x: F.struct(x["text"].alias("text")))
+    items = t("lineitem").groupBy("l_orderkey").agg(texts(F.collect_list(line)).alias("sections"))
+    orders = t("orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority", "sections"))), lambda x: F.struct(x["o_orderpriority"].alias("text"), x["sections"].alias("sections"))).alias("sections"))
+    docs = t("customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.to_json(F.struct(F.col("c_custkey").alias("k"), F.col("c_name").alias("text"), "sections")).alias("value"))
+    path = _place(docs)
+    docs.write.text(path)
+    read = docs.sparkSession.read.text(path).select(F.parse_json("value").alias("tree")).select(F.variant_get("tree", "$.k", "long").alias("k"), "tree")
+    rows = D.section_texts(read, "k", F.col("tree"))
+    return rows.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+
+
+@query("c16_named_records", """
+WITH d AS (SELECT p_partkey AS o, CASE WHEN p_size % 5 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) || p_size % 4 END AS own, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN upper(split_part(p_name, ' ', 2)) || ', Great' ELSE 'Two Words' END AS fam, 'about ' || p_brand AS ft, 'of ' || p_type AS fs, 'own ' || p_size AS os FROM part),
+f AS (SELECT *, CASE WHEN split_part(fam, ',', 1) NOT LIKE '% %' THEN split_part(fam, ',', 1) END AS root FROM d),
+r AS (SELECT o, 0 AS k, root AS name, ft || chr(10) || chr(10) || fs AS description FROM f WHERE root IS NOT NULL UNION ALL SELECT o, 1, own, CASE WHEN fam IS NULL THEN '' ELSE ft || chr(10) || chr(10) || fs || chr(10) || chr(10) END || os FROM f WHERE own NOT LIKE '% %' AND lower(own) IS DISTINCT FROM lower(root))
+SELECT DISTINCT ON (lower(name)) name, description, CASE k WHEN 0 THEN 'family' ELSE 'own' END AS kind FROM r ORDER BY lower(name), o, k""")
+def _(t):
+    """Records of families and single-word names from nested documents, the first of each name."""
+    w = F.split("p_name", " ")
+    own = F.when(F.col("p_size") % 5 == 0, F.col("p_name")).otherwise(F.concat(w[0], (F.col("p_size") % 4).cast("string")))
+    family = F.when(F.col("p_size") % 3 > 0, F.struct(F.when(F.col("p_size") % 3 == 1, F.concat(F.upper(w[1]), F.lit(", Great"))).otherwise("Two Words").alias("name"), F.concat(F.lit("about "), "p_brand").alias("text"), F.array(F.struct(F.concat(F.lit("of "), "p_type").alias("text"))).alias("sections")))
+    docs = t("part").select("p_partkey", F.parse_json(F.to_json(F.struct(own.alias("name"), family.alias("family"), F.array(F.struct(F.concat(F.lit("own "), F.col("p_size").cast("string")).alias("text"))).alias("sections")))).alias("tree"))
+    return D.named_records(docs, "p_partkey", "tree")
+
+
+@query("c15_sense_chains", """
+WITH x AS (SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
+SELECT k, a || '(n.1)' AS head, 'middle english:' || a AS child, 'old english:' || b AS parent FROM x UNION ALL SELECT k, a || '(n.1)', 'old english:' || b, 'proto-germanic:*' || a FROM x UNION ALL SELECT k, a || '(v.)', 'old english:' || a, 'proto-germanic:*' || b FROM x""")
+def _(t):
+    """Entries of two senses and a stray paragraph: each sense with a chain of its own."""
+    w = F.split("p_name", " ")
+    text = F.concat(F.lit("Of names\nand words.\n\n"), w[0], F.lit("(n.1)\n\nFrom Middle English "), w[0], F.lit(", from Old English "), w[1], F.lit(", from Proto-Germanic *"), w[0], F.lit(".\n\nMore of it.\n \n"), w[0], F.lit("(v.)\n\nfrom Old English "), w[0], F.lit(", from Proto-Germanic *"), w[1], F.lit(".\n\nlast(n.)"))
+    senses = t("part").select("p_partkey", F.posexplode(D.split_senses(text)).alias("i", "s"))
+    rows = senses.select(F.struct(F.col("p_partkey").alias("k"), F.col("s.head").alias("head")).alias("key"), S.etymology_chain(F.col("s.summary"), ["Old English", "Middle English", "Proto-Germanic"]).alias("c"))
+    return S.chain_edges(rows, "key", "c").select("key.k", "key.head", "child", "parent")
+
+
+@query("k09_ledger_page", """
+WITH r AS (SELECT CAST(event_id AS VARCHAR) AS id, ts AS created, event_type AS generator, 'reason ' || event_id % 7 AS reason FROM events WHERE event_type IN ('error', 'click')),
+c AS (SELECT CAST(event_id - 1 AS VARCHAR) AS id, max(ts) AS changed, arg_max(CASE WHEN value < 30 THEN 'accepted' ELSE 'dismissed' END, ts) AS status FROM events WHERE event_type = 'view' AND CAST(event_id - 1 AS VARCHAR) IN (SELECT id FROM r) GROUP BY 1)
+SELECT id, created, generator, reason FROM r ANTI JOIN c USING (id) WHERE generator = 'error' AND created < TIMESTAMP '2024-01-20' ORDER BY created DESC, id LIMIT 50""")
+def _(t):
+    """The reports of one kind that are still open, one page of them behind a key, newest first."""
+    from ..sources import ledger
+
+    e = t("events")
+    path = _place(e)
+    reports = e.where("event_type in ('error', 'click')").select(F.col("event_id").cast("string").alias("id"), F.col("ts").alias("at"), F.col("event_type").alias("generator"), F.concat(F.lit("reason "), (F.col("event_id") % 7).cast("string")).alias("reason"))
+    ledger.record(reports, path)
+    none = F.lit(None).cast("string")
+    changes = e.where("event_type = 'view'").select((F.col("event_id") - 1).cast("string").alias("id"), F.col("ts").alias("at"), F.when(F.col("value") < 30, "accepted").otherwise("dismissed").alias("status"), none.alias("ticket"), none.alias("note"))
+    ledger.transition(changes.join(reports.select("id"), "id", "left_semi"), path)
+    found = ledger.page(ledger.state(ledger.read(e.sparkSession, path)), 50, generator="error", after=(datetime.datetime(2024, 1, 20), ""))
+    return found.select("id", "created", "generator", "reason")

@@ -55,6 +55,13 @@ def _(t):
     return t("part").groupBy(S.fold_surface(F.concat_ws(" ", "p_brand", "p_name")).alias("folded")).agg(F.count("*").alias("n"))
 
 
+@query("t18_accented_surfaces", "SELECT p_partkey, regexp_replace(replace(replace(lower(p_name), 't', 'th'), 'w', 'ae'), '[^a-z]+', '', 'g') AS folded FROM part")
+def _(t):
+    """Names written with accents, strokes, ligatures and letters of other Latin alphabets."""
+    strange = F.translate(F.upper("p_name"), "AEIONLTWDRGZ", "ĀÉÏǾṆŁÞǢĐŘǴẒ")
+    return t("part").select("p_partkey", S.fold_surface(strange).alias("folded"))
+
+
 @query("t02_all_segmentations", f"WITH RECURSIVE {_ENTRIES}, {_parses(_NAMES)} SELECT word AS glued, count(*) AS parses FROM parses GROUP BY 1")
 def _(t):
     return T.parse_counts(_glued(t), "glued", _entries(t), "w").withColumnRenamed("word", "glued")
@@ -107,6 +114,23 @@ def _(t):
     return T.fuzzy_pairs(v, "w", c, "f", 9)
 
 
+@query("t12_anchored_search", """
+WITH d AS (SELECT doc_id AS doc, lower(regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g')) AS t FROM documents), p AS (SELECT doc, t, regexp_split_to_array(t, '\\p{L}+') AS g, regexp_extract_all(t, '\\p{L}+') AS w FROM d),
+r AS (SELECT doc, unnest(w) AS word, unnest(range(len(w))) AS k, unnest(g[1:len(w)]) AS gap FROM p), a AS (SELECT doc, word, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY doc ORDER BY k) - length(word) AS BIGINT) AS pos FROM r),
+s AS (SELECT doc, word, min(pos) AS pos, count(*) AS n FROM a WHERE length(word) >= 8 GROUP BY 1, 2), x AS (SELECT item_id, lower(regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g')) AS t FROM benchmark),
+e AS (SELECT DISTINCT item_id AS entity, unnest(regexp_extract_all(t, '\\p{L}{8,}')) AS form, regexp_extract_all(t, '\\p{L}{4,7}') AS glosses FROM x), c AS (SELECT DISTINCT form FROM e),
+v AS (SELECT DISTINCT word FROM s ANTI JOIN c ON c.form = s.word), pr AS (SELECT word, form FROM v JOIN c ON abs(length(word) - length(form)) <= 1 AND levenshtein(word, form) = 1),
+h AS (SELECT entity, s.doc, s.word, s.n, substr(d.t, greatest(pos - 40, 0) + 1, least(pos, 40) + length(s.word) + 40) AS snippet, substr(d.t, greatest(pos - 100, 0) + 1, least(pos, 100) + length(s.word) + 100) AS wd, glosses FROM s JOIN pr USING (word) JOIN e USING (form) JOIN d ON d.doc = s.doc)
+SELECT entity, doc, m.word AS matched, m.n AS count, sha256(trim(m.snippet, ' ')) AS snippet FROM (SELECT entity, doc, min({'word': word, 'n': n, 'snippet': snippet}) AS m FROM h WHERE len(list_filter(glosses, lambda g: contains(wd, g))) > 0 GROUP BY 1, 2)""")
+def _(t):
+    """Words of all documents that are one edit from a long word of a benchmark item, near one of its short words."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "~").alias("text")  # the oracle's edit distance counts bytes
+    b = t("benchmark").select(F.col("item_id").alias("entity"), plain).select("entity", F.lower("text").alias("t"))
+    words = b.select("entity", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(\p{L}{8,})"), F.lit(1)))).alias("form"), F.regexp_extract_all("t", F.lit(r"(\p{L}{4,7})"), F.lit(1)).alias("glosses"))
+    out = T.anchored_search(t("documents").select("doc_id", plain), "doc_id", "text", words, words, "form", 8)
+    return out.withColumn("snippet", F.sha2("snippet", 256))
+
+
 @query("t13_ambiguous_forms", "SELECT p_brand, p_name, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS entities FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_type) > 1")
 def _(t):
     return T.ambiguous_matches(t("part"), "p_brand", "p_name", "p_type").select("p_brand", "p_name", F.array_join("entities", ",").alias("entities"))
@@ -121,13 +145,6 @@ def _(t):
     return T.year_attestations(t("orders").select("o_orderkey", text.alias("text")), "o_orderkey", "text", 700, 2000)
 
 
-@query("t17_refill_quote", "SELECT doc_id, left(text, 300) AS refilled FROM documents WHERE length(text) >= 40 AND instr(text, right(left(text, 100), 80)) = CASE WHEN length(text) >= 100 THEN 21 ELSE greatest(length(text) - 79, 1) END")
-def _(t):
-    d = t("documents").where("length(text) >= 40").withColumn("q", F.left("text", F.lit(100)))
-    first = F.instr("text", F.right("q", F.lit(80))) == F.greatest(F.length("q") - 79, F.lit(1))
-    return d.where(first).select("doc_id", T.refill_quote(F.col("q"), F.col("text"), 80, 200).alias("refilled"))
-
-
 @query("t17_refill_passages", """
 WITH b AS (SELECT item_id, left(text, 100) AS q, right(left(text, 100), 80) AS e FROM benchmark)
 SELECT b.item_id, d.doc_id, q || substr(d.text, instr(d.text, e) + length(e), 200) AS refilled FROM b LEFT JOIN documents d ON contains(d.text, e)""")

@@ -127,22 +127,25 @@ def _(t):
 
 
 @query("j13_token_overlap_pairs", """
-WITH s AS (SELECT item_id AS id, list_distinct(regexp_split_to_array(lower(text), '[^a-z]+')) AS s FROM benchmark), p AS (SELECT id, unnest(s) AS t FROM s),
+WITH s AS (SELECT min(p_partkey) AS id, list_distinct(string_split(p_name, ' ')) AS s FROM part GROUP BY p_name), p AS (SELECT id, unnest(s) AS t FROM s),
 c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y ON x.t = y.t AND x.id < y.id)
 SELECT a, b, round(len(list_intersect(x.s, y.s)) / least(len(x.s), len(y.s)), 6) AS overlap FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE len(list_intersect(x.s, y.s)) / least(len(x.s), len(y.s)) >= 0.5""")
 def _(t):
-    b = t("benchmark").select("item_id", F.split(F.lower("text"), "[^a-z]+").alias("w"))
-    return J.token_overlap_join(b, "item_id", "w", 0.5).select("a", "b", _r("overlap").alias("overlap"))
+    names = t("part").groupBy("p_name").agg(F.min("p_partkey").alias("id")).select("id", F.split("p_name", " ").alias("w"))
+    return J.token_overlap_join(names, "id", "w", 0.5).select("a", "b", _r("overlap").alias("overlap"))
 
 
 @query("j15_unique_fold_join", """
-WITH p AS (SELECT lower(replace(p_name, ' ', '')) AS f, p_partkey FROM part), u AS (SELECT f, min(p_partkey) AS p_partkey FROM p GROUP BY f HAVING count(*) = 1),
-s AS (SELECT lower(replace(s_name, '#', '')) AS f, s_suppkey FROM supplier UNION ALL SELECT f, -p_partkey FROM p)
-SELECT s_suppkey, p_partkey FROM s JOIN u USING (f)""")
+WITH r AS (SELECT lower(replace(s_name, '#', '')) AS f, s_suppkey FROM supplier UNION ALL SELECT lower(replace(s_name, '#', '')), -s_suppkey FROM supplier WHERE s_acctbal < 0), u AS (SELECT f, min(s_suppkey) AS s_suppkey FROM r GROUP BY f HAVING count(*) = 1),
+l AS (SELECT replace(lower(s_name), '#', '') AS f, l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)
+SELECT l_orderkey, l_linenumber, l_partkey, s_suppkey FROM l JOIN u USING (f)""")
 def _(t):
-    p = t("part").select(F.lower(F.replace("p_name", F.lit(" "), F.lit(""))).alias("f"), "p_partkey")
-    s = t("supplier").select(F.lower(F.replace("s_name", F.lit("#"), F.lit(""))).alias("f"), "s_suppkey").union(p.select("f", -F.col("p_partkey")))
-    return J.unique_key_join(s, p, "f").select("s_suppkey", "p_partkey")
+    """Lines meet suppliers by their folded names; a name that two rows have meets none."""
+    fold = F.lower(F.replace("s_name", F.lit("#"), F.lit("")))
+    s = t("supplier")
+    right = s.select(fold.alias("f"), "s_suppkey").union(s.where("s_acctbal < 0").select(fold, -F.col("s_suppkey")))
+    left = t("lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(fold.alias("f"), "l_orderkey", "l_linenumber", "l_partkey")
+    return J.unique_key_join(left, right, "f").select("l_orderkey", "l_linenumber", "l_partkey", "s_suppkey")
 
 
 @query("j16_containment_join", "SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
@@ -162,7 +165,7 @@ def _(t):
 @query("j18_mention_resolution", """
 WITH e AS (SELECT p_name AS form, p_brand AS region, p_partkey AS id FROM part), m AS (SELECT l_orderkey, l_linenumber, l_suppkey, p_name AS form, CASE WHEN l_suppkey % 2 = 0 THEN 'near ' || p_brand ELSE 'far' END AS hint FROM lineitem JOIN part ON p_partkey = l_partkey),
 c AS (SELECT form, count(*) AS n, min(id) AS only FROM e GROUP BY 1), h AS (SELECT DISTINCT form, hint FROM m),
-f AS (SELECT h.form, h.hint, count(*) AS n, min(id) AS only FROM h JOIN e ON e.form = h.form AND contains(lower(hint), lower(region)) GROUP BY 1, 2)
+f AS (SELECT h.form, h.hint, count(*) AS n, min(id) AS only FROM h JOIN e ON e.form = h.form AND contains(' ' || regexp_replace(lower(hint), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || regexp_replace(lower(region), '[^a-z0-9]+', ' ', 'g') || ' ') GROUP BY 1, 2)
 SELECT l_orderkey, l_linenumber, l_suppkey, m.form, m.hint, CASE WHEN c.n = 1 THEN c.only WHEN f.n = 1 THEN f.only END AS resolved FROM m JOIN c USING (form) LEFT JOIN f ON f.form = m.form AND f.hint = m.hint""")
 def _(t):
     e = t("part").selectExpr("p_name as form", "p_brand as region", "p_partkey as id")
@@ -357,8 +360,9 @@ def _(t):
 
 
 @query("a25_conditional_tallies", """
-WITH n AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1), l AS (SELECT word, substr(word, 2) AS s, n FROM n WHERE starts_with(word, 's') AND length(word) > 1)
-SELECT l.word AS long_form, n.word AS short_form, l.n AS long_count, n.n AS short_count FROM l JOIN n ON n.word = l.s""")
+SELECT 's' || short_form AS long_form, short_form, long_count, short_count FROM
+  (SELECT substr(word, 2) AS short_form, count(*) AS long_count FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE starts_with(word, 's') AND length(word) > 1 GROUP BY 1) JOIN
+  (SELECT word AS short_form, count(*) AS short_count FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1) USING (short_form)""")
 def _(t):
     n = t("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     long = n.where("w like 's%' and length(w) > 1").select(F.col("w").alias("long_form"), F.expr("substring(w, 2)").alias("short_form"), F.col("n").alias("long_count"))

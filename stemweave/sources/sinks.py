@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .publish import publish, read_published
+
+GOLD = "1"
+
 
 def canonical_dump(df: DataFrame, path: str, partition: str, order: list[str]) -> None:
     """JSON lines, one folder per partition value, rows in a fixed order within each file."""
@@ -28,8 +32,10 @@ def trim_subset(df: DataFrame, group: str, weight: str, key: str, n: int) -> Dat
 
 
 def replace_atomically(df: DataFrame, path: str) -> None:
-    """Write beside the target, then swap by rename: readers see the old table or the new one, and a failed write
-    leaves the old one."""
+    """Write beside the target, then swap by two renames; a failed write leaves the old table.
+
+    Between the renames there is no table for a moment: where others read meanwhile, use :func:`publish.publish`.
+    """
     spark = df.sparkSession
     staged, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
     df.write.parquet(staged)
@@ -95,7 +101,7 @@ def ledgers(df: DataFrame, path: str, file: str, line: str, order: list[str], su
 
 
 def zstandard_lines(df: DataFrame, path: str, line: str) -> int:
-    """Zstandard line files, one for each partition of ``df``, named by its number so that a repeated task writes the same file; the number of lines."""
+    """Zstandard line files, one for each partition of ``df``, named by its number; each attempt writes a file of its own and renames it at the end.  The number of lines."""
     import pyarrow as pa
     import zstandard
     from pyarrow import fs
@@ -105,11 +111,15 @@ def zstandard_lines(df: DataFrame, path: str, line: str) -> int:
         place, inner = fs.FileSystem.from_uri(path)
         place.create_dir(inner, recursive=True)
         n = 0
-        with place.open_output_stream(f"{inner}/part-{TaskContext.get().partitionId():05d}.zst", compression=None) as raw, zstandard.ZstdCompressor().stream_writer(raw) as out:
+        task = TaskContext.get()
+        final = f"{inner}/part-{task.partitionId():05d}.zst"
+        own = f"{inner}/.part-{task.partitionId():05d}-{task.taskAttemptId()}"
+        with place.open_output_stream(own, compression=None) as raw, zstandard.ZstdCompressor().stream_writer(raw) as out:
             for batch in batches:
                 values = batch.column(0).to_pylist()
                 out.write("".join(f"{v}\n" for v in values).encode())
                 n += len(values)
+        place.move(own, final)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     return df.select(line).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -120,22 +130,20 @@ def json_sidecar(df: DataFrame, target: str, key: str) -> None:
     named_lines(df.select(key, F.to_json(F.struct(*df.columns)).alias("line")), target, "line", [key])
 
 
-def gold_tables(words: DataFrame, structures: DataFrame, path: str, culture: str, weight: str, word: str, structure: str) -> None:
-    """The tables that generation reads, each replaced as a whole: words and structures of each culture with their
+def gold_tables(words: DataFrame, structures: DataFrame, path: str, culture: str, weight: str, word: str, structure: str) -> str:
+    """The tables that generation reads, published together as one version: words and structures of each culture with their
     cumulative weights (in order of the word or structure), and the totals."""
 
     def cumulated(df, key):
         order = Window.partitionBy(culture).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
         return df.groupBy(culture, key).agg(F.sum(weight).alias(weight)).withColumn("cumulative", F.sum(weight).over(order))
 
-    replace_atomically(cumulated(words, word), f"{path}/words")
-    replace_atomically(cumulated(structures, structure), f"{path}/structures")
     totals = words.groupBy(culture).agg(F.count("*").alias("n"), F.sum(weight).alias("total"))
-    replace_atomically(totals, f"{path}/totals")
+    return publish({"words": cumulated(words, word), "structures": cumulated(structures, structure), "totals": totals}, path, GOLD)
 
 
 def read_bundle(spark, path: str, culture: str, weight: str, word: str, structure: str) -> DataFrame:
-    """``(culture, bundle)``: the gold tables nested again, one JSON document per culture."""
-    rows = lambda name, key: spark.read.parquet(f"{path}/{name}").groupBy(culture).agg(F.sort_array(F.collect_list(F.struct(key, weight, "cumulative"))).alias(name))
-    totals = spark.read.parquet(f"{path}/totals")
-    return totals.join(rows("words", word), culture, "left").join(rows("structures", structure), culture, "left").select(culture, F.to_json(F.struct("n", "total", "structures", "words")).alias("bundle"))
+    """``(culture, bundle)``: the current gold tables nested again, one JSON document per culture."""
+    tables = read_published(spark, path, GOLD)
+    rows = lambda name, key: tables[name].groupBy(culture).agg(F.sort_array(F.collect_list(F.struct(key, weight, "cumulative"))).alias(name))
+    return tables["totals"].join(rows("words", word), culture, "left").join(rows("structures", structure), culture, "left").select(culture, F.to_json(F.struct("n", "total", "structures", "words")).alias("bundle"))
