@@ -13,7 +13,8 @@ determinised when they are first met and kept in dense tables; no merge is ever
 *Chunks.*  White space, a change of the kind of characters and special strings close a word, and there all states meet.
 What a chunk of text does to the state it is entered with is therefore a small map: the bytes up to the first such
 place (which continue an open word), the tokens behind them, and the state in which the chunk is left.  State maps
-compose associatively.  Long texts are cut into chunks that are dealt over tasks, and their maps are composed by a prefix scan.
+compose associatively.  Every text is cut into chunks, and the maps of its chunks are composed by a prefix scan; the chunks of very
+long texts are dealt over tasks before.  A chunk in which no word ends has its bytes for a map, so what is gathered of a text is at most as large as the text.
 
 The counts are those of the ``tokenizers`` library for the same file (no begin, end or added special tokens; special
 strings inside a text are one token each, the library's default).
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-CHUNK = 1 << 15
-LONG = 1 << 16
+CHUNK = 1 << 12
+LONG = 1 << 20
 STATES = 120_000
 LOCKSTEP = 256
 SHIFT = 64
@@ -283,17 +284,6 @@ class CountTransducer:
             starts, stops = offset[starts], offset[stops]
         return buf, starts, stops, kinds
 
-    def counts(self, texts: list[str]) -> np.ndarray:
-        """The tokens of whole texts."""
-        if len(self.keys) > STATES:
-            self._clear()
-        plain, special = zip(*map(self._plain, texts)) if texts else ((), ())
-        buf, starts, stops, _ = self._words("\n".join(plain))
-        edges = np.cumsum([0] + [len(p.encode()) + 1 for p in plain])
-        owner = np.searchsorted(edges, starts, "right") - 1
-        n = np.bincount(owner, self.run_words(buf, starts, stops), minlength=len(texts)).astype(np.int64)
-        return n + np.array(special, np.int64)
-
     # ------------------------------------------------------------------ state maps
 
     def cuts(self, text: str, chunk: int) -> list[int]:
@@ -312,28 +302,57 @@ class CountTransducer:
             edges.append(at)
         return [*edges, len(text)]
 
+    def state_maps(self, chunks: list[str]) -> list[StateMap]:
+        """The maps of some chunks (see :func:`cuts`); the words inside all of them move through the tables together."""
+        plain, special = zip(*map(self._plain, chunks)) if chunks else ((), ())
+        # a line break between two chunks closes a word, but what is at the edge of a chunk is looked at by itself
+        buf, starts, stops, kinds = self._words("\n".join(plain))
+        edges = np.cumsum([0] + [len(p.encode()) + 1 for p in plain])
+        lo, hi = np.searchsorted(starts, edges[:-1]), np.searchsorted(starts, edges[1:])
+        has = hi > lo
+        first, last = np.where(has, lo, 0), np.where(has, hi - 1, 0)
+        open_ = lambda at, side, edge: has & (side[at] == edge) & (kinds[at] != NUMBER) if len(starts) else has
+        head, tail = open_(first, starts, edges[:-1]), open_(last, stops, edges[1:] - 1)
+        tail &= ~(head & (first == last))
+        inner = np.ones(len(starts), bool)
+        inner[first[head]] = False
+        inner[last[tail]] = False
+        sums = np.bincount(np.searchsorted(edges, starts[inner], "right") - 1, self.run_words(buf, starts[inner], stops[inner]), minlength=len(chunks)).astype(np.int64)
+        out = []
+        for c in range(len(chunks)):
+            if not chunks[c]:
+                out.append(IDENTITY)
+                continue
+            count, begun, word = int(sums[c]) + special[c], b"", None
+            if head[c]:
+                begun = buf[starts[lo[c]] : stops[lo[c]]].tobytes()
+                if stops[lo[c]] == edges[c + 1] - 1:
+                    out.append(StateMap(int(kinds[lo[c]]), begun, False, count, None))
+                    continue
+            # a contraction at the end is whole: cuts stay clear of it, and at the end of a text nothing follows
+            if tail[c]:
+                k = hi[c] - 1
+                state, gained = self.advance(0, buf[starts[k] : stops[k] - 1].tobytes())
+                word, count = Open(int(kinds[k]), state, int(buf[stops[k] - 1])), count + gained
+            out.append(StateMap(int(kinds[lo[c]]) if head[c] else SPACE, begun, True, count, word))
+        return out
+
     def state_map(self, chunk: str) -> StateMap:
-        """The map of one chunk (see :func:`cuts`)."""
-        if not chunk:
-            return IDENTITY
+        """The map of one chunk."""
+        return self.state_maps([chunk])[0]
+
+    def fresh(self) -> None:
+        """Start with empty tables where there are very many states; no map that was made before may be used behind this."""
         if len(self.keys) > STATES:
             self._clear()
-        text, special = self._plain(chunk)
-        buf, starts, stops, kinds = self._words(text)
-        if not len(starts):
-            return StateMap(SPACE, b"", True, special, None)
-        a, b = 0, len(starts)
-        head = bytes(buf[: stops[0]]) if starts[0] == 0 and kinds[0] != NUMBER else b""
-        a += bool(head)
-        if head and stops[0] == len(buf):
-            return StateMap(int(kinds[0]), head, False, special, None)
-        tail = None
-        # a contraction at the end is whole: cuts stay clear of it, and at the end of a text nothing follows
-        if stops[-1] == len(buf) and kinds[-1] != NUMBER and b > a:
-            b -= 1
-            state, gained = self.advance(0, bytes(buf[starts[-1] : stops[-1] - 1]))
-            tail, special = Open(int(kinds[-1]), state, int(buf[-1])), special + gained
-        return StateMap(int(kinds[0]) if head else SPACE, head, True, special + int(self.run_words(buf, starts[a:b], stops[a:b]).sum()), tail)
+
+    def counts(self, texts: list[str], chunk: int = CHUNK) -> np.ndarray:
+        """The tokens of whole texts: each is cut into chunks, and the maps of its chunks are composed by a prefix scan."""
+        self.fresh()
+        edges = [self.cuts(t, chunk) for t in texts]
+        maps = self.state_maps([t[a:b] for t, e in zip(texts, edges) for a, b in zip(e, e[1:])])
+        at = np.cumsum([0] + [len(e) - 1 for e in edges]).tolist()
+        return np.array([self.total(self.scan(maps[a:b])[-1]) for a, b in zip(at, at[1:])], np.int64)
 
     def close(self, word: Open | None) -> int:
         return 0 if word is None else self.end(word.state, word.byte)
@@ -428,12 +447,14 @@ def _long_rows(docs: DataFrame, path: str, chunk: int) -> DataFrame:
         t = transducer(path)
         for batch in batches:
             for part in slices(batch, 5):
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array([t.dump(t.state_map(x)) for x in part.column(5).to_pylist()])], [*part.schema.names[:5], "map"])
+                t.fresh()
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array([t.dump(m) for m in t.state_maps(part.column(5).to_pylist())])], [*part.schema.names[:5], "map"])
 
     def composed(batches):
         t = transducer(path)
         for batch in batches:
             for i in range(batch.num_rows):
+                t.fresh()
                 maps = t.scan([t.load(m["map"]) for m in batch.column(4)[i].as_py()])
                 # an open word is counted with what is behind it
                 before = [0] + [t.apply(m, None)[0] for m in maps[:-1]]
@@ -457,15 +478,15 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, long: int = LONG) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)`` for every row; a null text counts as empty, an empty one has 0 tokens.
 
-    Texts of more than ``long`` characters are cut into chunks that other tasks share.  ``path`` is a vocabulary file
-    that every worker has.  Repeated rows and null ids count each.
+    Texts are counted by chunks of about ``chunk`` characters; those of more than ``long`` characters share their chunks with other
+    tasks.  ``path`` is a vocabulary file that every worker has.  Repeated rows and null ids count each.
     """
 
     def run(batches):
         t = transducer(path)
         for batch in batches:
             for part in slices(batch, most=2 << 20):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(t.counts(part.column(1).to_pylist()))], ["doc_id", "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(t.counts(part.column(1).to_pylist(), chunk))], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = _texts(docs, id_col, text_col)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
@@ -485,3 +506,10 @@ def op8_token_counts(spark, sf_dir):
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_token_offsets(spark, sf_dir):
+    """The tokens in front of each chunk of each text."""
+    import public_tokenizers
+
+    return token_offsets(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

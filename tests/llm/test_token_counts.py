@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -123,3 +124,25 @@ def test_offsets_are_counts_of_prefixes(spark):
     for r in rows[1:]:  # the word that is open at a cut counts as far as it goes
         whole = text[: r.at].rsplit(" ", 1)[0]
         assert 0 <= r.tokens_before - library([whole])[0] <= 4
+
+
+def test_maps_of_the_given_texts_are_composed(monkeypatch):
+    """The driver's documents of more than a chunk go through state maps and their scan, in the production setting."""
+    import pyarrow.dataset as ds
+
+    place = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(place):
+        pytest.skip("no tables")
+    texts = sorted((x or "" for x in ds.dataset(place).to_table(columns=["text"])["text"].to_pylist()), key=len)[-120:]
+    t, composed = T.transducer(PATH), []
+    real = t.compose
+    monkeypatch.setattr(t, "compose", lambda x, y: composed.append(1) or real(x, y))
+    assert t.counts(texts).tolist() == library(texts)
+    assert len(composed) >= sum(len(x) > 2 * T.CHUNK for x in texts) > 0
+
+
+def test_chunks_in_a_batch_have_the_maps_they_have_alone():
+    t, rng = T.transducer(PATH), random.Random(9)
+    texts = [x for x in TEXTS + fuzz(300) if x]
+    chunks = [x[a:b] for x in texts for e in [t.cuts(x, rng.randint(1, 40))] for a, b in zip(e, e[1:])] + ["", "\n", "1", "a1", "1a"]
+    assert t.state_maps(chunks) == [t.state_map(c) for c in chunks]
