@@ -247,11 +247,33 @@ def _star_pairs(sets: DataFrame, state: DataFrame, percent: int) -> DataFrame:
     # the sets of a star are one entry of a list; lists whose sets are all in one component already are skipped
     lists = materialize(posted.groupBy("token", "star", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest")), "lists")
     mixed = lists.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).where("c1 < c2")
-    mixed = materialize(mixed.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed")
-    left = lists.join(small(mixed), "token").withColumn("side", F.pmod(F.xxhash64("star"), F.col("blocks")).cast("int"))
-    blocked = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"b1": F.least("side", "other"), "b2": F.greatest("side", "other")})
-    dealt = blocked.withColumn("deal", F.pmod(F.xxhash64("token", "b1", "b2"), F.lit(max(64, lists.count() // LIST_ROWS))).cast("int"))
-    return dealt.select("deal", "token", "b1", "b2", "lo", "hi", "rest", "star", "comp", "side").groupBy("deal").applyInPandas(_across(percent), "a long, b long").distinct()
+    mixed = materialize(mixed.select("token", (F.col("m") > BLOCK).alias("long")), "mixed")
+    dealt = _dealt(lists.join(small(mixed), "token"), percent)
+    return dealt.withColumn("deal", F.pmod(F.xxhash64("token", "b1", "b2"), F.lit(max(64, lists.count() // LIST_ROWS))).cast("int")).groupBy("deal").applyInPandas(_across(percent), "a long, b long").distinct()
+
+
+def _dealt(lists: DataFrame, percent: int) -> DataFrame:
+    """``lists(token, star, comp, lo, hi, rest, long)`` with ``b1``, ``b2`` and ``side``: a row for each pair of blocks that an entry is looked at in.
+
+    A long list is put in order of the class of size, then of position, over as many tasks as it needs, and cut into blocks of ``BLOCK`` entries where it stands.  Two blocks
+    are a pair only where the sizes and positions in them leave room for a link, so what is dealt grows with the list and with how many blocks are alike, not with all pairs of blocks.
+    """
+    size = F.floor(F.log(F.col("lo")) / np.log(100 / percent))
+    order = ["token", size, F.desc("rest"), "star"]
+    entries = materialize(lists.where("long").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    # the upper bits of the running id are the task, the lower ones the place in it
+    entries = entries.withColumn("blk", F.shiftright("_at", 33) * (1 << 33) + F.floor(F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) / BLOCK)).drop("_at")
+    blocks = entries.groupBy("token", "blk").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    blocks = materialize(blocks, "blocks")
+    x, y = (blocks.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("blk", "lo", "hi", "rest", "c1", "c2")]) for k in ("x", "y"))
+    need = F.ceil((F.col("lox") + F.col("loy")) * percent / (100 + percent) - 1e-9)
+    room = (F.least("restx", "resty") >= need) & (F.col("loy") * percent <= F.col("hix") * 100) & (F.col("lox") * percent <= F.col("hiy") * 100)
+    pairs = x.join(y, "token").where("blkx <= blky and (c1x <> c2x or c1y <> c2y or c1x <> c1y)").where(room).select("token", F.col("blkx").alias("b1"), F.col("blky").alias("b2"))
+    pairs = materialize(pairs, "block-pairs")
+    jobs = pairs.withColumn("blk", F.col("b1")).withColumn("side", F.lit(0)).unionByName(pairs.where("b1 < b2").withColumn("blk", F.col("b2")).withColumn("side", F.lit(1)))
+    columns = ["token", "b1", "b2", "lo", "hi", "rest", "star", "comp", "side"]
+    short = lists.where("not long").select("token", F.lit(0).cast("long").alias("b1"), F.lit(0).cast("long").alias("b2"), "lo", "hi", "rest", "star", "comp", F.lit(0).alias("side"))
+    return entries.join(small(materialize(jobs, "block-jobs")), ["token", "blk"]).select(*columns).unionByName(short)
 
 
 def _closed(pairs: DataFrame, screen: DataFrame, member: DataFrame, links: DataFrame) -> DataFrame:
@@ -441,9 +463,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without the near copies of a smaller id; unlinked rows and rows without an id stay."""
+    """The rows of ``docs`` without the near copies of a smaller id; unlinked rows and rows without an id stay, and rows that repeat an id go or stay together."""
     gone = jaccard_components(docs, id_col, text_col, width, percent).where("component_id < doc_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(small(materialize(gone, "near-copies")), id_col, "left_anti")
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, list_array, release, slices, table, text_buffers, word_hashes
+from .common import list_array, release, slices, table, text_buffers, word_hashes
 
 #: terms within a row stand for groups of one kind, in one language, and are swapped for one another
 IDENTITY_TERMS = (
@@ -160,6 +160,7 @@ def fit(labelled: DataFrame, label_col: str = "label", text_col: str = "text", t
     """Fit on the rows of ``labelled`` (a bounded table: its features come to the driver).
 
     Minimises mean log loss + ``counterfactual`` * mean squared score change under the swap + ``l1`` * |w|.
+    Features that fewer than ``min_df`` of the texts have are left out, or fewer than a tenth of the texts where that is less (under 30 texts).
     With no rows the model gives 0.5 for everything; with one class it gives that class's smoothed rate.  ``rows`` and
     ``swapped_rows`` of the result tell how many rows it saw and how many of them name a group.
     """
@@ -212,19 +213,24 @@ def fit(labelled: DataFrame, label_col: str = "label", text_col: str = "text", t
     return {"features": names[live], "w": w[live], "b": float(b)} | told
 
 
+def _scores(model: dict, texts) -> np.ndarray:
+    """The score of each text of an Arrow string column; nulls count as empty."""
+    names, w = model["features"], model["w"]
+    total = np.full(len(texts), model["b"])
+    if len(names):
+        row, feat, _ = _feature_rows(texts)
+        i = np.minimum(np.searchsorted(names, feat), len(names) - 1)
+        hit = names[i] == feat
+        pair = np.unique(row[hit].astype(np.int64) * len(names) + i[hit])
+        total += np.bincount(pair // len(names), w[pair % len(names)], minlength=len(texts))
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
 def _score_rows(model: dict):
     def run(batches):
-        names, w, b = model["features"], model["w"], model["b"]
         for batch in batches:
             for part in slices(batch, batch.num_columns - 1):
-                total = np.full(part.num_rows, b)
-                if len(names):
-                    row, feat, _ = _feature_rows(part.column(part.num_columns - 1))
-                    i = np.minimum(np.searchsorted(names, feat), len(names) - 1)
-                    hit = names[i] == feat
-                    pair = np.unique(row[hit].astype(np.int64) * len(names) + i[hit])
-                    total += np.bincount(pair // len(names), w[pair % len(names)], minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], [*part.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(_scores(model, part.column(part.num_columns - 1)))], [*part.schema.names[:-1], "score"])
         release()
 
     return run
@@ -263,14 +269,22 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_00
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not call toxic; all of them where there is no label to learn from."""
+    """The rows of ``docs`` that the classifier does not call toxic; all of them where there is no label to learn from.
+
+    Rows are judged where they are, each by its own text, so rows that repeat an id may differ.
+    """
     model = fit(training_rows(docs, labels, "toxic", sample_rows))
     if not model["rows"]:
         return docs
-    i, h = free("_bad", docs.columns), free("_h", docs.columns)
-    bad = _predicted(docs, model).where("predicted = 1").select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h)), "left_anti")
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text):
+                yield part.filter(pa.array(_scores(model, part.column(text).cast(pa.string())) < 0.5))
+        release()
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_toxicity(spark, sf_dir):

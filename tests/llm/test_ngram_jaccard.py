@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from stemweave.llm import ngram_jaccard as J
 from stemweave.llm.components import connected_components
@@ -192,3 +193,46 @@ def test_two_families_just_apart(spark, monkeypatch):
                 low, high = sorted((root[a], root[b]))
                 root = {d: low if r == high else r for d, r in root.items()}
     assert {d: c for d, (_, c) in got.items()} == root and all(got[d][0] == len(s) for d, s in sets.items())
+
+
+def test_a_long_list_is_dealt_in_proportion(spark):
+    """50,000 entries of one list: sizes and positions skip most pairs of blocks before any entry is sent, and no pair with room is lost."""
+    rng = np.random.default_rng(4)
+    m = 50_000
+    lo = np.exp(rng.uniform(np.log(5), np.log(5000), m)).astype(np.int64)
+    rest = np.maximum(1, (lo * rng.uniform(0.6, 1.0, m)).astype(np.int64))
+    table = pd.DataFrame({"token": 7, "star": np.arange(m), "comp": np.arange(m), "lo": lo, "hi": lo, "rest": rest, "long": True})
+    short = pd.DataFrame({"token": 8, "star": [1, 2, 3], "comp": [1, 2, 3], "lo": 9, "hi": 9, "rest": 9, "long": False})
+    dealt = J._dealt(spark.createDataFrame(pd.concat([table, short])), 80).toPandas()
+    assert len(dealt) < 12 * m < m * (m // J.BLOCK)
+    assert len(dealt[dealt.token == 8]) == 3
+    met = {}
+    for star, b1, b2, side in dealt[dealt.token == 7][["star", "b1", "b2", "side"]].itertuples(index=False):
+        met.setdefault(star, set()).add((b1, b2))
+    for _ in range(20_000):
+        x = int(rng.integers(m))
+        y = int(rng.choice(np.flatnonzero((lo >= lo[x] * 0.8) & (lo <= lo[x] * 1.25))[:200]))
+        if x != y and min(rest[x], rest[y]) >= -(-80 * (lo[x] + lo[y]) // 180):
+            assert met[x] & met[y]
+
+
+def test_components_with_lists_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 2)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    bases = [[rng.choice(words) for _ in range(rng.randint(20, 60))] for _ in range(6)]
+    rows = []
+    for d in range(90):
+        w = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        rows.append((d, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    root = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    assert got == root
