@@ -109,27 +109,33 @@ def flatten_chains(nodes: DataFrame, ident: str, pointer: str) -> DataFrame:
 
 
 HUBS = 10_000
+FEW = 10_000
 
 
-def _with_hubs(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
-    """``rows(x, ...)`` joined to ``groups(x, m, c)``, where ``c`` are the rows of each x among ``total``.
+def _with_hubs(rows: DataFrame, groups: DataFrame, total: int, most: int) -> DataFrame:
+    """``rows(x, ...)`` joined to the written ``groups(x, m, c)``, where ``c`` are the rows of each x among ``total``, ``most`` at most.
 
     A node with more than ``total / HUBS`` edges is a hub; there are fewer than ``HUBS`` of them, so they are broadcast and
-    their edges stay where they are.  The others meet by a shuffle.
+    their edges stay where they are.  The others meet by a shuffle, and all do in a small graph (``FEW`` edges a node at most).
     """
+    if most <= FEW or most * HUBS <= total:
+        return rows.join(groups.drop("c"), "x")
     hub = F.col("c") * HUBS > total
     hubs, rest = F.broadcast(groups.where(hub).drop("c")), groups.where(~hub).drop("c")
     return rows.join(hubs, "x").unionByName(rows.join(hubs.select("x"), "x", "left_anti").join(rest, "x"))
 
 
 def min_label_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``(node, component)``: the smallest node reachable over undirected edges, by alternating star contractions."""
+    """``(node, component)``: the smallest node reachable over undirected edges, by alternating star contractions.
+
+    The least neighbours and the moved edges of a round are written, since several steps read them.
+    """
     e, seen = stored_with(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y").distinct(), F.count("*").alias("n"))
     was, n = None, seen["n"]
     while True:
         both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("c"))
-        down = _with_hubs(both.where("y > x"), low, 2 * n).select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y")
+        low, top = stored_with(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("c")), F.max("c").alias("c"))
+        down = stored(_with_hubs(both.where("y > x"), low, 2 * n, top["c"] or 0).select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y"))
         small = down.groupBy("x").agg(F.min("y").alias("m"))
         new = down.join(small, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(small.select("x", F.col("m").alias("y"))).where("x <> y").distinct()
         e, now = stored_with(new, F.count("*").alias("n"), F.sum(F.hash("x", "y").cast("decimal(38,0)")).alias("h"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import stored
+
 OPS = ("add", "set", "patch", "remove")
 
 
@@ -36,10 +38,13 @@ def _liveness(log: DataFrame, keys: list[str], order: str, op: str, ranges: int)
     A key's events are looked at by ranges of ``order``, so that one key with a large share of the log is spread: the last such event of each (key,
     range) goes ahead to the ranges behind it, and the rest is found inside a range.
     """
-    cut = log.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first().q or [] if ranges > 1 else []
-    bounds = F.array(*[F.lit(x) for x in sorted(set(cut))]) if cut else F.array().cast("array<long>")
-    rows = log.withColumn("_range", F.size(F.filter(bounds, lambda x: x < F.col(order))))
     turn = F.when(F.col(op) != "patch", F.col(op))
+    cut = log.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first().q or [] if ranges > 1 else []
+    if not cut:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return log.withColumn("_live", F.coalesce(F.last(turn, ignorenulls=True).over(before).isin("set", "add"), F.lit(False)))
+    bounds = F.array(*[F.lit(x) for x in sorted(set(cut))])
+    rows = stored(log.withColumn("_range", F.size(F.filter(bounds, lambda x: x < F.col(order)))))
     ends = rows.groupBy(*keys, "_range").agg(F.max_by(turn, F.when(turn.isNotNull(), F.col(order))).alias("_end"))
     ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*keys, "_range", F.last("_end", ignorenulls=True).over(ahead).alias("_carried"))

@@ -349,11 +349,17 @@ def ocr_clusters(df: DataFrame, ident: str, language: str, form: str) -> DataFra
     return df.select(ident, F.min(ident).over(Window.partitionBy(language, fold_surface(F.col(form)))).alias("winner"))
 
 
-def lemma_candidates(df: DataFrame, ident: str, language: str, form: str, rules: list[tuple[str, str]]) -> DataFrame:
-    """``(id, lemma_id, rule)``: the first suffix rule (ending, replacement) whose result is a form of the same language."""
-    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(rules)])
-    tries = df.select(ident, language, form, F.explode(table).alias("r")).where(F.endswith(form, F.col("r.a")) & (F.length(form) > F.length("r.a")))
-    tries = tries.select(ident, language, F.col("r.i").alias("rule"), F.concat(F.expr(f"substring({form}, 1, length({form}) - length(r.a))"), F.col("r.b")).alias("_f"))
+def lemma_candidates(df: DataFrame, ident: str, language: str, form: str, rules: list[tuple[str, str]], mutations: list[tuple[str, str]] = ()) -> DataFrame:
+    """``(id, lemma_id, rule)``: the first rule whose result is a form of the same language: suffix rules (ending, replacement) in their order, then mutations (beginning, replacement) in theirs.
+
+    A rule takes no form whole; ``rule`` counts from 0 through both lists.
+    """
+    steps = [(a, b, True) for a, b in rules] + [(a, b, False) for a, b in mutations]
+    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(end).alias("end")) for i, (a, b, end) in enumerate(steps)])
+    fits = F.when(F.col("r.end"), F.endswith(form, F.col("r.a"))).otherwise(F.startswith(form, F.col("r.a")))
+    tries = df.select(ident, language, form, F.explode(table).alias("r")).where(fits & (F.length(form) > F.length("r.a")))
+    changed = F.when(F.col("r.end"), F.concat(F.expr(f"substring({form}, 1, length({form}) - length(r.a))"), F.col("r.b"))).otherwise(F.concat(F.col("r.b"), F.expr(f"substring({form}, length(r.a) + 1)")))
+    tries = tries.select(ident, language, F.col("r.i").alias("rule"), changed.alias("_f"))
     known = df.groupBy(F.col(language).alias("_l"), F.col(form).alias("_f")).agg(F.min(ident).alias("lemma_id"))
     hit = tries.join(known, (tries[language] == known["_l"]) & (tries["_f"] == known["_f"])).where(F.col(ident) != F.col("lemma_id"))
     return hit.groupBy(ident).agg(F.min_by(F.struct("lemma_id", "rule"), "rule").alias("x")).select(ident, "x.lemma_id", "x.rule")

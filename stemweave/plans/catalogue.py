@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import domain, eras, extended, generation, hierarchy, identity, ingest, language, logs, naming, pages, relational, workflows  # noqa: F401
+from . import coverage, domain, eras, extended, generation, hierarchy, identity, ingest, language, logs, naming, pages, relational, workflows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..sources import dictionary as C
 from ..sources import files as S
+from ..sources import gazetteers as Z
 from ..sources import sections as D
 from ..sources import sinks as K
 from ..sources.publish import publish, read_published
@@ -378,3 +379,74 @@ def _(t):
     ledger.transition(changes.join(reports.select("id"), "id", "left_semi"), path)
     found = ledger.page(ledger.state(ledger.read(e.sparkSession, path)), 50, generator="error", after=(datetime.datetime(2024, 1, 20), ""))
     return found.select("id", "created", "generator", "reason")
+
+
+_EXPORT = """f AS (SELECT c_custkey % 900 AS idx, CASE WHEN c_custkey % 37 = 0 THEN NULL ELSE c_mktsegment || c_custkey % 70 END AS name, CASE WHEN c_custkey % 29 = 0 THEN '' ELSE 'C' || c_nationkey % 5 END AS county, CASE c_custkey % 11 WHEN 0 THEN 'speculative' WHEN 1 THEN 'unknown' ELSE 'sure' END AS status, 'h' || c_nationkey AS hundred FROM customer),
+p AS (SELECT s_suppkey AS idx, 'p' || s_suppkey % 9 AS page FROM supplier WHERE s_acctbal > 0), w AS (SELECT *, CASE WHEN status IN ('speculative', 'unknown') THEN 'uncertain' WHEN name IS NULL THEN 'no name' WHEN county = '' THEN 'no county' END AS why FROM f),
+g AS (SELECT name, CASE county WHEN 'C0' THEN 'Kent' WHEN 'C1' THEN 'Powys' ELSE county END AS region, CASE county WHEN 'C1' THEN 'Wales' ELSE 'England' END AS country, coalesce(page, hundred) AS source FROM w LEFT JOIN p USING (idx) WHERE why IS NULL),
+h AS (SELECT min(c_custkey) AS id, c_mktsegment || c_custkey % 70 AS name, 'Kent' AS region FROM customer WHERE c_custkey % 2 = 0 GROUP BY 2), tp AS (SELECT g.name, g.region, min(country) AS country, min(h.id) AS id FROM g LEFT JOIN h ON h.name = g.name AND h.region = g.region GROUP BY 1, 2),
+fa AS (SELECT DISTINCT g.name, g.region, source, h.id, h.id IS NOT NULL AND source < 'h2' AS there FROM g LEFT JOIN h ON h.name = g.name AND h.region = g.region)"""
+
+
+def _export(t):
+    c, k = t("customer"), F.col("c_custkey")
+    name = F.concat("c_mktsegment", (k % 70).cast("string"))
+    forms = c.select((k % 900).alias("idx"), F.when(k % 37 != 0, name).alias("name"), F.when(k % 29 == 0, "").otherwise(F.concat(F.lit("C"), (F.col("c_nationkey") % 5).cast("string"))).alias("county"), F.when(k % 11 == 0, "speculative").when(k % 11 == 1, "unknown").otherwise("sure").alias("status"), F.concat(F.lit("h"), "c_nationkey").alias("hundred"), F.lit("grid").alias("grid"))
+    places = t("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("idx"), F.concat(F.lit("p"), (F.col("s_suppkey") % 9).cast("string")).alias("page"))
+    have = c.where(k % 2 == 0).groupBy(name.alias("name")).agg(F.min("c_custkey").alias("id")).withColumn("region", F.lit("Kent"))
+    cited = forms.join(places, "idx", "left").select("name", F.coalesce("page", "hundred").alias("source")).where("source < 'h2'").distinct()
+    attested = have.join(cited, "name").select("id", F.col("name").alias("form"), F.lit(1086).alias("year"), "source")
+    return Z.resolve_forms(places, forms, {"C0": ("Kent", "England"), "C1": ("Powys", "Wales")}, have, attested, 1086)
+
+
+@query("c09_gazetteer_toponyms", f"WITH {_EXPORT} SELECT name, region, country, id FROM tp")
+def _(t):
+    """Names of an exported gazetteer, found among those that are there or new."""
+    return _export(t)["toponyms"]
+
+
+@query("c09_gazetteer_attestations", f"WITH {_EXPORT} SELECT name, region, 1086 AS year, source FROM fa WHERE NOT there")
+def _(t):
+    return _export(t)["attestations"]
+
+
+@query("c09_gazetteer_counts", f"""WITH {_EXPORT} SELECT coalesce(why, 'taken') AS what, count(*) AS n FROM w GROUP BY 1 UNION ALL SELECT 'new names', count(*) FROM tp WHERE id IS NULL UNION ALL SELECT 'known names', count(*) FROM tp WHERE id IS NOT NULL
+UNION ALL SELECT 'new attestations', count(*) FROM fa WHERE NOT there UNION ALL SELECT 'known attestations', count(*) FROM fa WHERE there""")
+def _(t):
+    return _export(t)["counts"]
+
+
+@query("c10_derivation_cells", """
+WITH x AS (SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_size % 3 AS s FROM part)
+SELECT k, 'old-english' AS language, a AS form, CASE WHEN s = 2 THEN NULL ELSE b || '; a ' || a || '; more' END AS gloss, 1 AS unmapped, CASE WHEN s = 0 THEN 1 WHEN s = 2 THEN 2 ELSE 0 END AS dropped FROM x
+UNION ALL SELECT k, 'old-norse', b, 'the ' || a, 1, CASE WHEN s = 0 THEN 1 WHEN s = 2 THEN 2 ELSE 0 END FROM x""")
+def _(t):
+    """Cells whose glosses hold semicolons, with an element of an unknown language and pieces that continue nothing."""
+    w, s = F.split("p_name", " "), F.col("p_size") % 3
+    first = F.concat(w[0], F.lit(" Old English"), F.when(s == 2, F.lit("")).otherwise(F.concat(F.lit(" - "), w[1])))
+    text = F.concat(F.when(s == 0, F.lit("stray; ")).otherwise(F.lit("")), first, F.lit("; a "), w[0], F.lit("; more; x Pictish - lost; "), w[1], F.lit(" Old Norse - the "), w[0])
+    x = t("part").select(F.col("p_partkey").alias("k"), Z.derivation(text, {"Old English": "old-english", "Old Norse": "old-norse"}).alias("d"))
+    return x.select("k", "d.unmapped", "d.dropped", F.explode("d.elements").alias("e")).select("k", "e.language", "e.form", "e.gloss", "unmapped", "dropped")
+
+
+@query("c10_matched_names", """
+WITH a AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '~', 'g'), '[A-Z][a-z]{3,}')) AS w FROM documents)), i AS (SELECT DISTINCT unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '~', 'g'), '[A-Z][a-z]{4,}')) AS f FROM benchmark),
+k AS (SELECT lower(f) AS k, min(f) AS f FROM i GROUP BY 1), n AS (SELECT a.w, arg_min(k.f, k.k) AS f FROM a JOIN k ON abs(length(w) - length(k)) <= 1 AND levenshtein(lower(w), k) = 1 GROUP BY 1)
+SELECT a.w AS name, coalesce(k.f, n.f) AS form, CASE WHEN coalesce(k.f, n.f) IS NOT NULL THEN 'x' END AS language, CASE WHEN k.f IS NOT NULL THEN 't1' WHEN n.f IS NOT NULL THEN 't2' ELSE 'miss' END AS tier FROM a LEFT JOIN k ON k.k = lower(w) LEFT JOIN n ON n.w = a.w""")
+def _(t):
+    """Capitalised words of all documents looked up among those of the benchmark, by their letters or one letter off."""
+    words = lambda df, n: df.select(F.explode(F.regexp_extract_all(F.regexp_replace("text", r"[^\x00-\x7F]", "~"), F.lit(f"([A-Z][a-z]{{{n},}})"), F.lit(1))).alias("form"))
+    return Z.match_names(words(t("documents"), 3), "form", words(t("benchmark"), 4).distinct().withColumn("language", F.lit("x")))
+
+
+@query("k01_canonical_dump", """
+WITH m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 1 THEN p_partkey - 1 END AS winner FROM part WHERE p_size <= 45), r AS (SELECT l_returnflag AS source, coalesce(winner, id) AS part, l_orderkey AS o, l_linenumber AS n FROM lineitem JOIN m ON id = l_partkey)
+SELECT source, to_json({'o': o, 'n': n, 'part': part})::VARCHAR AS line, count(*) AS copies FROM r GROUP BY 1, 2 UNION ALL SELECT 'orphans', CAST(count(*) AS VARCHAR), 1 FROM lineitem WHERE l_partkey NOT IN (SELECT id FROM m)""")
+def _(t):
+    """Rows of each source dumped in a fixed order, with merged parts re-pointed, read back; those that name no part are counted."""
+    merged = t("part").where("p_size <= 45").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 == 1, F.col("p_partkey") - 1).alias("winner"))
+    rows, orphans = K.repointed(t("lineitem").select(F.col("l_returnflag").alias("source"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part")), "part", merged)
+    path = _place(rows)
+    K.canonical_dump(rows, path, "source", ["o", "n", "part"])
+    back = rows.sparkSession.read.text(path, recursiveFileLookup=True).select(F.regexp_extract("_metadata.file_path", "source=([^/]*)/", 1).alias("source"), F.col("value").alias("line"))
+    return back.groupBy("source", "line").agg(F.count("*").alias("copies")).unionByName(orphans.agg(F.count("*").alias("n")).select(F.lit("orphans").alias("source"), F.col("n").cast("string").alias("line"), F.lit(1).cast("long").alias("copies")))
