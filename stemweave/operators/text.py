@@ -508,6 +508,34 @@ def mapped(df: DataFrame, column: str, table: dict[str, str], out: str) -> DataF
     return df.withColumn(out, replaced(F.col(column)))
 
 
+def mapped_by_language(words: DataFrame, word: str, language: str, table: DataFrame) -> DataFrame:
+    """``(word, language, mapped)`` of each distinct word by the ``table(language, key, value)`` of its own language, longest keys first; characters without a key stay, as do all of a language without a table.
+
+    Of several values of a key the least counts, empty keys none.  A table is the rows of one language, joined to its words.
+    """
+    keys = table.where("key <> ''").groupBy("language", "key").agg(F.min("value").alias("value")).groupBy(F.col("language").alias("_l")).agg(F.collect_list(F.struct("key", "value")).alias("_t"))
+    asked = words.select(F.col(word).alias("word"), F.col(language).alias("language")).where("word is not null").distinct().join(keys, F.col("language") == F.col("_l"), "left")
+
+    def run(frames):
+        import re
+
+        patterns: dict = {}
+        for pdf in frames:
+            out = []
+            for w, lang, t in zip(pdf["word"], pdf["language"], pdf["_t"]):
+                if t is None:
+                    out.append(w)
+                    continue
+                if lang not in patterns:
+                    rows = {e["key"]: e["value"] for e in t}
+                    patterns[lang] = re.compile("|".join(map(re.escape, sorted(rows, key=len, reverse=True)))), rows
+                pattern, rows = patterns[lang]
+                out.append(pattern.sub(lambda m: rows[m[0]], w))
+            yield pd.DataFrame({"word": pdf["word"], "language": pdf["language"], "mapped": out})
+
+    return asked.select("word", "language", "_t").mapInPandas(run, "word string, language string, mapped string")
+
+
 def sound_coverage(df: DataFrame, language: str, ipa: str, bundled: Column) -> DataFrame:
     """Per language: eligible words and those with a pronunciation, in all and in the bundle, and the rate over all."""
     return df.groupBy(language).agg(

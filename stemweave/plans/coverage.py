@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import phonology as H
 from ..functions import scalars as S
 from ..operators import audits as U
 from ..operators import log as L
@@ -189,3 +190,67 @@ def _(t):
     w = t("documents").select("lang", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) >= 4").distinct().withColumn("id", F.concat_ws(":", "lang", "w"))
     hit = T.lemma_candidates(w, "id", "lang", "w", [("ed", "")], [("b", "p"), ("g", "c"), ("d", "t")])
     return hit.select(F.split_part("id", F.lit(":"), F.lit(1)).alias("lang"), F.split_part("id", F.lit(":"), F.lit(2)).alias("w"), F.split_part("lemma_id", F.lit(":"), F.lit(2)).alias("lemma"), "rule")
+
+
+def _list(members) -> str:
+    return "[" + ", ".join(f"'{m}'" for m in members) + "]"
+
+
+def _sound_sql() -> str:
+    """The seventeen features, feature by feature, over lists of sounds ``p`` and letters ``q``."""
+    count = lambda of, members: f"len(list_filter({of}, lambda x: list_contains({_list(members)}, x)))"
+    soft = [*H.FRICATIVES, *H.APPROXIMANTS, *H.LATERALS, *H.RHOTICS, *H.NASALS]
+    case = lambda values: "CASE " + " ".join(f"WHEN contains('{g}', x) THEN {v}" for v, g in values.items()) + " ELSE 0.0 END"
+    mean = lambda values: f"coalesce(list_avg(list_transform(list_filter(p, lambda x: list_contains({_list(H.VOWELS)}, x)), lambda x: CAST({case(values)} AS DOUBLE))), 0)"
+    dense = lambda of, c: f"len(list_filter(range(1, len({of}) + 1), lambda i: list_contains({c}, {of}[i]) AND (coalesce(list_contains({c}, {of}[i + 1]), false) OR (i > 1 AND list_contains({c}, {of}[i - 1])))))"
+    both = lambda k: [*H.SPELT[k], *H.SPELT[k].upper()]
+    cons = f"list_filter(q, lambda x: NOT list_contains({_list(both('vowels'))}, x))"
+    a, b = count("p", H.STOPS), count("p", soft)
+    c, d = count(cons, both("stops")), count(cons, both("soft"))
+    nuclei = f"len(list_filter(p, lambda x: list_contains({_list(H.VOWELS)}, x) OR (length(x) = 2 AND list_contains({_list(H.VOWELS)}, x[1]))))"
+    heard = {
+        "cluster_density": f"{dense('p', _list(H.CONSONANTS))} / len(p)", "final_fortition": f"CAST(list_contains({_list(H.STOPS)}, p[-1]) AS INTEGER)", "final_cluster_rate": f"CAST(len(p) > 1 AND list_contains({_list(H.CONSONANTS)}, p[-1]) AND list_contains({_list(H.CONSONANTS)}, p[-2]) AS INTEGER)",
+        "vowel_final_bias": f"CAST(list_contains({_list(H.VOWELS)}, p[-1]) OR (length(p[-1]) = 2 AND list_contains({_list(H.VOWELS)}, p[-1][1])) AS INTEGER)", "soft_consonants": f"coalesce({b} / nullif({count('p', H.CONSONANTS)}, 0), 0)", "polysyllabic_bias": f"least(1.0, {nuclei} / length(form))",
+        "palatalization": f"{count('p', H.PALATALS)} / len(p)", "sibilance": f"{count('p', H.SIBILANTS)} / len(p)", "retroflexion": f"{count('p', H.RETROFLEXES)} / len(p)", "pharyngeal": f"{count('p', H.PHARYNGEALS)} / len(p)", "vowel_height": mean(H.OPENNESS), "vowel_backness": mean(H.FRONTNESS),
+        "stop_vs_continuant": f"coalesce(({a} - {b}) / nullif({a} + {b}, 0), 0)", "aspirated_voiceless": f"{count('p', H.ASPIRATED)} / len(p)", "liquid_l_m_n": f"{count('p', [*H.LATERALS, *H.NASALS])} / len(p)", "rhotic_r": f"{count('p', H.RHOTICS)} / len(p)", "vowel_tenseness": mean({1.0: H.TENSE, -1.0: H.LAX}),
+    }
+    v = _list(both("vowels"))
+    read = {
+        "cluster_density": f"{dense(f'list_transform(q, lambda x: CASE WHEN list_contains({v}, x) THEN 0 ELSE 1 END)', '[1]')} / len(q)", "final_fortition": f"CAST(list_contains({_list(both('stops'))}, q[-1]) AS INTEGER)", "final_cluster_rate": f"CAST(len(q) > 1 AND NOT list_contains({v}, q[-1]) AND NOT list_contains({v}, q[-2]) AS INTEGER)",
+        "vowel_final_bias": f"CAST(list_contains({v}, q[-1]) AS INTEGER)", "soft_consonants": f"coalesce({d} / nullif(len({cons}), 0), 0)", "polysyllabic_bias": f"least(1.0, {count('q', both('vowels'))} / length(form))", "sibilance": f"{count('q', both('sibilants'))} / len(q)",
+        "stop_vs_continuant": f"coalesce(({c} - {d}) / nullif({c} + {d}, 0), 0)", "liquid_l_m_n": f"{count('q', both('laterals'))} / len(q)", "rhotic_r": f"{count('q', both('rhotics'))} / len(q)",
+    }
+    return ", ".join(f"round(CAST(CASE WHEN len(p) > 0 THEN {heard[k]} WHEN len(q) > 0 THEN {read.get(k, '0')} ELSE 0 END AS DOUBLE), 6) AS {k}" for k in H.FEATURES)
+
+
+_SAID = {"ng": "ŋ", "ch": "tʃ", "i": "ɪ", "o": "ɔ", "r": "ɹ", "e": "ɛ", "t": "tʰ", "g": "ɡ", "u": "aʊ", "ll": "ɫˤ", "d": "dʲ"}
+
+
+@query("t28_sound_vector", f"""
+WITH w AS (SELECT DISTINCT p_name AS form, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN '/ˈ' || {"".join("replace(" for _ in _SAID)}replace(p_name, ' ', ''){"".join(f", '{k}', '{v}')" for k, v in _SAID.items())} || '/' ELSE ' ' END AS ipa FROM part),
+x AS (SELECT form, ipa, coalesce(regexp_extract_all(translate(regexp_replace(trim(ipa), '^/(.*)/$', '\\1'), '{H.MARKS}', ''), '{H.PHONEME.replace("[\\s\\S]", ".")}'), []) AS p, regexp_extract_all(form, '[a-zA-Z]') AS q FROM w)
+SELECT form, ipa, {_sound_sql()} FROM x""")
+def _(t):
+    """Seventeen features of names, from a made-up pronunciation where there is one."""
+    said = F.replace("p_name", F.lit(" "), F.lit(""))
+    for k, v in _SAID.items():
+        said = F.replace(said, F.lit(k), F.lit(v))
+    ipa = F.when(F.col("p_size") % 3 == 1, F.concat(F.lit("/ˈ"), said, F.lit("/"))).when(F.col("p_size") % 3 == 2, " ")
+    w = t("part").select(F.col("p_name").alias("form"), ipa.alias("ipa")).distinct()
+    v = w.withColumn("v", H.sound_vector(F.col("form"), F.col("ipa")))
+    return v.select("form", "ipa", *[F.round(F.col(f"v.{k}"), 6).alias(k) for k in H.FEATURES])
+
+
+_TABLES = {"SMALL": {"ng": "ŋ", "n": "nh", "o": "å", "ol": "ø"}, "LARGE": {"r": "ř", "e": "ě", "re": "ré", "l": "ł"}, "PROMO": {"a": "b", "b": "a"}}
+
+
+@query("t27_sounds_by_language", f"""
+WITH RECURSIVE tb AS (SELECT * FROM (VALUES {", ".join(f"('{l}', '{k}', '{v}')" for l, t in _TABLES.items() for k, v in t.items())}) AS v(lang, a, b)), q AS (SELECT DISTINCT p_name AS word, p_type AS language FROM part), o AS (SELECT word, language, unnest(range(1, length(word) + 1)) AS i FROM q),
+m AS (SELECT word, language, i, coalesce(arg_max(b, length(a)), min(substr(word, i, 1))) AS b, coalesce(max(length(a)), 1) AS k FROM o LEFT JOIN tb ON lang = language AND substr(word, i, length(a)) = a GROUP BY 1, 2, 3),
+r AS (SELECT word, language, 1::BIGINT AS i, '' AS y FROM q UNION ALL SELECT r.word, r.language, r.i + k, y || b FROM r JOIN m ON m.word = r.word AND m.language = r.language AND m.i = r.i)
+SELECT word, language, y AS mapped FROM r WHERE i = length(word) + 1""")
+def _(t):
+    """Names in the letters of each kind of part, by its own table; some kinds have none."""
+    words = t("part").select("p_name", "p_type")
+    rows = [(lang, k, v) for lang, x in _TABLES.items() for k, v in x.items()]
+    return T.mapped_by_language(words, "p_name", "p_type", words.sparkSession.createDataFrame(rows, "language string, key string, value string"))
