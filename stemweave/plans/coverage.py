@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import phonology as H
 from ..functions import scalars as S
 from ..operators import audits as U
+from ..operators import evidence as E
 from ..operators import log as L
 from ..operators import proportions as P
 from ..operators import text as T
+from ..operators.graph import scratch
+from ..sources import gazetteers as Z
+from ..sources import sinks as K
 from .registry import query
 
 _SURFACES = """w AS (SELECT p_brand AS culture, p_partkey AS name, unnest(string_split(p_name, ' ')) AS w, unnest(range(len(string_split(p_name, ' ')))) AS word, p_type, p_size FROM part),
@@ -254,3 +258,98 @@ def _(t):
     words = t("part").select("p_name", "p_type")
     rows = [(lang, k, v) for lang, x in _TABLES.items() for k, v in x.items()]
     return T.mapped_by_language(words, "p_name", "p_type", words.sparkSession.createDataFrame(rows, "language string, key string, value string"))
+
+
+@query("t23_guarded_alignment", """
+WITH x AS (SELECT DISTINCT p_partkey % 5 AS place, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, b IN ('gear', 'bolt') AS twin, b = 'ring' AS leak FROM part),
+h AS (SELECT b, count(*) AS n FROM x WHERE NOT twin AND NOT leak GROUP BY 1) SELECT b AS part, b AS span, 'post' AS position, n AS support FROM h WHERE n >= 2""")
+def _(t):
+    """First words are known, and of second words a form that doesn't fit; some second words are known by an equivalent, of one a known form ends the span.  Long first words are known without their last letter too, and the longest form that fits is taken."""
+    x = t("part").select((F.col("p_partkey") % 5).alias("place"), F.split("p_name", " ").alias("w")).distinct()
+    parts = x.select("place", F.concat(F.col("w")[0], F.col("w")[1]).alias("name"), F.posexplode("w").alias("i", "part"))
+    a, b = F.col("w")[0], F.col("w")[1]
+    long = x.where("length(w[0]) > 4")
+    known = x.select(a.alias("part"), a.alias("form")).union(long.select(a, F.expr("left(w[0], length(w[0]) - 1)"))).union(x.select(b, F.concat(F.lit("zz"), b))).union(x.where("w[1] = 'ring'").select(b, F.lit("ing")))
+    twins = x.where("w[1] in ('gear', 'bolt')").select(b.alias("part"), F.concat(F.lit("twin-"), b).alias("other")).distinct()
+    known = known.union(twins.select("other", F.col("part")))
+    return E.guarded_surfaces(parts, ["place", "name"], "i", "part", known.distinct(), twins, 2)
+
+
+@query("z09_unexplained_links", """
+WITH l AS (SELECT l_partkey AS id, '-' || upper(CASE l_suppkey % 5 WHEN 0 THEN p.p_name WHEN 1 THEN q.p_name WHEN 2 THEN r.p_name ELSE s.p_name END) AS surface FROM lineitem JOIN part p ON p.p_partkey = l_partkey JOIN part q ON q.p_partkey = (l_partkey + 1) % 1000 + 1 JOIN part r ON r.p_partkey = l_partkey // 2 + 1 JOIN part s ON s.p_partkey = (l_partkey * 7) % 1000 + 1),
+f AS (SELECT p_partkey AS id, regexp_replace(p_name, '[^a-z]', '', 'g') AS f FROM part), v AS (SELECT p_partkey AS id, regexp_replace(p_name || 's', '[^a-z]', '', 'g') AS f FROM part), c AS (SELECT p_partkey AS id, p_brand || p_size % 3 AS cl FROM part)
+SELECT surface, id FROM l WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = l.id AND f.f = regexp_replace(lower(surface), '[^a-z]', '', 'g')) AND NOT EXISTS (SELECT 1 FROM v WHERE v.id = l.id AND v.f = regexp_replace(lower(surface), '[^a-z]', '', 'g'))
+AND NOT EXISTS (SELECT 1 FROM f WHERE f.id // 3 = l.id AND f.f = regexp_replace(lower(surface), '[^a-z]', '', 'g')) AND NOT EXISTS (SELECT 1 FROM c JOIN c d USING (cl) JOIN f ON f.id = d.id WHERE c.id = l.id AND f.f = regexp_replace(lower(surface), '[^a-z]', '', 'g'))""")
+def _(t):
+    """Surfaces linked to a part that is neither its name, a variant's, a mate's nor a descendant's."""
+    p = t("part")
+    n = lambda k: p.select(F.col("p_partkey").alias(k), F.col("p_name").alias(f"n_{k}"))
+    k = F.col("l_partkey")
+    j = t("lineitem").select("l_partkey", "l_suppkey", ((k + 1) % 1000 + 1).alias("q"), (F.floor(k / 2) + 1).alias("r"), (k * 7 % 1000 + 1).alias("s")).join(n("l_partkey"), "l_partkey").join(n("q"), "q").join(n("r"), "r").join(n("s"), "s")
+    m = F.col("l_suppkey") % 5
+    links = j.select(F.concat(F.lit("-"), F.upper(F.when(m == 0, F.col("n_l_partkey")).when(m == 1, F.col("n_q")).when(m == 2, F.col("n_r")).otherwise(F.col("n_s")))).alias("surface"), k.alias("id"))
+    nodes = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("form"))
+    return E.unexplained_links(links, nodes, p.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("s")).alias("form")), p.select(F.col("p_partkey").alias("id"), F.concat("p_brand", (F.col("p_size") % 3).cast("string")).alias("cluster")), p.select(F.floor(F.col("p_partkey") / 3).alias("parent"), F.col("p_partkey").alias("child")))
+
+
+@query("z10_historical_genitives", """
+WITH f AS (SELECT l_partkey AS id, split_part(p_name, ' ', 1) || CASE l_suppkey % 4 WHEN 0 THEN 'es' WHEN 1 THEN 's' ELSE '' END || CASE WHEN l_linenumber % 5 = 0 THEN 'stan' ELSE split_part(p_name, ' ', 2) END AS form, p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity < 6),
+g AS (SELECT id, bool_or(regexp_matches(form, '(es|[^aeiouy]s)(ring|rod)$')) AS t, bool_or(ends_with(form, 'stan')) AS s FROM f WHERE form <> replace(p_name, ' ', '') GROUP BY 1)
+SELECT p_partkey AS id, CASE WHEN p_size = 7 THEN 'literal' WHEN t AND NOT s THEN 'split' WHEN s AND NOT t THEN 'literal' END AS evidence FROM part LEFT JOIN g ON id = p_partkey""")
+def _(t):
+    """Old forms that show a genitive before a town, or a stone at the end; what is decided already stays."""
+    w = F.split("p_name", " ")
+    j = t("lineitem").where("l_quantity < 6").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    s = F.col("l_suppkey") % 4
+    forms = j.select(F.col("l_partkey").alias("id"), F.concat(w[0], F.when(s == 0, "es").when(s == 1, "s").otherwise(""), F.when(F.col("l_linenumber") % 5 == 0, "stan").otherwise(w[1])).alias("form"))
+    return E.historical_genitive(t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), forms, ["ring", "rod"], ["stan"], t("part").where("p_size = 7").select(F.col("p_partkey").alias("id"), F.lit("literal").alias("evidence")))
+
+
+@query("t13_ambiguous_hits", """
+WITH m AS (SELECT doc_id AS source, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]{3,5}'))) AS form FROM documents), e AS (SELECT DISTINCT p_partkey % 300 AS entity, substr('abcdefghijklmnopqrstuvwxyz', p_size % 26 + 1, 1) AS c FROM part WHERE p_partkey < 200),
+g AS (SELECT source, form, string_agg(DISTINCT CAST(entity AS VARCHAR), ',' ORDER BY CAST(entity AS VARCHAR)) AS entities FROM m JOIN e ON c = left(form, 1) GROUP BY 1, 2 HAVING count(DISTINCT entity) > 1)
+SELECT g.source, form, entities, sha256(trim(substr(text, greatest(instr(lower(text), form) - 12, 1), length(form) + 12 + least(instr(lower(text), form) - 1, 12)), ' ')) AS snippet FROM g JOIN documents d ON doc_id = g.source""")
+def _(t):
+    """Capitalised words that several entities claim, with the text around them."""
+    m = t("documents").select(F.col("doc_id").alias("source"), F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{3,5})"), F.lit(1))).alias("f")).select("source", F.lower("f").alias("form")).distinct()
+    e = t("part").where("p_partkey < 200").select((F.col("p_partkey") % 300).alias("entity"), F.expr("substring('abcdefghijklmnopqrstuvwxyz', p_size % 26 + 1, 1)").alias("c")).distinct()
+    out = E.ambiguous_hits(m.join(e, F.left("form", F.lit(1)) == F.col("c")).select("source", "form", "entity"), t("documents"), "doc_id", "text", 12)
+    shown = F.array_join(F.array_sort(F.transform("entities", lambda x: x.cast("string"))), ",")
+    return out.select("source", "form", shown.alias("entities"), F.sha2("snippet", 256).alias("snippet"))
+
+
+@query("t15_mapped_reverse_search", """
+WITH x AS (SELECT doc_id AS doc, lower(unnest(regexp_extract_all(text, '([A-Z][a-z]+) ([a-z]{4,})', 1))) AS f, unnest(regexp_extract_all(text, '([A-Z][a-z]+) ([a-z]{4,})', 2)) AS detail FROM documents),
+e AS (SELECT DISTINCT item_id AS entity, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]+'))) AS f FROM benchmark), o AS (SELECT f, min(entity) AS entity FROM e GROUP BY 1 HAVING count(DISTINCT entity) = 1)
+SELECT entity, doc, detail, count(*) AS hits FROM x JOIN o USING (f) GROUP BY 1, 2, 3""")
+def _(t):
+    """Pairs of words in all documents, mapped to the benchmark item that alone has the first of them."""
+    e = t("benchmark").select(F.col("item_id").alias("entity"), F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), F.lit(1))).alias("form"))
+    return E.reverse_search(t("documents"), "doc_id", "text", "([A-Z][a-z]+) ([a-z]{4,})", e)
+
+
+_CSV = """x AS (SELECT CASE WHEN c_custkey % 17 = 0 THEN '' ELSE c_name END AS vill, c_mktsegment AS kind, CASE c_custkey % 4 WHEN 0 THEN CAST(1660 + c_custkey % 20 AS VARCHAR) WHEN 1 THEN 'x' ELSE '' END AS yr, c_custkey % 13 = 0 AS long FROM customer),
+y AS (SELECT *, CASE WHEN long THEN 'columns' WHEN vill = '' THEN 'blank name' WHEN kind NOT IN ('BUILDING', 'MACHINERY') THEN 'kind' END AS why, CASE WHEN yr <> '' AND try_cast(yr AS INTEGER) IS NULL THEN 'no year' WHEN yr <> '' AND try_cast(yr AS INTEGER) NOT BETWEEN 1662 AND 1674 THEN 'year out of window' END AS warn FROM x)"""
+
+
+def _csv(t):
+    c, k = t("customer"), F.col("c_custkey")
+    year = F.when(k % 4 == 0, (1660 + k % 20).cast("string")).when(k % 4 == 1, "x").otherwise("")
+    line = F.concat_ws(",", F.when(k % 17 == 0, "").otherwise(F.col("c_name")), "c_mktsegment", year, F.when(k % 13 == 0, "more"))
+    lines = c.select((F.col("c_nationkey") % 4).alias("file"), k.alias("o"), line.alias("line"))
+    heads = lines.select("file").distinct().select("file", F.lit(-1).cast("long").alias("o"), F.lit("vill,kind,yr").alias("line"))
+    path = scratch(c.sparkSession, "csv")
+    K.ledgers(heads.unionByName(lines), path, "file", "line", ["o"], ".csv")
+    return Z.checked_csv(c.sparkSession, path, ["vill", "kind", "yr"], "vill", "yr", 1665, (1662, 1674), "kind", ("BUILDING", "MACHINERY"))
+
+
+@query("c08_checked_rows", f"WITH {_CSV} SELECT vill, kind, nullif(yr, '') AS yr, CAST(CASE WHEN try_cast(yr AS INTEGER) BETWEEN 1662 AND 1674 THEN try_cast(yr AS INTEGER) ELSE 1665 END AS INTEGER) AS date_year FROM y WHERE why IS NULL")
+def _(t):
+    """Rows of gazetteer files of the kinds asked for, with their years."""
+    return _csv(t)[0]
+
+
+@query("c08_csv_warnings", f"WITH {_CSV} SELECT coalesce(why, warn) AS what, count(*) AS n FROM y WHERE coalesce(why, warn) IS NOT NULL GROUP BY 1")
+def _(t):
+    """What was left out or mended, counted."""
+    return _csv(t)[1]

@@ -83,3 +83,26 @@ def match_names(asks: DataFrame, name: str, index: DataFrame, least: int = 4) ->
     near = left.join(right, "_n").where(F.levenshtein("_f", "_k") <= 1).groupBy("_f").agg(F.min(F.struct("_k", "_v"))["_v"].alias("_t2"))
     out = exact.join(near, "_f", "left").withColumn("_v", F.coalesce("_t1", "_t2"))
     return out.select("name", "_v.form", "_v.language", F.when(F.col("_t1").isNotNull(), "t1").when(F.col("_t2").isNotNull(), "t2").otherwise("miss").alias("tier"))
+
+
+def checked_csv(spark, path: str, columns: list[str], name: str, year: str | None, default_year: int, window: tuple[int, int], kind: str | None = None, kinds: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """``(rows, warnings)`` of CSV files with a header that has all ``columns`` in this order: the rows with ``date_year``, and ``(what, n)``.
+
+    A header that lacks a column fails the read.  Left out and counted are rows of another number of columns, rows with a blank ``name`` and, where ``kind`` is given, rows of other ``kinds``; a year
+    that is no number or out of the ``window`` is counted and becomes the default, a blank one is the default without a word.
+    """
+    have = spark.read.option("header", True).csv(path).columns
+    if missing := [c for c in columns if c not in have]:
+        raise ValueError(f"columns missing: {', '.join(missing)}")
+    schema = ", ".join(f"`{c}` string" for c in [*have, "_bad"])
+    df = spark.read.option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_bad").schema(schema).csv(path)
+    y = F.col(year).try_cast("int") if year else F.lit(None).cast("int")
+    told = F.trim(F.coalesce(F.col(year) if year else F.lit(None), F.lit(""))) != ""
+    good = y.between(*window)
+    why = F.when(F.col("_bad").isNotNull(), "columns").when(F.trim(F.coalesce(name, F.lit(""))) == "", "blank name")
+    if kind is not None:
+        why = F.when(why.isNotNull(), why).when(~F.coalesce(F.col(kind).isin(*kinds), F.lit(False)), "kind")
+    marked = df.select("*", why.alias("_why"), F.when(told & y.isNull(), "no year").when(told & ~good, "year out of window").alias("_warn"), F.when(good, y).otherwise(default_year).alias("date_year"))
+    rows = marked.where("_why is null").select(*columns, "date_year")
+    warnings = marked.select(F.coalesce("_why", "_warn").alias("what")).where("what is not null").groupBy("what").agg(F.count("*").alias("n"))
+    return rows, warnings
