@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 from ..operators.graph import scratch
 
@@ -114,11 +114,14 @@ HOT_KEYS = 10_000
 
 
 def _width(df: DataFrame):
-    """Bytes of a row: 8 for a fixed value, the length of a string, and both for the entries of an array."""
+    """Bytes of a row: 8 for a fixed value, the length of a string, and both for the entries of an array; a struct in an array counts 8 for each field and 16 more for a string."""
 
     def of(c, kind):
         if isinstance(kind, (StringType, BinaryType)):
             return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
+            entry = 8 + sum(24 if isinstance(f.dataType, (StringType, BinaryType)) else 8 for f in kind.elementType)
+            return F.greatest(F.size(c), F.lit(0)) * entry + 8
         if isinstance(kind, ArrayType):
             inner = F.octet_length(F.array_join(c, "")) if isinstance(kind.elementType, StringType) else F.lit(0)
             return F.greatest(F.size(c), F.lit(0)) * 8 + F.coalesce(inner, F.lit(0))

@@ -168,7 +168,9 @@ def _windows(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_pairs(w[0][place], w[1][place]), part.column(0).take(pa.array(row[which])), each.field("span").take(pa.array(which)), pa.array(o.astype(np.int32))], ["w", "id", "span", "o"])
         release()
 
-    return texts.join(small(wanted), ["id", "h"]).select("id", "text", "spans").mapInArrow(run, "w binary, id long, span binary, o int")
+    # the keys alone are small for longer, and keep the other texts out of a shuffle
+    held = texts.join(small(wanted.select("id", "h")), ["id", "h"], "left_semi")
+    return held.join(small(wanted), ["id", "h"]).select("id", "text", "spans").mapInArrow(run, "w binary, id long, span binary, o int")
 
 
 def _united(rows: DataFrame, least: int) -> DataFrame:
