@@ -172,11 +172,19 @@ def one_per_key(new: DataFrame, key: str, version: Column) -> DataFrame:
     return new.groupBy(key).agg(F.max_by(r["r"], F.struct(r["v"], r["t"])).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def upsert_fill(existing: DataFrame, new: DataFrame, key: str, columns: list[str], version: Column | None = None) -> DataFrame:
-    """Insert new keys and fill only null fields of existing ones, each field by the last new row (by ``version``) that has it."""
+def upsert_fill(existing: DataFrame, new: DataFrame, key: str, columns: list[str], version: Column | None = None, pairs: list[tuple[str, str]] = ()) -> DataFrame:
+    """Insert new keys and fill only null fields of existing ones, each field by the last new row (by ``version``) that has it.
+
+    The second column of one of the ``pairs`` belongs to the first: both come from the side that gives the first, also where the second is null there.
+    """
     order = version if version is not None else F.lit(0)
-    last = new.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order.alias("v"), F.to_json(F.struct(c)).alias("t")))).alias(c) for c in columns])
-    return existing.alias("a").join(last.alias("b"), key, "full_outer").select(key, *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in columns])
+    belongs = {b: a for a, b in pairs}
+    each = [c for c in columns if c not in belongs]
+    taken = lambda c: F.struct(c, *[b for b, a in belongs.items() if a == c])
+    last = new.groupBy(key).agg(*[F.max_by(taken(c), F.when(F.col(c).isNotNull(), F.struct(order.alias("v"), F.to_json(F.struct(c)).alias("t")))).alias(f"_{c}") for c in each])
+    both = existing.join(last, key, "full_outer")
+    own = lambda c: F.coalesce(c, f"_{c}.{c}") if c in each else F.when(F.col(belongs[c]).isNotNull(), F.col(c)).otherwise(F.col(f"_{belongs[c]}.{c}"))
+    return both.select(key, *[own(c).alias(c) for c in columns])
 
 
 def upsert_last(existing: DataFrame, new: DataFrame, key: str, version: Column | None = None) -> DataFrame:

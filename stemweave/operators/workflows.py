@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import content_id, fold_surface
 from .log import fold_log
 from .ranking import first_per_key, top_n_per_key
 
@@ -162,3 +166,60 @@ def upsert_records(have: DataFrame, new: DataFrame, name: str, order: str) -> Da
     rest = [c for c in both.columns if c not in (name, order)]
     g = both.groupBy(F.lower(name).alias("_k")).agg(F.min_by(name, order).alias(name), F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in rest])
     return g.select(*both.columns)
+
+
+def persist_entries(entries: DataFrame, places: DataFrame, breakdowns: DataFrame, countries: dict[str, str], country: str, run: str) -> dict[str, DataFrame]:
+    """Parsed ``entries(name, region, source, page, elements)`` stored beside what is there; ``elements`` are ``(ordinal, ref, inflection)``.
+
+    * ``places(id, name, region, country)``: the places that are there and the new ones, whose id is that of their name and region and whose country ``countries`` gives for the region
+    * ``breakdowns(id, place, source, page)`` and ``elements(id, ordinal, ref, inflection)``: the new ones; the id is that of place, source, page and elements, so an entry that is there already, or comes twice, is stored once
+    * ``run(run, entries, places, breakdowns)``: how many entries came and how many places and breakdowns were new
+
+    An entry without a name or without elements is counted and not stored.
+    """
+    name, region = F.trim("name"), F.coalesce("region", F.lit(""))
+    good = entries.where((F.coalesce(name, F.lit("")) != "") & (F.size("elements") > 0)).select(name.alias("name"), region.alias("region"), "source", F.coalesce("page", F.lit("")).alias("page"), F.array_sort("elements").alias("elements"))
+    land = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in countries.items() for x in kv]), F.col("region")), F.lit(country)) if countries else F.lit(country)
+    have = places.groupBy("name", F.coalesce("region", F.lit("")).alias("region")).agg(F.min("id").alias("id"))
+    new = good.select("name", "region").distinct().join(have, ["name", "region"], "left_anti").select(content_id("TP", F.col("name"), F.col("region")).alias("id"), "name", "region", land.alias("country"))
+    every = have.select("id", "name", "region").unionByName(new.select("id", "name", "region"))
+    placed = good.join(every, ["name", "region"])
+    told = placed.select(content_id("BD", F.col("id"), F.col("source"), F.col("page"), F.to_json("elements")).alias("id"), F.col("id").alias("place"), "source", "page", "elements").dropDuplicates(["id"])
+    fresh = told.join(breakdowns.select("id").distinct(), "id", "left_anti")
+    counts = entries.agg(F.count("*").alias("entries")).withColumn("run", F.lit(run))
+    counts = counts.join(new.agg(F.count("*").alias("places"))).join(fresh.agg(F.count("*").alias("breakdowns")))  # one row each
+    return {
+        "places": places.select("id", "name", "region", "country").unionByName(new), "breakdowns": fresh.select("id", "place", "source", "page"),
+        "elements": fresh.select("id", F.explode("elements").alias("e")).select("id", "e.*"), "run": counts.select("run", "entries", "places", "breakdowns"),
+    }
+
+
+def fold_cohorts(residue: DataFrame, word: str, clusters: DataFrame, letters: int, most: int) -> DataFrame:
+    """``(word, cluster, member)``: for each word without a cluster the first ``most`` members, in order, of ``clusters(cluster, member)`` that begin with the same ``letters`` folded letters; shorter words have none.
+
+    The members of a beginning are cut to ``most`` before they meet its words, so a common beginning makes no more rows than that for each.
+    """
+    head = lambda c: F.left(fold_surface(F.col(c)), F.lit(letters))
+    first = clusters.select("cluster", "member", head("member").alias("_h")).distinct().where(F.length("_h") == letters)
+    first = first.withColumn("_k", F.row_number().over(Window.partitionBy("_h").orderBy("member", "cluster"))).where(F.col("_k") <= most)
+    asked = residue.select(F.col(word).alias("word"), head(word).alias("_h")).distinct()
+    return asked.join(first, "_h").select("word", "cluster", "member")
+
+
+def composed(c: Column) -> Column:
+    """Text in composed form (NFC), so that a letter with a mark is one character however it was written."""
+
+    @F.pandas_udf("string")
+    def normal(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    return normal(c)
+
+
+def open_slice(cohort: DataFrame, key: str, done: DataFrame, parked: DataFrame, until: str, now: int, evidence: DataFrame, order: list, most: int) -> DataFrame:
+    """``(key, evidence)`` of what is open (:func:`open_cohort`, by keys in composed form), with the first ``most`` quotes of each in ``evidence(key, quote)``; none gives an empty list."""
+    same = lambda df: df.withColumn(key, composed(F.col(key)))
+    left = open_cohort(same(cohort).select(key).distinct(), key, same(done), same(parked), until, now)
+    told = same(evidence).join(left, key, "left_semi")
+    first = told.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_k") <= most).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "quote"))), lambda x: x["quote"]).alias("evidence"))
+    return left.join(first, key, "left").select(key, F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))

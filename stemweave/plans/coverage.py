@@ -14,6 +14,7 @@ from ..operators import evidence as E
 from ..operators import log as L
 from ..operators import proportions as P
 from ..operators import text as T
+from ..operators import workflows as Y
 from ..operators.graph import scratch
 from ..sources import gazetteers as Z
 from ..sources import sinks as K
@@ -353,3 +354,72 @@ def _(t):
 def _(t):
     """What was left out or mended, counted."""
     return _csv(t)[1]
+
+
+_STORED = """en AS (SELECT o_orderkey, CASE WHEN o_custkey % 31 = 0 THEN ' ' ELSE c_name END AS name, n_name AS region, o_orderpriority AS source, CASE WHEN o_orderkey % 3 = 0 THEN 'p1' END AS page FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+el AS (SELECT l_orderkey, list({'ordinal': l_linenumber, 'ref': p_name, 'inflection': NULL::VARCHAR} ORDER BY l_linenumber, p_name) AS els FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber < 3 GROUP BY 1),
+g AS (SELECT name, region, source, coalesce(page, '') AS page, els FROM en JOIN el ON l_orderkey = o_orderkey WHERE trim(name) <> ''), h AS (SELECT c_name AS name, n_name AS region, min('X' || c_custkey) AS id FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0 GROUP BY 1, 2),
+nw AS (SELECT DISTINCT g.name, g.region FROM g ANTI JOIN h ON h.name = g.name AND h.region = g.region)"""
+
+
+def _stored(t):
+    e = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    li = t("lineitem").where("l_linenumber < 3").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    elements = li.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("ordinal"), F.col("p_name").alias("ref"), F.lit(None).cast("string").alias("inflection"))).alias("elements"))
+    entries = e.join(elements, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.when(F.col("o_custkey") % 31 == 0, " ").otherwise(F.col("c_name")).alias("name"), F.col("n_name").alias("region"), F.col("o_orderpriority").alias("source"), F.when(F.col("o_orderkey") % 3 == 0, "p1").alias("page"), F.coalesce("elements", F.array().cast("array<struct<ordinal:bigint,ref:string,inflection:string>>")).alias("elements"))
+    c = t("customer").where("c_custkey % 2 = 0").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    places = c.groupBy(F.col("c_name").alias("name"), F.col("n_name").alias("region")).agg(F.min(F.concat(F.lit("X"), F.col("c_custkey").cast("string"))).alias("id")).withColumn("country", F.lit("old"))
+    none = places.sparkSession.createDataFrame([], "id string")
+    return Y.persist_entries(entries, places, none, {"NATION_1": "one", "NATION_2": "two"}, "rest", "run-1")
+
+
+@query("z12_stored_places", f"WITH {_STORED} SELECT id, name, region, 'old' AS country FROM h UNION ALL SELECT 'TP' || left(sha256('=' || name || chr(31) || '=' || region), 16), name, region, CASE region WHEN 'NATION_1' THEN 'one' WHEN 'NATION_2' THEN 'two' ELSE 'rest' END FROM nw")
+def _(t):
+    """Places of parsed entries: those that are there and the new ones."""
+    return _stored(t)["places"]
+
+
+@query("z12_stored_elements", f"""WITH {_STORED}, d AS (SELECT DISTINCT name, region, source, page, els FROM g) SELECT ordinal, ref, count(*) AS n FROM (SELECT unnest(els, recursive := true) FROM d) GROUP BY 1, 2""")
+def _(t):
+    """The elements of the stored breakdowns, each breakdown once."""
+    return _stored(t)["elements"].groupBy("ordinal", "ref").agg(F.count("*").alias("n"))
+
+
+@query("z12_stored_run", f"WITH {_STORED} SELECT 'run-1' AS run, (SELECT count(*) FROM en) AS entries, (SELECT count(*) FROM nw) AS places, (SELECT count(*) FROM (SELECT DISTINCT name, region, source, page, els FROM g)) AS breakdowns")
+def _(t):
+    return _stored(t)["run"]
+
+
+@query("z17_fold_cohorts", """
+WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{6,}'))) AS w FROM documents), c AS (SELECT DISTINCT item_id AS cluster, lower(unnest(regexp_extract_all(text, '[A-Za-z]{5,}'))) AS member FROM benchmark),
+h AS (SELECT *, row_number() OVER (PARTITION BY left(member, 4) ORDER BY member, cluster) AS k FROM c) SELECT w.w AS word, cluster, member FROM w JOIN h ON left(w, 4) = left(member, 4) AND k <= 3""")
+def _(t):
+    """Long words of all documents beside the first words of benchmark items that begin as they do."""
+    words = lambda df, n, *k: df.select(*k, F.explode(F.regexp_extract_all("text", F.lit(f"([A-Za-z]{{{n},}})"), F.lit(1))).alias("x")).select(*k, F.lower("x").alias("member"))
+    clusters = words(t("benchmark"), 5, "item_id").withColumnRenamed("item_id", "cluster")
+    return Y.fold_cohorts(words(t("documents"), 6), "member", clusters, 4, 3)
+
+
+@query("z18_open_slices", """
+WITH c AS (SELECT DISTINCT p_name || 'é' AS k FROM part), d AS (SELECT DISTINCT p_name || 'é' AS k FROM part WHERE p_size = 50 AND p_brand = 'Brand#3'), p AS (SELECT p_name || 'é' AS k, max(p_size) AS u FROM part WHERE p_brand = 'Brand#7' GROUP BY 1),
+e AS (SELECT p_name || 'é' AS k, p_type || p_partkey AS q, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part WHERE p_size > 10)
+SELECT c.k, coalesce((SELECT string_agg(q, ',' ORDER BY r) FROM e WHERE e.k = c.k AND r <= 2), '') AS evidence FROM c WHERE k NOT IN (SELECT k FROM d) AND k NOT IN (SELECT k FROM p WHERE u > 45)""")
+def _(t):
+    """Names that are neither done nor parked, whose accents are written in two ways, with their first quotes."""
+    p = t("part")
+    one, two = F.concat("p_name", F.lit("\u00e9")), F.concat("p_name", F.lit("e\u0301"))
+    out = Y.open_slice(p.select(two.alias("k")), "k", p.where("p_size = 50 and p_brand = 'Brand#3'").select(one.alias("k")), p.where("p_brand = 'Brand#7'").select(two.alias("k"), "p_size"), "p_size", 45, p.where("p_size > 10").select(one.alias("k"), F.concat("p_type", F.col("p_partkey").cast("string")).alias("quote"), "p_partkey"), ["p_partkey"], 2)
+    return out.select("k", F.array_join("evidence", ",").alias("evidence"))
+
+
+@query("k10_paired_fill", """
+WITH h AS (SELECT c_custkey AS k, c_mktsegment AS v, CASE WHEN c_custkey % 3 = 0 THEN 'ipa' || c_custkey END AS ipa, CASE WHEN c_custkey % 2 = 0 THEN 'own' END AS dialect FROM customer WHERE c_acctbal > 0), n AS (SELECT user_id AS k, event_type AS v, CASE WHEN event_id % 2 = 0 THEN 'i' || event_id END AS ipa, CASE WHEN event_id % 4 = 0 THEN 'd' || event_id END AS dialect, event_id FROM events),
+b AS (SELECT k, arg_max(v, event_id) AS v, max(event_id) FILTER (ipa IS NOT NULL) AS e FROM n GROUP BY 1), c AS (SELECT b.k, b.v, n.ipa, n.dialect FROM b LEFT JOIN n ON n.event_id = b.e)
+SELECT k, coalesce(h.v, c.v) AS v, coalesce(h.ipa, c.ipa) AS ipa, CASE WHEN h.ipa IS NOT NULL THEN h.dialect ELSE c.dialect END AS dialect FROM h FULL JOIN c USING (k)""")
+def _(t):
+    """A pronunciation and its dialect move together: a row without the first takes both, or keeps neither."""
+    c, e = t("customer").where("c_acctbal > 0"), t("events")
+    k, i = F.col("c_custkey"), F.col("event_id")
+    have = c.select(k.alias("k"), F.col("c_mktsegment").alias("v"), F.when(k % 3 == 0, F.concat(F.lit("ipa"), k.cast("string"))).alias("ipa"), F.when(k % 2 == 0, "own").alias("dialect"))
+    new = e.select(F.col("user_id").alias("k"), F.col("event_type").alias("v"), F.when(i % 2 == 0, F.concat(F.lit("i"), i.cast("string"))).alias("ipa"), F.when(i % 4 == 0, F.concat(F.lit("d"), i.cast("string"))).alias("dialect"), i.alias("n"))
+    return L.upsert_fill(have, new, "k", ["v", "ipa", "dialect"], F.col("n"), [("ipa", "dialect")])
