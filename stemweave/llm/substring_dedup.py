@@ -151,26 +151,26 @@ def _shared_spans(texts: DataFrame, least: int, seed: int, most_bits: int) -> Da
 
 
 def _windows(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """``(w, id, span, o)``: the windows of the ``wanted(id, h, spans)``, ``o`` their place in the span."""
+    """``(w, id, h, at, o)``: the windows of the ``wanted(id, h, spans)``, a number ``64 * at + n`` for each span, ``o`` their place in it."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column=1):
-                h, _, _, first = word_hashes(*text_buffers(part.column(1)), letters=EXACT)
+            for part in slices(batch, column=2):
+                h, _, _, first = word_hashes(*text_buffers(part.column(2)), letters=EXACT)
                 w = windows_of(h, least)
-                lists = part.column(2)
-                each = lists.flatten()
-                at, n = each.field("at").to_numpy(), each.field("n").to_numpy()
+                lists = part.column(3)
+                each = lists.flatten().to_numpy()
+                at, n = each >> 6, each & 63
                 row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
                 which = np.repeat(np.arange(len(at)), n)
                 o = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                place = first[row][which] + at[which] + o
-                yield pa.RecordBatch.from_arrays([_pairs(w[0][place], w[1][place]), part.column(0).take(pa.array(row[which])), each.field("span").take(pa.array(which)), pa.array(o.astype(np.int32))], ["w", "id", "span", "o"])
+                place, rows = first[row][which] + at[which] + o, pa.array(row[which])
+                yield pa.RecordBatch.from_arrays([_pairs(w[0][place], w[1][place]), part.column(0).take(rows), part.column(1).take(rows), pa.array(at[which].astype(np.int32)), pa.array(o.astype(np.int32))], ["w", "id", "h", "at", "o"])
         release()
 
     # the keys alone are small for longer, and keep the other texts out of a shuffle
     held = texts.join(small(wanted.select("id", "h")), ["id", "h"], "left_semi")
-    return held.join(small(wanted), ["id", "h"]).select("id", "text", "spans").mapInArrow(run, "w binary, id long, span binary, o int")
+    return held.join(small(wanted), ["id", "h"]).select("id", "h", "text", "spans").mapInArrow(run, "w binary, id long, h long, at int, o int")
 
 
 def _united(rows: DataFrame, least: int) -> DataFrame:
@@ -199,14 +199,15 @@ def _repeats(texts: DataFrame, least: int, seed: int, most_bits: int) -> DataFra
     first = materialize(first.select("span", "f.*", "c"), "first-spans")
     seeds = first.groupBy("a").agg(F.count("*").alias("k"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     seeds = materialize(seeds.where("k > 1 and lo < hi").select("a", "k", F.lit(True).alias("several")), "open-seeds")
-    open_ = spread_join(first.select("a", "id", "h", "at", "n", "span"), seeds, "a", "k", first.count()).where("several")
-    wanted = materialize(open_.groupBy("id", "h").agg(F.collect_list(F.struct("at", "n", "span")).alias("spans")), "open-spans")
+    open_ = spread_join(first.select("a", "id", "h", "at", "n"), seeds, "a", "k", first.count()).where("several")
+    wanted = materialize(open_.groupBy("id", "h").agg(F.collect_list(F.col("at").cast("long") * 64 + F.col("n")).alias("spans")), "open-spans")
     windows = materialize(_windows(texts, wanted, least), "windows")
     least_ids = windows.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c"))
     least_ids = materialize(least_ids.where("lo < hi").select("w", "lo", "c"), "shared-windows")
     hit = spread_join(windows, least_ids, "w", "c", windows.count()).where("lo < id")
-    masks = hit.groupBy("span").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
-    verdict = materialize(first.join(masks, "span", "left").where("c > 1 or mask is not null").select("span", F.col("id").alias("lo"), "mask", "c"), "verdicts")
+    # the first occurrence of a span stands for it
+    masks = hit.groupBy("id", "h", "at").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
+    verdict = materialize(first.join(masks, ["id", "h", "at"], "left").where("c > 1 or mask is not null").select("span", F.col("id").alias("lo"), "mask", "c"), "verdicts")
     marks = spread_join(spans.select("id", "h", "span", "at", "n"), verdict, "span", "c", total)
     bits = F.when(F.col("id") > F.col("lo"), F.expr("shiftleft(1L, n) - 1")).when(F.col("id") == F.col("lo"), F.col("mask"))
     marks = marks.select("id", "h", "at", bits.alias("bits")).where("bits > 0").groupBy("id", "h").agg(F.collect_set(F.struct("at", "bits")).alias("marks"))
