@@ -292,9 +292,14 @@ def refill_quote(quote: Column, body: Column, tail: int = 80, window: int = 200)
     return F.when(at > 0, F.concat(quote, F.substring(body, at + F.length(end), F.lit(window))))
 
 
+SMALL_ROWS, SMALL_BYTES = 500_000, 64 << 20
+
+
 def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a table that is already written, if it has few rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.count() <= 500_000 else df
+    """Broadcast a table of plain columns that is already written, if its counted rows and bytes are few; else leave the join to Spark."""
+    width = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) + 8 if kind == "string" else F.lit(8) for c, kind in df.dtypes), F.lit(0))
+    n, size = df.agg(F.count("*"), F.sum(width.cast("long"))).first()
+    return F.broadcast(df) if n <= SMALL_ROWS and (size or 0) <= SMALL_BYTES else df
 
 
 def containing(docs: DataFrame, ident: str, text: str, quotes: DataFrame, quote_id: str, quote: str) -> DataFrame:

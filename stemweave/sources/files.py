@@ -108,7 +108,7 @@ def csv_events(spark: SparkSession, path, required: list[str], name: str, year:
     region = "county" if "county" in df.columns else None
     ref = F.concat_ws("@", "form", region) if region else F.col("form")
     rows = rows.withColumn("ref", ref)
-    return rows.select("ref", "form").dropDuplicates(["ref"]), rows.select("ref", "form", "date_year")
+    return rows.groupBy("ref").agg(F.min("form").alias("form")), rows.select("ref", "form", "date_year")
 
 
 def csv_source(spark: SparkSession, path, columns: dict) -> tuple[DataFrame, DataFrame]:
@@ -126,9 +126,9 @@ def parse_name_index(lines: DataFrame, value: str) -> DataFrame:
 
 def import_seeds(have: DataFrame, seeds: DataFrame) -> DataFrame:
     """``have(id, label, hypernym_id)`` with the groups of ``seeds(label, hypernym)`` that it lacks; ids come from labels, so a
-    repeated import adds nothing, and the label above becomes its id where that group is there."""
+    repeated import adds nothing, and the label above becomes its id where that group is there.  Of several labels above one the least counts."""
     ident = lambda c: F.concat(F.lit("S"), F.left(F.sha2(F.concat(F.lit("="), c), 256), F.lit(16)))
-    new = seeds.dropDuplicates(["label"]).join(have, "label", "left_anti").select(ident(F.col("label")).alias("id"), "label", F.when(F.col("hypernym").isNotNull(), ident(F.col("hypernym"))).alias("_up"))
+    new = seeds.groupBy("label").agg(F.min("hypernym").alias("hypernym")).join(have, "label", "left_anti").select(ident(F.col("label")).alias("id"), "label", F.when(F.col("hypernym").isNotNull(), ident(F.col("hypernym"))).alias("_up"))
     known = have.select("id").union(new.select("id")).distinct().withColumnRenamed("id", "hypernym_id")
     added = new.join(known, F.col("_up") == F.col("hypernym_id"), "left").select("id", "label", "hypernym_id")
     return have.select("id", "label", "hypernym_id").unionByName(added)
