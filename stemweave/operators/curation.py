@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import ancestors, chain_ends, stored
+from .graph import chain_ends, inherited_marks, stored
 
 
 def apply_curation(nodes: DataFrame, ident: str, label: str, children: DataFrame, node: str, value: str, actions: DataFrame) -> dict[str, DataFrame]:
@@ -103,9 +103,11 @@ class Family(NamedTuple):
 def classify_families(nodes: DataFrame, ident: str, language: str, edges: DataFrame, parent: str, child: str, families: list[Family]) -> DataFrame:
     """``(family, ident, stratum)`` of the words of each family, by own language or by the languages of all their ancestors."""
     modern = [f.modern for f in families]
-    seeds = nodes.where(F.col(language).isin(modern))
-    up = ancestors(seeds, edges, ident, parent, child).where("depth > 0").join(nodes.select(F.col(ident).alias("node"), F.col(language).alias("_l")), "node")
-    langs = up.groupBy(F.col("seed").alias(ident)).agg(F.collect_set("_l").alias("_langs"))
+    named = sorted({x for f in families for _, members in f.strata for x in members})
+    marked = nodes.where(F.col(language).isin(named)).select(ident, F.col(language).alias("_l"))
+    # a word is told by which of the named languages its ancestors have, so only those go down the edges, not the ancestors
+    above = inherited_marks(marked, edges, ident, "_l", parent, child).join(nodes.where(F.col(language).isin(modern)).select(ident), ident, "left_semi")
+    langs = above.groupBy(ident).agg(F.collect_set("_l").alias("_langs"))
     out = []
     for f in families:
         if f.modern in f.own:
