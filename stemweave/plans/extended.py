@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import generation as N
 from ..operators import joins as J
 from ..operators import ranking as D
 from ..operators import scoring as W
@@ -68,9 +69,8 @@ def _(t):
 @query("w11_single_slot_regenerate", """
 SELECT l_orderkey, min(p_name) AS replacement FROM (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey) o JOIN part USING (p_brand) WHERE p_name NOT IN (SELECT p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE lineitem.l_orderkey = o.l_orderkey) GROUP BY 1""")
 def _(t):
-    used = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "p_brand", "p_name").distinct()
-    pool = used.select("l_orderkey", "p_brand").distinct().join(t("part").select("p_brand", "p_name").distinct(), "p_brand")
-    return pool.join(used.select("l_orderkey", "p_name"), ["l_orderkey", "p_name"], "left_anti").groupBy("l_orderkey").agg(F.min("p_name").alias("replacement"))
+    used = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "p_brand", "p_name")
+    return N.first_unused(used, "l_orderkey", "p_brand", "p_name", t("part")).withColumnRenamed("p_name", "replacement")
 
 
 @query("w13_rendering", "SELECT l_orderkey, string_agg(p_name || '/' || l_returnflag, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS rendered FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
