@@ -126,4 +126,5 @@ SELECT vec_id, label, count(*) AS mates, round(min(c), 5) AS least, round(avg(c)
 def _(t):
     """Least, mean and greatest similarity of each vector to all others of its label, the most suspect first."""
     out = bucket_mates(t("embeddings"), "vec_id", "label", "embedding", 32)
-    return out.select("vec_id", "label", "mates", *[F.round(c, 5).alias(c) for c in ("least", "mean", "greatest")]).orderBy("mean", "vec_id")
+    rounded = lambda c: F.when((F.col(c) < 0) & (F.round(c, 5) == 0), F.lit(-0.0)).otherwise(F.round(c, 5))  # noqa: E731  # SQL keeps the sign of a zero
+    return out.select("vec_id", "label", "mates", *[rounded(c).alias(c) for c in ("least", "mean", "greatest")]).orderBy("mean", "vec_id")
