@@ -55,11 +55,13 @@ def variant_collapses(nodes: DataFrame, variants: DataFrame, glosses: DataFrame)
     classes the least, and one without a class is ``alternative``.
     """
     live = nodes.where("merged is null").select("id", "language", "form", F.concat_ws(":", "language", "form").alias("_ref"))
-    told = glosses.groupBy("id").agg(F.collect_set(F.lower(F.trim("gloss"))).alias("_g"))
-    other = variants.select(F.col("id").alias("_p"), F.col("form").alias("_form"), "variant_class").join(live.select(F.col("id").alias("_p"), "language", F.col("_ref").alias("into")).join(told.withColumnRenamed("id", "_p"), "_p"), "_p")
-    own = live.join(told.withColumnRenamed("_g", "_own"), "id").select("id", "language", F.col("form").alias("_form"), "_own", F.col("_ref").alias("ref"))
-    met = own.join(other, ["language", "_form"]).where("id <> _p and ref <> into").where(F.arrays_overlap("_own", "_g"))
-    best = met.groupBy("ref").agg(F.min(F.struct("into", F.coalesce("variant_class", F.lit("alternative")).alias("variant_class"))).alias("m"))
+    told = glosses.select("id", F.lower(F.trim("gloss")).alias("_g")).where("_g is not null").distinct()
+    # a ref is its language and form, so entries alike are one row a gloss, and the join is no product of entries; their ends of ids tell whether two of them differ
+    own = live.join(told, "id").groupBy("language", F.col("form").alias("_form"), "_g", F.col("_ref").alias("ref")).agg(F.min("id").alias("_a"), F.max("id").alias("_b"))
+    shown = variants.join(live.select("id", "language", F.col("_ref").alias("into")), "id").join(told, "id").withColumn("variant_class", F.coalesce("variant_class", F.lit("alternative")))
+    other = shown.groupBy("language", F.col("form").alias("_form"), "_g", "into", "variant_class").agg(F.min("id").alias("_c"), F.max("id").alias("_d"))
+    met = own.join(other, ["language", "_form", "_g"]).where("ref <> into and not (_a = _b and _c = _d and _a = _c)")
+    best = met.groupBy("ref").agg(F.min(F.struct("into", "variant_class")).alias("m"))
     return best.select("ref", "m.into", "m.variant_class")
 
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from stemweave.operators import curation, generation, graph
+from stemweave.operators import audits, curation, generation, graph
+from stemweave.plans import catalogue
 
 
 def exchanges(df):
@@ -65,3 +66,19 @@ def test_grids_are_not_shuffled(spark):
     grid = spark.createDataFrame([("e", "f", 1, "x", "form", "src")], "entity string, family string, stage int, language string, form string, source string")
     out = generation.rendered_names(parts, "id", "slot", "entity", "usage", variants, inflections, grid, ["f"], 1, 0.5, 0.5)
     assert exchanges(out) == 1 and out.count() == 5
+
+
+def test_a_negative_mean_keeps_its_sign_when_rounded_to_zero(spark, tmp_path):
+    spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [-1e-7, 1.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalogue.QUERIES["t31_bucket_mates"](spark, str(tmp_path)).collect()
+    assert [str(r[c]) for r in got for c in ("least", "mean", "greatest")] == ["-0.0"] * 6
+
+
+def test_variants_meet_by_form_and_gloss_not_entry_by_entry(spark):
+    n = 3000  # of one form and gloss each: n * n pairs of entries
+    nodes = spark.range(2 * n).select("id", F.lit("l").alias("language"), F.when(F.col("id") < n, "a").otherwise("b").alias("form"), F.lit(None).cast("int").alias("merged"))
+    variants = spark.range(n, 2 * n).select("id", F.lit("a").alias("form"), F.lit("c").alias("variant_class"))
+    out = audits.variant_collapses(nodes, variants, nodes.select("id", F.concat(F.lit(" G"), (F.col("id") % 1).cast("string")).alias("gloss")))
+    assert [tuple(r) for r in out.collect()] == [("l:a", "l:b", "c")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in x and x.count("_g#") == 2 for x in plan.splitlines())
