@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import stored, stored_with
+
 
 def star_join(fact: DataFrame, *dims: tuple[DataFrame, str, str], how: str = "inner") -> DataFrame:
     """Join ``fact`` to each ``(dimension, fact key, dimension key)`` in turn."""
@@ -135,3 +137,28 @@ def resolve_mentions(mentions: DataFrame, entities: DataFrame, form: str, hint:
     joined = mentions.join(alone, form, "left").join(fits, (mentions[form] == fits["_form"]) & (mentions[hint] == fits["_h"]), "left")
     chosen = F.when(F.col("_all") == 1, F.col("_only")).when(F.col("_fits") == 1, F.col("_fit"))
     return joined.withColumn("resolved", chosen).drop("_all", "_only", "_form", "_h", "_fits", "_fit")
+
+
+PAIRS = 4_000_000
+LIST = 1_000
+
+
+def shared_group_pairs(rows: DataFrame, member: str, group: str) -> DataFrame:
+    """``(a, b, shared)``: pairs of members, the smaller one first, with the number of groups that both are in.
+
+    Each member of a group meets the lists of the group's other members (``LIST`` long at most) and goes with what is greater in them to the tasks that count its pairs, as
+    many tasks as hold ``PAIRS`` pairs each; a member with more than that is split by the other one.  So no task counts more pairs in larger tables, however many members a group has.
+    """
+    m = stored(rows.select(F.col(member).alias("s"), F.col(group).alias("g")).where("s is not null and g is not null").distinct())
+    sizes, seen = stored_with(m.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"), F.sum(F.expr("c * (c - 1)")).alias("n"))
+    ends = seen["n"] or 0
+    keyed = stored(m.join(sizes, "g").select("g", "s", "c", F.ceil(F.col("c") / LIST).cast("int").alias("k")))
+    bucket = F.pmod(F.hash("s"), "k")
+    lists = keyed.groupBy("g", "k", bucket.alias("_j")).agg(F.collect_list("s").alias("bs")).select("g", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("_i"), "bs")
+    busy = F.broadcast(keyed.groupBy(F.col("s").alias("a")).agg(F.sum("c").alias("w")).where(F.col("w") > PAIRS).select("a", F.ceil(F.col("w") / PAIRS).cast("int").alias("h")))  # few: 2 * ends / PAIRS
+    met = keyed.select("g", bucket.alias("_i"), F.col("s").alias("a")).join(lists, ["g", "_i"]).select("a", F.filter("bs", lambda b: b > F.col("a")).alias("bs")).where("size(bs) > 0")
+    met = met.join(busy, "a", "left").select("a", "bs", F.coalesce("h", F.lit(1)).alias("h")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
+    part = F.when(F.col("h") == 1, F.col("bs")).otherwise(F.filter("bs", lambda b: F.pmod(F.hash(b), F.col("h")) == F.col("r")))
+    tasks = max(ends // (2 * PAIRS) + 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = met.select("a", "r", part.alias("bs")).repartition(tasks, "a", "r")
+    return dealt.select("a", "r", F.explode("bs").alias("b")).groupBy("a", "r", "b").agg(F.count("*").alias("shared")).select("a", "b", "shared")

@@ -157,9 +157,7 @@ def _(t):
 SELECT a.s_suppkey AS a, b.s_suppkey AS b, count(DISTINCT a.p) AS shared FROM (SELECT DISTINCT l_suppkey AS s_suppkey, l_partkey AS p FROM lineitem) a
 JOIN (SELECT DISTINCT l_suppkey AS s_suppkey, l_partkey AS p FROM lineitem) b ON a.p = b.p AND a.s_suppkey < b.s_suppkey GROUP BY 1, 2""")
 def _(t):
-    m = t("lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
-    both = m.alias("x").join(m.alias("y"), (F.col("x.p") == F.col("y.p")) & (F.col("x.s") < F.col("y.s")))
-    return both.groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.count("*").alias("shared"))
+    return J.shared_group_pairs(t("lineitem"), "l_suppkey", "l_partkey")
 
 
 @query("j18_mention_resolution", """
