@@ -6,6 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+TASK_ROWS = 1_000_000
+SPREAD = 8
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """As many tasks as hold ``TASK_ROWS`` of ``rows`` each, and not fewer than the session's.  Rows that are dealt over a given number of tasks stay so, where Spark would put
+    small shuffled rows together until a task's hash tables hold very many of them."""
+    return max(rows.count() // TASK_ROWS + 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def unflagged_impact(rows: DataFrame, key: str, value: str, flag: Column, out: str) -> DataFrame:
+    """``(key, out)``: the number of distinct values of each key none of whose rows has the flag.
+
+    Rows meet by key and value in tasks of ``TASK_ROWS``, a key in ``SPREAD`` of them at most, so that one with a large share of the rows is not one task's.
+    """
+    slim = rows.select(key, value, F.coalesce(flag, F.lit(False)).alias("_flag")).where(F.col(key).isNotNull())
+    dealt = slim.withColumn("_r", F.pmod(F.hash(value), F.lit(SPREAD))).repartition(tasks_for(rows), key, "_r")
+    each = dealt.groupBy(key, "_r", value).agg(F.bool_or("_flag").alias("_flag")).groupBy(key, "_r").agg(F.count(value).alias("_n"), F.bool_or("_flag").alias("_flag"))
+    return each.groupBy(key).agg(F.sum("_n").alias(out), F.bool_or("_flag").alias("_flag")).where("not _flag").drop("_flag")
+
+
 def table_counts(tables: dict[str, DataFrame | None]) -> DataFrame:
     """``(name, n)`` for each named table; a missing one counts -1.  One job for all of them."""
     have = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items() if t is not None]
@@ -45,10 +66,12 @@ def productivity(parts: DataFrame, whole: str, ordinal: str, entity: str, univer
     The first part of a whole is ``pre`` (a sole one too), the last ``post``, others ``inner``.
     """
     # ends of each whole by aggregation; what is left is one row per (whole, entity, place), so counts need no distinct
-    ends = parts.groupBy(F.col(whole).alias("_w")).agg(F.min(ordinal).alias("_first"), F.max(ordinal).alias("_last"))
-    pos = F.when(F.col(ordinal) == F.col("_first"), "pre").when(F.col(ordinal) == F.col("_last"), "post").otherwise("inner")
-    placed = parts.select(whole, ordinal, entity).join(ends, F.col(whole) == F.col("_w")).select(whole, entity, pos.alias("position")).distinct()
-    used = placed.groupBy(entity, "position").agg(F.count("*").alias("n"))
+    slim = parts.select(F.col(whole).alias("_w"), F.col(ordinal).alias("_i"), entity)
+    ends = slim.groupBy("_w").agg(F.min("_i").alias("_first"), F.max("_i").alias("_last"))
+    pos = F.when(F.col("_i") == F.col("_first"), 0).when(F.col("_i") == F.col("_last"), 1).otherwise(2)
+    placed = slim.repartition(tasks_for(parts), "_w").join(ends, "_w").select("_w", entity, pos.alias("_p")).distinct()
+    name = F.when(F.col("_p") == 0, "pre").when(F.col("_p") == 1, "post").otherwise("inner")
+    used = placed.groupBy(entity, "_p").agg(F.count("*").alias("n")).select(entity, name.alias("position"), "n")
     grid = universe.select(entity).distinct().withColumn("position", F.explode(F.array(*map(F.lit, ("pre", "post", "inner")))))
     return grid.join(used, [entity, "position"], "left").select(entity, "position", F.coalesce("n", F.lit(0)).alias("productivity"))
 

@@ -3,7 +3,9 @@
 import itertools
 from collections import Counter
 
-from stemweave.operators import joins
+from pyspark.sql import functions as F
+
+from stemweave.operators import aggregates, joins
 
 
 def test_shared_groups_are_counted_by_bounded_tasks(spark, monkeypatch):
@@ -15,3 +17,20 @@ def test_shared_groups_are_counted_by_bounded_tasks(spark, monkeypatch):
     want = Counter(p for found in groups.values() for p in itertools.combinations(sorted(found), 2))
     assert {(r.a, r.b): r.shared for r in out.collect()} == want
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString() and out.rdd.getNumPartitions() >= sum(want.values()) // 100
+
+
+def test_impact_is_counted_by_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "TASK_ROWS", 100, raising=False)
+    rows = spark.createDataFrame([(1, v % 40, 1) for v in range(1500)] + [(2, 1, 1), (2, 2, 50), (3, None, None), (3, 7, 2), (None, 1, 1)], "k long, v long, q int")
+    out = aggregates.unflagged_impact(rows, "k", "v", F.col("q") == 50, "impact")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 40), (3, 1)]
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString() and aggregates.tasks_for(rows) == 16
+
+
+def test_productivity_deals_parts_over_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "TASK_ROWS", 100, raising=False)
+    rows = spark.createDataFrame([(w, i, w % 7 + i) for w in range(400) for i in range(3)], "w long, i int, e long")
+    out = aggregates.productivity(rows, "w", "i", "e", spark.range(10).withColumnRenamed("id", "e"))
+    got = {(r.e, r.position): r.productivity for r in out.collect()}
+    assert len(got) == 30 and all(got[e, p] == sum(w % 7 + i == e for w in range(400)) for e in range(10) for i, p in enumerate(("pre", "inner", "post")))
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
