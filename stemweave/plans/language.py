@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import log as L
 from ..operators import scoring as W
+from ..operators import aggregates as A
 from ..operators import text as T
 from .registry import query
 
@@ -203,9 +204,9 @@ k AS (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM x), r AS (SELECT p_nam
 c AS (SELECT p_name, p_brand, max(CASE WHEN contains(b, substr(a, i, n)) THEN n ELSE 0 END) AS common FROM r GROUP BY 1, 2)
 SELECT p_name, p_brand, common FROM c WHERE common < 3""")
 def _(t):
-    j = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select("p_name", "p_brand").distinct()
+    j = T.stored(t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select("p_name", "p_brand").distinct())  # else the run is searched for in each part's row
     run = T.longest_common_run(S.fold_surface(F.col("p_name")), S.fold_surface(F.col("p_brand")))
-    return j.select("p_name", "p_brand", run.alias("common")).where("common < 3")
+    return j.repartition(A.tasks_for(j)).select("p_name", "p_brand", run.alias("common")).where("common < 3")
 
 
 _ERAS = """ru AS (SELECT * FROM (VALUES ('early', 1, 'sm', 'schm', 0.7), ('early', 2, 'ng', 'nk', 1.0), ('late', 1, 'o', 'a', 0.4), ('late', 2, 'schm', 'shm', 1.0), ('late', 3, 'r', '', 0.25)) AS v(era, k, a, b, w))"""

@@ -5,7 +5,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from stemweave.operators import aggregates, joins
+from stemweave.operators import aggregates, graph, identity, joins
+from stemweave.plans import catalogue
 
 
 def test_shared_groups_are_counted_by_bounded_tasks(spark, monkeypatch):
@@ -34,3 +35,27 @@ def test_productivity_deals_parts_over_bounded_tasks(spark, monkeypatch):
     got = {(r.e, r.position): r.productivity for r in out.collect()}
     assert len(got) == 30 and all(got[e, p] == sum(w % 7 + i == e for w in range(400)) for e in range(10) for i, p in enumerate(("pre", "inner", "post")))
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chains_and_roots_do_not_pass_the_driver(spark, monkeypatch):
+    plans, write = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    monkeypatch.setattr(identity, "stored", graph.stored)
+    nodes = spark.range(60).selectExpr("id", "if(id % 7 = 3, id - 1, null) as merged", "cast(null as bigint) as lemma", "'x' as lang")
+    edges = spark.range(1, 50).selectExpr("id as child", "id - 1 as parent").union(spark.createDataFrame([(50, 51), (51, 50), (52, 50)], "child long, parent long"))
+    old = identity.oldest_roots(nodes, "id", "merged", "lemma", ["lang"], edges, "parent", "child")
+    assert {r.id: r.root for r in old.collect()} == {i: 0 if i < 50 else {50: 51, 51: 50, 52: 50}.get(i, i) for i in range(60)} | {59: 58}
+    bound = spark.createDataFrame([(1, "a"), (55, "b")], "id long, hub string")
+    hubs = spark.createDataFrame([("a", "b"), ("b", None)], "id string, merged_into string")
+    found = identity.hub_roots(old, "id", "root", nodes, ["lang"], bound, hubs)
+    assert {r.id: r.root for r in found.collect()}[55] == 0
+    assert not any("Broadcast" in p for p in plans) and "Broadcast" not in old._jdf.queryExecution().executedPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_are_searched_for_once_a_pair_of_names(spark):
+    out = catalogue.QUERIES["t25_low_overlap"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in plan(out) and out.count()
