@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import chain_ends, min_label_components, stored
+from .graph import chain_ends, min_label_components, sent, stored
 
 
 def lemma_roots(nodes: DataFrame, ident: str, merged: str, lemma: str) -> DataFrame:
     """``(id, root)`` in two steps: what a node was merged into, else its lemma, else itself; then the lemma of that, if it has one."""
     target = nodes.select(F.col(ident).alias("id"), F.coalesce(merged, lemma, ident).alias("_t"))
     of = nodes.select(F.col(ident).alias("_t"), F.col(lemma).alias("_l"))
-    return target.join(of, "_t", "left").select("id", F.coalesce("_l", "_t").alias("root"))
+    return target.join(sent(of), "_t", "left").select("id", F.coalesce("_l", "_t").alias("root"))
 
 
 def oldest_roots(nodes: DataFrame, ident: str, merged: str, lemma: str, content: list[str], edges: DataFrame, parent: str, child: str) -> DataFrame:
@@ -22,18 +22,18 @@ def oldest_roots(nodes: DataFrame, ident: str, merged: str, lemma: str, content:
     ancestors run in a circle, the way up stops before it meets a node again: at the one whose parent is the circle's first node on the way.
     """
     roots = stored(lemma_roots(nodes, ident, merged, lemma))
-    up = edges.select(F.col(parent).alias("p"), F.col(child).alias("c")).join(roots.select(F.col("id").alias("c"), F.col("root").alias("_c")), "c").join(roots.select(F.col("id").alias("p"), F.col("root").alias("_p")), "p")
+    up = edges.select(F.col(parent).alias("p"), F.col(child).alias("c")).join(sent(roots.select(F.col("id").alias("c"), F.col("root").alias("_c"))), "c").join(sent(roots.select(F.col("id").alias("p"), F.col("root").alias("_p"))), "p")
     up = up.where("_c <> _p").select("_c", "_p").distinct()
     key = nodes.select(F.col(ident).alias("_p"), F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in content]).alias("_k"))
     blank = F.struct(*[F.lit("").alias(c) for c in content])
-    chosen = up.join(key, "_p", "left").groupBy(F.col("_c").alias("id")).agg(F.min(F.struct(F.coalesce("_k", blank).alias("k"), "_p")).alias("m")).select("id", F.col("m._p").alias("up"))
+    chosen = up.join(sent(key), "_p", "left").groupBy(F.col("_c").alias("id")).agg(F.min(F.struct(F.coalesce("_k", blank).alias("k"), "_p")).alias("m")).select("id", F.col("m._p").alias("up"))
     every = roots.select(F.col("root").alias("id")).union(chosen.select("up")).distinct()
-    chosen = stored(every.join(chosen, "id", "left"))
+    chosen = stored(every.join(sent(chosen), "id", "left"))
     ends = stored(chain_ends(chosen, "id", "up"))
     on = ends.where("entry = id").select("id")
-    before = chosen.join(on, "id", "left_semi").select(F.col("up").alias("entry"), F.col("id").alias("_last"))
-    tops = ends.join(before, "entry", "left").select(F.col("id").alias("root"), F.coalesce("terminal", "_last").alias("_top"))
-    return roots.join(tops, "root").select(F.col("id").alias(ident), F.col("_top").alias("root"))
+    before = chosen.join(sent(on), "id", "left_semi").select(F.col("up").alias("entry"), F.col("id").alias("_last"))
+    tops = ends.join(sent(before), "entry", "left").select(F.col("id").alias("root"), F.coalesce("terminal", "_last").alias("_top"))
+    return roots.join(sent(tops), "root").select(F.col("id").alias(ident), F.col("_top").alias("root"))
 
 
 def hub_roots(legacy: DataFrame, ident: str, root: str, keys: DataFrame, content: list[str], bound: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -46,11 +46,11 @@ def hub_roots(legacy: DataFrame, ident: str, root: str, keys: DataFrame, content
     ends = chain_ends(hubs.select(F.col("id").alias("_h"), F.nullif(F.col("merged_into"), F.lit("")).alias("_to")), "_h", "_to")
     of = bound.select(F.col("id").alias(ident), F.col("hub").alias("_h")).join(ends, "_h", "left").select(ident, F.coalesce("terminal", "entry", "_h").alias("_hub"))
     family = F.when(F.col("_hub").isNotNull(), F.concat(F.lit("h"), F.col("_hub").cast("string"))).otherwise(F.concat(F.lit("r"), F.col(root).cast("string")))
-    rows = stored(legacy.select(ident, root).join(of, ident, "left").select(ident, root, family.alias("_family")))
+    rows = stored(legacy.select(ident, root).join(sent(of), ident, "left").select(ident, root, family.alias("_family")))
     k = keys.select(F.col(ident).alias(root), F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in content]).alias("_k"))
     blank = F.struct(*[F.lit("").alias(c) for c in content])
-    shown = rows.select("_family", root).distinct().join(k, root, "left").groupBy("_family").agg(F.min(F.struct(F.coalesce("_k", blank).alias("_k"), root))[root].alias("_shown"))
-    return rows.join(shown, "_family").select(ident, F.col("_shown").alias(root))
+    shown = rows.select("_family", root).distinct().join(sent(k), root, "left").groupBy("_family").agg(F.min(F.struct(F.coalesce("_k", blank).alias("_k"), root))[root].alias("_shown"))
+    return rows.join(sent(shown), "_family").select(ident, F.col("_shown").alias(root))
 
 
 def guarded_components(nodes: DataFrame, node: str, kind: str, merges: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
