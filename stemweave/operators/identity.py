@@ -44,7 +44,7 @@ def hub_roots(legacy: DataFrame, ident: str, root: str, keys: DataFrame, content
     circle's first hub on the way.  ``keys`` has the content of legacy roots; one that isn't there has an empty one, which is the least.
     """
     ends = chain_ends(hubs.select(F.col("id").alias("_h"), F.nullif(F.col("merged_into"), F.lit("")).alias("_to")), "_h", "_to")
-    of = bound.select(F.col("id").alias(ident), F.col("hub").alias("_h")).join(ends, "_h", "left").select(ident, F.coalesce("terminal", "entry", "_h").alias("_hub"))
+    of = bound.select(F.col("id").alias(ident), F.col("hub").alias("_h")).join(sent(ends), "_h", "left").select(ident, F.coalesce("terminal", "entry", "_h").alias("_hub"))
     family = F.when(F.col("_hub").isNotNull(), F.concat(F.lit("h"), F.col("_hub").cast("string"))).otherwise(F.concat(F.lit("r"), F.col(root).cast("string")))
     rows = stored(legacy.select(ident, root).join(sent(of), ident, "left").select(ident, root, family.alias("_family")))
     k = keys.select(F.col(ident).alias(root), F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in content]).alias("_k"))
