@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import stored_with
+from ..operators.aggregates import tasks_for
+from ..operators.graph import stored, stored_with
 
 
 def section_texts(docs: DataFrame, ident: str, tree: Column) -> DataFrame:
@@ -38,9 +39,9 @@ def named_records(docs: DataFrame, order: str, tree: str) -> DataFrame:
     with the family's texts and its own.  Names that differ in case alone are one record, that of the first document by ``order``, there the family's before the document's.
     """
     get = lambda path: F.trim(F.try_variant_get(F.col(tree), F.lit(path), "string"))
-    base = docs.select(F.col(order).alias("_o"), F.col(tree).alias("_t"), get("$.name").alias("_own"), F.trim(F.split_part(get("$.family.name"), F.lit(","), F.lit(1))).alias("_fam"))
+    base = docs.repartition(tasks_for(docs)).select(F.col(order).alias("_o"), F.col(tree).alias("_t"), get("$.name").alias("_own"), F.trim(F.split_part(get("$.family.name"), F.lit(","), F.lit(1))).alias("_fam"))
     word = lambda c: (F.length(c) > 0) & ~F.contains(c, F.lit(" "))
-    base = base.withColumn("_fam", F.when(word(F.col("_fam")), F.col("_fam")))
+    base = stored(base.withColumn("_fam", F.when(word(F.col("_fam")), F.col("_fam"))))  # several steps read it
     family = section_texts(base.where("_fam is not null or try_variant_get(_t, '$.family.text', 'string') is not null or try_variant_get(_t, '$.family.sections', 'array<variant>') is not null"), "_o", F.try_variant_get("_t", "$.family", "variant")).withColumn("_part", F.lit(0))
     own = section_texts(base.select("_o", "_t"), "_o", F.col("_t")).where("size(path) > 0").withColumn("_part", F.lit(1))
     of_family, of_both = _joined(family, "_o"), _joined(family.unionByName(own), "_o")
