@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -245,6 +246,16 @@ def fuzzy_pairs(vocab: DataFrame, word: str, canon: DataFrame, form: str, least:
     return left.join(right, "k").where(F.levenshtein("word", "form") <= 1).select("word", "form").distinct()
 
 
+def _places():
+    """Where each word of a text begins, by the lengths of what is before and between the words and of the words."""
+
+    @F.pandas_udf("array<int>")
+    def places(gaps: pd.Series, lengths: pd.Series) -> pd.Series:
+        return pd.Series([None if n is None or g is None else np.cumsum(g[: len(n)] + n) - n for g, n in zip(gaps, lengths)])
+
+    return places
+
+
 def anchored_search(docs: DataFrame, ident: str, text: str, entities: DataFrame, canon: DataFrame, form: str, least: int = 5, window: int = 100, radius: int = 40) -> DataFrame:
     """``(entity, doc, matched, count, snippet)``: for each of ``entities(entity, form, glosses)`` and document the first word (in order) that is one edit from the form, is no form of
     ``canon`` itself, and has one of the glosses within ``window`` characters of where it first stands.
@@ -256,10 +267,10 @@ def anchored_search(docs: DataFrame, ident: str, text: str, entities: DataFrame,
     low = F.lower(text)
     word = r"\p{L}+"
     pieces = docs.select(F.col(ident).alias("doc"), F.transform(F.split(low, word), lambda x: F.length(x)).alias("_gaps"), F.regexp_extract_all(low, F.lit(f"({word})"), F.lit(1)).alias("_words"))
-    rows = pieces.select("doc", "_gaps", F.posexplode("_words").alias("_k", "word")).select("doc", "_k", "word", F.get("_gaps", F.col("_k")).alias("_gap"))
-    along = Window.partitionBy("doc").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.sum(F.col("_gap") + F.length("word")).over(along) - F.length("word")
-    seen = stored(rows.select("doc", "word", at.alias("at")).where(F.length("word") >= least).groupBy("doc", "word").agg(F.min("at").alias("at"), F.count("*").alias("count")))
+    at = _places()("_gaps", F.transform("_words", lambda w: F.length(w)))
+    words = F.filter(F.arrays_zip("_words", at.alias("_at")), lambda x: F.length(x["_words"]) >= least)
+    rows = pieces.select("doc", F.explode(words).alias("x")).select("doc", F.col("x._words").alias("word"), F.col("x._at").alias("at"))
+    seen = stored(rows.groupBy("doc", "word").agg(F.min("at").alias("at"), F.count("*").alias("count")))
     pairs = fuzzy_pairs(seen, "word", entities.select(F.lower("form").alias("form")), "form", least)
     other = canon.select(F.lower(form).alias("word")).distinct()
     pairs = stored(pairs.join(other, "word", "left_anti"))

@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from stemweave.operators import aggregates, graph, identity, joins
+from stemweave.operators import aggregates, evidence, graph, identity, joins, text
 from stemweave.plans import catalogue
 
 
@@ -53,9 +53,29 @@ def test_chains_and_roots_do_not_pass_the_driver(spark, monkeypatch):
     hubs = spark.createDataFrame([("a", "b"), ("b", None)], "id string, merged_into string")
     found = identity.hub_roots(old, "id", "root", nodes, ["lang"], bound, hubs)
     assert {r.id: r.root for r in found.collect()}[55] == 0
-    assert not any("Broadcast" in p for p in plans) and "Broadcast" not in old._jdf.queryExecution().executedPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    assert not [p for p in plans if "Broadcast" in p]
+    assert "Broadcast" not in old._jdf.queryExecution().executedPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_runs_are_searched_for_once_a_pair_of_names(spark):
     out = catalogue.QUERIES["t25_low_overlap"](spark, "/root/testdata/sf0.001")
     assert "Join" not in plan(out) and out.count()
+
+
+def test_texts_are_lower_cased_once_and_not_copied_to_their_forms(spark):
+    docs = spark.createDataFrame([(1, " The Kells of kells. \u00e9Kells"), (2, None)], "id long, t string")
+    m = spark.createDataFrame([(1, "Kells", "a"), (1, "Kells", "b"), (1, "none", "a"), (1, "none", "b"), (1, None, "a"), (1, None, "b"), (2, "x", "a"), (2, "x", "b"), (3, "y", "a"), (3, "y", "b"), (1, "one", "a")], "source long, form string, entity string")
+    out = evidence.ambiguous_hits(m, docs, "id", "t", 4)
+    assert {(r.source, r.form): r.snippet for r in out.collect()} == {(1, "Kells"): "The Kells of", (1, "none"): None, (1, None): None, (2, "x"): None, (3, "y"): None}
+    lowered = [x for x in plan(out).splitlines() if "lower(_t" in x]
+    assert len(lowered) == 1 and "ArrowEvalPython" in lowered[0] + plan(out).split(lowered[0])[0]
+
+
+def test_places_of_words_need_no_sorted_words(spark, monkeypatch):
+    plans, write = [], text.stored
+    monkeypatch.setattr(text, "stored", lambda df: plans.append(plan(df)) or write(df))
+    docs = spark.createDataFrame([(1, "on the Kirkbi hill, kirkbi 7 by stan"), (2, ""), (3, None)], "id long, t string")
+    entities = spark.createDataFrame([("e", "kirkby", ["hill"])], "entity string, form string, glosses array<string>")
+    out = text.anchored_search(docs, "id", "t", entities, entities, "form", 5, 20, 5)
+    assert [tuple(r) for r in out.collect()] == [("e", 1, "kirkbi", 2, "the kirkbi hill")]
+    assert not any("Window" in p for p in plans)
