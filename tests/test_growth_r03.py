@@ -79,3 +79,17 @@ def test_places_of_words_need_no_sorted_words(spark, monkeypatch):
     out = text.anchored_search(docs, "id", "t", entities, entities, "form", 5, 20, 5)
     assert [tuple(r) for r in out.collect()] == [("e", 1, "kirkbi", 2, "the kirkbi hill")]
     assert not any("Window" in p for p in plans)
+
+
+def test_ancestors_of_a_forest_take_few_rounds(spark, monkeypatch):
+    rounds, write = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: rounds.append(1) or write(df))
+    n = 40
+    chain = spark.range(1, n).selectExpr("id as c", "id - 1 as p").union(spark.createDataFrame([(0, None), (100, 3)], "c long, p long"))
+    seeds = spark.range(n).union(spark.createDataFrame([(100,), (7,), (500,)], "id long"))
+    got = [tuple(r) for r in graph.ancestors(seeds, chain, "id", "p", "c").collect()]
+    want = [(a, b, a - b) for a in range(n) for b in range(a + 1)] + [(100, 100, 0)] + [(100, b, 4 - b) for b in range(4)] + [(500, 500, 0)]
+    assert sorted(got) == sorted(want) and len(rounds) < 20
+    ring = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 4)], "c long, p long")
+    got = [tuple(r) for r in graph.ancestors(spark.range(1, 5), ring, "id", "p", "c").collect()]
+    assert sorted(got) == [(1, 1, 0), (1, 2, 1), (2, 1, 1), (2, 2, 0), (3, 1, 1), (3, 2, 2), (3, 3, 0), (4, 4, 0)]
