@@ -3,6 +3,7 @@
 import itertools
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from stemweave.operators import aggregates, evidence, graph, identity, joins, text
@@ -93,3 +94,30 @@ def test_ancestors_of_a_forest_take_few_rounds(spark, monkeypatch):
     ring = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 4)], "c long, p long")
     got = [tuple(r) for r in graph.ancestors(spark.range(1, 5), ring, "id", "p", "c").collect()]
     assert sorted(got) == [(1, 1, 0), (1, 2, 1), (2, 1, 1), (2, 2, 0), (3, 1, 1), (3, 2, 2), (3, 3, 0), (4, 4, 0)]
+
+
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_components_are_found_in_few_rounds_whatever_the_shape(spark, monkeypatch, few):
+    reads, write = [], graph.stored
+    monkeypatch.setattr(graph, "FEW", few)
+    monkeypatch.setattr(graph, "HUBS", 20)
+    monkeypatch.setattr(graph, "stored", lambda df: reads.append(1) or write(df))
+    path = [(i, i + 1) for i in range(400)]
+    star = [(1000 if i % 2 else 1000 + i, 1000 + i if i % 2 else 1000) for i in range(1, 200)]
+    twice = [(2001, 2000), (2000, 2001), (2001, 2000), (2002, 2002), (None, 2000)]
+    got = {r.node: r.component for r in graph.min_label_components(spark.createDataFrame(path + star + twice, "a long, b long"), "a", "b").collect()}
+    assert got == {i: 0 for i in range(401)} | {1000 + i: 1000 for i in range(200)} | {2000: 2000, 2001: 2000}
+    assert len(reads) < 60
+    none = graph.min_label_components(spark.createDataFrame([(7, 7)], "a long, b long"), "a", "b")
+    assert none.columns == ["node", "component"] and none.count() == 0
+
+
+def test_edges_leave_the_rounds_of_a_component_search(spark, monkeypatch):
+    seen, write = [], graph.stored_with
+    monkeypatch.setattr(graph, "stored_with", lambda df, *m: (lambda r: seen.append((df.columns, r[1])) or r)(write(df, *m)))
+    edges = spark.range(3000).selectExpr("id div 3 as a", "10000 + cast(pmod(xxhash64(id), 100) as bigint) as b")
+    got = {r.node: r.component for r in graph.min_label_components(edges, "a", "b").collect()}
+    assert set(got.values()) == {0} and len(got) == 1100
+    # nodes done with are not carried on: the second round's edges run between the 100 nodes of the smaller side
+    sizes = [s["n"] for columns, s in seen if columns == ["x", "y"]]
+    assert sizes[0] <= 3000 and sizes[1] <= 2000 and sizes[2] < 1000 and sizes[-1] == 0
