@@ -69,11 +69,12 @@ def fold_entities(log: DataFrame, keys: list[str], order: str, op: str, fields:
     ``ranges`` (up to some hundreds) spreads keys with very many events.
     """
     log = log.select(*keys, F.col(order).alias("_o"), F.coalesce(F.col(op), F.lit("set")).alias("_op"), F.col(fields).alias("_f"), F.col(lists).alias("_l"))
-    marked = _liveness(log, keys, "_o", "_op", ranges)
+    # each of these is read by several steps
+    marked = stored(_liveness(log, keys, "_o", "_op", ranges))
     bad = (F.col("_live") & (F.col("_op") == "add")) | (~F.col("_live") & (F.col("_op") == "patch"))
     begins = F.col("_op").isin("set", "remove") | (~F.col("_live") & (F.col("_op") == "add"))
-    heads = marked.groupBy(*keys).agg(F.max(F.when(begins, F.struct("_o", "_op"))).alias("_b"), F.count_if(bad).cast("int").alias("errors"))
-    since = marked.where(~bad & (F.col("_op") != "remove")).join(heads.select(*keys, F.col("_b._o").alias("_from")), keys).where("_o >= _from")
+    heads = stored(marked.groupBy(*keys).agg(F.max(F.when(begins, F.struct("_o", "_op"))).alias("_b"), F.count_if(bad).cast("int").alias("errors")))
+    since = stored(marked.where(~bad & (F.col("_op") != "remove")).join(heads.select(*keys, F.col("_b._o").alias("_from")), keys).where("_o >= _from").drop("_from"))
 
     latest = since.select(*keys, "_o", F.explode("_f").alias("_k", "_v")).groupBy(*keys, "_k").agg(F.max_by("_v", "_o").alias("_v"))
     state = latest.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("state"))
@@ -86,7 +87,7 @@ def fold_entities(log: DataFrame, keys: list[str], order: str, op: str, fields:
     each = each.select(*keys, name.alias("_k"), kind.alias("_what"), F.struct("_o", "_i").alias("_t"), "_v")
     named = each.groupBy(*keys, "_k").agg(F.max(F.when(F.col("_what") == "set", F.col("_t"))).alias("_reset"))
     behind = each.join(named, [*keys, "_k"]).where("_reset is null or _t >= _reset")
-    values = behind.select(*keys, "_k", "_what", "_t", F.posexplode("_v").alias("_j", "_e")).where("_e is not null")
+    values = stored(behind.select(*keys, "_k", "_what", "_t", F.posexplode("_v").alias("_j", "_e")).where("_e is not null"))
     gone = values.where("_what = 'remove'").groupBy(*keys, "_k", "_e").agg(F.max("_t").alias("_gone"))
     there = values.where("_what <> 'remove'").join(gone, [*keys, "_k", "_e"], "left").where("_gone is null or _t > _gone")
     place = F.struct("_t", "_j")

@@ -20,7 +20,7 @@ def numbered_lines(spark: SparkSession, path, exclude: list[str] = (), pattern:
     blocks = lines.groupBy("_path", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select("_path", "_start", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-    numbered = lines.join(blocks, ["_path", "_start"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int").alias("line_no"), "value")
+    numbered = lines.join(F.broadcast(blocks), ["_path", "_start"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int").alias("line_no"), "value")
     return numbered.where("trim(value) <> '' and not startswith(ltrim(value), '#')")
 
 
@@ -40,15 +40,19 @@ def read_events(spark: SparkSession, path, **options) -> DataFrame:
     A line that is no JSON object, or that lacks ``_type``, fails the read with its file and number.
     """
     lines = numbered_lines(spark, path, **options)
-    lines = lines.withColumn("_m", F.from_json("value", "map<string,string>")).withColumn("_ok", F.try_parse_json("value").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{")) & F.try_element_at("_m", F.lit("_type")).isNotNull())
+    # the text of a line is parsed once into a map and once into a value, and every entry looks at those
+    lines = lines.withColumn("_m", F.from_json("value", "map<string,string>")).withColumn("_v", F.try_parse_json("value"))
+    ok = F.col("_v").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{")) & F.try_element_at("_m", F.lit("_type")).isNotNull()
     where = F.concat(F.lit("bad event at "), "file", F.lit(":"), F.col("line_no").cast("string"))
-    lines = lines.withColumn("line_no", F.when(F.col("_ok"), F.col("line_no")).otherwise(F.raise_error(where).cast("int")))
+    lines = lines.withColumn("line_no", F.when(ok, F.col("line_no")).otherwise(F.raise_error(where).cast("int")))
     entries = F.filter(F.map_entries("_m"), lambda e: ~e["key"].isin("_type", "_op", "ref"))
     # an array and a string that looks like one are told apart by the parsed value
-    array = lambda e: F.coalesce(F.startswith(e["value"], F.lit("[")) & F.startswith(F.schema_of_variant(F.try_variant_get(F.parse_json("value"), F.concat(F.lit('$["'), e["key"], F.lit('"]')), "variant")), F.lit("ARRAY")), F.lit(False))
-    lists = F.transform(F.filter(entries, array), lambda e: F.struct(e["key"].alias("key"), F.from_json(e["value"], "array<string>").alias("value")))
+    array = lambda e: F.coalesce(F.startswith(e["value"], F.lit("[")) & F.startswith(F.schema_of_variant(F.try_variant_get("_v", F.concat(F.lit('$["'), e["key"], F.lit('"]')), "variant")), F.lit("ARRAY")), F.lit(False))
+    lines = lines.withColumn("_e", F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), array(e).alias("many"))))
+    lists = F.transform(F.filter("_e", lambda e: e["many"]), lambda e: F.struct(e["key"].alias("key"), F.from_json(e["value"], "array<string>").alias("value")))
+    fields = F.transform(F.filter("_e", lambda e: ~e["many"]), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     at = lambda name: F.try_element_at("_m", F.lit(name))
-    return lines.select("file", "line_no", at("_type").alias("type"), at("_op").alias("op"), at("ref").alias("ref"), F.map_from_entries(F.filter(entries, lambda e: ~array(e))).alias("fields"), F.map_from_entries(lists).alias("lists"))
+    return lines.select("file", "line_no", at("_type").alias("type"), at("_op").alias("op"), at("ref").alias("ref"), F.map_from_entries(fields).alias("fields"), F.map_from_entries(lists).alias("lists"))
 
 
 def compressed_lines(spark: SparkSession, path) -> DataFrame:

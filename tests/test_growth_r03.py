@@ -6,8 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from stemweave.operators import aggregates, evidence, graph, identity, joins, text
+from stemweave.operators import aggregates, evidence, graph, identity, joins, log, text
 from stemweave.plans import catalogue
+from stemweave.sources import files
 
 
 def test_shared_groups_are_counted_by_bounded_tasks(spark, monkeypatch):
@@ -121,3 +122,21 @@ def test_edges_leave_the_rounds_of_a_component_search(spark, monkeypatch):
     # nodes done with are not carried on: the second round's edges run between the 100 nodes of the smaller side
     sizes = [s["n"] for columns, s in seen if columns == ["x", "y"]]
     assert sizes[0] <= 3000 and sizes[1] <= 2000 and sizes[2] < 1000 and sizes[-1] == 0
+
+
+def test_lines_are_parsed_once_and_not_shuffled(spark, tmp_path):
+    rows = ['{"_type": "a", "ref": "x", "n": [1, "b"], "s": "[1]", "t": ["c"], "z": null, "f": 1.50}', "", '{"_type": "b", "_op": "patch"}']
+    (tmp_path / "x.jsonl").write_text("\n".join(rows))
+    out = files.read_events(spark, str(tmp_path))
+    got = {r.line_no: r for r in out.collect()}
+    assert sorted(got) == [1, 3] and got[1].lists == {"n": ["1", "b"], "t": ["c"]} and got[1].fields["s"] == "[1]" and set(got[1].fields) == {"s", "z", "f"} and got[3].op == "patch" and got[3].lists == {}
+    assert plan(out).count("parseJson") + plan(out).count("parse_json") <= 1
+    lines = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in lines and "SortMergeJoin" not in lines
+
+
+def test_a_fold_looks_at_its_log_once(spark):
+    rows = [("k", i, op, {"f": str(i)}, {"x_add" if op == "patch" else "x": ["a", str(i)]}) for i, op in enumerate(["add", "patch", "patch", "remove", "set", "patch"])]
+    out = log.fold_entities(spark.createDataFrame(rows, "k string, i int, op string, f map<string,string>, l map<string,array<string>>"), ["k"], "i", "op", "f", "l")
+    assert [(r.live, r.state, r.lists, r.errors) for r in out.collect()] == [(True, {"f": "5"}, {"x": ["a", "4", "5"]}, 0)]
+    assert "Window" not in plan(out) and "LogicalRDD" not in plan(out)
