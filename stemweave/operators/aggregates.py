@@ -65,11 +65,11 @@ def productivity(parts: DataFrame, whole: str, ordinal: str, entity: str, univer
 
     The first part of a whole is ``pre`` (a sole one too), the last ``post``, others ``inner``.
     """
-    # ends of each whole by aggregation; what is left is one row per (whole, entity, place), so counts need no distinct
-    slim = parts.select(F.col(whole).alias("_w"), F.col(ordinal).alias("_i"), entity)
-    ends = slim.groupBy("_w").agg(F.min("_i").alias("_first"), F.max("_i").alias("_last"))
-    pos = F.when(F.col("_i") == F.col("_first"), 0).when(F.col("_i") == F.col("_last"), 1).otherwise(2)
-    placed = slim.repartition(tasks_for(parts), "_w").join(ends, "_w").select("_w", entity, pos.alias("_p")).distinct()
+    # a whole's parts meet once, in tasks of a bounded number of rows; what is left is one row per (whole, entity, place), so counts need no distinct
+    slim = parts.select(F.col(whole).alias("_w"), F.col(ordinal).alias("_i"), entity).where(F.col("_w").isNotNull())
+    w = Window.partitionBy("_w")
+    pos = F.when(F.col("_i") == F.min("_i").over(w), 0).when(F.col("_i") == F.max("_i").over(w), 1).otherwise(2)
+    placed = slim.repartition(tasks_for(parts), "_w").select("_w", entity, pos.alias("_p")).distinct()
     name = F.when(F.col("_p") == 0, "pre").when(F.col("_p") == 1, "post").otherwise("inner")
     used = placed.groupBy(entity, "_p").agg(F.count("*").alias("n")).select(entity, name.alias("position"), "n")
     grid = universe.select(entity).distinct().withColumn("position", F.explode(F.array(*map(F.lit, ("pre", "post", "inner")))))

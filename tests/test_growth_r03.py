@@ -140,3 +140,11 @@ def test_a_fold_looks_at_its_log_once(spark):
     out = log.fold_entities(spark.createDataFrame(rows, "k string, i int, op string, f map<string,string>, l map<string,array<string>>"), ["k"], "i", "op", "f", "l")
     assert [(r.live, r.state, r.lists, r.errors) for r in out.collect()] == [(True, {"f": "5"}, {"x": ["a", "4", "5"]}, 0)]
     assert "Window" not in plan(out) and "LogicalRDD" not in plan(out)
+
+
+def test_productivity_sums_nothing_up_before_parts_are_dealt(spark):
+    rows = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (1, 3, 5), (2, 4, 6), (None, 1, 5)], "w long, i int, e long")
+    out = aggregates.productivity(rows, "w", "i", "e", spark.createDataFrame([(5,), (6,), (7,)], "e long"))
+    got = {(r.e, r.position): r.productivity for r in out.collect() if r.productivity}
+    assert got == {(5, "pre"): 1, (6, "inner"): 1, (5, "post"): 1, (6, "pre"): 1}
+    assert plan(out).count("RepartitionByExpression") == 1 and "Aggregate [_w" not in plan(out).split("RepartitionByExpression")[1] and plan(out).count("Join") == 1
