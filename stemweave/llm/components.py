@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds."""
+"""Connected components of an edge table by rounds of contraction."""
 
 from __future__ import annotations
 
