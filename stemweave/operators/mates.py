@@ -36,16 +36,18 @@ def bucket_mates(vectors: DataFrame, ident: str, bucket: str, vector: str, block
     placed = stored(unit.join(sizes.select("_b", "_k"), "_b").withColumn("_p", F.pmod(F.xxhash64("_id"), F.col("_k")).cast("int")))
     packs = placed.groupBy("_b", "_p", "_k").agg(F.collect_list(F.struct(F.to_json(F.struct("_id")).alias("id"), "_u")).alias("m"))
     left = packs.select("_b", F.col("_p").alias("i"), F.explode(F.sequence(F.col("_p"), F.col("_k") - 1)).alias("j"), F.col("m").alias("x"))
-    right = packs.select("_b", F.explode(F.sequence(F.lit(0), F.col("_p"))).alias("i"), F.col("_p").alias("j"), F.col("m").alias("y"))
-    jobs = left.join(right, ["_b", "i", "j"]).select("i", "j", F.transform("x", lambda r: r["id"]).alias("xi"), F.transform("x", lambda r: r["_u"]).alias("xu"), F.transform("y", lambda r: r["id"]).alias("yi"), F.transform("y", lambda r: r["_u"]).alias("yu"))
+    right = packs.where("_p > 0").select("_b", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("i"), F.col("_p").alias("j"), F.col("m").alias("y"))
+    # gathered twice, a block need not have its vectors in one order, so it meets itself as one list; other blocks meet a second list
+    jobs = left.join(right, ["_b", "i", "j"], "left").where("i = j or y is not null").select("i", "j", F.transform("x", lambda r: r["id"]).alias("xi"), F.transform("x", lambda r: r["_u"]).alias("xu"), F.transform("y", lambda r: r["id"]).alias("yi"), F.transform("y", lambda r: r["_u"]).alias("yu"))
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 i, j, xi, xu, yi, yu = (c.slice(k, 1) for c in batch.columns)
-                p = _matrix(xu.flatten()) @ _matrix(yu.flatten()).T
-                low, high = p, p
                 same = i[0].as_py() == j[0].as_py()
+                x = _matrix(xu.flatten())
+                p = x @ (x if same else _matrix(yu.flatten())).T
+                low, high = p, p
                 if same:
                     low, high = p.copy(), p.copy()
                     np.fill_diagonal(low, np.inf)

@@ -104,6 +104,20 @@ def test_bucket_mates(spark):
         assert (got[i].least, got[i].mean, got[i].greatest) == (pytest.approx(want) if cos else want)
 
 
+def test_bucket_mates_in_lists_of_any_order(spark, monkeypatch):
+    """On several executors a list that is gathered twice comes in two orders; here each one is dealt anew."""
+    from pyspark.sql import functions as F
+
+    gathered, key = F.collect_list, "reflect('java.util.UUID', 'randomUUID')"
+    monkeypatch.setattr(F, "collect_list", lambda c: F.transform(F.array_sort(F.transform(gathered(c), lambda x: F.struct(F.expr(key).alias("k"), x.alias("x")))), lambda p: p["x"]))
+    rng = random.Random(6)
+    unit = [[x / sum(y * y for y in v) ** 0.5 for x in v] for v in ([rng.gauss(0, 1) for _ in range(5)] for _ in range(40))]
+    got = bucket_mates(spark.createDataFrame([(i, 1, v) for i, v in enumerate(unit)], "id long, b int, v array<double>"), "id", "b", "v", 16).collect()
+    for r in got:
+        cos = [sum(x * y for x, y in zip(unit[r.id], u)) for i, u in enumerate(unit) if i != r.id]
+        assert (r.mates, r.least, r.greatest) == (39, pytest.approx(min(cos)), pytest.approx(max(cos)))
+
+
 def test_statements_with_a_wrong_id_fail(spark):
     from pyspark.sql import functions as F
 
