@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from stemweave.operators import audits, curation, graph, identity
+from stemweave.operators import audits, curation, graph, identity, mates
 from stemweave.operators.mates import bucket_mates
 
 
@@ -118,6 +120,47 @@ def test_bucket_mates_in_lists_of_any_order(spark, monkeypatch):
         assert (r.mates, r.least, r.greatest) == (39, pytest.approx(min(cos)), pytest.approx(max(cos)))
 
 
+def _shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    bus = sc._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_bucket_mates_send_a_vector_to_few_blocks(spark):
+    rng, n, width = random.Random(7), 160, 1024  # eight vectors are more than compression looks back over
+    rows = spark.createDataFrame([(i, 1, [rng.gauss(0, 1) for _ in range(width)]) for i in range(n)], "id long, b int, v array<double>")
+    before, key = _shuffled(spark), "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(key)
+    spark.conf.set(key, -1)  # as on a table that is too large for it
+    try:
+        assert bucket_mates(rows, "id", "b", "v", 8).where("mates = 159 and least < 0 and greatest > 0").count() == n
+    finally:
+        spark.conf.set(key, held)
+    sent = _shuffled(spark) - before
+    assert sent < 8 * n * width * 8  # a vector has width * 8 bytes; of 20 blocks of 8 it was sent to each
+
+
+def test_bucket_mates_of_many_blocks_and_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(40, 5))
+    cos = (v @ v.T) / np.sqrt((v * v).sum(1))[:, None] / np.sqrt((v * v).sum(1))
+    least, greatest = np.where(np.eye(40), np.inf, cos).min(1), np.where(np.eye(40), -np.inf, cos).max(1)
+    monkeypatch.setattr(mates, "HELD", 6 * 5 * 8)
+    rows = spark.createDataFrame([(i, "x", [float(c) for c in v[i]]) for i in range(40)], "id long, b string, v array<double>")
+    got = bucket_mates(rows, "id", "b", "v").orderBy("id").collect()
+    assert [r.least for r in got] == pytest.approx(list(least)) and [r.greatest for r in got] == pytest.approx(list(greatest))
+    monkeypatch.setattr(mates, "TILE", 4)
+    side = np.arange(40) % 3 // 2  # two blocks of unlike sizes
+    table = lambda at: pa.table({"_r": at, "_p": side[at], "_v": pa.array([list(x) for x in v[at]]), "_l": np.sqrt((v[at] ** 2).sum(1))})
+    for i, j in ((0, 0), (0, 1), (1, 1)):
+        at = np.flatnonzero((side == i) | (side == j))
+        out, other = mates._meet((pa.scalar(0), pa.scalar(i), pa.scalar(j)), table(at)), lambda r: [c for c in at if c != r and (i == j or side[c] != side[r])]  # noqa: B023
+        assert out.column("lo").to_pylist() == pytest.approx([cos[r][other(r)].min() for r in at]) and out.column("hi").to_pylist() == pytest.approx([cos[r][other(r)].max() for r in at])
+
+
 def test_statements_with_a_wrong_id_fail(spark):
     from pyspark.sql import functions as F
 
